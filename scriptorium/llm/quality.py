@@ -49,7 +49,6 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", 1000, 3, 100),
     Rule("word_length", "word_chars", "n_words", 100, 6, 500, low=150),
     Rule("dup_lines", "n_dup_lines", "n_lines", 1000, 3, 600),
-    Rule("repeats", "n_repeat_words", "n_words", 1000, 3, 150),
     Rule("stutter", "n_stutter", "n_words", 1000, 3, 200),
 )
 

@@ -15,8 +15,8 @@ feat AS (SELECT words.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, leng
   FROM words LEFT JOIN rep ON rep.rid = words.rid),
 base AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   (n_symbols * 1000) // greatest(n_words, 1) AS v1, (word_chars * 100) // greatest(n_words, 1) AS v2,
-  (n_dup_lines * 1000) // greatest(n_lines, 1) AS v3, (n_repeat_words * 1000) // greatest(n_words, 1) AS v4, (n_stutter * 1000) // greatest(n_words, 1) AS v5 FROM feat),
-vals AS (SELECT lang, source, r, v FROM (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS r, unnest([v1, v2, v3, v4, v5]) AS v FROM base WHERE NOT base_failed)),
+  (n_dup_lines * 1000) // greatest(n_lines, 1) AS v3, (n_stutter * 1000) // greatest(n_words, 1) AS v4 FROM feat),
+vals AS (SELECT lang, source, r, v FROM (SELECT lang, source, unnest([1, 2, 3, 4]) AS r, unnest([v1, v2, v3, v4]) AS v FROM base WHERE NOT base_failed)),
 bk AS (SELECT lang, source, r, (v // (1::BIGINT << greatest(length(bin(v)) - 7, 0))) * (1::BIGINT << greatest(length(bin(v)) - 7, 0)) AS b FROM vals),
 f AS (SELECT lang, source, r, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM bk GROUP BY 1, 2, 3),
 m AS (SELECT lang, r, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM bk GROUP BY 1, 2),
@@ -28,9 +28,8 @@ lim AS (SELECT lang, source,
   max(CASE WHEN r = 1 THEN q75 + 3 * (q75 - q25) + 100 END) AS h1,
   max(CASE WHEN r = 2 THEN q75 + 6 * (q75 - q25) + 500 END) AS h2, max(CASE WHEN r = 2 THEN q25 - 6 * (q75 - q25) - 150 END) AS l2,
   max(CASE WHEN r = 3 THEN q75 + 3 * (q75 - q25) + 600 END) AS h3,
-  max(CASE WHEN r = 4 THEN q75 + 3 * (q75 - q25) + 150 END) AS h4,
-  max(CASE WHEN r = 5 THEN q75 + 3 * (q75 - q25) + 200 END) AS h5 FROM q GROUP BY 1, 2),
-judged AS (SELECT base.*, NOT base_failed AND coalesce(v1 <= h1 AND v2 <= h2 AND v2 >= l2 AND v3 <= h3 AND v4 <= h4 AND v5 <= h5, true) AS kept
+  max(CASE WHEN r = 4 THEN q75 + 3 * (q75 - q25) + 200 END) AS h4 FROM q GROUP BY 1, 2),
+judged AS (SELECT base.*, NOT base_failed AND coalesce(v1 <= h1 AND v2 <= h2 AND v2 >= l2 AND v3 <= h3 AND v4 <= h4, true) AS kept
   FROM base LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM base.lang AND lim.source IS NOT DISTINCT FROM base.source)"""
 
 QUALITY_SQL = f"""
