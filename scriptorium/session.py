@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -51,3 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder, with its lineage cut."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: smaller than a checkpoint, and lineage is cut."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/scriptorium-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
