@@ -5,19 +5,77 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import quality
-from scriptorium.llm.sql import QUALITY_SQL
+from scriptorium.llm import bpe, chat, decontaminate, lattice, quality, secrets, simhash, substrings, warc
+from scriptorium.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, QUALITY_SQL, SUBSTRING_SQL, WARC_SQL
 from scriptorium.session import table
 
 
+def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary_path())
+    return found.select("doc_id", F.col("__sc_n").alias("n_tokens"), F.sha2("__sc_ids", 256).alias("ids_sha256"), F.sha2("__sc_decoded", 256).alias("decoded_sha256"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.scratch(spark)
+    warc.save(warc.records(table(spark, sf_dir, "pages")), path)
+    return warc.page_report(spark, path)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.profile(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.report(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[secrets.count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(secrets.joined(secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.joined(secrets.KINDS).alias("spans"),
+    )
+
+
+def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scores(table(spark, sf_dir, "documents"), lattice.vocabulary_path())
+
+
+def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(chat.stale_reply_pairs(chat.conversations(table(spark, sf_dir, "conversations"))))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.removed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
+    "op2_decontamination": op2_decontamination,
+    "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_lattice_scores": op8_lattice_scores,
+    "op9_preference_chat": op9_preference_chat,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": DECONTAMINATION_SQL,
+    "op5_warc": WARC_SQL,
     "op6_quality_rules": QUALITY_SQL,
+    "op9_preference_chat": CHAT_SQL,
+    "op10_substring_dedup": SUBSTRING_SQL,
 }

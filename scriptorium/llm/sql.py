@@ -36,3 +36,51 @@ QUALITY_SQL = f"""
 WITH src AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 {_FEATURES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"""
+
+DECONTAMINATION_SQL = r"""
+WITH src AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+dw AS (SELECT rid, doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM src),
+bw AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bn AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i+9], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bn),
+dn AS (SELECT rid, i, n, array_to_string(w[i:i+n-1], ' ') AS k FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+hit AS (SELECT dn.rid, dn.i, dn.n, bn.item_id FROM dn JOIN bn ON bn.n = dn.n AND bn.k = dn.k),
+pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
+ids AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos ON pos.rid = dw.rid LEFT JOIN ids ON ids.rid = dw.rid"""
+
+CHAT_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns, max(CASE WHEN role = 'assistant' THEN i END) AS la, count(*) AS k FROM n GROUP BY conv_id),
+o AS (SELECT c.conv_id, turns, coalesce(la, k) AS last, (SELECT max(i) FROM n WHERE n.conv_id IS NOT DISTINCT FROM c.conv_id AND n.role = 'assistant' AND n.i < la) AS other FROM c),
+p AS (SELECT conv_id, turns AS ch, CASE WHEN other IS NOT NULL THEN list_concat(turns[1:last-1], [turns[other]]) ELSE turns[1:last-1] END AS rj FROM o),
+q AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(ch), len(rj)) + 1), lambda i: ch[i] IS DISTINCT FROM rj[i])) - 1, least(len(ch), len(rj))) AS m FROM p),
+r AS (SELECT conv_id, m, ch[1:m] AS pr, ch[m+1:] AS c2, rj[m+1:] AS r2 FROM q),
+s AS (SELECT *, list_transform(pr, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)) AS sp,
+  list_transform(c2, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)) AS sc,
+  list_transform(r2, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)) AS sr FROM r),
+z AS (SELECT *, list_filter(range(1, len(c2) + 1), lambda i: c2[i].role = 'assistant') AS ci, list_filter(range(1, len(r2) + 1), lambda i: r2[i].role = 'assistant') AS ri FROM s)
+SELECT conv_id, m::BIGINT AS n_shared, array_to_string(sp, '') AS prompt, array_to_string(sc, '') AS chosen, array_to_string(sr, '') AS rejected,
+  array_to_string(list_transform(ci, lambda i: (length(array_to_string(sc[1:i-1], '')) + 13 + length(c2[i].role))::VARCHAR || ':' || (length(array_to_string(sc[1:i], '')) - 1)::VARCHAR), ',') AS chosen_mask,
+  array_to_string(list_transform(ri, lambda i: (length(array_to_string(sr[1:i-1], '')) + 13 + length(r2[i].role))::VARCHAR || ':' || (length(array_to_string(sr[1:i], '')) - 1)::VARCHAR), ',') AS rejected_mask
+FROM z"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest AS g, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d LEFT JOIN f ON g = payload_digest"""
+
+SUBSTRING_SQL = r"""
+WITH src AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(w[i:i+12], ' ') AS k FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM src WHERE len(w) >= 13)),
+least_doc AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS p FROM win JOIN least_doc USING (k) WHERE m < doc_id),
+pos AS (SELECT rid, list(p) AS ps, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i]), ' ') END) AS kept_sha256
+FROM src LEFT JOIN pos ON pos.rid = src.rid"""
