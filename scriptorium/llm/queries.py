@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, decontaminate, lattice, quality, secrets, simhash, substrings, warc
+from scriptorium.llm import bpe, chat, decontaminate, lattice, licenses, quality, secrets, simhash, substrings, warc
 from scriptorium.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, QUALITY_SQL, SUBSTRING_SQL, WARC_SQL
 from scriptorium.session import table
 
@@ -25,6 +25,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_licenses, the families (sorted, comma-joined) and family:start:end of the paragraphs."""
+    found = licenses.report(table(spark, sf_dir, "documents"))
+    spans = F.transform("paragraphs", lambda p: F.concat_ws(":", p["family"], p["start"].cast("string"), p["end"].cast("string")))
+    return found.select(
+        "doc_id", F.size("paragraphs").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("paragraphs.family"))), ",").alias("families"), F.array_join(spans, ",").alias("spans"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary_path())
     return found.select("doc_id", F.col("__sc_n").alias("n_tokens"), F.sha2("__sc_ids", 256).alias("ids_sha256"), F.sha2("__sc_decoded", 256).alias("decoded_sha256"))
@@ -64,6 +74,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
     "op2_decontamination": op2_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
