@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import cache
 from struct import pack
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -193,8 +194,10 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs, without text unless kept, with __sc_n, __sc_ids (32-bit integers, little-endian) and __sc_decoded.
+def encoded(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False, arrays: bool = False) -> DataFrame:
+    """docs, without text unless kept, with __sc_n, __sc_ids and __sc_decoded.
+
+    Ids are an array of integers, or packed in 32 bits each, little-endian.
 
     The executors need the vocabulary file at the same path."""
     fields = [f for f in docs.schema.fields if keep_text or f.name != text]
@@ -207,11 +210,14 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep_text: bool = Fa
                 b = whole.slice(at, 1000)
                 rows = [encode(x) for x in b.column(text).to_pylist()]
                 ids, decoded, n = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*names, "__sc_n", "__sc_ids", "__sc_decoded"]
-                )
-
-    new = [T.StructField("__sc_n", T.LongType()), T.StructField("__sc_ids", T.BinaryType()), T.StructField("__sc_decoded", T.StringType())]
+                if arrays:
+                    flat = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
+                    packed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat))
+                else:
+                    packed = pa.array(ids, pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), packed, pa.array(decoded, pa.string())], names=[*names, "__sc_n", "__sc_ids", "__sc_decoded"])
+
+    new = [T.StructField("__sc_n", T.LongType()), T.StructField("__sc_ids", T.ArrayType(T.IntegerType()) if arrays else T.BinaryType()), T.StructField("__sc_decoded", T.StringType())]
     return docs.mapInArrow(run, T.StructType([*fields, *new]))
 
 
@@ -225,9 +231,3 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "__sc_text"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__sc_text", T.StringType())]))
-
-
-def ids_array(column: str = "__sc_ids") -> str:
-    """SQL expression: the packed ids as an array of integers."""
-    byte = lambda k: f"cast(conv(hex(substring({column}, 4 * i + {k}, 1)), 16, 10) AS INT)"
-    return f"transform(sequence(0, cast(length({column}) / 4 AS INT) - 1), i -> {byte(1)} + 256 * {byte(2)} + 65536 * {byte(3)} + 16777216 * {byte(4)})"
