@@ -11,8 +11,7 @@ cover position in both documents. Four steps:
    hash and task, so a passage of millions of copies is one entry a task.
 2. Anchors found in two documents go back to their documents.
 3. There each is extended to the windows around it, and these, a small part of
-   all, are hashed in full (128 bits). The least id of each window is found in
-   the same way.
+   all, are hashed in full. The least id of each window is found in the same way.
 4. Documents drop the words of windows that a smaller id has.
 
 Entries travel packed, a row for a bucket of hashes and a task, and no hash, pair
@@ -37,9 +36,11 @@ from pyspark.sql import functions as F
 
 #: kind of an entry: asked for, known to be in two documents, or settled and on its way to its document.
 ASK, KNOWN, SETTLED = 0, 1, 2
-PACKED = "bucket int, kind int, high binary, low binary, docs binary"
-_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("docs", pa.binary())])
+PACKED = "bucket int, kind int, keys binary, docs binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
 RESULT = "n_words long, n_removed long, kept string"
+#: Bytes of a key. Anchors only propose, so that 40 bits beside the bucket's do; windows decide, by 64 beside the bucket's.
+ANCHOR, WINDOW = 5, 8
 
 
 @cache
@@ -53,11 +54,6 @@ def difference_cover(period: int) -> tuple[int, ...]:
     raise AssertionError
 
 
-@cache
-def residues(period: int) -> frozenset[int]:
-    return frozenset(difference_cover(period))
-
-
 class Text:
     """The words of a text, and slices of them joined by one space."""
 
@@ -82,7 +78,7 @@ class Text:
         return at, np.array([h(joined[starts[i] : ends[i + size - 1] - 1]) for i in at.tolist()], dtype=np.uint64)
 
     def windows(self, at: np.ndarray, window: int) -> np.ndarray:
-        """128-bit hashes of the windows at these places, as two columns."""
+        """Hashes of the windows at these places: 64 bits for the bucket, and 64 as key."""
         from xxhash import xxh3_128_digest as h
 
         joined, starts, ends = self.joined, self.starts, self.ends
@@ -90,20 +86,23 @@ class Text:
         return np.frombuffer(raw, dtype=">u8").reshape(-1, 2).astype(np.uint64)
 
 
-def _runs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Where each run of equal hashes begins, in sorted entries, and their number at the end."""
-    new = np.ones(len(high), dtype=bool)
-    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-    return np.append(np.flatnonzero(new), len(high))
+def _edges(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, in sorted entries, and their number at the end."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.append(np.flatnonzero(new), len(keys))
 
 
-def _sorted(high: np.ndarray, low: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries by hash, then document, without repeats."""
-    order = np.lexsort((docs, low, high))
-    high, low, docs = high[order], low[order], docs[order]
-    new = np.ones(len(high), dtype=bool)
-    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (docs[1:] != docs[:-1])
-    return high[new], low[new], docs[new]
+def _sorted(bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by bucket, key and document without repeats, and the edges of equal bucket and key."""
+    order = np.lexsort((docs, keys, bucket))
+    bucket, keys, docs = bucket[order], keys[order], docs[order]
+    other = np.ones(len(keys), dtype=bool)
+    other[1:] = (bucket[1:] != bucket[:-1]) | (keys[1:] != keys[:-1])
+    new = other.copy()
+    new[1:] |= docs[1:] != docs[:-1]
+    bucket, keys, docs, other = bucket[new], keys[new], docs[new], other[new]
+    return bucket, keys, docs, np.append(np.flatnonzero(other), len(keys))
 
 
 def _doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
@@ -118,85 +117,81 @@ def doc_bucket(column: str, buckets: int):
     return F.coalesce((x * 48271) % 2147483647 % buckets, F.lit(0)).cast("int")
 
 
-def _pack(kind: int, bucket: np.ndarray, high: np.ndarray, low: np.ndarray, docs: np.ndarray, wide: bool) -> Iterator[pa.RecordBatch]:
-    """Entries as rows, one for each bucket; byte planes compress better in a shuffle."""
+def _pack(kind: int, bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """Entries as rows, one for each bucket, in the order given or, if settled, by document.
+
+    Byte planes of sorted numbers compress well in a shuffle."""
     if not len(bucket):
         return
-    order = np.argsort(bucket, kind="stable")
-    bucket, high, low, docs = bucket[order], high[order], low[order], docs[order]
+    order = np.lexsort((docs, bucket)) if kind == SETTLED else np.argsort(bucket, kind="stable")
+    bucket, keys, docs = bucket[order], keys[order], docs[order]
     edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-    plane = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
-    rows = [
-        (int(bucket[a]), kind, plane(high[a:b]), plane(low[a:b]) if wide else b"", plane(docs[a:b]) if kind != KNOWN else b"")
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
-    ]
+    plane = lambda x, n: np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+    rows = [(int(bucket[a]), kind, plane(keys[a:b], width), plane(docs[a:b], 8) if kind != KNOWN else b"") for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     for i in range(0, len(rows), 2000):
         yield pa.RecordBatch.from_pylist([dict(zip(_PACKED.names, r, strict=True)) for r in rows[i : i + 2000]], schema=_PACKED)
 
 
-def _unpack(raw: bytes, dtype) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(dtype).ravel()
+def _unpack(raw: bytes, width: int, dtype) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view(dtype).ravel()
 
 
-def _entries(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """kind, high, low and docs of packed rows."""
-    kinds, highs, lows, docs = [], [], [], []
+def _entries(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """kind, keys and docs of packed rows."""
+    kinds, keys, docs = [np.zeros(0, np.int8)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in rows:
-        high = _unpack(r["high"], np.uint64)
-        highs.append(high)
-        lows.append(_unpack(r["low"], np.uint64) if r["low"] else np.zeros(len(high), np.uint64))
-        docs.append(_unpack(r["docs"], np.int64) if r["docs"] else np.zeros(len(high), np.int64))
-        kinds.append(np.full(len(high), r["kind"], np.int8))
-    if not rows:
-        return np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(kinds), np.concatenate(highs), np.concatenate(lows), np.concatenate(docs)
-
-
-def _shared(high, low, docs, buckets: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """Step 1 of a task: hashes in one of its documents are asked for; the others are known."""
-    high, low, docs = _sorted(high, low, docs)
-    if not len(high):
+        keys.append(_unpack(r["keys"], width, np.uint64))
+        docs.append(_unpack(r["docs"], 8, np.int64) if r["docs"] else np.zeros(len(keys[-1]), np.int64))
+        kinds.append(np.full(len(keys[-1]), r["kind"], np.int8))
+    return np.concatenate(kinds), np.concatenate(keys), np.concatenate(docs)
+
+
+def _shared(hashes: np.ndarray, docs: np.ndarray, buckets: int, doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Step 1 of a task: anchors in one of its documents are asked for; the others are known."""
+    bits = np.uint64(8 * ANCHOR)
+    bucket, keys, docs, edges = _sorted(((hashes >> bits) % np.uint64(buckets)).astype(np.int32), hashes & ((np.uint64(1) << bits) - np.uint64(1)), docs)
+    if not len(keys):
         return
-    edges = _runs(high, low)
     sizes = np.diff(edges)
     one = np.repeat(sizes == 1, sizes)
-    spot = lambda x: (x % np.uint64(buckets)).astype(np.int32)
-    yield from _pack(ASK, spot(high[one]), high[one], low[one], docs[one], wide)
     first = edges[:-1][sizes > 1]
-    yield from _pack(KNOWN, spot(high[first]), high[first], low[first], docs[first], wide)
-    yield from _pack(SETTLED, _doc_bucket(docs[~one], buckets), high[~one], low[~one], docs[~one], wide)
+    yield from _pack(ASK, bucket[one], keys[one], docs[one], ANCHOR)
+    yield from _pack(KNOWN, bucket[first], keys[first], docs[first], ANCHOR)
+    yield from _pack(SETTLED, _doc_bucket(docs[~one], doc_buckets), keys[~one], docs[~one], ANCHOR)
 
 
-def _least(high, low, docs, buckets: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """Step 3 of a task: only its least document of a hash can be without a smaller one."""
-    high, low, docs = _sorted(high, low, docs)
-    if not len(high):
+def _least(hashes: np.ndarray, docs: np.ndarray, buckets: int, doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Step 3 of a task: only its least document of a window can be without a smaller one."""
+    bucket, keys, docs, edges = _sorted((hashes[:, 0] % np.uint64(buckets)).astype(np.int32), hashes[:, 1], docs)
+    if not len(keys):
         return
-    first = np.zeros(len(high), dtype=bool)
-    first[_runs(high, low)[:-1]] = True
-    yield from _pack(ASK, (high[first] % np.uint64(buckets)).astype(np.int32), high[first], low[first], docs[first], wide)
-    yield from _pack(SETTLED, _doc_bucket(docs[~first], buckets), high[~first], low[~first], docs[~first], wide)
+    first = np.zeros(len(keys), dtype=bool)
+    first[edges[:-1]] = True
+    yield from _pack(ASK, bucket[first], keys[first], docs[first], WINDOW)
+    yield from _pack(SETTLED, _doc_bucket(docs[~first], doc_buckets), keys[~first], docs[~first], WINDOW)
 
 
-def _answer(rows: list[dict], buckets: int, wide: bool, least: bool) -> Iterator[pa.RecordBatch]:
-    """All asked for in one bucket: what is in two documents, or, if least, in a smaller one."""
-    kind, high, low, docs = _entries([r for r in rows if r["kind"] != SETTLED])
-    if not len(high):
+def _answer(rows: list[dict], doc_buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+    """All asked for in one bucket: anchors in two documents, or windows in a smaller one."""
+    kind, keys, docs = _entries([r for r in rows if r["kind"] != SETTLED], width)
+    if not len(keys):
         return
-    order = np.lexsort((docs, low, high))
-    kind, high, low, docs = kind[order], high[order], low[order], docs[order]
-    edges = _runs(high, low)
+    order = np.lexsort((docs, keys))
+    kind, keys, docs = kind[order], keys[order], docs[order]
+    edges = _edges(keys)
     sizes = np.diff(edges)
-    if least:
+    if width == WINDOW:
         good = docs > np.repeat(docs[edges[:-1]], sizes)
     else:
-        known = np.add.reduceat((kind == KNOWN).astype(np.int64), edges[:-1]) > 0
-        asks = np.where(kind == ASK, docs, docs[0])
-        far = np.iinfo(np.int64)
-        low_doc = np.minimum.reduceat(np.where(kind == ASK, asks, far.max), edges[:-1])
-        high_doc = np.maximum.reduceat(np.where(kind == ASK, asks, far.min), edges[:-1])
-        good = np.repeat(known | (high_doc > low_doc), sizes) & (kind == ASK)
-    yield from _pack(SETTLED, _doc_bucket(docs[good], buckets), high[good], low[good], docs[good], wide)
+        ask, far = kind == ASK, np.iinfo(np.int64)
+        known = np.add.reduceat((~ask).astype(np.int64), edges[:-1]) > 0
+        low = np.minimum.reduceat(np.where(ask, docs, far.max), edges[:-1])
+        high = np.maximum.reduceat(np.where(ask, docs, far.min), edges[:-1])
+        good = np.repeat(known | (high > low), sizes) & ask
+    yield from _pack(SETTLED, _doc_bucket(docs[good], doc_buckets), keys[good], docs[good], width)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -213,7 +208,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield at, rows
 
 
-def _answered(asked: DataFrame, parts: int, buckets: int, wide: bool, least: bool) -> DataFrame:
+def _answered(asked: DataFrame, parts: int, doc_buckets: int, width: int) -> DataFrame:
     """Entries for documents, by the bucket of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,17 +216,17 @@ def _answered(asked: DataFrame, parts: int, buckets: int, wide: bool, least: boo
             settled = [r for r in rows if r["kind"] == SETTLED]
             if settled:
                 yield pa.RecordBatch.from_pylist(settled, schema=_PACKED)
-            yield from _answer(rows, buckets, wide, least)
+            yield from _answer(rows, doc_buckets, width)
 
     return asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKED)
 
 
-def _by_doc(hits: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    _, high, low, docs = _entries(hits.select(_PACKED.names).to_pylist())
+def _by_doc(hits: pa.Table, width: int) -> dict[int, np.ndarray]:
+    _, keys, docs = _entries(hits.select(_PACKED.names).to_pylist(), width)
     order = np.argsort(docs, kind="stable")
-    high, low, docs = high[order], low[order], docs[order]
+    keys, docs = keys[order], docs[order]
     edges = np.append(np.flatnonzero(np.append(True, docs[1:] != docs[:-1])), len(docs)) if len(docs) else [0]
-    return {int(docs[a]): (high[a:b], low[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)}
+    return {int(docs[a]): keys[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)}
 
 
 def _covered(at: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -242,18 +237,15 @@ def _covered(at: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
-def _pairs(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x).view([("a", np.uint64), ("b", np.uint64)]).ravel()
-
-
 def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 13, period: int = 7, flush: int = 1_500_000) -> DataFrame:
     """(id, n_words, n_removed, kept): one row per document; kept: the other words, joined by one space."""
     if not 1 < period < window:
         raise ValueError("1 < period < window")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    buckets = 8 * parts
+    # A share of the entries for each task that grows with neither the corpus nor its groups.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    doc_buckets = 2 * parts
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, held = [], [], 0
@@ -270,16 +262,14 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
                 ids.append(np.full(len(h), i, np.int64))
                 held += len(h)
                 if held >= flush:
-                    high = np.concatenate(hashes)
-                    yield from _shared(high, np.zeros(len(high), np.uint64), np.concatenate(ids), buckets, False)
+                    yield from _shared(np.concatenate(hashes), np.concatenate(ids), parts, doc_buckets)
                     hashes, ids, held = [], [], 0
         if held:
-            high = np.concatenate(hashes)
-            yield from _shared(high, np.zeros(len(high), np.uint64), np.concatenate(ids), buckets, False)
+            yield from _shared(np.concatenate(hashes), np.concatenate(ids), parts, doc_buckets)
 
     def extend(table: pa.Table, hits: pa.Table) -> pa.Table:
-        found, highs, lows, ids = _by_doc(hits), [], [], []
-        reach = np.arange(period)
+        found, hashes, ids = _by_doc(hits, ANCHOR), [], []
+        reach, low = np.arange(period), np.uint64((1 << 8 * ANCHOR) - 1)
         if found:
             for i, x in zip(table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True):
                 if i not in found or not x:
@@ -289,42 +279,36 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
                     continue
                 t.index()
                 at, h = t.anchors(window, period)
-                at = at[np.isin(h, found[i][0])]
+                at = at[np.isin(h & low, found[i])]
                 places = np.unique((at[:, None] - reach).ravel())
                 places = places[(places >= 0) & (places <= t.n - window)]
                 if len(places):
-                    pair = t.windows(places, window)
-                    highs.append(pair[:, 0])
-                    lows.append(pair[:, 1])
+                    hashes.append(t.windows(places, window))
                     ids.append(np.full(len(places), i, np.int64))
         if not ids:
             return _PACKED.empty_table()
-        return pa.Table.from_batches(list(_least(np.concatenate(highs), np.concatenate(lows), np.concatenate(ids), buckets, True)), schema=_PACKED)
+        return pa.Table.from_batches(list(_least(np.concatenate(hashes), np.concatenate(ids), parts, doc_buckets)), schema=_PACKED)
 
     out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def drop(table: pa.Table, hits: pa.Table) -> pa.Table:
-        found, rows = _by_doc(hits), []
+        found, rows = _by_doc(hits, WINDOW), []
         for i, x in zip(table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True):
             t = Text(x or "")
-            gone = 0
-            words = t.words
+            gone, words = 0, t.words
             if i is not None and i in found and t.n >= window:
                 t.index()
-                # Only windows that were asked for can be among the hits.
                 places = np.arange(t.n - window + 1)
-                high, low = found[i]
-                pair = t.windows(places, window)
-                hit = np.isin(_pairs(pair), _pairs(np.stack([high, low], axis=1)))
+                hit = np.isin(t.windows(places, window)[:, 1], found[i])
                 covered = _covered(places[hit], t.n, window)
                 gone = int(covered.sum())
                 words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
             rows.append((i, t.n, gone, b" ".join(words).decode("utf-8", "surrogatepass")))
         return pa.Table.from_pylist([dict(zip(out.names, r, strict=True)) for r in rows], schema=out)
 
-    dealt = docs.withColumn("bucket", doc_bucket("id", buckets))
-    first = _answered(docs.mapInArrow(find, PACKED), parts, buckets, False, False)
+    dealt = docs.withColumn("bucket", doc_bucket("id", doc_buckets))
+    first = _answered(docs.mapInArrow(find, PACKED), parts, doc_buckets, ANCHOR)
     asked = dealt.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(extend, PACKED)
-    second = _answered(asked, parts, buckets, True, True)
+    second = _answered(asked, parts, doc_buckets, WINDOW)
     result = dealt.groupBy("bucket").cogroup(second.groupBy("bucket")).applyInArrow(drop, f"id long, {RESULT}")
     return result.withColumnRenamed("id", id_col)
