@@ -167,7 +167,7 @@ class Checker:
             at, person = found[0], p.subjects[ws[found[0]].text]
         else:
             stripped = [(i, self.lexicon.lookup(w.text)) for i, w in enumerate(ws)]
-            nouns = [i for i, l in stripped if l.known and any(ws[i].text.endswith(c) and c in l.stripped for c in CLASSIFIERS)]
+            nouns = [i for i, l in stripped if l.known and any(ws[i].text.endswith(c) and c in l.stripped for c in p.classifiers)]
             if len(nouns) != 1:
                 return
             at, person, noun = nouns[0], "third", ws[nouns[0]].text
@@ -201,6 +201,11 @@ class Checker:
                 return word[: -len(s)]
         return None
 
+    def person_plural(self, word: str) -> str | None:
+        """The stem of a word in the plural of persons."""
+        s = self.pack.plural_person
+        return word[: -len(s)] if s and word.endswith(s) else None
+
     def classifier(self, ws: list[Word]) -> Iterator[Edit]:
         p = self.pack
         for i, w in enumerate(ws):
@@ -217,11 +222,11 @@ class Checker:
                     yield edit(w, (table[w.text],), "CLASSIFIER", "animacy")
                     break
         for w in ws:
-            if w.text.endswith(PLURAL_PERSON) and w.text[: -len(PLURAL_PERSON)] in p.thing_nouns and w.text not in p.subjects:
-                yield edit(w, (w.text[: -len(PLURAL_PERSON)] + p.plural_suffixes[0],), "AGREEMENT", "animate_plural")
+            if self.person_plural(w.text) in p.thing_nouns and w.text not in p.subjects:
+                yield edit(w, (f"{self.person_plural(w.text)}{p.plural_suffixes[0]}",), "AGREEMENT", "animate_plural")
         for i, w in enumerate(ws):
             table = p.possessives.get(w.text)
-            if table is None and w.text.endswith(PLURAL_PERSON) and w.text[: -len(PLURAL_PERSON)] in p.person_nouns:
+            if table is None and self.person_plural(w.text) in p.person_nouns:
                 table = p.any_plural_possessive
             x = next((x for x in ws[i + 1 :] if x.text in table), None) if table else None
             if x:
@@ -276,11 +281,6 @@ class Checker:
         return out
 
 
-# Suffixes that make a noun definite, and the plural of persons.
-CLASSIFIERS = ("টি", "টা", "খানা", "জন")
-PLURAL_PERSON = "রা"
-
-
 def edits(docs: DataFrame, pack: Pack, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' (id, edits): an array of edits in the order of emission."""
 

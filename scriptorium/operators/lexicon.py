@@ -93,10 +93,12 @@ def supplemented(lexicon: DataFrame, more: DataFrame) -> DataFrame:
 def token_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, freq, docs): occurrences of lower-cased Latin words, and documents that hold them.
 
-    Words of a document are counted before they are shuffled."""
-    per_doc = docs.select(F.explode(words(F.lower(F.coalesce(text, F.lit(""))), LATIN)).alias("word"), F.monotonically_increasing_id().alias("row"))
-    per_doc = per_doc.filter(F.col("word").rlike("^[a-z]")).groupBy("row", "word").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("word").agg(F.sum("n").alias("freq"), F.count("*").alias("docs"))
+    A document's words are sorted, so that the first of equals stands for the
+    document: both counts come from one aggregate with partial sums."""
+    ws = F.array_sort(F.filter(words(F.lower(F.coalesce(text, F.lit(""))), LATIN), lambda w: w.rlike("^[a-z]")))
+    marked = F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.when(w == F.get("ws", i - 1), 0).otherwise(1).alias("first")))
+    one = docs.select(ws.alias("ws")).select(F.explode(marked).alias("m"))
+    return one.groupBy("m.word").agg(F.count("*").alias("freq"), F.sum("m.first").alias("docs"))
 
 
 def corpus_lexicon(docs: DataFrame, least_docs: int = 3, text: str = "text") -> DataFrame:

@@ -6,13 +6,18 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(ts: str | Column) -> Column:
+    """Microseconds of a timestamp with or without time zone."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def trailing_count(events: DataFrame, seconds: int, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """events with n: requests of the user in the trailing window, both ends included."""
-    w = Window.partitionBy(user).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(user).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("n", F.count("*").over(w))
 
 
@@ -37,7 +42,7 @@ def limited(events: DataFrame, limit: int = 120, seconds: int = 60, user: str =
     A user's requests pass one task in order, and no more than `limit` times of
     one user are held: rows stream by, sorted within partitions, so a user with a
     third of all requests needs no more memory than another."""
-    rows = events.select(F.col(key), F.col(user), F.unix_micros(ts).alias("__at")).repartition(F.col(user)).sortWithinPartitions(user, "__at", key)
+    rows = events.select(F.col(key), F.col(user), micros(ts).alias("__at")).repartition(F.col(user)).sortWithinPartitions(user, "__at", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, log = object(), SlidingLog(limit, seconds * 1_000_000)
@@ -56,5 +61,5 @@ def limited(events: DataFrame, limit: int = 120, seconds: int = 60, user: str =
 def debounced(events: DataFrame, millis: int = 600, user: str = "user_id", ts: str = "ts", key: str = "event_id") -> DataFrame:
     """The events that no other of the user follows within millis."""
     w = Window.partitionBy(user).orderBy(ts, key)
-    later = F.unix_micros(F.lead(ts).over(w)) - F.unix_micros(ts)
+    later = micros(F.lead(ts).over(w)) - micros(ts)
     return events.withColumn("__gap", later).filter(F.col("__gap").isNull() | (F.col("__gap") >= millis * 1000)).drop("__gap")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.config import PipelineConfig
+from scriptorium.config import ERROR_CLASSES, PipelineConfig
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -99,3 +99,20 @@ def rendered(template: Column, values: dict[str, Column], no_fix: Column | None
     for k, v in values.items():
         t = F.replace(t, F.lit(f"{{{k}}}"), v)
     return t
+
+
+def explained(edits: DataFrame, specs: DataFrame) -> DataFrame:
+    """edits with explanation_en, explanation_bn, category and rule_reference; specs has a row for each class."""
+    right = F.coalesce(F.get("suggestions", F.lit(0)), F.lit(""))
+    values = {"wrong": F.col("original"), "right": right}
+    j = edits.join(F.broadcast(specs), "error_class", "left")  # twelve rows
+    category = F.create_map(*[F.lit(x) for c, (k, _) in ERROR_CLASSES.items() for x in (c, k)])
+    return j.select(
+        *[F.col(c) for c in edits.columns], rendered(F.col("template"), values, F.col("no_fix_template")).alias("explanation_en"),
+        rendered(F.col("template_bn"), values, F.col("no_fix_template_bn")).alias("explanation_bn"), category[F.col("error_class")].alias("category"), "rule_reference",
+    )
+
+
+def share_text(share: Column) -> Column:
+    """A ratio as whole percent."""
+    return F.concat(F.bround(share * 100, 0).cast("int").cast("string"), F.lit("%"))

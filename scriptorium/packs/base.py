@@ -52,6 +52,8 @@ class Pack:
     phrase_heads: tuple[str, ...] = ()
     quantifiers: tuple[str, ...] = ()
     plural_suffixes: tuple[str, ...] = ()
+    plural_person: str = ""
+    classifiers: tuple[str, ...] = ()
     thing_to_person: dict[str, str] = field(default_factory=dict)
     person_to_thing: dict[str, str] = field(default_factory=dict)
     person_nouns: tuple[str, ...] = ()

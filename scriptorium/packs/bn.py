@@ -55,6 +55,8 @@ NOT_VERBS = words("বলে করে পড়ে ধরে")
 PHRASE_HEADS = words("সঙ্গে কাছে জন্য মতো")
 QUANTIFIERS = words("অনেক সব বহু সকল কয়েকটি কিছু")
 PLURAL_SUFFIXES = words("গুলো গুলি সমূহ")
+PLURAL_PERSON = f("রা")
+CLASSIFIERS = words("টি টা খানা জন")
 THING_TO_PERSON = pairs("একটা একজন একটি একজন দুটো দুজন দুটি দুজন তিনটি তিনজন তিনটা তিনজন")
 PERSON_TO_THING = pairs("একজন একটি দুজন দুটি তিনজন তিনটি")
 PERSON_NOUNS = words("শিক্ষক ছাত্র ডাক্তার লোক মেয়ে ছেলে মানুষ কৃষক লেখক")
@@ -82,7 +84,7 @@ PACK = Pack(
     guarded_endings=GUARDED_ENDINGS, register_verbs=REGISTER_VERBS, priority_modern=PRIORITY_MODERN, modern_endings=MODERN_ENDINGS, derived=DERIVED,
     contextual=CONTEXTUAL, subjects=SUBJECTS, ambiguous_subjects=AMBIGUOUS_SUBJECTS, paradigms=PARADIGMS, ambiguous_endings=AMBIGUOUS_ENDINGS, final_only=FINAL_ONLY,
     roots=ROOTS, clause_breaks=CLAUSE_BREAKS, particles=PARTICLES, not_verbs=NOT_VERBS, phrase_heads=PHRASE_HEADS, quantifiers=QUANTIFIERS,
-    plural_suffixes=PLURAL_SUFFIXES, thing_to_person=THING_TO_PERSON, person_to_thing=PERSON_TO_THING, person_nouns=PERSON_NOUNS, thing_nouns=THING_NOUNS,
+    plural_suffixes=PLURAL_SUFFIXES, plural_person=PLURAL_PERSON, classifiers=CLASSIFIERS, thing_to_person=THING_TO_PERSON, person_to_thing=PERSON_TO_THING, person_nouns=PERSON_NOUNS, thing_nouns=THING_NOUNS,
     possessives=POSSESSIVES, any_plural_possessive=ANY_PLURAL_POSSESSIVE, collocations=COLLOCATIONS, suffixes=SUFFIXES, prefixes=PREFIXES,
     vowel_final_only=VOWEL_FINAL_ONLY, lexicon=SEED, coverage=1.0,
 )

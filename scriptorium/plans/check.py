@@ -50,3 +50,19 @@ def accept_all(docs: DataFrame, code: str = "bn", config: PipelineConfig = Pipel
     plain = docs.select(id_col, normalized(F.col("text"))["text"].alias("text"))
     kept = resolved(edits(plain, get_pack(code), id_col), config, id_col)
     return plain.join(kept, id_col).select(id_col, accepted(F.col("text"), F.col("kept")).alias("text"))
+
+
+def register_udtf(spark, name: str = "check_text") -> None:
+    """Makes SQL `SELECT * FROM check_text(text, 'bn')`: the edits of one text, before overlaps are resolved."""
+    from pyspark.sql.functions import udtf
+
+    from scriptorium.functions.normalize import normalize
+    from scriptorium.operators.detect import Checker
+
+    @udtf(returnType="start int, end int, original string, suggestion string, error_class string, confidence double, rule string")
+    class CheckText:
+        def eval(self, text: str, code: str):
+            for e in Checker(get_pack(code)).check(normalize(text)[0]):
+                yield e.start, e.end, e.original, e.suggestions[0] if e.suggestions else None, e.error_class, e.confidence, e.rule
+
+    spark.udtf.register(name, CheckText)

@@ -451,3 +451,14 @@ def neighbour_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("i")
     x = table(spark, sf_dir, "documents").select("doc_id", found).withColumns({"prev": F.lag("word").over(w), "next": F.lead("word").over(w)})
     return x.filter("word = 'the' AND (next = 'of' OR prev = 'and')").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'NOTVA_SHOTVA', 'spelling', 'na and sha'), (11, 'NON_WORD', 'spelling', 'lexicon'), (13, 'PUNCTUATION', 'punctuation', 'punctuation')) t(doc_id, error_class, category, rule_reference)""")
+def bn_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explanations hold both words and no placeholder."""
+    from scriptorium.packs import bn_specs
+
+    rows = resolve.edit_rows(resolve.resolved(edits(_bn(spark).filter("doc_id IN (1, 11, 13)"), get_pack("bn")))).filter("surfaced AND rule NOT LIKE 'unknown%'")
+    out = resolve.explained(rows, spark.createDataFrame(bn_specs.rows(), bn_specs.DDL))
+    good = out.filter("NOT contains(explanation_en, '{') AND NOT contains(explanation_bn, '{') AND contains(explanation_en, original)")
+    return good.select("doc_id", "error_class", "category", "rule_reference").distinct()
