@@ -138,6 +138,8 @@ def candidates(unknown_words: DataFrame, lexicon: DataFrame, max_distance: int =
     u = unknown_words.select("word", F.explode(deletions(F.col("word"), max_distance)).alias("d"))
     x = lexicon.select(F.col("word").alias("cand"), "freq", F.explode(deletions(F.col("word"), max_distance)).alias("d"))
     pool = u.join(x, "d").filter((F.col("word") != F.col("cand")) & (F.abs(F.length("word") - F.length("cand")) <= max_distance)).select("word", "cand", "freq").distinct()
+    # A swap is two plain edits: beyond twice the distance, the built-in settles a pair without Python.
+    pool = pool.filter(F.levenshtein("word", "cand", 2 * max_distance) >= 0)
     pool = pool.withColumn("dist", osa_column(F.col("word"), F.col("cand"), max_distance)).filter(F.col("dist") <= max_distance)
     return pool.withColumn("same_key", key(F.col("word")) == key(F.col("cand")))
 

@@ -462,3 +462,90 @@ def bn_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resolve.explained(rows, spark.createDataFrame(bn_specs.rows(), bn_specs.DDL))
     good = out.filter("NOT contains(explanation_en, '{') AND NOT contains(explanation_bn, '{') AND contains(explanation_en, original)")
     return good.select("doc_id", "error_class", "category", "rule_reference").distinct()
+
+
+@query("SELECT * FROM (VALUES (1, 'a, b! c'), (2, 'clean')) t(doc_id, text)")
+def accept_all_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every first suggestion applied, from the last edit to the first."""
+    docs = spark.createDataFrame([(1, "a , b!!  c"), (2, "clean")], "doc_id int, text string")
+    kept = resolve.resolved(edits(docs, get_pack("la")))
+    return docs.join(kept, "doc_id").select("doc_id", resolve.accepted(F.col("text"), F.col("kept")).alias("text"))
+
+
+@query("SELECT * FROM (VALUES (1, 2.0, 0.0, 0.0, 2.0, 100.0), (2, 0.0, 0.0, 0.0, NULL, 0.0)) t(doc_id, syllables_per_word, tatsama_share, length_variance, mean_sentence_length, score)")
+def bn_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.functions.readability import scored
+
+    docs = spark.createDataFrame([(1, u("986 9AE 9BF 20 9AD 9BE 9A4 20 964").replace(u("9AD 9BE 9A4"), u("9AF 9BE 987"))), (2, "no words of ours.")], "doc_id int, text string")
+    r = docs.select("doc_id", scored(F.col("text")).alias("r"))
+    return r.select("doc_id", *[F.col(f"r.{c}") for c in ("syllables_per_word", "tatsama_share", "length_variance", "mean_sentence_length", "score")])
+
+
+@query("SELECT * FROM (VALUES (1, 'SFX A Y 12'), (2, 'PFX B N 3'), (3, 'SFX A 0 x$ .')) t(id, line)")
+def affix_header_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.sources.tables import affix_header_repaired
+
+    rows = spark.createDataFrame([(1, "SFX A Y 12$"), (2, "PFX B N 3 $"), (3, "SFX A 0 x$ .")], "id int, line string")
+    return rows.select("id", affix_header_repaired(F.col("line")).alias("line"))
+
+
+@query("SELECT * FROM (VALUES ('a', 1), ('b', 3), ('c', 2), ('d', NULL)) t(word, freq)")
+def frequency_proxy_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in a list stand for frequencies; a supplement adds words without one."""
+    lines = spark.createDataFrame([("# words",), ("a",), ("b",), ("",), (" c ",), ("a",)], "value string").coalesce(1)
+    more = spark.createDataFrame([("b",), ("d",)], "word string")
+    return lexicon.supplemented(lexicon.frequency_proxy(lexicon.word_list(lines)), more)
+
+
+@query("SELECT * FROM (VALUES (0, 4, 'x'), (8, 9, 'y')) t(\"start\", \"end\", original)")
+def ignore_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits whose class, original and first suggestion were ignored are hidden; others with the same text stay."""
+    rows = spark.createDataFrame([(0, 4, "x", ["a"], "HOMONYM"), (5, 6, "x", ["b", "a"], "HOMONYM"), (8, 9, "y", [], "HOMONYM")], "start int, end int, original string, suggestions array<string>, error_class string")
+    gone = spark.createDataFrame([("HOMONYM", "x", "b"), ("NON_WORD", "y", "")], "error_class string, original string, first string")
+    return resolve.ignored(rows, gone).select("start", "end", "original")
+
+
+@query("SELECT * FROM (VALUES (1, 'a -> b {x}'), (2, 'only a')) t(id, said)")
+def template_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "a", "b"), (2, "a", "")], "id int, wrong string, right string")
+    return rows.select("id", resolve.rendered(F.lit("{wrong} -> {right} {x}"), {"wrong": F.col("wrong"), "right": F.col("right")}, F.lit("only {wrong}")).alias("said"))
+
+
+@query("SELECT * FROM (VALUES ('blocker', 'clean_fp'), ('warning', 'gold_total'), ('blocker', 'human_verified'), ('blocker', 'f05_A')) t(severity, code)")
+def gate_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = spark.createDataFrame([(0.05, 100, 90, 0.1)], "clean_rate double, gold_total int, human int, stage4_share double")
+    now = spark.createDataFrame([("A", 0.5), ("B", 0.9)], "error_class string, f05 double")
+    was = spark.createDataFrame([("A", 0.53), ("B", 0.92), ("GONE", 0.9)], "error_class string, f05 double")
+    return evaluate.gate(head, now, was, strict=True).select("severity", "code")
+
+
+@query("SELECT * FROM (VALUES ('devices', 1), ('entitlements', 1), ('streaks', 1)) t(name, bound)")
+def store_upgrade_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a device that were bound to an account, a table each."""
+    import datetime
+
+    when = datetime.datetime(2024, 1, 1)
+    seen = spark.createDataFrame([("d1", when, when), ("d2", when, when)], "device_id string, created_at timestamp, last_seen_at timestamp")
+    tables = store.ensure_devices({n: spark.createDataFrame([], d) for n, d in store.TABLES.items()}, seen)
+    tables, _ = store.upgraded(tables, "d1", "u1")
+    parts = [tables[n].filter("user_id = 'u1'").agg(F.count("*").cast("int").alias("bound")).select(F.lit(n).alias("name"), "bound") for n in ("devices", "entitlements", "streaks")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query("SELECT doc_id, sha256(replace(coalesce(text, ''), ', ', ',')) AS folded FROM documents")
+def invisible_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _perturbed(spark, sf_dir, ", ", "," + u("200B FEFF"))
+    return docs.select("doc_id", F.sha2(normalize.invisibles_stripped(F.col("text")), 256).alias("folded"))
+
+
+@query("SELECT doc_id, sha256(replace(coalesce(text, ''), ', ', '0129')) AS folded FROM documents")
+def digit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _perturbed(spark, sf_dir, ", ", u("9E6 9E7 9E8 9EF"))
+    return docs.select("doc_id", F.sha2(normalize.digits_folded(F.col("text")), 256).alias("folded"))
+
+
+@query("SELECT * FROM (VALUES (1, 0, 15, 2, 'latin'), (1, 23, 25, 1, 'latin')) t(doc_id, \"start\", \"end\", n_tokens, script)")
+def scope_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number or a word of the pack ends a foreign run; one letter alone is none."""
+    docs = spark.createDataFrame([(1, "hello the world".replace(" the ", " (!) ") + " 12 a " + u("995") + " ok " + u("996") + " b")], "doc_id int, text string")
+    return out_of_scope(tokenize.token_rows(docs)).select("doc_id", "start", "end", F.col("n_tokens").cast("int").alias("n_tokens"), "script")
