@@ -136,21 +136,12 @@ class Model:
         return (self.families[k], float(p[k])) if over[k] >= 0 else (UNKNOWN, float(1 - p.max()))
 
     def confirmed(self, family: str, words: list[str]) -> bool:
-        """Whether enough words of a template of family occur in order, compactly.
-
-        A paragraph much longer than the template is compared around the words
-        they share, in stretches of twice the template's length."""
+        """Whether enough words of a template of family occur in order, within
+        a stretch that is hardly longer than the template."""
         for t in self.templates[family]:
-            need = self.alike * len(t)
-            own = set(t)
-            if len(words) <= 2 * len(t):
-                if common_subsequence(t, words) >= need:
-                    return True
-                continue
-            step = len(t)
-            for i in range(0, len(words), step):
-                part = words[i : i + 2 * step]
-                if sum(1 for w in own if w in part) >= self.alike * len(own) * 0.9 and common_subsequence(t, part) >= need:
+            need, own, width = self.alike * len(t), set(t), len(t) + 1 + len(t) // 4
+            for i, w in enumerate(words):
+                if w in own and common_subsequence(t, words[i : i + width]) >= need:
                     return True
         return False
 
