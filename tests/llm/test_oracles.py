@@ -70,7 +70,6 @@ def test_empty_tables(spark, sf, tmp_path, name):
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_hard_rows_do_not_crash(spark, hard, name):
-    n = {"op5_warc": 11, "op9_preference_chat": 7}.get(name, 265)
-    assert len(QUERIES[name](spark, hard).collect()) == n
+    assert len(QUERIES[name](spark, hard).collect()) == 265
