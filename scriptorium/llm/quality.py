@@ -105,7 +105,9 @@ def measured(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     )
     out = out.withColumn("__sc_n_repeat_words", repeats)
     q = F.struct(*[F.col(f"__sc_{k}").alias(k) for k in COUNTS])
-    return out.select(*[F.col(f"`{c}`") for c in kept], q.alias("__sc_q"))
+    # One row for one row: a filter on the counts isn't pushed below this, where
+    # it would hold a copy of all expressions for every count it names.
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(q)).alias("__sc_q"))
 
 
 def base_failed(q: str = "__sc_q") -> Column:
