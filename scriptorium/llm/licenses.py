@@ -222,7 +222,13 @@ def fit(paragraphs: list[list[str]], rounds: int = 300, rate: float = 0.5, decay
 
 
 def negatives(docs: DataFrame, text: str = "text", sample: int = 2000) -> list[list[str]]:
-    """At most `sample` paragraphs of ordinary length without licence terms, first by a hash."""
+    """At most `sample` paragraphs of ordinary length without licence terms, first by a hash.
+
+    They come from about `sample` documents, chosen by a hash of the whole row,
+    so that what tasks send to the driver doesn't grow with the table."""
+    n = docs.count()
+    if n > sample:
+        docs = docs.filter(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < F.lit((1 << 30) * sample // n + 1))
     lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
     lines = lines.filter(F.length("line").between(20, 2000) & ~F.col("line").rlike(f"(?i){_TERM.pattern}"))
     some = lines.orderBy(F.xxhash64("line"), "line").limit(sample)

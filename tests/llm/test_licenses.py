@@ -60,3 +60,9 @@ def test_rows(spark):
     by = {r["doc_id"]: [(p["family"], p["start"], p["end"]) for p in r["paragraphs"]] for r in got}
     assert by == {1: [], 2: [], None: [("MIT", 2, 33)], 3: [("Proprietary", 3, 23)]}
     assert licenses.report(df.limit(0)).count() == 0
+
+
+def test_sample_of_a_larger_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    some = licenses.negatives(docs, sample=30)
+    assert 0 < len(some) <= 30 and some == licenses.negatives(docs.repartition(3), sample=30)
