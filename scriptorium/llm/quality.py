@@ -168,10 +168,15 @@ def fences(parts: DataFrame, min_docs: int = 100) -> DataFrame:
     return j.groupBy("lang", "source").agg(*out)
 
 
-def judged(rows: DataFrame, limits: DataFrame, q: str = "__sc_q") -> DataFrame:
-    """rows (with lang, source and q) joined with their fences; adds __sc_failed and __sc_kept."""
+def judged(rows: DataFrame, limits: DataFrame, q: str = "__sc_q", small: int = 50_000) -> DataFrame:
+    """rows (with lang, source and q) joined with their fences; adds __sc_failed and __sc_kept.
+
+    Up to `small` groups, counted here, are broadcast, so that rows stay where
+    they are; more are joined as Spark sees fit. limits should be cut."""
     names = [c for c in limits.columns if c not in ("lang", "source")]
     limits = limits.select(F.col("lang").alias("__sc_lang"), F.col("source").alias("__sc_source"), *[F.col(c).alias(f"__sc_{c}") for c in names])
+    if limits.limit(small + 1).count() <= small:
+        limits = F.broadcast(limits)
     j = rows.join(limits, F.col("__sc_lang").eqNullSafe(rows["lang"]) & F.col("__sc_source").eqNullSafe(rows["source"]), "left")
     ok = F.lit(True)
     for r in RULES:
@@ -183,7 +188,7 @@ def judged(rows: DataFrame, limits: DataFrame, q: str = "__sc_q") -> DataFrame:
 def profile(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = 100) -> DataFrame:
     """(id, counts, base_failed, kept), one row per document; each text is read once."""
     rows = cut(measured(docs.select(id_col, "lang", "source", text), text).drop(text))
-    out = judged(rows, fences(sketch(rows), min_docs))
+    out = judged(rows, cut(fences(sketch(rows), min_docs)))
     return out.select(
         id_col, *[F.col(f"__sc_q.{c}").alias(c) for c in BASE_COUNTS],
         F.col("__sc_failed").alias("base_failed"), F.col("__sc_kept").alias("kept"),
