@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, decontaminate, quality, secrets, simhash
+from scriptorium.llm import bpe, decontaminate, jaccard, quality, secrets, simhash
 from scriptorium.session import table, written
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the document of the least id stays."""
-    return simhash.representatives(docs)
+    """Of each class of near-duplicates (five-word shingles, similarity 0.8 or more), the document of the least id stays."""
+    return simhash.representatives(docs, found=jaccard.classes(docs, shingle=5, similarity=0.8))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

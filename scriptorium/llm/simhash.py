@@ -228,9 +228,11 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each class, unchanged: that of its least id; rows without id stay."""
-    found = classes(docs, id_col, text)
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """One row of docs for each class, unchanged: that of its least id; rows without id stay.
+
+    found: classes (id, component_id) by another rule than that of classes."""
+    found = classes(docs, id_col, text) if found is None else found
     first = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__sc_id")).agg(F.count("*").alias("__sc_n")))
     known = docs.join(first.select("__sc_id"), docs[id_col] == F.col("__sc_id"), "left_semi")
     if first.filter("__sc_n > 1").limit(1).count():  # an id that several rows have
