@@ -3,7 +3,8 @@
 Patterns give the base spans: assignments to a credential name, access key ids
 and long hexadecimal runs. Besides, the value that follows a wider set of
 credential names (`pwd: ...`, `passphrase is ...`, `user:value@host`, `bearer
-...`) is cut into words, dates, repeats, keyboard walks and brute-force spans so
+...`; a name may stand within a longer one, as in DB_PASSWORD, PGPASSWORD or
+aws_secret_access_key) is cut into words, dates, repeats, keyboard walks and brute-force spans so
 that the sum of the guesses' logarithms is least. The cost of that cut, in
 powers of ten, says how hard the value is to guess: one that costs
 `min_cost` or more is a span of kind `guess`, a placeholder or a plain word is
@@ -34,7 +35,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 HINTS = ("pass", "secret", "token", "api", "pwd", "key", "credential", "auth", "bearer", "login", "://")
 CONTEXTS = (
     re.compile(
-        r"""(?ai:\b(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|(?:access|private|secret|client)[_-]?(?:key|secret|token)|credentials?|auth(?:orization)?|login))["']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*["'`]?(?ai:(?:bearer|basic)\x20+)?([^\s"'`<>,;]+)"""
+        r"""(?ai:(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|(?:access|private|secret|client)[_-]?(?:key|secret|token)|credentials?|auth(?:orization)?|login))(?:[_-][A-Za-z0-9]{1,20}|[A-Z][a-z0-9]{1,20}){0,4}["']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*["'`]?(?ai:(?:bearer|basic)\x20+)?([^\s"'`<>,;]+)"""
     ),
     re.compile(r"""(?ai:\bbearer)\x20+([A-Za-z0-9+/_.=~-]+)"""),
     re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@"'<>]{1,64}:([^\s/@"'<>]+)@"""),

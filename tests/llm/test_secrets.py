@@ -85,3 +85,16 @@ def test_redacted(spark):
     df = spark.createDataFrame([(1, "a token = abcdef123456 b", 5), (2, None, 5), (3, "clean", 5)], "doc_id long, text string, __sc_spans int")
     got = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
     assert got == {1: "a [SECRET] b", 2: None, 3: "clean"}
+
+
+def test_prefixed_names():
+    """A credential name within a longer name; the value is one guess span."""
+    hard = "x9$Kq!v2Lp0z"
+    for name in ("DB_PASSWORD=", "PGPASSWORD='", "my-pwd: ", "user_passphrase is ", "dbPassword = ", "secret_access_key=", "clientSecretValue: ", '"github_token_2": "', "x.auth-token := "):
+        text = f"é {name}{hard}"
+        assert ("guess", len(text) - len(hard), len(text)) in secrets.secrets(text), name
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    text = f"aws_secret_access_key = {key}"
+    assert secrets.secrets(text) == [("guess", len(text) - len(key), len(text))]
+    assert secrets.secrets(f"the secretary: {hard}") == []
+    assert not [x for x in secrets.secrets("DB_PASSWORD=changeme PGPASSWORD=$HOME_PASSWORD") if x[0] == "guess"]
