@@ -8,7 +8,10 @@ aws_secret_access_key) is cut into words, dates, repeats, keyboard walks and bru
 that the sum of the guesses' logarithms is least. The cost of that cut, in
 powers of ten, says how hard the value is to guess: one that costs
 `min_cost` or more is a span of kind `guess`, a placeholder or a plain word is
-not. The cut is a dynamic program from left to right whose spans all start at
+not. Words are ranked: first those that guessers try, then the whole words of two
+installed tokenizer vocabularies, commonest first, so a word is plain if it is one
+of theirs or made of two. Long words of languages that these vocabularies have
+only in pieces cost brute force, as random letters do. The cut is a dynamic program from left to right whose spans all start at
 one of a bounded number of places, so long values cost time in proportion.
 
 Defined results: a null or empty text has no spans; kinds are matched apart from
@@ -20,7 +23,9 @@ from __future__ import annotations
 
 import math
 import re
+from base64 import b64decode
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +45,8 @@ CONTEXTS = (
     re.compile(r"""(?ai:\bbearer)\x20+([A-Za-z0-9+/_.=~-]+)"""),
     re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@"'<>]{1,64}:([^\s/@"'<>]+)@"""),
 )
+#: Vocabularies whose whole words are known: English, and several languages.
+VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 # Words that guessers try first, commonest first.
 WORDS = (
     "password passwd pass secret admin root user login letmein welcome qwerty monkey dragon master shadow sunshine princess football baseball "
@@ -53,8 +60,26 @@ WORDS = (
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 _LEET = str.maketrans("@401357$!", "aaoiestsi")
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+
+
+def vocabulary() -> dict[str, int]:
+    """The whole words (a piece that begins with a blank, letters only, four at least) of the files in lower case, by rank."""
+    import public_tokenizers
+
+    ranks: dict[str, int] = {}
+    for name in VOCABULARIES:
+        at = 0
+        for line in Path(public_tokenizers.path(name)).read_bytes().splitlines():
+            piece = b64decode(line.split()[0]).decode("utf-8", "ignore")
+            if len(piece) > 4 and piece[0] == " " and piece[1:].isalpha():
+                at += 1
+                word = piece[1:].lower()
+                ranks[word] = min(at, ranks.get(word, at))
+    return ranks
+
+
+_RANK = {w: n + len(WORDS) for w, n in vocabulary().items()} | {w: i + 1 for i, w in enumerate(WORDS)}
+_LONGEST = max(map(len, _RANK))
 _NEXT = {a + b for row in ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:], strict=False)}
 #: What a change of span costs, so that many short spans don't undercut one.
 _JOIN = math.log10(2)

@@ -98,3 +98,19 @@ def test_prefixed_names():
     assert secrets.secrets(text) == [("guess", len(text) - len(key), len(text))]
     assert secrets.secrets(f"the secretary: {hard}") == []
     assert not [x for x in secrets.secrets("DB_PASSWORD=changeme PGPASSWORD=$HOME_PASSWORD") if x[0] == "guess"]
+
+
+def test_ordinary_words_are_no_secrets():
+    """Words of eight letters and more after a credential name, in text that stays as it is."""
+    words = "incorrect generated available mandatory immediately unavailable authenticated misconfigured confidential automatically encrypted case-sensitive regenerated compromised".split()
+    for w in words:
+        for text in (f"your password is {w}", f"the token is {w}.", f"PASSWORD: {w.capitalize()}", f"auth = {w.upper()}"):
+            assert [x for x in secrets.secrets(text) if x[0] == "guess"] == [], text
+    hard = ("qzxvkjwpgh", "xkvqzjwhtbmd", "tR7#bNq8wZ!m", "wJalrXUtnFEMI")
+    assert all(secrets.guess_cost(x) >= 10 for x in hard)
+
+
+def test_redaction_leaves_clean_text(spark):
+    clean = "your password is incorrect and the token is generated"
+    df = spark.createDataFrame([(1, clean), (2, "your password is xkvqzjwhtbmd")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()} == {1: clean, 2: "your password is [SECRET]"}
