@@ -1,22 +1,33 @@
 """Secret scans: patterns, and password guess cost of credential-context values.
 
 Patterns give the base spans: assignments to a credential name, access key ids
-and long hexadecimal runs. Besides, the value that follows a wider set of
-credential names (`pwd: ...`, `passphrase is ...`, `user:value@host`, `bearer
-...`; a name may stand within a longer one, as in DB_PASSWORD, PGPASSWORD or
-aws_secret_access_key) is cut into words, dates, repeats, keyboard walks and brute-force spans so
-that the sum of the guesses' logarithms is least. The cost of that cut, in
-powers of ten, says how hard the value is to guess: one that costs
-`min_cost` or more is a span of kind `guess`, a placeholder or a plain word is
-not. Words are ranked: first those that guessers try, then the whole words of two
+and long hexadecimal runs. Besides, every value in a credential context is costed:
+that of an assignment found by the pattern, what follows a wider set of credential
+names (`pwd: ...`, `passphrase is ...`; a name may stand within a longer one, as in
+DB_PASSWORD, PGPASSWORD or aws_secret_access_key), `user:value@host` in an address,
+and `bearer ...`. The value is cut into words, dates, repeats, keyboard walks and
+brute-force spans so that the sum of the guesses' logarithms is least. The cost of
+that cut, in powers of ten, says how hard the value is to guess, and decides: a value
+that costs `min_cost` or more is a span of kind `guess`, whether or not a pattern
+found it; a placeholder or a plain word is not.
+
+Words are ranked: first those that guessers try, then the whole words of two
 installed tokenizer vocabularies, commonest first, so a word is plain if it is one
 of theirs or made of two. Long words of languages that these vocabularies have
-only in pieces cost brute force, as random letters do. The cut is a dynamic program from left to right whose spans all start at
-one of a bounded number of places, so long values cost time in proportion.
+only in pieces cost brute force, as random letters do.
+
+The cut is a dynamic program from left to right over these spans: brute force; words
+(three letters at least; other case and look-alike signs cost more); dates and years;
+repeats of a character and keyboard walks, of three at least, that begin where their
+run does or up to REACH places on; and repeats of a group of 2 to REACH characters
+that isn't itself a repeat, all its whole copies taken. So each end has a bounded
+number of starts, and time is in proportion to the length of values; a character
+is costed once however many names precede it.
 
 Defined results: a null or empty text has no spans; kinds are matched apart from
-each other, so that spans of different kinds can overlap; a guess span inside or
-equal to an assignment's value is not given again; offsets are code points.
+each other, so that spans of different kinds can overlap; a value within one that
+was costed isn't costed again; offsets are code points; a table without rows gives
+none; equal rows each get their row; other columns are kept, or ignored by `report`.
 """
 
 from __future__ import annotations
@@ -38,12 +49,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Any text without these, in lower case, has no credential context.
 HINTS = ("pass", "secret", "token", "api", "pwd", "key", "credential", "auth", "bearer", "login", "://")
-CONTEXTS = (
-    re.compile(
-        r"""(?ai:(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|(?:access|private|secret|client)[_-]?(?:key|secret|token)|credentials?|auth(?:orization)?|login))(?:[_-][A-Za-z0-9]{1,20}|[A-Z][a-z0-9]{1,20}){0,4}["']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*["'`]?(?ai:(?:bearer|basic)\x20+)?([^\s"'`<>,;]+)"""
-    ),
+#: A credential name, the rest of the name it stands in, and what lies between name and value.
+NAME = re.compile(r"(?ai:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|(?:access|private|client)[_-]?(?:key|secret|token)|credentials?|auth(?:orization)?|login)")
+REST = re.compile(r"[A-Za-z0-9_-]*")
+BETWEEN = re.compile(r"""["']?(?:[ \t]*(?:=>|:=|[:=])[ \t]*|[ \t]+is[ \t]+)["'`]?(?ai:(?:bearer|basic)[ \t]+)?""")
+VALUE = re.compile(r"""[^\s"'`<>,;]+""")
+OTHERS = (
     re.compile(r"""(?ai:\bbearer)\x20+([A-Za-z0-9+/_.=~-]+)"""),
-    re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@"'<>]{1,64}:([^\s/@"'<>]+)@"""),
+    re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@"'<>]+:([^\s/@"'<>]+)@"""),
 )
 #: Vocabularies whose whole words are known: English, and several languages.
 VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
@@ -58,7 +71,13 @@ WORDS = (
 ).split()
 # Rows of keys.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
-DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+DATES = tuple(
+    re.compile(f"(?=({x}))")
+    for x in (r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d", r"(?:19|20)\d\d")
+)
+#: Places after the beginning of a run at which a repeat or a walk may start, and the longest group that repeats.
+REACH = 32
+_PARTS = [[q for q in range(1, p // 2 + 1) if p % q == 0] for p in range(1, REACH + 1)]
 _LEET = str.maketrans("@401357$!", "aaoiestsi")
 
 
@@ -89,10 +108,13 @@ def _class_size(c: str) -> int:
     return 10 if c.isdigit() and c.isascii() else 26 if c.isascii() and c.islower() else 26 if c.isascii() and c.isupper() else 33 if c.isascii() else 200
 
 
-def cut(value: str, words: dict[str, int] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
-    """The least cost of value in powers of ten, and the spans that give it."""
+def cut(value: str, words: dict[str, int] | None = None, enough: float = math.inf) -> tuple[float, list[tuple[int, int, str]]]:
+    """The least cost of value in powers of ten, and the spans that give it.
+
+    Once no cut can cost less than enough, the search ends with enough and no spans."""
     rank = _RANK if words is None else words
     longest = _LONGEST if words is None else max(map(len, words), default=0)
+    log = math.log10
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_LEET)
@@ -100,37 +122,57 @@ def cut(value: str, words: dict[str, int] | None = None) -> tuple[float, list[tu
     best: list[float] = [0.0] + [inf] * n  # cost of the first i characters
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
     brute, brute_from = inf, 0  # the least cost of a prefix that ends in an open brute-force span
-    dates = {}
-    for m in DATE.finditer(value):
-        dates.setdefault(m.end(), []).append(m.start())
+    dates: dict[int, list[int]] = {}
+    for pattern in DATES:
+        for m in pattern.finditer(value):
+            dates.setdefault(m.end(1), []).append(m.start())
     run = walk = 0  # where the repeat and the walk that go on begin
+    same = [0] * (REACH + 1)  # characters before here that equal the one so many places back
+    units: dict[str, float] = {}
     for i in range(n):
+        if i % REACH == REACH - 1 and i >= 2 * REACH and brute >= enough:
+            # Every place at which a later span can start: the last ones, and where runs and groups that go on may begin.
+            open_ = [best[max(0, i - max(longest, REACH)) : i + 1], best[run : run + REACH + 1], best[walk : walk + REACH + 1]]
+            open_ += [best[i - same[p] - p : i - same[p] + 1] for p in range(1, REACH + 1) if same[p]]
+            if min(map(min, open_)) >= enough:
+                return enough, []
         if i and value[i] != value[i - 1]:
             run = i
         if i and low[i - 1] + low[i] not in _NEXT:
             walk = i
         end, found = i + 1, []
-        step = math.log10(_class_size(value[i]))
+        size_i = _class_size(value[i])
         opened = best[i] + (_JOIN if i else 0.0)
         if opened < brute:
             brute, brute_from = opened, i
-        brute += step
+        brute += log(size_i)
         found.append((brute, brute_from, "brute"))
         for size in range(3, min(longest, end) + 1):
             s = end - size
             got, extra = rank.get(low[s:end]), 0.0
             if got is None and plain != low:
-                got, extra = rank.get(plain[s:end]), math.log10(4)
+                got, extra = rank.get(plain[s:end]), log(4)
             if got is not None:
                 part = value[s:end]
-                cased = 0.0 if part == low[s:end] else math.log10(2) if part[1:] == low[s + 1 : end] or part.isupper() else 0.3 * size
-                found.append((best[s] + math.log10(got + 1) + extra + cased + (_JOIN if s else 0.0), s, "word"))
+                cased = 0.0 if part == low[s:end] else log(2) if part[1:] == low[s + 1 : end] or part.isupper() else 0.3 * size
+                found.append((best[s] + log(got + 1) + extra + cased + (_JOIN if s else 0.0), s, "word"))
         for s in dates.get(end, ()):
-            found.append((best[s] + math.log10(365 * 60 if end - s > 4 else 60) + (_JOIN if s else 0.0), s, "date"))
-        if end - run >= 3:
-            found.append((best[run] + math.log10(_class_size(value[i]) * (end - run)) + (_JOIN if run else 0.0), run, "repeat"))
-        if end - walk >= 3:
-            found.append((best[walk] + math.log10(94 * 2 * (end - walk)) + (_JOIN if walk else 0.0), walk, "walk"))
+            found.append((best[s] + log(365 * 60 if end - s > 4 else 60) + (_JOIN if s else 0.0), s, "date"))
+        for s in range(run, min(run + REACH, end - 3) + 1):
+            found.append((best[s] + log(size_i * (end - s)) + (_JOIN if s else 0.0), s, "repeat"))
+        for s in range(walk, min(walk + REACH, end - 3) + 1):
+            found.append((best[s] + log(94 * 2 * (end - s)) + (_JOIN if s else 0.0), s, "walk"))
+        for p in range(1, min(REACH, i) + 1):
+            if value[i] != value[i - p]:
+                same[p] = 0
+                continue
+            same[p] += 1
+            if p > 1 and same[p] >= p and not any(same[q] >= p - q for q in _PARTS[p - 1]):
+                copies = (same[p] + p) // p
+                s, unit = end - copies * p, value[end - p : end]
+                if unit not in units:
+                    units[unit] = cut(unit, words)[0]
+                found.append((best[s] + units[unit] + log(copies) + (_JOIN if s else 0.0), s, "group"))
         cost, s, kind = min(found)
         best[end], back[end] = cost, (s, kind)
     spans, end = [], n
@@ -141,8 +183,9 @@ def cut(value: str, words: dict[str, int] | None = None) -> tuple[float, list[tu
     return best[n], spans[::-1]
 
 
-def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
-    return cut(value, words)[0]
+def guess_cost(value: str, words: dict[str, int] | None = None, enough: float = math.inf) -> float:
+    """The least cost of value, or enough if it is no less."""
+    return min(enough, cut(value, words, enough)[0])
 
 
 def _plain(value: str) -> bool:
@@ -161,25 +204,40 @@ def base(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def values(text: str, found: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The spans of values in a credential context, those of found assignments included, none within another."""
+    out = []
+    rest = None  # the value of the name that the last credential name stands in
+    end = till = -1
+    for m in NAME.finditer(text):
+        at = m.end()
+        if at > end:
+            end = REST.match(text, at).end()
+            between = BETWEEN.match(text, end)
+            rest = VALUE.match(text, between.end()) if between and between.end() >= till else None
+        if rest and (at == end or text[at] in "_-0123456789" or (text[at].isupper() and text[at + 1].islower())):
+            out.append(rest.span())
+            rest, till = None, rest.end()
+    for pattern in OTHERS:
+        out += [m.span(1) for m in pattern.finditer(text)]
+    out += [ASSIGN.match(text, a).span(2) for kind, a, _ in found if kind == "assign"]
+    kept, done = [], 0
+    for a, b in sorted(set(out), key=lambda x: (x[0], -x[1])):
+        if b > done:
+            done = b
+            while b > a and text[b - 1] in ".)]}!?:":
+                b -= 1
+            kept.append((a, b))
+    return kept
+
+
 def secrets(text: str | None, min_cost: float = 10.0, min_chars: int = 6) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) by start, then kind."""
     text = text or ""
     out = base(text)
     low = text.lower()
     if any(h in low for h in HINTS):
-        held = [(a, b) for kind, a, b in out]
-        taken = set()
-        for context in CONTEXTS:
-            for m in context.finditer(text):
-                a, b = m.span(1)
-                while b > a and text[b - 1] in ".)]}!?:":
-                    b -= 1
-                value = text[a:b]
-                if b - a < min_chars or (a, b) in taken or _plain(value) or any(p <= a and b <= q for p, q in held):
-                    continue
-                if guess_cost(value) >= min_cost:
-                    taken.add((a, b))
-        out += [("guess", a, b) for a, b in taken]
+        out += [("guess", a, b) for a, b in values(text, out) if b - a >= min_chars and not _plain(text[a:b]) and guess_cost(text[a:b], enough=min_cost) >= min_cost]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
