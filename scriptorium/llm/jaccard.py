@@ -31,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from scriptorium.llm.simhash import _LOWER, components
+from scriptorium.llm.simhash import _LOWER, components, labelled, per_text
 from scriptorium.session import cut
 
 CELLS = 1 << 20
@@ -65,15 +64,9 @@ def shingles(words: list[bytes], size: int = 5) -> np.ndarray:
     return np.unique(np.array([h(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[size - 1 :], strict=False)], np.uint64))
 
 
-def nodes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, node): one row per document."""
-    docs = docs.select(id_col, text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(words_of(x)) for x in b.column(1).to_pylist()], pa.int64())], names=[id_col, "node"])
-
-    return docs.mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("node", T.LongType())]))
+def nodes(docs: DataFrame, id_col: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, node): one row per document."""
+    return per_text(docs, [id_col, *keep], text, "node", lambda x: node_of(words_of(x)))
 
 
 def _once(batches: Iterator[pa.RecordBatch], size: int, known: frozenset[int] | None = None) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -247,12 +240,11 @@ def links(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: flo
     return rest if found is None else found.union(rest)
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, str]:
+    """Rows (id, keep, node), one per document; (node, root) of the nodes that have links; and the name node."""
+    return cut(nodes(docs, id_col, text, keep)), cut(components(links(docs, text, shingle, similarity))), "node"
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, node, component_id): one row per document; the class is named by its least id."""
-    rows = cut(nodes(docs, id_col, text))
-    own = cut(rows.groupBy("node").agg(F.min(id_col).alias("first_id")))
-    roots = cut(components(links(docs, text, shingle, similarity)))
-    named = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = named.join(least, "root").select("node", "component_id")
-    return rows.join(label, "node").select(id_col, "node", "component_id")
+    return labelled(*grouped(docs, id_col, text, shingle, similarity), id_col)

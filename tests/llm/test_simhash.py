@@ -33,7 +33,7 @@ def test_pivots_tell_quarters_apart():
     assert len(seen) == 1 << 16
 
 
-@pytest.mark.parametrize("many", [512, 1])
+@pytest.mark.parametrize("many", [512, 40, 1])
 def test_links_within_a_key(many):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
@@ -68,13 +68,49 @@ def test_classes(spark, sf):
     assert sorted(((r[0], r[1] & (1 << 64) - 1, r[2]) for r in got), key=repr) == want
 
 
+def kept_of(rows, classes):
+    """One row of each class: least id, rows without id last; equal rows are one."""
+    named = {}
+    for row, c in zip(rows, classes, strict=True):
+        named.setdefault(c, set()).add(row)
+    return named
+
+
 def test_representatives(spark, sf):
     rows = rows_of(spark, sf)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = simhash.representatives(df).collect()
-    named = {r["doc_id"]: r["component_id"] for r in simhash.classes(df).collect() if r["doc_id"] is not None}
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(named.values()))
-    assert sum(r["doc_id"] is None for r in kept) == 2
+    kept = [tuple(r) for r in simhash.representatives(df).collect()]
+    prints = {t: brute_fingerprint(t) for _, t in rows}
+    nodes = sorted(set(prints.values()))
+    root = connected(nodes, [(x, y) for x, y in combinations(nodes, 2) if (x ^ y).bit_count() <= 2])
+    named = kept_of(rows, [root[prints[t]] for _, t in rows])
+    assert len(kept) == len(named)
+    for i, t in kept:
+        own = named.pop(root[prints[t]])
+        assert (i, t) in own and i == min((x for x, _ in own if x is not None), default=None)
+
+
+def test_representatives_are_rows(spark):
+    """Rows of one id don't depend on each other, nor on equal rows elsewhere."""
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "red green blue")
+    rows = [(3, a, "x"), (7, b, "x"), (7, a, "x")]
+    get = lambda rows: sorted(map(tuple, simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, n string")).collect()))
+    assert get(rows) == [(3, a, "x"), (7, b, "x")]
+    assert get([*rows, (9, c, "x"), (9, c, "x")]) == [(3, a, "x"), (7, b, "x"), (9, c, "x")]
+    assert len(get([*rows, (3, a, "y"), (2, a, None)])) == 2
+
+
+def test_hot_keys_are_split(spark):
+    """One key's rows, beyond the bound on each side of it, keep all links."""
+    rng = np.random.default_rng(2)
+    fixed = np.uint64(0x1234_5678_0000_0000)
+    fp = np.unique(np.concatenate([fixed ^ rng.integers(0, 1 << 32, 300, dtype=np.uint64), *[fixed ^ np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 32, 40, dtype=np.uint64)) for _ in range(3)]]))
+    values = [int(x) for x in fp.view(np.int64)]
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    want = connected(values, [(x, y) for x, y in combinations(values, 2) if ((x ^ y) & (1 << 64) - 1).bit_count() <= 2])
+    for split, sent in ((len(values), 10), (len(values) - 1, 10), (5, 1), (5, 100)):
+        got = [(r["a"], r["b"]) for r in simhash.links(df, split=split, sent=sent).collect()]
+        assert connected(values, got) == want, split
 
 
 def test_empty(spark):
