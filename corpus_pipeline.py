@@ -5,6 +5,7 @@ Each stage takes what its predecessor kept, as Parquet. Counted with scriptorium
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates (five-word shingles, similarity 0.8 or more), the document of the least id stays."""
-    return simhash.representatives(docs, found=jaccard.classes(docs, shingle=5, similarity=0.8))
+    return simhash.representatives(docs, by=partial(jaccard.grouped, shingle=5, similarity=0.8))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
