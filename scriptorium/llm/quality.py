@@ -4,10 +4,12 @@ Every document gets counts. Some ratios of these counts go, as integers, into a
 histogram sketch per language and source: a bucket keeps the seven leading bits
 of a value, so that a quantile is off by less than 1/64 of itself, the number of
 buckets is bounded, and sketches merge by adding counts. The fences that reject
-outliers come from the quartiles of each sketch; a group of fewer than
-`min_docs` documents takes the merged sketch of its language, and a small
-language that of all documents. The fences, a few numbers a group, are joined to
-the documents.
+outliers come from the quartiles of a group's own sketch, drawn by weight towards
+those of its language, and those of a language towards all documents': n documents
+count n times, the wider group `prior` times. So a group of any size has fences of
+its own, and none hangs on a bound that it reaches or not. Quartiles, rather than
+tail quantiles, since up to a quarter of a group may be junk and yet not move them.
+The fences, a few numbers a group, are joined to the documents.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null lang or source is a group of its own; repeated rows each get their row and
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import cut
+from scriptorium.session import cut, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter")
@@ -33,23 +35,25 @@ BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wo
 class Rule:
     """A ratio, and how far outside the quartiles it may lie.
 
-    The upper fence is q75 + spread * (q75 - q25) + slack, the lower one, if any,
-    q25 - spread * (q75 - q25) - low."""
+    The upper fence is q75 + spread * gap, gap being q75 - q50, but a sketch's
+    resolution (q50 / 64, and 1) at least. No group has it below `floor`, as ratios
+    that are nearly always 0 have no spread of their own. The lower one, if any, is
+    q25 - spread * gap, gap being q50 - q25."""
 
     name: str
     over: str
     under: str
     scale: int
-    spread: int
-    slack: int
-    low: int | None = None
+    spread: int = 16
+    floor: int = 0
+    low: bool = False
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", 1000, 3, 100),
-    Rule("word_length", "word_chars", "n_words", 100, 6, 500, low=150),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 1000, 3, 600),
-    Rule("stutter", "n_stutter", "n_words", 1000, 3, 200),
+    Rule("symbols", "n_symbols", "n_words", 1000, floor=100),
+    Rule("word_length", "word_chars", "n_words", 100, low=True),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 1000, floor=500),
+    Rule("stutter", "n_stutter", "n_words", 1000, floor=100),
 )
 
 
@@ -136,8 +140,11 @@ def merged(parts: DataFrame, *by: str) -> DataFrame:
     return parts.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
 
 
+QUARTILES = ("q25", "q50", "q75")
+
+
 def quartiles(parts: DataFrame, *by: str) -> DataFrame:
-    """(by, rule, docs, q25, q75) of sketches with columns by, rule, bucket and n."""
+    """(by, rule, docs, q25, q50, q75) of sketches with columns by, rule, bucket and n."""
     keys = ", ".join(["rule", *by])
     run = parts.selectExpr(
         "*",
@@ -145,10 +152,10 @@ def quartiles(parts: DataFrame, *by: str) -> DataFrame:
         f"sum(n) OVER (PARTITION BY {keys}) AS __sc_all",
     )
     at = lambda p: F.min(F.when(F.col("__sc_run") * 100 >= F.col("__sc_all") * p, F.col("bucket")))
-    return run.groupBy(*by, "rule").agg(F.first("__sc_all").alias("docs"), at(25).alias("q25"), at(75).alias("q75"))
+    return run.groupBy(*by, "rule").agg(F.first("__sc_all").alias("docs"), *[at(int(q[1:])).alias(q) for q in QUARTILES])
 
 
-def fences(parts: DataFrame, min_docs: int = 100) -> DataFrame:
+def fences(parts: DataFrame, prior: int = 10) -> DataFrame:
     """(lang, source, <rule>_hi, <rule>_lo): one row per language and source."""
     fine = quartiles(parts, "lang", "source").alias("f")
     mid = quartiles(merged(parts, "lang"), "lang").alias("m")
@@ -156,14 +163,16 @@ def fences(parts: DataFrame, min_docs: int = 100) -> DataFrame:
     j = fine.join(mid, (F.col("m.lang").eqNullSafe(F.col("f.lang"))) & (F.col("m.rule") == F.col("f.rule")))
     j = j.join(top, F.col("t.rule") == F.col("f.rule"))
 
-    def pick(c: str) -> Column:
-        return F.when(F.col("f.docs") >= min_docs, F.col(f"f.{c}")).when(F.col("m.docs") >= min_docs, F.col(f"m.{c}")).otherwise(F.col(f"t.{c}"))
+    def drawn(own: Column, docs: str, wider: Column) -> Column:
+        return F.floor((own * F.col(docs) + wider * prior) / (F.col(docs) + prior)).cast("long")
 
-    j = j.select(F.col("f.lang").alias("lang"), F.col("f.source").alias("source"), F.col("f.rule").alias("rule"), pick("q25").alias("q25"), pick("q75").alias("q75"))
+    q = {c: drawn(F.col(f"f.{c}"), "f.docs", drawn(F.col(f"m.{c}"), "m.docs", F.col(f"t.{c}"))).alias(c) for c in QUARTILES}
+    j = j.select(F.col("f.lang").alias("lang"), F.col("f.source").alias("source"), F.col("f.rule").alias("rule"), *q.values())
+    least = F.greatest(F.floor(F.col("q50") / 64).cast("long"), F.lit(1))
     out = []
     for r in RULES:
-        hi = F.col("q75") + (F.col("q75") - F.col("q25")) * r.spread + r.slack
-        lo = F.col("q25") - (F.col("q75") - F.col("q25")) * r.spread - r.low if r.low is not None else F.lit(-1)
+        hi = F.greatest(F.col("q75") + F.greatest(F.col("q75") - F.col("q50"), least) * r.spread, F.lit(r.floor))
+        lo = F.col("q25") - F.greatest(F.col("q50") - F.col("q25"), least) * r.spread if r.low else F.lit(-1)
         out += [F.max(F.when(F.col("rule") == r.name, e)).cast("long").alias(f"{r.name}_{s}") for s, e in (("hi", hi), ("lo", lo))]
     return j.groupBy("lang", "source").agg(*out)
 
@@ -185,20 +194,21 @@ def judged(rows: DataFrame, limits: DataFrame, q: str = "__sc_q", small: int = 5
     return j.withColumns({"__sc_failed": base_failed(q), "__sc_kept": ~base_failed(q) & ok})
 
 
-def profile(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = 100) -> DataFrame:
+def profile(docs: DataFrame, id_col: str = "doc_id", text: str = "text", prior: int = 10) -> DataFrame:
     """(id, counts, base_failed, kept), one row per document; each text is read once."""
     rows = cut(measured(docs.select(id_col, "lang", "source", text), text).drop(text))
-    out = judged(rows, cut(fences(sketch(rows), min_docs)))
+    out = judged(rows, cut(fences(sketch(rows), prior)))
     return out.select(
         id_col, *[F.col(f"__sc_q.{c}").alias(c) for c in BASE_COUNTS],
         F.col("__sc_failed").alias("base_failed"), F.col("__sc_kept").alias("kept"),
     )
 
 
-def keep(docs: DataFrame, text: str = "text", min_docs: int = 100) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", prior: int = 10) -> DataFrame:
     """The rows of docs that are kept, with all their columns.
 
-    The sketch is taken in a pass of its own, so that no text is shuffled."""
-    limits = cut(fences(sketch(measured(docs.select("lang", "source", text), text)), min_docs))
-    out = judged(measured(docs, text), limits)
+    Each text is measured once: the counts are written beside it to the shared
+    folder, read alone for the sketch, and with it for the verdict; no text is shuffled."""
+    rows = written(measured(docs, text))
+    out = judged(rows, cut(fences(sketch(rows), prior)))
     return out.filter("__sc_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,17 +18,16 @@ base AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base
   (n_dup_lines * 1000) // greatest(n_lines, 1) AS v3, (n_stutter * 1000) // greatest(n_words, 1) AS v4 FROM feat),
 vals AS (SELECT lang, source, r, v FROM (SELECT lang, source, unnest([1, 2, 3, 4]) AS r, unnest([v1, v2, v3, v4]) AS v FROM base WHERE NOT base_failed)),
 bk AS (SELECT lang, source, r, (v // (1::BIGINT << greatest(length(bin(v)) - 7, 0))) * (1::BIGINT << greatest(length(bin(v)) - 7, 0)) AS b FROM vals),
-f AS (SELECT lang, source, r, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM bk GROUP BY 1, 2, 3),
-m AS (SELECT lang, r, count(*) AS n, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM bk GROUP BY 1, 2),
-g AS (SELECT r, quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.75) AS q75 FROM bk GROUP BY 1),
-q AS (SELECT f.lang, f.source, f.r, CASE WHEN f.n >= 100 THEN f.q25 WHEN m.n >= 100 THEN m.q25 ELSE g.q25 END AS q25,
-  CASE WHEN f.n >= 100 THEN f.q75 WHEN m.n >= 100 THEN m.q75 ELSE g.q75 END AS q75
-  FROM f JOIN m ON m.lang IS NOT DISTINCT FROM f.lang AND m.r = f.r JOIN g ON g.r = f.r),
+f AS (SELECT lang, source, r, count(*) AS n, quantile_disc(b, 0.25) AS a, quantile_disc(b, 0.5) AS h, quantile_disc(b, 0.75) AS z FROM bk GROUP BY 1, 2, 3),
+m AS (SELECT lang, r, count(*) AS n, quantile_disc(b, 0.25) AS a, quantile_disc(b, 0.5) AS h, quantile_disc(b, 0.75) AS z FROM bk GROUP BY 1, 2),
+g AS (SELECT r, quantile_disc(b, 0.25) AS a, quantile_disc(b, 0.5) AS h, quantile_disc(b, 0.75) AS z FROM bk GROUP BY 1),
+l AS (SELECT lang, m.r, (m.a * n + g.a * 10) // (n + 10) AS a, (m.h * n + g.h * 10) // (n + 10) AS h, (m.z * n + g.z * 10) // (n + 10) AS z FROM m JOIN g ON g.r = m.r),
+q AS (SELECT f.lang, f.source, f.r, (f.a * n + l.a * 10) // (n + 10) AS q25, (f.h * n + l.h * 10) // (n + 10) AS q50, (f.z * n + l.z * 10) // (n + 10) AS q75
+  FROM f JOIN l ON l.lang IS NOT DISTINCT FROM f.lang AND l.r = f.r),
+e AS (SELECT lang, source, r, q75 + 16 * greatest(q75 - q50, q50 // 64, 1) AS hi, q25 - 16 * greatest(q50 - q25, q50 // 64, 1) AS lo FROM q),
 lim AS (SELECT lang, source,
-  max(CASE WHEN r = 1 THEN q75 + 3 * (q75 - q25) + 100 END) AS h1,
-  max(CASE WHEN r = 2 THEN q75 + 6 * (q75 - q25) + 500 END) AS h2, max(CASE WHEN r = 2 THEN q25 - 6 * (q75 - q25) - 150 END) AS l2,
-  max(CASE WHEN r = 3 THEN q75 + 3 * (q75 - q25) + 600 END) AS h3,
-  max(CASE WHEN r = 4 THEN q75 + 3 * (q75 - q25) + 200 END) AS h4 FROM q GROUP BY 1, 2),
+  max(CASE WHEN r = 1 THEN greatest(hi, 100) END) AS h1, max(CASE WHEN r = 2 THEN hi END) AS h2, max(CASE WHEN r = 2 THEN lo END) AS l2,
+  max(CASE WHEN r = 3 THEN greatest(hi, 500) END) AS h3, max(CASE WHEN r = 4 THEN greatest(hi, 100) END) AS h4 FROM e GROUP BY 1, 2),
 judged AS (SELECT base.*, NOT base_failed AND coalesce(v1 <= h1 AND v2 <= h2 AND v2 >= l2 AND v3 <= h3 AND v4 <= h4, true) AS kept
   FROM base LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM base.lang AND lim.source IS NOT DISTINCT FROM base.source)"""
 

@@ -127,6 +127,32 @@ def test_sketch_error_is_bounded(spark):
     assert v.filter("b > id OR (id - b) * 64 > id").count() == 0
 
 
+def test_fences_follow_their_group(spark):
+    """Sources of one language whose distributions differ have fences that differ; what is usual in one is rejected in the other."""
+    prose = " ".join(f"word{i % 7}{i}" for i in range(40))
+    code = " ".join(f"x{i} = $y[{i % 5}] & #z{i}" for i in range(20))
+    long = " ".join(f"donaudampfschiff{i}" for i in range(40))
+    rows = [(i, f"{prose} n{i}", "en", "prose") for i in range(400)] + [(1000 + i, f"{code} n{i}", "en", "code") for i in range(400)] + [(2000 + i, f"{long} n{i}", "de", "law") for i in range(400)]
+    rows += [(5000, code, "en", "prose"), (5001, long, "en", "prose"), (5002, prose, "de", "law"), (5003, f"{code} {prose}", "en", "code")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {(r["lang"], r["source"]): r for r in quality.fences(quality.sketch(quality.measured(df))).collect()}
+    assert limits["en", "code"]["symbols_hi"] > 3 * limits["en", "prose"]["symbols_hi"] and 100 <= limits["en", "prose"]["symbols_hi"] < 200
+    assert limits["de", "law"]["word_length_hi"] > limits["en", "prose"]["word_length_hi"] > 0
+    assert limits["de", "law"]["word_length_lo"] > limits["en", "prose"]["word_length_lo"]
+    kept = {r["doc_id"] for r in quality.profile(df).collect() if r["kept"]}
+    assert {i for i, *_ in rows} - kept == {5000, 5001, 5002}
+
+
+def test_a_group_is_drawn_to_its_language_by_weight(spark):
+    """One document more or less in a group moves its fences a little, at any size."""
+    common = [("en", "a", "word_length", 500 + 10 * (i % 5), 400) for i in range(5)]
+    def hi(n):
+        rows = spark.createDataFrame([*common, *[("en", "b", "word_length", 800 + 8 * k, n) for k in range(4)]], "lang string, source string, rule string, bucket long, n long")
+        return {r["source"]: r["word_length_hi"] for r in quality.fences(rows).collect()}["b"]
+    found = [hi(n) for n in (1, 24, 25, 26, 250)]
+    assert found == sorted(found) and max(b - a for a, b in zip(found[1:3], found[2:4], strict=True)) < 20 and found[-1] - found[0] > 100
+
+
 def test_quality_keeps_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("n_words", F.lit("mine"))
     kept = quality.keep(docs)
