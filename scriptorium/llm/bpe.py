@@ -7,11 +7,14 @@ tree has a leaf for every adjacent pair, whose key is the pair's rank and place.
 The root is the least key: the leftmost pair of the lowest rank. Merging it
 updates the leaves beside it in logarithmic time, until no pair can be merged;
 so a word of n characters takes n log n however long it is. Each worker keeps
-the words it has met, up to a bounded number, since text repeats them.
+the words it has met, up to a bounded number, since text repeats them. Decoding
+goes from ids alone: each id's symbol, joined by spaces, as the library does for a
+file without a decoder.
 
 Defined results: null is empty text, with no ids and an empty decoded text;
 added tokens in a text are those tokens, as in the library; characters without a
-symbol are dropped, as there.
+symbol are dropped, as there; an id that the file doesn't have has no symbol; no
+rows give none; equal rows each get theirs; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -147,14 +150,14 @@ class Codec:
                 tree.put(p, found[0] << bits | p if found else _NONE)
         return [s for s in symbols if s >= 0]
 
-    def word(self, word: str) -> tuple[bytes, str, int]:
-        """Ids as little-endian 32-bit integers, symbols joined by spaces, and their number."""
+    def word(self, word: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         found = self.known.get(word)
         if found is None:
             characters = [self.characters[b] for b in word.encode("utf-8", "surrogatepass")]
             characters[-1] += self.end
             ids = self.merge([i for i in map(self.ids.get, characters) if i is not None])
-            found = (pack(f"<{len(ids)}I", *ids), " ".join(map(self.text_of.__getitem__, ids)), len(ids))
+            found = pack(f"<{len(ids)}I", *ids)
             if len(word) <= 64:
                 if len(self.known) >= self.most_words:
                     self.known.clear()
@@ -168,7 +171,7 @@ class Codec:
                 text = text.replace("Σ", "σ")
         return self.pattern.findall(text.lower())
 
-    def encode(self, text: str | None) -> tuple[bytes, str, int]:
+    def encode(self, text: str | None) -> bytes:
         """As word(), for a whole text."""
         text = text or ""
         parts = []
@@ -177,16 +180,15 @@ class Codec:
             for m in self.find_added.finditer(text):
                 parts += map(self.word, self.words(text[done : m.start()]))
                 i = self.added[m.group()]
-                parts.append((pack("<I", i), self.text_of[i], 1))
+                parts.append(pack("<I", i))
                 done = m.end()
             parts += map(self.word, self.words(text[done:]))
         else:
-            parts = list(map(self.word, self.words(text)))
-        parts = [p for p in parts if p[2]]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+            parts = map(self.word, self.words(text))
+        return b"".join(parts)
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.text_of[i] for i in ids if i in self.text_of)
+        return " ".join([s for s in map(self.text_of.get, ids) if s is not None])
 
 
 @cache
@@ -195,7 +197,7 @@ def codec(path: str) -> Codec:
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False, arrays: bool = False) -> DataFrame:
-    """docs, without text unless kept, with __sc_n, __sc_ids and __sc_decoded.
+    """docs, without text unless kept, with __sc_n and __sc_ids.
 
     Ids are an array of integers, or packed in 32 bits each, little-endian.
 
@@ -208,26 +210,28 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep_text: bool = Fa
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                rows = [encode(x) for x in b.column(text).to_pylist()]
-                ids, decoded, n = zip(*rows, strict=True) if rows else ((), (), ())
+                ids = [encode(x) for x in b.column(text).to_pylist()]
+                n = [len(x) // 4 for x in ids]
                 if arrays:
                     flat = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
                     packed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat))
                 else:
                     packed = pa.array(ids, pa.binary())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), packed, pa.array(decoded, pa.string())], names=[*names, "__sc_n", "__sc_ids", "__sc_decoded"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), packed], names=[*names, "__sc_n", "__sc_ids"])
 
-    new = [T.StructField("__sc_n", T.LongType()), T.StructField("__sc_ids", T.ArrayType(T.IntegerType()) if arrays else T.BinaryType()), T.StructField("__sc_decoded", T.StringType())]
+    new = [T.StructField("__sc_n", T.LongType()), T.StructField("__sc_ids", T.ArrayType(T.IntegerType()) if arrays else T.BinaryType())]
     return docs.mapInArrow(run, T.StructType([*fields, *new]))
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """rows with one more column, __sc_text: the text of an array of ids; null for null."""
+    """rows with one more column, __sc_text: the text of ids, an array of integers or packed in 32 bits each; null for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(path).decode
-        for b in batches:
-            out = [None if x is None else decode(x) for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "__sc_text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                out = [None if x is None else decode(np.frombuffer(x, "<u4").tolist() if isinstance(x, bytes) else x) for x in b.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "__sc_text"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__sc_text", T.StringType())]))
