@@ -8,8 +8,9 @@ document's marginal probability is the product over its words and its end.
 The vocabulary's scores are the prior of the pieces' probabilities: scores that
 are merge ranks count as a Zipf law over the rank, others as logarithms. One
 step of expectation maximisation over the counts of all training words
-(forward-backward, weighted by count) turns them to the corpus. A word is scored
-once for the corpus, not once for each time it occurs.
+(forward-backward, weighted by count) turns them to the corpus; `learn=False` leaves
+the vocabulary's own. A word is scored once for the corpus, not once for each time it
+occurs. A long word costs time and 16 bytes a character, however long it is.
 
 Counts are gathered over all documents: per task first, then per word. To give
 each document the counts and scores of its words, the commonest words, at most
@@ -18,16 +19,18 @@ shuffle. Rows are told apart by their place, so that repeated rows and null ids
 each have a result.
 
 Defined results: a null text is empty and holds just the end; a null id counts
-as the empty text for the split; an empty table gives no rows.
+as the empty text for the split; an empty table gives no rows; repeated rows each get
+theirs; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterable, Iterator
+from functools import cache, partial
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -87,57 +90,83 @@ def pieces(path: str) -> tuple[dict[str, int], dict[int, int], list[float]]:
 class Lattice:
     """All cuts of a word into pieces, with natural logarithms of probabilities for each piece."""
 
+    #: Words of more characters are taken end by end, without a list of all their arcs.
+    LONG = 1000
+
     def __init__(self, path: str, logs: list[float] | None = None):
         self.text, self.byte, prior = pieces(path)
         self.logs = prior if logs is None else logs
         self.longest = max(map(len, self.text), default=1)
         self.unseen = min((x for x in self.logs if x > -math.inf), default=-20.0)
+        # Pieces, and -1 for what only begins one.
+        self.begins = {s[:k]: -1 for s in self.text for k in range(1, len(s))} | self.text
 
-    def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end, the (start, logarithm, pieces) of the arcs that end there."""
-        s = BEGIN + word
-        n, get, logs = len(s), self.text.get, self.logs
+    def alone(self, character: str) -> tuple[float, tuple[int, ...]]:
+        """A character without a piece goes by its bytes."""
+        ids = tuple(self.byte[x] for x in character.encode("utf-8", "surrogatepass") if x in self.byte)
+        return (sum(self.logs[x] for x in ids) if ids else 3 * self.unseen), ids
+
+    def arcs(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+        """For each end in s, the (start, logarithm, pieces) of the arcs that end there."""
+        n, get, logs, longest = len(s), self.begins.get, self.logs, self.longest
         out: list[list] = [[] for _ in range(n + 1)]
         for a in range(n):
-            for b in range(a + 1, min(n, a + self.longest) + 1):
+            if get(s[a], -1) < 0:
+                out[a + 1].append((a, *self.alone(s[a])))
+            for b in range(a + 1, min(n, a + longest) + 1):
                 i = get(s[a:b])
-                if i is not None:
+                if i is None:
+                    break
+                if i >= 0:
                     out[b].append((a, logs[i], (i,)))
-                elif b == a + 1:  # a character without a piece goes by its bytes
-                    ids = tuple(self.byte[x] for x in s[a:b].encode("utf-8", "surrogatepass") if x in self.byte)
-                    out[b].append((a, sum(logs[x] for x in ids) if ids else 3 * self.unseen, ids))
         return out
 
-    def forward(self, arcs: list) -> list[float]:
+    def ending(self, s: str, b: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """As arcs, for one end."""
+        found = [(a, self.text[s[a:b]]) for a in range(max(0, b - self.longest), b) if s[a:b] in self.text]
+        out = [(a, self.logs[i], (i,)) for a, i in found]
+        return out if found and found[-1][0] == b - 1 else [*out, (b - 1, *self.alone(s[b - 1]))]
+
+    def forward(self, ends: Iterable[list], keep: int) -> array:
+        """Logarithms of what leads to each place, the last `keep` of them at least."""
         exp, log = math.exp, math.log
-        out = [0.0]
-        for end in arcs[1:]:
+        out, gone = array("d", [0.0]), 0
+        for end in ends:
             if len(end) == 1:
                 a, w, _ = end[0]
-                out.append(out[a] + w)
+                out.append(out[a - gone] + w)
             else:
-                xs = [out[a] + w for a, w, _ in end]
+                xs = [out[a - gone] + w for a, w, _ in end]
                 top = max(xs)
                 out.append(top + log(sum([exp(x - top) for x in xs])))
+            if len(out) > 4 * keep:
+                gone += len(out) - keep
+                del out[:-keep]
         return out
 
     def log10(self, word: str) -> float:
         """Logarithm of the marginal probability of a word."""
-        return self.forward(self.arcs(word))[-1] / math.log(10)
+        s = BEGIN + word
+        ends = self.arcs(s)[1:] if len(s) <= self.LONG else (self.ending(s, b) for b in range(1, len(s) + 1))
+        return self.forward(ends, max(self.LONG, self.longest))[-1] / math.log(10)
 
     def expected(self, word: str, weight: float, into: dict[int, float]) -> None:
         """Adds the expected number of times each piece is in a cut of word."""
-        arcs = self.arcs(word)
-        forward = self.forward(arcs)
-        exp = math.exp
-        after = [0.0] * len(forward)  # of cuts of what follows a place, as a share of the whole
-        after[-1] = 1.0
-        for b in range(len(arcs) - 1, 0, -1):
+        s = BEGIN + word
+        n, exp = len(s), math.exp
+        if n <= self.LONG:
+            arcs = self.arcs(s)
+            forward, at_end = self.forward(arcs[1:], n + 1), arcs.__getitem__
+        else:
+            forward, at_end = self.forward((self.ending(s, b) for b in range(1, n + 1)), n + 1), partial(self.ending, s)
+        after = array("d", bytes(8 * (n + 1)))  # of cuts of what follows a place, as a share of the whole
+        after[n] = 1.0
+        for b in range(n, 0, -1):
             if after[b] == 0.0:
                 continue
-            at = forward[b]
-            for a, w, ids in arcs[b]:
-                share = after[b] * exp(forward[a] + w - at)
+            rest, at = after[b], forward[b]
+            for a, w, ids in at_end(b):
+                share = rest * exp(forward[a] + w - at)
                 after[a] += share
                 for i in ids:
                     into[i] = into.get(i, 0.0) + share * weight
@@ -220,14 +249,14 @@ def commonest(vocabulary: DataFrame, common: int) -> DataFrame:
     return vocabulary.filter(F.col("n") >= least) if least is not None else vocabulary.filter(F.lit(False))
 
 
-def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", common: int = 200_000) -> DataFrame:
+def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", common: int = 200_000, learn: bool = True) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per document."""
     spark = docs.sparkSession
     docs = docs.select(id_col, text)
     vocabulary = written(counted(docs, id_col, text))
     seen = vocabulary.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1)), F.sum(F.when(F.col("word") == END, F.col("c")))).first()
     total, distinct, ends = (x or 0 for x in seen)
-    logs, end = learned(vocabulary, path)
+    logs, end = learned(vocabulary, path) if learn else (pieces(path)[2], math.log((ends + 1) / (total + 1)))
     end /= math.log(10)
     every = written(weighed(vocabulary, path, logs))
     hot = {r["word"]: (r["c"], r["lp"]) for r in commonest(every, common).toLocalIterator()}
