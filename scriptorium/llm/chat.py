@@ -8,7 +8,8 @@ texts of assistant turns with the end mark, and nothing else.
 Defined results: a null text is empty, a null role is `user`; turns are ordered
 by turn number, then role and text, so that repeated rows stay side by side;
 turns without number come first; two equal conversations have all turns in the
-prompt and empty completions; rows without conv_id make up one conversation.
+prompt and empty completions; a turn without conv_id is a conversation of its own,
+so that such rows spread over all tasks; no rows give none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 def conversations(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(id, turns): the turns (role, text) of each conversation in order."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    g = rows.select(id_col, turn.alias("t")).groupBy(id_col).agg(F.sort_array(F.collect_list("t")).alias("t"))
+    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    g = rows.select(id_col, turn.alias("t"), alone.alias("__sc_alone")).groupBy(id_col, "__sc_alone").agg(F.sort_array(F.collect_list("t")).alias("t"))
     return g.select(id_col, F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 

@@ -51,10 +51,10 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN pos ON pos.rid = dw.rid LEFT JOIN ids ON ids.rid = dw.rid"""
 
 CHAT_SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
-c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns, max(CASE WHEN role = 'assistant' THEN i END) AS la, count(*) AS k FROM n GROUP BY conv_id),
-o AS (SELECT c.conv_id, turns, coalesce(la, k) AS last, (SELECT max(i) FROM n WHERE n.conv_id IS NOT DISTINCT FROM c.conv_id AND n.role = 'assistant' AND n.i < la) AS other FROM c),
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+c AS (SELECT conv_id, alone, list({'role': role, 'text': text} ORDER BY i) AS turns, max(CASE WHEN role = 'assistant' THEN i END) AS la, count(*) AS k FROM n GROUP BY conv_id, alone),
+o AS (SELECT c.conv_id, turns, coalesce(la, k) AS last, (SELECT max(i) FROM n WHERE n.conv_id IS NOT DISTINCT FROM c.conv_id AND n.alone IS NOT DISTINCT FROM c.alone AND n.role = 'assistant' AND n.i < la) AS other FROM c),
 p AS (SELECT conv_id, turns AS ch, CASE WHEN other IS NOT NULL THEN list_concat(turns[1:last-1], [turns[other]]) ELSE turns[1:last-1] END AS rj FROM o),
 q AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(ch), len(rj)) + 1), lambda i: ch[i] IS DISTINCT FROM rj[i])) - 1, least(len(ch), len(rj))) AS m FROM p),
 r AS (SELECT conv_id, m, ch[1:m] AS pr, ch[m+1:] AS c2, rj[m+1:] AS r2 FROM q),
