@@ -36,8 +36,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary_path())
-    return found.select("doc_id", F.col("__sc_n").alias("n_tokens"), F.sha2("__sc_ids", 256).alias("ids_sha256"), F.sha2("__sc_decoded", 256).alias("decoded_sha256"))
+    path = bpe.vocabulary_path()
+    found = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path, "__sc_ids")
+    return found.select("doc_id", F.col("__sc_n").alias("n_tokens"), F.sha2("__sc_ids", 256).alias("ids_sha256"), F.sha2("__sc_text", 256).alias("decoded_sha256"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

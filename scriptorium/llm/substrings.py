@@ -19,8 +19,10 @@ or group is gathered beyond its bucket. Documents are dealt by a hash of their
 id, once, for steps 3 and 4.
 
 Defined results: null or short texts have no windows; words are what lies
-between ASCII white space; a null id is neither smaller nor greater than another,
-so such rows keep all their words; rows of one id aren't compared with each other.
+between ASCII white space; ids are integers, any other type is an error; a null id is
+neither smaller nor greater than another, so such rows keep all their words, and are
+dealt by their place, over all tasks; rows of one id aren't compared with each other;
+no rows give none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: kind of an entry: asked for, known to be in two documents, or settled and on its way to its document.
 ASK, KNOWN, SETTLED = 0, 1, 2
@@ -114,7 +117,7 @@ def _doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
 
 def doc_bucket(column: str, buckets: int):
     x = F.col(column).bitwiseXOR(F.shiftrightunsigned(F.col(column), 31)).bitwiseAND(F.lit(0x7FFFFFFF))
-    return F.coalesce((x * 48271) % 2147483647 % buckets, F.lit(0)).cast("int")
+    return F.coalesce((x * 48271) % 2147483647 % buckets, F.monotonically_increasing_id() % buckets).cast("int")
 
 
 def _pack(kind: int, bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
@@ -241,6 +244,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     """(id, n_words, n_removed, kept): one row per document; kept: the other words, joined by one space."""
     if not 1 < period < window:
         raise ValueError("1 < period < window")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} isn't an integer column: {docs.schema[id_col].dataType.simpleString()}")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     # A share of the entries for each task that grows with neither the corpus nor its groups.
