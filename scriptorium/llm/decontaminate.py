@@ -3,18 +3,27 @@
 Texts are normalised byte by byte: A-Z become a-z, the other ASCII characters
 that are neither letters nor digits become spaces, and bytes from 0x80 on stay
 as they are. Words are what lies between spaces; joined by single spaces, with
-one space before and one after, they make the string that is scanned once. A
-pattern is a window of benchmark words within the same spaces, so that it only
-matches whole words. The place of each scanned word in the original text is
-known, which gives the spans of hits in code points.
-
-The benchmark is a side of its own: its windows are read to the driver, packed
-and broadcast in blocks of at most `block_chars` characters of benchmark text,
-each with one automaton; texts are never shuffled.
+one space before and one after, they make the string that is scanned once. The
+place of each scanned word in the original text is known, which gives the spans of
+hits in code points.
+
+The automaton's patterns are the items, cut: an item shorter than a window is a
+pattern whole; any other is cut into pieces of half a window's words, side by side,
+so that the automaton has a node for each of its characters rather than one for each
+character of each window. Every window holds a whole piece. Where a piece is found,
+the text's windows around it, a fixed number, are looked up among the items' windows
+by 128-bit hashes. Patterns lie within spaces, so that only whole words match.
+
+The benchmark is a side of its own: it is read to the driver once, and broadcast in
+blocks of at most `block_chars` characters (an item longer than that is a block
+alone), each with one automaton. Texts are never shuffled. One block, 4,000,000
+characters at most, takes about 400 MB in a worker. With more blocks, texts wait in
+chunks while the automata are made one after the other, so that one is held at a time.
 
 Defined results: null has no words; an item without words has no windows; items
 with equal windows all count; a null item_id counts as a hit without being
-named; repeated documents each get their row; an empty benchmark hits nothing.
+named; repeated documents each get their row; an empty benchmark hits nothing; no
+documents give no rows; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -52,39 +61,61 @@ def windows(item: list[bytes], size: int) -> list[bytes]:
     return [b" ".join(item[i : i + size]) for i in range(max(1, len(item) - size + 1))]
 
 
-def automaton(items: list[tuple[str | None, str | None]], size: int):
-    """One automaton over all windows; each carries its words and its items."""
-    import ahocorasick
-
-    where: dict[bytes, set] = {}
-    for item_id, text in items:
-        for w in windows(words(text), size):
-            where.setdefault(w, set()).add(item_id)
-    out = ahocorasick.Automaton()
-    for w, ids in where.items():
-        out.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, frozenset(ids)))
-    if where:
-        out.make_automaton()
-    return out
-
-
-def scan(folded: bytes, machine) -> tuple[list[list[int]], set]:
-    """Runs [first, last] of hit words in a normalised text, and the items found."""
-    found = folded.split()
-    if not found or not len(machine):
-        return [], set()
-    joined = f" {b' '.join(found).decode('latin-1')} "
-    hits = list(machine.iter(joined))
-    if not hits:
-        return [], set()
-    begins = list(accumulate((len(w) + 1 for w in found), initial=1))
-    ids: set = set()
-    runs = []
-    for end, (n, items) in hits:
-        last = bisect_right(begins, end - 1) - 1
-        runs.append([last - n + 1, last])
-        ids |= items
-    return joined_runs(runs), ids
+class Machine:
+    """One automaton over the pieces of all items, and the items of each window."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
+        import ahocorasick
+        from xxhash import xxh3_128_digest
+
+        self.size, self.half, self.digest = size, (size + 1) // 2, xxh3_128_digest
+        self.items: dict[bytes, tuple] = {}  # of windows, by hash
+        pieces: dict[bytes, list] = {}  # whether it is a piece of a longer item, and the items that it is whole
+        for item_id, text in items:
+            w = words(text)
+            if 0 < len(w) < size:
+                pieces.setdefault(b" ".join(w), [False, ()])[1] += (item_id,)
+                continue
+            for x in windows(w, size):
+                key = self.digest(x)
+                if item_id not in self.items.setdefault(key, ()):
+                    self.items[key] += (item_id,)
+            for i in range(0, len(w) - self.half + 1, self.half):
+                pieces.setdefault(b" ".join(w[i : i + self.half]), [False, ()])[0] = True
+        self.automaton = ahocorasick.Automaton()
+        for x, (part, ids) in pieces.items():
+            self.automaton.add_word(f" {x.decode('latin-1')} ", (x.count(b" ") + 1, part, ids))
+        if pieces:
+            self.automaton.make_automaton()
+
+    def scan(self, folded: bytes) -> tuple[list[list[int]], set]:
+        """Runs [first, last] of hit words in a normalised text, and the items found."""
+        found = folded.split()
+        if not found or not len(self.automaton):
+            return [], set()
+        joined = b" ".join(found)
+        hits = list(self.automaton.iter(f" {joined.decode('latin-1')} "))
+        if not hits:
+            return [], set()
+        begins = list(accumulate((len(w) + 1 for w in found), initial=0))
+        size, half, n = self.size, self.half, len(found)
+        ids: set = set()
+        runs = []
+        done = 0  # windows that begin before it were looked up
+        for end, (length, part, whole) in hits:
+            last = bisect_right(begins, end - 1) - 1
+            if whole:
+                runs.append([last - length + 1, last])
+                ids.update(whole)
+            if part:
+                first = max(last - size + 1, done, 0)
+                done = max(done, min(last - half + 1, n - size) + 1)
+                for s in range(first, done):
+                    got = self.items.get(self.digest(joined[begins[s] : begins[s + size] - 1]))
+                    if got:
+                        runs.append([s, s + size - 1])
+                        ids.update(got)
+        return joined_runs(runs), ids
 
 
 def joined_runs(runs: list[list[int]]) -> list[list[int]]:
@@ -122,32 +153,35 @@ def _spans(text: str, found: list[bytes], runs: list[list[int]]) -> list[dict]:
 _machines: dict = {}
 
 
-def _machine(sent, size: int, stay: bool):
+def _machine(sent, size: int, stay: bool) -> Machine:
     """The automaton of a broadcast block; the only one stays for the worker's next tasks."""
     key, items = sent.value
     if not stay:
-        return automaton(items, size)
+        return Machine(items, size)
     if (key, size) not in _machines:
         _machines.clear()
-        _machines[key, size] = automaton(items, size)
+        _machines[key, size] = Machine(items, size)
     return _machines[key, size]
 
 
 def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items, read to the driver block by block, each of a bounded size."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = b.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // block_chars) or 1
-    for k in range(n):
-        part = b if n == 1 else b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.collect()]
+    """The items, read to the driver once, in blocks of a bounded size; one block at least."""
+    held: list[tuple[str | None, str | None]] = []
+    chars, given = 0, False
+    for item_id, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
+        if held and chars + len(text or "") > block_chars:
+            yield held
+            held, chars, given = [], 0, True
+        held.append((item_id, text))
+        chars += len(text or "")
+    if held or not given:
+        yield held
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", block_chars: int = 2_000_000, chunk_bytes: int = 64 << 20) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", block_chars: int = 4_000_000, chunk_bytes: int = 64 << 20) -> DataFrame:
     """docs with one more column, __sc_hits (n_words, n_hit, item_ids, spans).
 
-    With more than one block, texts wait in chunks of `chunk_bytes` while the
-    blocks' automata are made one after the other, so that one is held at a time."""
+    With more than one block, texts wait in chunks of `chunk_bytes`."""
     spark = docs.sparkSession
     sent = []
     for items in blocks(benchmark, block_chars):
@@ -172,7 +206,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "tex
                 machine = _machine(s, size, len(sent) == 1)
                 for b, have in zip(chunk, state, strict=True):
                     for i, x in enumerate(b.column(text).to_pylist()):
-                        runs, ids = scan(normalised(x), machine)
+                        runs, ids = machine.scan(normalised(x))
                         if runs:
                             have[i] = (joined_runs(have[i][0] + runs), have[i][1] | ids)
             for b, have in zip(chunk, state, strict=True):

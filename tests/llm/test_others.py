@@ -19,13 +19,55 @@ def test_blocks_give_what_one_automaton_gives(spark, sf):
 
 
 def test_spans_are_places_in_the_original():
-    machine = decontaminate.automaton([("a", "Ünï two three")], 2)
+    machine = decontaminate.Machine([("a", "Ünï two three")], 2)
     text = "x ÜnÏ! ünï—TWO, Ünï two\nthree."
-    runs, ids = decontaminate.scan(decontaminate.normalised(text), machine)
+    runs, ids = machine.scan(decontaminate.normalised(text))
     spans = decontaminate._spans(text, decontaminate.words(text), runs)
     assert [text[s["start"] : s["end"]] for s in spans] == ["Ünï two\nthree"] and ids == {"a"}
 
 
+def brute_hits(text, items, size):
+    """(words, hit words, items found) by comparing every window with every place."""
+    import re
+
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit, ids = cut(text), set(), set()
+    for item_id, t in items:
+        x = cut(t)
+        n = min(size, len(x))
+        for i in range(len(x) - n + 1 if n else 0):
+            for k in range(len(w) - n + 1):
+                if w[k : k + n] == x[i : i + n]:
+                    hit |= set(range(k, k + n))
+                    ids.add(item_id)
+    return w, hit, ids
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 10])
+def test_automaton_finds_every_window(size):
+    """Few different words, so that windows, pieces and short items overlap and repeat."""
+    rng = random.Random(size)
+    text = lambda n: " ".join(rng.choice(["a", "B", "c,", "ä", "ab"]) for _ in range(n))
+    for _ in range(60):
+        items = [(f"i{k}", text(rng.randrange(16))) for k in range(rng.randrange(6))] + [("dup", text(size)), ("none", None)]
+        items.append(("same", items[0][1]))
+        machine = decontaminate.Machine(items, size)
+        for _ in range(6):
+            t = text(rng.randrange(40))
+            if rng.random() < 0.5:
+                t += " " + (rng.choice(items)[1] or "")
+            w, hit, ids = brute_hits(t, items, size)
+            runs, found = machine.scan(decontaminate.normalised(t))
+            assert {p for a, b in runs for p in range(a, b + 1)} == hit and found == ids
+
+
+def test_blocks_are_bounded(spark):
+    rows = spark.createDataFrame([(k, "x" * 10) for k in range(9)] + [(9, "y" * 50), (10, None)], "item_id int, text string")
+    sizes = [[len(t or "") for _, t in b] for b in decontaminate.blocks(rows, 30)]
+    assert sum(map(len, sizes)) == 11 and all(sum(b) <= 30 or len([x for x in b if x]) == 1 for b in sizes)
+    assert list(decontaminate.blocks(rows.limit(0), 30)) == [[]]
+
+
 def brute_removed(rows, window):
     least = {}
     for i, t in rows:
