@@ -1,19 +1,30 @@
 """WARC archives as a PySpark Python data source.
 
 Writing: each task writes archives of a bounded size, every record a gzip member
-of its own whose header holds the member's length (the `SL` field), and the
-commit writes the list of files that count, so that a task that ran twice or was
-lost leaves nothing that is read. Reading: the driver plans the listed files into
-partitions by size; predicates on the record type, target and record id are
-pushed down; a record's headers are inflated first, and where these don't pass,
-or payloads aren't wanted, the rest of the member is skipped over, not inflated.
+of its own whose header holds the member's length (the `SL` field; members of 4 GiB
+or more go without), and the commit writes the list of files that count, so that a
+task that ran twice or was lost leaves nothing that is read.
+
+Reading: the driver plans the listed files, or without a list all files named *.warc*,
+into partitions by size; predicates on the record type, target, digest and record ids
+are pushed down. A record's headers are inflated first. Where these don't pass, or
+payloads aren't wanted, the rest of the record isn't decoded: a member that says its
+length is skipped; of one that doesn't, the record's length is known from its headers,
+so its end is where that length, as gzip's trailer has it, stands before the next
+member's mark, or at the end of the file, and is found without inflating; only where
+it isn't (several records in one member), the record is inflated in parts and
+dropped. Archives that aren't compressed are skipped by seeking. Whatever is read goes
+through buffers of a bounded size, but for a payload that is wanted.
 
 Folders are reached through pyarrow's file systems, by URI.
+
+Defined results: header names are found in any case; a revisit has no payload; a
+file that ends within a record or isn't an archive raises ValueError with its name and
+place; an empty file or folder has no records.
 """
 
 from __future__ import annotations
 
-import gzip
 import json
 import struct
 import uuid
@@ -64,21 +75,33 @@ def record(kind: str, record_id: str, uri: str | None, digest: str | None, refer
 
 
 def member(raw: bytes, level: int = 1) -> bytes:
-    """raw as a gzip member that says how long it is."""
+    """raw as a gzip member that says how long it is, if that fits its field."""
     squeeze = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = squeeze.compress(raw) + squeeze.flush()
     size = 12 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(raw) & 0xFFFFFFFF)
+    size = size if size < 1 << 32 else 0
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<HII", 8, size, len(raw) & 0xFFFFFFFF)
     return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
-def parsed(head: bytes) -> dict[str, str]:
-    out = {}
-    for line in head.split(b"\r\n")[1:]:
-        k, _, v = line.partition(b":")
-        if k:
-            out[k.decode("utf-8", "surrogatepass")] = v.strip().decode("utf-8", "surrogatepass")
-    return out
+class Headers(dict):
+    """Headers as written, found in any case; of equal names, the first counts."""
+
+    def __init__(self, pairs):
+        super().__init__()
+        self.low: dict[str, str] = {}
+        for k, v in pairs:
+            self.setdefault(k, v)
+            self.low.setdefault(k.lower(), v)
+
+    def find(self, name: str) -> str | None:
+        return self.low.get(name.lower())
+
+
+def parsed(head: bytes) -> Headers:
+    lines = [line.partition(b":") for line in head.split(b"\r\n")[1:]]
+    text = lambda x: x.strip().decode("utf-8", "surrogateescape").encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    return Headers((text(k), text(v)) for k, _, v in lines if k.strip())
 
 
 def _payload(block: bytes) -> bytes:
@@ -86,67 +109,165 @@ def _payload(block: bytes) -> bytes:
     return body if mark and head.startswith(b"HTTP/") else block
 
 
-def read_records(stream, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, payload) of the records whose headers are wanted.
-
-    Members that say their length are skipped over; others are inflated whole."""
-    at = 0
-    while True:
-        stream.seek(at)
-        start = stream.read(24)
-        if len(start) < 18:
-            return
-        if start[:2] != b"\x1f\x8b":
-            yield from _plain(stream, at, wanted, payloads)
-            return
-        size = struct.unpack("<I", start[16:20])[0] if start[3] & 4 and start[12:14] == b"SL" and len(start) == 24 else 0
-        if not size:
-            stream.seek(at)
-            import io
-
-            whole = io.BytesIO(gzip.decompress(stream.read()))
-            yield from _plain(whole, 0, wanted, payloads)
-            return
-        inflate, text, left = zlib.decompressobj(-15), b"", size - 24 - 8
-        while b"\r\n\r\n" not in text and left > 0:
-            part = stream.read(min(1024 if not text else 8192, left))
-            left -= len(part)
-            text += inflate.decompress(part)
-        raw, _, block = text.partition(b"\r\n\r\n")
-        headers = parsed(raw)
-        if wanted(headers):
-            body = None
-            if payloads and headers.get("WARC-Type") != "revisit":
-                block += inflate.decompress(stream.read(left))
-                body = _payload(block[: int(headers.get("Content-Length", "0"))])
-            yield headers, body
-        at += size
-
-
-def _plain(stream, at: int, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """As read_records, for an archive that isn't compressed."""
-    stream.seek(at)
-    text = b""
-    while True:
-        while b"\r\n\r\n" not in text:
-            part = stream.read(8192)
+MARK = b"\x1f\x8b\x08"
+
+
+class Source:
+    """An archive's bytes, inflated if they are compressed, forwards only."""
+
+    def __init__(self, stream, name: str = "archive", part: int = 1 << 16):
+        self.stream, self.name, self.part = stream, name, part
+        self.at = 0  # where the member being read begins
+        self.raw, self.raw_at = b"", 0  # what was read of the file and not inflated, and where it begins
+        self.text = b""  # what was inflated and not read
+        self.inflate = None
+        self.inflated = self.said = 0  # bytes inflated so far, and the member's length by its header, 0 if it doesn't say
+        self.alone = True  # as long as no member was found to hold several records
+        self.zipped = self._peek(3) == MARK
+
+    def fail(self, why: str) -> ValueError:
+        return ValueError(f"{self.name}, member at {self.at}: {why}")
+
+    def _peek(self, n: int) -> bytes:
+        while len(self.raw) < n:
+            part = self.stream.read(self.part)
             if not part:
+                break
+            self.raw += part
+        return self.raw[:n]
+
+    def more(self, most: int = 0) -> bool:
+        """Adds a part to text, of `most` bytes if given; False at the end of the file."""
+        if not self.zipped:
+            part = self._peek(1) and self.raw
+            self.raw, self.raw_at = b"", self.raw_at + len(part)
+            self.text += part
+            return bool(part)
+        if self.inflate is None:
+            if not self._peek(1):
+                return False
+            if self._peek(3) != MARK:
+                raise self.fail("not a gzip member")
+            self.at, self.inflate = self.raw_at, zlib.decompressobj(31)
+            start = self._peek(24)
+            self.said = struct.unpack("<I", start[16:20])[0] if len(start) == 24 and start[3] & 4 and start[12:14] == b"SL" else 0
+        if not self._peek(1):
+            raise self.fail("the file ends within it")
+        try:
+            new = self.inflate.decompress(self.raw, most or self.part)
+        except zlib.error as e:
+            raise self.fail(str(e)) from None
+        rest = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+        self.raw_at += len(self.raw) - len(rest)
+        self.raw = rest
+        self.inflated += len(new)
+        self.text += new
+        if self.inflate.eof:
+            self.inflate = None
+        return True
+
+    def head(self) -> bytes | None:
+        """A record's headers, without what ends them; None at the end of the file."""
+        looked = 0
+        while True:
+            if not looked:
+                self.text = self.text.lstrip(b"\r\n")  # between records
+            k = self.text.find(b"\r\n\r\n", max(0, looked - 3))
+            if self.text and k >= 0:
+                out, self.text = self.text[:k], self.text[k + 4 :]
+                if not out.startswith(b"WARC/"):
+                    raise self.fail("not a WARC record")
+                return out
+            looked = len(self.text)
+            if looked >= 5 and not self.text.startswith(b"WARC/"):
+                raise self.fail("not a WARC record")
+            if not self.more(1024):
+                if self.text:
+                    raise self.fail("the file ends within a header")
+                return None
+
+    def take(self, n: int) -> bytes:
+        parts, have = [], 0
+        while have < n:
+            if not self.text and not self.more():
+                raise self.fail("the file ends within a record")
+            part, self.text = self.text[: n - have], self.text[n - have :]
+            parts.append(part)
+            have += len(part)
+        return b"".join(parts)
+
+    def drop(self, n: int, head: int) -> None:
+        """Leaves out n bytes, the block of a record whose headers took head bytes."""
+        if n <= len(self.text):
+            self.text = self.text[n:]
+        elif not self.zipped:
+            n -= len(self.text)
+            self.text = b""
+            ahead = n - len(self.raw)
+            if ahead <= 0:
+                self.raw, self.raw_at = self.raw[n:], self.raw_at + n
                 return
-            text += part
-        raw, _, text = text.partition(b"\r\n\r\n")
-        headers = parsed(raw)
-        n = int(headers.get("Content-Length", "0"))
-        keep = wanted(headers)
-        if keep and payloads and headers.get("WARC-Type") != "revisit":
-            text += stream.read(max(0, n - len(text)))
-            yield headers, _payload(text[:n])
-        elif keep:
-            yield headers, None
-        if len(text) >= n + 4:
-            text = text[n + 4 :]
+            self.raw, self.raw_at = b"", self.raw_at + n
+            # The last byte is read, so that a file that ends before it is noticed.
+            self.stream.seek(ahead - 1, 1)
+            if not self.stream.read(1):
+                raise self.fail("the file ends within a record")
+        elif not (self.inflate and self._skip(head + n + 4)):
+            while n:
+                if not self.text and not self.more():
+                    raise self.fail("the file ends within a record")
+                k = min(n, len(self.text))
+                self.text = self.text[k:]
+                n -= k
+
+    def _skip(self, length: int) -> bool:
+        """Goes to the end of the member, if it can be told that it holds just one record, of this length."""
+        if self.said:
+            place = self.at + self.said
+            if place > self.raw_at + len(self.raw):
+                self.stream.seek(place - 1)
+                if not self.stream.read(1):
+                    raise self.fail("the file ends within it")
+                self.raw = b""
+            else:
+                self.raw = self.raw[place - self.raw_at :]
+            self.raw_at = place
+        elif self.alone:
+            trailer = struct.pack("<I", length & 0xFFFFFFFF)
+            place, held, back = self.raw_at, self.raw, self.raw_at
+            while (k := held.find(trailer + MARK)) < 0:
+                part = self.stream.read(1 << 20)
+                if not part:
+                    break
+                place, held = place + max(0, len(held) - 6), held[-6:] + part
+            # Its end, or that of the file; or it goes on with another record, and the search isn't made again.
+            self.alone = k >= 0 or held.endswith(trailer)
+            place = place + k + 4 if k >= 0 else place + len(held) if self.alone else back
+            self.stream.seek(place)
+            self.raw, self.raw_at = b"", place
+            if not self.alone:
+                return False
+        else:
+            return False
+        self.text, self.inflate = b"", None
+        return True
+
+
+def read_records(stream, wanted, payloads: bool, name: str = "archive") -> Iterator[tuple[Headers, bytes | None]]:
+    """(headers, payload) of the records whose headers are wanted."""
+    source = stream if isinstance(stream, Source) else Source(stream, name)
+    while (head := source.head()) is not None:
+        headers = parsed(head)
+        said = headers.find("Content-Length") or ""
+        if not said.isdecimal():
+            raise source.fail("a record without length")
+        n, keep = int(said), wanted(headers)
+        if keep and payloads and headers.find("WARC-Type") != "revisit":
+            yield headers, _payload(source.take(n))
         else:
-            stream.seek(n + 4 - len(text), 1)
-            text = b""
+            source.drop(n, len(head) + 4)
+            if keep:
+                yield headers, None
 
 
 @dataclass
@@ -203,14 +324,14 @@ class WarcReader(DataSourceReader):
         system, _ = file_system(self.path)
         schema = pa.schema([*((c, pa.string()) for c in NAMED), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
-        def wanted(headers: dict[str, str]) -> bool:
-            return all((headers.get(name) in value) if how == "in" else (headers.get(name) or "").startswith(value) for name, how, value in self.tests)
+        def wanted(headers: Headers) -> bool:
+            return all((headers.find(name) in value) if how == "in" else (headers.find(name) or "").startswith(value) for name, how, value in self.tests)
 
         rows, held = [], 0
         for name in partition.files:
             with system.open_input_file(name) as stream:
-                for headers, payload in read_records(stream, wanted, self.payloads):
-                    rows.append({c: headers.get(h) for c, h in NAMED.items()} | {"headers": list(headers.items()), "payload": payload})
+                for headers, payload in read_records(stream, wanted, self.payloads, name):
+                    rows.append({c: headers.find(h) for c, h in NAMED.items()} | {"headers": list(headers.items()), "payload": payload})
                     held += len(payload or b"") + 500
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)

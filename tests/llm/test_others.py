@@ -151,6 +151,74 @@ def test_warc_pushdown_and_skipping(spark, sf, tmp_path):
     assert warc.load(spark, str(tmp_path), payloads=False).filter("payload IS NULL").count() == 10
 
 
+class Counted:
+    """A file in memory that counts the bytes read from it."""
+
+    def __init__(self, data):
+        import io
+
+        self.file, self.n = io.BytesIO(data), 0
+        self.seek, self.tell = self.file.seek, self.file.tell
+
+    def read(self, n=-1):
+        out = self.file.read(n)
+        self.n += len(out)
+        return out
+
+
+def foreign(n=40, size=300_000, seed=4):
+    """Records of an archive that other software wrote: a plain gzip member each, headers in other case, payloads that hardly compress, one of them an archive."""
+    import gzip
+
+    rng = random.Random(seed)
+    parts = []
+    for i in range(n):
+        body = rng.randbytes(size + i) if i % 7 else gzip.compress(b"WARC/1.0\r\ncontent-length: 3\r\n\r\nabc\r\n\r\n", mtime=0) * 50
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        parts.append((f"<{i}>", body, f"WARC/1.0\r\nwarc-type: {'response' if i % 2 else 'request'}\r\nwarc-record-id: <{i}>\r\ncontent-length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"))
+    return parts
+
+
+def test_foreign_archive_is_skipped_not_inflated():
+    import gzip
+
+    parts = foreign()
+    members = [gzip.compress(x, 1, mtime=0) for _, _, x in parts]
+    raw = b"".join(members)
+    for data, alone in ((raw, True), (gzip.compress(b"".join(x for _, _, x in parts), 1, mtime=0), False), (b"".join(members[:5]) + gzip.compress(parts[5][2] + parts[6][2], 1, mtime=0) + b"".join(members[7:]), False)):
+        source = warc.Source(Counted(data))
+        assert list(warc.read_records(source, lambda h: False, True)) == []
+        if alone:
+            assert source.inflated < 2048 * len(parts) < sum(len(x) for _, _, x in parts) / 50
+        found = list(warc.read_records(Counted(data), lambda h: h.find("WARC-Record-ID") in ("<7>", "<8>", "<39>"), True))
+        assert [(h.find("Warc-Record-Id"), p) for h, p in found] == [(i, p) for i, p, _ in parts if i in ("<7>", "<8>", "<39>")]
+        assert [h.find("WARC-Record-ID") for h, p in warc.read_records(Counted(data), lambda h: h.find("warc-type") == "response", False)] == [i for i, _, _ in parts if int(i[1:-1]) % 2]
+
+
+def test_own_archive_reads_only_heads():
+    raw = b"".join(warc.member(warc.record("response", f"<{i}>", "u", None, None, {}, random.Random(i).randbytes(400_000))) for i in range(20))
+    stream = Counted(raw)
+    assert len(list(warc.read_records(stream, lambda h: True, False))) == 20 and stream.n < len(raw) / 4
+
+
+@pytest.mark.parametrize("kind", ["own", "foreign", "plain"])
+def test_truncated_archives_raise(tmp_path, spark, kind):
+    import gzip
+
+    one = warc.record("response", "<1>", "u", None, None, {}, random.Random(1).randbytes(20_000))
+    data = {"own": warc.member(one), "foreign": gzip.compress(one), "plain": one}[kind]
+    for cut in (len(data) // 2, 40, len(data) - 40):
+        for wanted in (True, False):
+            with pytest.raises(ValueError, match="some.warc, member at"):
+                list(warc.read_records(Counted(data + data[:cut]), lambda h: wanted, True, "some.warc"))
+    with pytest.raises(ValueError, match="not a WARC"):
+        list(warc.read_records(Counted(b"<html>" * 10), lambda h: True, True))
+    assert list(warc.read_records(Counted(b""), lambda h: True, True)) == []
+    (tmp_path / "bad.warc.gz").write_bytes(data[: len(data) // 2])
+    with pytest.raises(Exception, match="bad.warc.gz"):
+        warc.load(spark, str(tmp_path)).collect()
+
+
 def test_header_injection(spark, tmp_path):
     rows = warc.records(spark.createDataFrame([(1, "http://a/\r\nWARC-Type: evil", "x")], "page_id long, url string, html string"))
     warc.save(rows, str(tmp_path / "w"))
