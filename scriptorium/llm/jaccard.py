@@ -1,7 +1,14 @@
 """Near-duplicate documents by the Jaccard similarity of their word shingles, exactly.
 
 Documents are linked where the sets of their shingles have a similarity of
-`similarity` or more, and classes are what links connect. No pair is lost: if
+`similarity` or more, and classes are what links connect. Candidates come from two
+searches, and each is verified by the whole sets.
+
+The first is that of `simhash`: fingerprints over the same shingles, and its pivot
+tables for those within two bits. It finds copies and hardly edited ones, most of all
+pairs, but not all: texts of a similarity of 0.8 can differ in a dozen bits, and no
+key holds for so many. The second finds the rest, of what the first didn't connect.
+No pair is lost: if
 shingles have any fixed order, two sets that similar share one of their first
 n - ceil(similarity * n) + 1, n being the size of each. Documents meet at these
 first shingles. Two sets of n and m that similar share at least a = ceil(similarity
@@ -11,7 +18,7 @@ n - a + 1 and m - a + 1; pairs that meet there are verified by their whole sets.
 The order takes rare shingles first, by a sketch of their counts, so that
 passages that many documents have hardly ever bring two together; the sketch
 decides what is compared, never what is found. Documents of the same words are
-one node before any search. Where many nodes meet, each is compared with one of
+one node before either search. Where many nodes meet, each is compared with one of
 them, another one each round, until a round links nothing; then all pairs that
 meet and aren't connected yet are compared. So a large class costs in proportion
 to its nodes as long as rounds connect it.
@@ -32,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.simhash import _LOWER, components, labelled, per_text
+from scriptorium.llm.simhash import _LOWER, components, fingerprint, labelled, per_text
+from scriptorium.llm.simhash import links as fingerprint_links
 from scriptorium.session import cut
 
 CELLS = 1 << 20
@@ -64,9 +72,9 @@ def shingles(words: list[bytes], size: int = 5) -> np.ndarray:
     return np.unique(np.array([h(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[size - 1 :], strict=False)], np.uint64))
 
 
-def nodes(docs: DataFrame, id_col: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep, node): one row per document."""
-    return per_text(docs, [id_col, *keep], text, "node", lambda x: node_of(words_of(x)))
+def nodes(docs: DataFrame, id_col: str, text: str, shingle: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, node, fp): one row per document; fp is its fingerprint over the same shingles."""
+    return per_text(docs, [id_col, *keep], text, {"node": lambda x: node_of(words_of(x)), "fp": lambda x: fingerprint(x, shingle)})
 
 
 def _once(batches: Iterator[pa.RecordBatch], size: int, known: frozenset[int] | None = None) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -221,28 +229,45 @@ def verified(docs: DataFrame, text: str, size: int, some: DataFrame, similarity:
     return cut(shared.filter(F.lit(q) * F.col("k") >= F.lit(p) * (F.col("n") - F.col("k"))).select("a", "b"))
 
 
-def links(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, most_rounds: int = 2) -> DataFrame:
-    """(a, b): nodes whose connection is that of all pairs that similar."""
+def alike(rows: DataFrame) -> DataFrame:
+    """(a, b): nodes of rows (node, fp) whose fingerprints are equal or linked, each with one node of a fingerprint."""
+    nodes_ = rows.select("node", "fp").distinct()
+    first = cut(nodes_.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    same = nodes_.join(first.filter("n > 1"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = fingerprint_links(first.select("fp"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    near = found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return same.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, most_rounds: int = 2, likely: DataFrame | None = None) -> DataFrame:
+    """(a, b): nodes whose connection is that of all pairs that similar; likely pairs (a, b), if given, are tried first."""
     least = Fraction(str(similarity))
     if not 0 < least <= 1:
         raise ValueError("similarity is above 0, and 1 at most")
     met = cut(meeting(first_shingles(docs, text, shingle, least)))
-    rows = met.withColumn("root", F.col("node"))
-    found = None
+
+    def unconnected(found: DataFrame) -> DataFrame:
+        return met.join(cut(components(found)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    rows, found = met.withColumn("root", F.col("node")), None
+    if likely is not None:
+        found = verified(docs, text, shingle, likely, least)
+        rows = unconnected(found)
     for turn in range(most_rounds):
         more = verified(docs, text, shingle, pairs(rows, least, turn), least)
         found = more if found is None else found.union(more)
         if not more.limit(1).count():
             break
-        roots = cut(components(found))
-        rows = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = unconnected(found)
     rest = verified(docs, text, shingle, pairs(rows, least, None), least)
     return rest if found is None else found.union(rest)
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, str]:
-    """Rows (id, keep, node), one per document; (node, root) of the nodes that have links; and the name node."""
-    return cut(nodes(docs, id_col, text, keep)), cut(components(links(docs, text, shingle, similarity))), "node"
+    """Rows (id, keep, node, fp), one per document; (node, root) of the nodes that have links; and the name node."""
+    rows = cut(nodes(docs, id_col, text, shingle, keep))
+    return rows, cut(components(links(docs, text, shingle, similarity, likely=alike(rows)))), "node"
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

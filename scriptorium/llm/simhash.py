@@ -72,21 +72,22 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def per_text(docs: DataFrame, names: list[str], text: str, name: str, value: Callable[[str | None], int]) -> DataFrame:
-    """The columns names of docs and value of each text as a column of 64-bit integers."""
+def per_text(docs: DataFrame, names: list[str], text: str, values: dict[str, Callable[[str | None], int]]) -> DataFrame:
+    """The columns names of docs, and a column of 64-bit integers for each of values of the text."""
     docs = docs.select(*names, F.col(f"`{text}`").alias("__sc_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = pa.array([value(x) for x in b.column(len(names)).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], new], names=[*names, name])
+            texts = b.column(len(names)).to_pylist()
+            new = [pa.array([f(x) for x in texts], pa.int64()) for f in values.values()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *new], names=[*names, *values])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in values)]))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), shingle: int = 3) -> DataFrame:
     """(id, keep, fp): one row per document."""
-    return per_text(docs, [id_col, *keep], text, "fp", lambda x: fingerprint(x, shingle))
+    return per_text(docs, [id_col, *keep], text, {"fp": lambda x: fingerprint(x, shingle)})
 
 
 def masks(size: int) -> list[int]:

@@ -71,6 +71,21 @@ def test_rounds_only_save_pairs(spark):
         assert root == whole
 
 
+def test_likely_pairs_come_from_pivots_and_change_nothing(spark):
+    """What the fingerprints propose is among their pairs, holds the exact copies' neighbours, and isn't trusted."""
+    from scriptorium.llm.simhash import fingerprint
+
+    rows = planted() + [(900, "a b c d e"), (901, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = {jaccard.node_of(jaccard.words_of(t)): fingerprint(t, 5) for _, t in rows}
+    got = {(r["a"], r["b"]) for r in jaccard.alike(jaccard.nodes(df, "doc_id", "text")).collect()}
+    near = {(a, b) for a, b in combinations(sorted(own), 2) if ((own[a] ^ own[b]) & (1 << 64) - 1).bit_count() <= 2}
+    assert got and connected(sorted(own), got) == connected(sorted(own), near)
+    wrong = spark.createDataFrame([(min(p), max(p)) for p in combinations(sorted(own)[:6], 2)], "a long, b long")
+    one, two = ([(r["a"], r["b"]) for r in jaccard.links(df, likely=x).collect()] for x in (wrong, None))
+    assert connected(sorted(own), one) == connected(sorted(own), two)
+
+
 def test_stage_drops_planted_near_copies(spark, sf):
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -9,6 +9,7 @@ from scriptorium.llm import chat, decontaminate, quality, substrings, warc
 
 import corpus_pipeline
 from tests.llm.brute import split
+from tests.llm.test_oracles import hard  # noqa: F401
 
 
 def test_blocks_give_what_one_automaton_gives(spark, sf):
@@ -283,45 +284,83 @@ def test_chat_masks(spark, sf):
     assert same["n_shared"] == 2 and same["chosen"] == same["rejected"] == ""
 
 
-def test_pipeline(spark, sf):
-    """The rows against what the operators give one by one, in plain Python where that is small."""
-    from scriptorium.llm import bpe, secrets
-    from scriptorium.llm.queries import op2_decontamination
-
-    got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, sf).collect()}
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    good = {r["doc_id"] for r in quality.profile(docs).collect() if r["kept"]}
-    prints = {}
-    from itertools import combinations
-
+def brute_pipeline(rows, bench, kept):
+    """(id, ids) from rows (doc_id, text, ...) and the quality verdicts: near copies, contamination, secrets and tokens in plain Python."""
+    from scriptorium.llm import bpe
     from tests.llm.brute import connected
-    from tests.llm.test_simhash import brute_fingerprint
-
-    for i in good:
-        prints.setdefault(brute_fingerprint(text[i]), []).append(i)
-    root = connected(sorted(prints), [(a, b) for a, b in combinations(sorted(prints), 2) if (a ^ b).bit_count() <= 2])
-    groups = {}
-    for p, ids in prints.items():
-        groups.setdefault(root[p], []).extend(ids)
-    first = {min(ids) for ids in groups.values()}
-    clean = {r["doc_id"] for r in op2_decontamination(spark, sf).collect() if not r["contaminated"]}
-    want = first & clean
-    assert got.keys() == want and len(want) > 50
+    from tests.llm.test_jaccard import alike, shingles
+    from tests.llm.test_secrets import brute
     from tokenizers import Tokenizer
 
+    good = [r for r, k in zip(rows, kept, strict=True) if k]
+    sets = [shingles(r[1]) for r in good]
+    root = connected(range(len(good)), [(i, j) for i in range(len(good)) for j in range(i) if min(len(sets[i]), len(sets[j])) * 5 >= 4 * max(len(sets[i]), len(sets[j])) and alike(sets[i], sets[j])])
+    first = {}
+    for k, r in enumerate(good):
+        first[root[k]] = min((r[0] is None, r[0] or 0), first.get(root[k], (True, 1 << 63)))
     library = Tokenizer.from_file(bpe.vocabulary_path())
+    out = []
+    for c, (none, i) in first.items():
+        texts = {r[1] for k, r in enumerate(good) if root[k] == c and (r[0] is None, r[0] or 0) == (none, i)}
+        done = []
+        for t in texts:
+            if brute_hits(t, bench, 10)[1]:
+                continue
+            new, at = "", 0
+            for s in brute(t):
+                _, a, b = s.split(":")
+                if int(a) >= at:
+                    new += t[at : int(a)] + "[SECRET]"
+                at = max(at, int(b))
+            done.append(library.encode(new + t[at:], add_special_tokens=False).ids)
+        out.append((None if none else i, texts, done))
+    return out
+
+
+def quality_verdicts(sf_dir):
+    """(doc_id, text) and the verdict by the SQL, row by row."""
+    import duckdb
+    from scriptorium.llm.sql import QUALITY_SQL
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    bench = c.execute(f"SELECT item_id, text FROM '{sf_dir}/benchmark.parquet'").fetchall()
+    rows = c.execute("SELECT doc_id, text FROM documents").fetchall()
+    named = {}
+    for i, k in c.execute(f"SELECT doc_id, kept FROM ({QUALITY_SQL})").fetchall():
+        named.setdefault(i, set()).add(k)
+    assert all(len(x) == 1 for x in named.values())
+    return rows, [next(iter(named[i])) for i, _ in rows], bench
 
-    def redacted(t):
-        out, done = "", 0
-        for _, a, b in secrets.secrets(t):
-            if a >= done:
-                out += t[done:a] + "[SECRET]"
-            done = max(done, b)
-        return out + t[done:]
 
-    for i in want:
-        assert got[i] == library.encode(redacted(text[i]), add_special_tokens=False).ids
+def test_pipeline(spark, sf):
+    """All rows, against brute force from the tables on; nothing is taken from the operators."""
+    got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, sf).collect()}
+    rows, kept, bench = quality_verdicts(sf)
+    want = {i: ids[0] for i, texts, ids in brute_pipeline(rows, bench, kept) if ids}
+    assert got == want and len(want) > 50
+
+
+def test_pipeline_on_hard_rows(spark, hard):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns: one row of each class that isn't contaminated."""
+    got = corpus_pipeline.run(spark, hard).collect()
+    rows, kept, bench = quality_verdicts(hard)
+    left = [(r["doc_id"], list(r["ids"])) for r in got]
+    for i, texts, ids in brute_pipeline(rows, bench, kept):
+        if ids:
+            found = [x for x in left if x[0] == i and x[1] in ids]
+            assert len(found) >= 1, i
+            left.remove(found[0])
+    assert left == [] and len(got) > 100
+
+
+def test_pipeline_on_empty_tables(spark, sf, tmp_path):
+    import pyarrow.parquet as pq
+
+    for t in ("documents", "benchmark"):
+        pq.write_table(pq.read_table(f"{sf}/{t}.parquet").slice(0, 0), tmp_path / f"{t}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and out.count() == 0
 
 
 def test_stages_keep_the_columns(spark, sf):
