@@ -1,6 +1,13 @@
 """A training-data pipeline over `documents`: reject, deduplicate, decontaminate, redact, encode.
 
-Each stage takes what its predecessor kept, as Parquet. Counted with scriptorium.llm."""
+Each stage takes what its predecessor kept, as Parquet. Counted with scriptorium.llm.
+
+Defined results: a null or empty text has too few words and goes in the first stage;
+a null lang or source is a group of its own there. Of a class of near duplicates one
+row stays, that of the least id, rows without id last; equal rows are one, and of
+several rows of that id the one whose columns hash least. Other columns of documents go
+through all stages but the last; their names may be any that don't begin with `__sc_`.
+An empty benchmark contaminates nothing; empty documents give no rows."""
 
 from __future__ import annotations
 
