@@ -41,7 +41,8 @@ CONFIDENCE = {
 #: Words that make a lexicon complete; smaller ones damp the confidence of unknown words.
 FULL_LEXICON = 150_000
 SUGGEST_BUDGET = 25
-MAX_TEXT = 200_000
+#: What one request may hold, for PipelineConfig(max_text=...); a corpus has no such limit.
+REQUEST_MAX_TEXT = 200_000
 
 EDIT_DDL = "start int, end int, original string, suggestions array<string>, error_class string, confidence double, stage int, rule string, seq int"
 
@@ -54,6 +55,7 @@ class PipelineConfig:
     max_suggestions: int = 5
     enabled_classes: tuple[str, ...] | None = None
     max_edits: int = 500
+    max_text: int | None = None
 
 
 @dataclass(frozen=True)

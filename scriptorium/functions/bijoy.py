@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from scriptorium.functions.letters import BLOCK, CONSONANT, HASANTA, u
 
 # Letters whose place in the font is certain, and characters that only such text is full of.
-MAP = {"K": u("995"), "L": u("996"), "M": u("997"), "N": u("998"), "P": u("99A"), "R": u("99C"), "U": u("99F"), "Z": u("9A4"), "e": u("9AC")}
-SIGNATURE = "".join(chr(c) for c in [*range(0xA1, 0xAD), *range(0xAE, 0xC0)]) + u("192 2020 2021 2022 2030 2039 203A 160 161 152 153 178 17D 17E 2C6")
+MAP = {"A": "আ", "v": "া", "w": "ি", "z": "ু", "g": "ম", "e": "ব", "s": "ং", "j": "ল", "Z": "ত"}
+SIGNATURE = "‡†ÒÓ¸¯‹›„‰Œ˜™šœžŸ¡¢£¤¥¦§¨©ª«¬®°±²³´µ¶·¹º»¼½¾¿"
 PRE_BASE = u("9BF 9C7 9C8")
 MIN_HITS, MIN_SHARE, MIN_COVERAGE = 4, 0.08, 0.95
 _ORDER = re.compile(f"([{PRE_BASE}])([{CONSONANT}](?:{HASANTA}[{CONSONANT}])*)")

@@ -16,19 +16,26 @@ def osa(a: str, b: str, limit: int | None = None) -> int:
     """Insertions, deletions, replacements and swaps of neighbours, none touched twice; limit + 1 beyond limit."""
     if limit is not None and abs(len(a) - len(b)) > limit:
         return limit + 1
-    two: list[int] = []
-    one = [*range(len(b) + 1)]
+    width = max(len(a), len(b)) if limit is None else limit
+    far = width + 1
+    # Rows hold the columns at most `width` from the diagonal; all others are farther.
+    two: dict[int, int] = {}
+    one = {j: j for j in range(min(len(b), width) + 1)}
     for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(one[j] + 1, now[-1] + 1, one[j - 1] + (x != y))
+        now: dict[int, int] = {}
+        for j in range(max(0, i - width), min(len(b), i + width) + 1):
+            if not j:
+                now[0] = i
+                continue
+            y = b[j - 1]
+            d = min(one.get(j, far) + 1, now.get(j - 1, far) + 1, one.get(j - 1, far) + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, two[j - 2] + 1)
-            now.append(d)
-        if limit is not None and min(now) > limit:
+                d = min(d, two.get(j - 2, far) + 1)
+            now[j] = d
+        if limit is not None and min(now.values()) > limit:
             return limit + 1
         two, one = one, now
-    return one[-1] if limit is None or one[-1] <= limit else limit + 1
+    return one[len(b)] if limit is None or one[len(b)] <= limit else limit + 1
 
 
 def osa_column(a: Column, b: Column, limit: int) -> Column:
@@ -92,7 +99,7 @@ def soundex(word: str) -> str:
 def soundex_column(word: Column) -> Column:
     """soundex() by built-ins, for words of Bengali letters and signs."""
     vowels = "".join(VOWELS)
-    rest = F.translate(F.substring(word, 2, 1 << 20), vowels, "")
+    rest = F.translate(F.substr(word, F.lit(2)), vowels, "")
     kept = F.translate(F.concat(F.substring(word, 1, 1), rest), SILENT, "")
     folded = F.translate(kept, "".join(_FOLD), "".join(_FOLD.values()))
     return F.regexp_replace(folded, r"([A-Zaegiour])\1+", "$1")
@@ -125,4 +132,4 @@ def latin_key(word: Column) -> Column:
     low = F.lower(word)
     source = "".join(LATIN_CLASSES) + "aeiouhwy"
     target = "".join(v * len(k) for k, v in LATIN_CLASSES.items())
-    return F.concat(F.substring(low, 1, 1), F.translate(F.substring(low, 2, 1 << 20), source, target))
+    return F.concat(F.substring(low, 1, 1), F.translate(F.substr(low, F.lit(2)), source, target))

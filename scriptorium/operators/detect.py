@@ -9,16 +9,19 @@ them; that order is the last key when edits overlap.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.config import CONFIDENCE, EDIT_DDL
-from scriptorium.functions.distance import osa, soundex
+from scriptorium.functions.distance import homophone_substitution, osa, soundex
 from scriptorium.functions.letters import BLOCK, DANDA, DOUBLE_DANDA, has_letter
+from scriptorium.functions.normalize import folded_word, normalize
 from scriptorium.functions.tokenize import sentences, tokens
 from scriptorium.operators.lexicon import Lexicon
 from scriptorium.packs.base import Pack
@@ -51,6 +54,7 @@ def edit(w: Word, suggestions, error_class: str, rule: str, confidence: float |
     return Edit(w.start, w.end, w.text, tuple(s for s in suggestions if s), error_class, min(1.0, max(0.0, c)), rule)
 
 
+# Marks, and what the patterns of punctuation take for a mistake.
 MARKS = re.escape(DANDA + DOUBLE_DANDA) + ",;:?!"
 #: rule, pattern, what replaces the match. Bengali script only where it says so.
 PUNCTUATION = (
@@ -80,8 +84,13 @@ class Checker:
         p = self.pack
         self.lexicon = Lexicon(p)
         self.by_key: dict[str, list[str]] = {}
+        self.by_length: dict[int, list[str]] = {}
         for w in sorted(self.lexicon.words):
             self.by_key.setdefault(soundex(w), []).append(w)
+            self.by_length.setdefault(len(w), []).append(w)
+        # Earlier words of the pack's list count as more frequent.
+        self.frequency = {folded_word(w): len(p.lexicon) - i for i, w in enumerate(p.lexicon)}
+        self.suggest = lru_cache(maxsize=100_000)(self._suggest)
         self.modern_of, self.archaic_of = p.register, {v: k for k, v in reversed(p.register.items())}
         endings: dict[str, set[tuple[str, str]]] = {}
         for tense, cells in p.paradigms.items():
@@ -90,19 +99,36 @@ class Checker:
                     endings.setdefault(ending, set()).add((tense, person))
         self.endings = sorted(endings.items(), key=lambda x: (-len(x[0]), x[0]))
 
-    def suggest(self, word: str, limit: int = 5) -> list[str]:
+    def ranked(self, word: str, pool: Iterable[str], limit: int, most: int = 2) -> list[str]:
+        """The nearest of pool: by distance, one letter of the same sound, length gap, key, frequency, then code point."""
         key = soundex(word)
-        pool = {*self.by_key.get(key, ()), *(w for w in self.lexicon.words if abs(len(w) - len(word)) <= 2)}
-        near = [(osa(word, w, 2), abs(len(w) - len(word)), soundex(w) != key, w) for w in pool if w != word]
-        return [w for d, _, _, w in sorted(near) if d <= 2][:limit]
+        near = []
+        for w in pool:
+            d = osa(word, w, most) if w != word else most + 1
+            if d <= most:
+                near.append((d, not homophone_substitution(word, w), abs(len(w) - len(word)), soundex(w) != key, -self.frequency.get(w, 0), w))
+        return [x[-1] for x in sorted(near)[:limit]]
+
+    def stems(self, word: str, limit: int, most_splits: int = 4) -> Iterator[str]:
+        """Words of an unknown stem's sound near it, with the suffix again."""
+        unknown = ((stem, s) for stem, s in self.lexicon.splits(word) if not self.lexicon.lookup(stem).known)
+        for stem, s in islice(unknown, most_splits):
+            yield from (w + s for w in self.ranked(stem, self.by_key.get(soundex(stem), ()), limit))
+
+    def _suggest(self, word: str, limit: int = 5) -> list[str]:
+        pool = {*self.by_key.get(soundex(word), ()), *self.stems(word, limit)}
+        for n in range(len(word) - 2, len(word) + 3):
+            pool.update(self.by_length.get(n, ()))
+        return self.ranked(word, pool, limit)
 
     def register_of(self, word: str, before: str | None) -> str | None:
-        """archaic, modern or None."""
+        """archaic, modern or None; a word that only some neighbours mark is modern after one of them."""
+        return self._register_of(word) or ("modern" if word in self.pack.contextual and before in self.pack.contextual[word][1] else None)
+
+    def _register_of(self, word: str) -> str | None:
         p = self.pack
         if word in p.register:
             return "archaic"
-        if word in p.contextual and before in p.contextual[word][1]:
-            return "archaic"
         if any(word.endswith(e) and len(word) > len(e) for e in p.archaic_endings):
             return "archaic"
         if any(word.endswith(e) and len(word) > len(e) for e in p.priority_modern):
@@ -117,13 +143,12 @@ class Checker:
 
     def counterpart(self, word: str, register: str) -> str | None:
         if register == "modern":
-            return self.archaic_of.get(word)
+            return self.archaic_of.get(word) or self.pack.contextual.get(word, (None,))[0]
         if word in self.modern_of:
             return self.modern_of[word]
-        for e in sorted(self.pack.derived, key=lambda s: (-len(s), s)):
-            if word.endswith(e) and len(word) - len(e) >= 2:
-                return word[: -len(e)] + self.pack.derived[e]
-        return None
+        # By its longest ending; if that has no modern form, there is none.
+        e = max((e for e in (*self.pack.archaic_endings, *self.pack.guarded_endings) if word.endswith(e)), key=len, default=None)
+        return word[: -len(e)] + self.pack.derived[e] if e in self.pack.derived and len(word) - len(e) >= 2 else None
 
     def spelling(self, ws: list[Word], calls: list[int]) -> Iterator[Edit]:
         p = self.pack
@@ -219,7 +244,10 @@ class Checker:
         for i, w in enumerate(ws):
             for table, heads in ((p.thing_to_person, p.person_nouns), (p.person_to_thing, p.thing_nouns)):
                 if w.text in table and any(x.text in heads for x in ws[i + 1 : i + 4]):
-                    yield edit(w, (table[w.text],), "CLASSIFIER", "animacy")
+                    # A classifier that stands by itself after the number is part of the same mistake.
+                    more = ws[i + 1].text in p.bare_classifiers
+                    whole = Word(w.start, ws[i + 1].end, f"{w.text} {ws[i + 1].text}") if more else w
+                    yield edit(whole, (table[w.text],), "CLASSIFIER", "animacy")
                     break
         for w in ws:
             if self.person_plural(w.text) in p.thing_nouns and w.text not in p.subjects:
@@ -281,19 +309,39 @@ class Checker:
         return out
 
 
+EDIT_FIELDS = ",".join(f"{n}:{t}" for n, t in (p.rsplit(" ", 1) for p in EDIT_DDL.split(", ")))
+
+
+def as_rows(found: list[Edit]) -> list[dict]:
+    return [
+        {"start": e.start, "end": e.end, "original": e.original, "suggestions": list(e.suggestions), "error_class": e.error_class, "confidence": e.confidence, "stage": 1, "rule": e.rule, "seq": n}
+        for n, e in enumerate(found)
+    ]
+
+
 def edits(docs: DataFrame, pack: Pack, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' (id, edits): an array of edits in the order of emission."""
 
-    def run(xs: pd.Series) -> pd.Series:
-        checker = Checker(pack)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        checker = Checker(pack)  # once a task
+        for xs in batches:
+            yield xs.map(lambda x: as_rows(checker.check(x or "")))
 
-        def one(x: str | None) -> list[dict]:
-            return [
-                {"start": e.start, "end": e.end, "original": e.original, "suggestions": list(e.suggestions), "error_class": e.error_class, "confidence": e.confidence, "stage": 1, "rule": e.rule, "seq": n}
-                for n, e in enumerate(checker.check(x or ""))
-            ]
+    return docs.select(id_col, F.pandas_udf(run, f"array<struct<{EDIT_FIELDS}>>")(text).alias("edits"))
 
-        return xs.map(one)
 
-    ddl = ",".join(f"{n}:{t}" for n, t in (p.rsplit(" ", 1) for p in EDIT_DDL.split(", ")))
-    return docs.select(id_col, F.pandas_udf(run, f"array<struct<{ddl}>>")(text).alias("edits"))
+def normalized_edits(docs: DataFrame, pack: Pack, text: str = "text") -> DataFrame:
+    """docs with one more column, __sc_found: the normalised text, its offset map and passes, and the edits in
+    it. Both steps run once, in one pass over the text."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        checker = Checker(pack)
+        for xs in batches:
+            rows = []
+            for x in xs:
+                new, places, passes = normalize(x)
+                rows.append((new, x or "", places, passes, as_rows(checker.check(new))))
+            yield pd.DataFrame(rows, columns=["text", "original", "offset_map", "applied_rules", "edits"])
+
+    ddl = f"struct<text:string,original:string,offset_map:array<int>,applied_rules:array<string>,edits:array<struct<{EDIT_FIELDS}>>>"
+    return docs.withColumn("__sc_found", F.pandas_udf(run, ddl)(text))

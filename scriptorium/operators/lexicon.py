@@ -15,6 +15,7 @@ from scriptorium.functions.letters import HASANTA, has_letter, vowel_final
 from scriptorium.functions.normalize import folded_word
 from scriptorium.functions.tokenize import LATIN, words
 from scriptorium.packs.base import Pack
+from scriptorium.session import cut
 
 
 @dataclass(frozen=True)
@@ -78,10 +79,17 @@ def word_list(lines: DataFrame, value: str = "value") -> DataFrame:
 def frequency_proxy(entries: DataFrame) -> DataFrame:
     """(word, freq): earlier entries count as more frequent; of repeats, the last place counts.
 
-    Places in a list are ranked within one list, whose size is that of a lexicon."""
-    n = entries.count()
-    ranked = entries.withColumn("i", F.row_number().over(Window.orderBy("pos")) - 1)
-    return ranked.groupBy("word").agg((F.lit(n) - F.max("i")).cast("long").alias("freq"))
+    Places are counted in partitions of a sort, and on from what those before hold: a
+    number a partition reaches the driver."""
+    sorted_ = cut(entries.orderBy("pos", "word").select("word", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
+    sizes = sorted(map(tuple, sorted_.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()))
+    n, before = sum(k for _, k, _ in sizes), {}
+    for part, k, first in sizes:
+        before[part] = sum(x for p, x, _ in sizes if p < part) - first
+    if not before:
+        return entries.select("word", F.lit(0).cast("long").alias("freq"))
+    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
+    return sorted_.groupBy("word").agg((F.lit(n) - F.max(F.col("place") + offset[F.col("part")])).cast("long").alias("freq"))
 
 
 def supplemented(lexicon: DataFrame, more: DataFrame) -> DataFrame:
@@ -128,16 +136,38 @@ def deletions(word: Column, most: int) -> Column:
     return F.array_distinct(out)
 
 
-def candidates(unknown_words: DataFrame, lexicon: DataFrame, max_distance: int = 2, key=latin_key) -> DataFrame:
+def pieces(word: Column, of: Column, most: int, shift: Column | int = 0) -> Column:
+    """What stands in word, moved by shift, where a word of `of` characters has its 2 * most + 1 pieces: an array of strings with number and place."""
+    n = 2 * most + 1
+    at = lambda k: F.floor(of * k / n)
+    part = lambda k: F.concat_ws(":", of.cast("string"), k.cast("string"), F.substr(word, (at(k) + shift + 1).cast("int"), (at(k + 1) - at(k)).cast("int")))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), part)
+
+
+def shifted(word: Column, most: int) -> Column:
+    """The pieces of every word that may be within `most` edits of word."""
+    around = F.sequence(F.lit(-most), F.lit(most))
+    each = F.transform(around, lambda d: F.flatten(F.transform(F.filter(around, lambda s: F.length(word) + d >= 0), lambda s: pieces(word, F.length(word) + d, most, s))))
+    return F.array_distinct(F.flatten(each))
+
+
+def candidates(unknown_words: DataFrame, lexicon: DataFrame, max_distance: int = 2, key=latin_key, long: int = 24) -> DataFrame:
     """(word, cand, freq, dist, same_key): all lexicon words within max_distance.
 
     Two words that near share what is left of both after at most max_distance
     deletions, so an equi-join on that finds every pair; rows grow with the
-    length of words, not with the size of the lexicon. The distance is computed
-    once a pair."""
-    u = unknown_words.select("word", F.explode(deletions(F.col("word"), max_distance)).alias("d"))
-    x = lexicon.select(F.col("word").alias("cand"), "freq", F.explode(deletions(F.col("word"), max_distance)).alias("d"))
-    pool = u.join(x, "d").filter((F.col("word") != F.col("cand")) & (F.abs(F.length("word") - F.length("cand")) <= max_distance)).select("word", "cand", "freq").distinct()
+    length of words, not with the size of the lexicon. Words of more than `long`
+    characters would have too many such rests. These are cut in 2 * max_distance + 1
+    pieces instead: an edit touches two of them at most, so one piece of the candidate
+    stands unchanged in the word, hardly moved; strings then stay in proportion to the
+    word. The distance is computed once a pair."""
+    size = F.length("word")
+    short, far = unknown_words.filter(size <= long), unknown_words.filter(size > long)
+    rest = lambda: F.explode(deletions(F.col("word"), max_distance)).alias("d")
+    near = short.select("word", rest()).join(lexicon.filter(size <= long + max_distance).select(F.col("word").alias("cand"), "freq", rest()), "d")
+    whole = lexicon.filter(size > long - max_distance).select(F.col("word").alias("cand"), "freq", F.explode(pieces(F.col("word"), size, max_distance)).alias("d"))
+    wide = far.select("word", F.explode(shifted(F.col("word"), max_distance)).alias("d")).join(whole, "d")
+    pool = near.union(wide).filter((F.col("word") != F.col("cand")) & (F.abs(F.length("word") - F.length("cand")) <= max_distance)).select("word", "cand", "freq").distinct()
     # A swap is two plain edits: beyond twice the distance, the built-in settles a pair without Python.
     pool = pool.filter(F.levenshtein("word", "cand", 2 * max_distance) >= 0)
     pool = pool.withColumn("dist", osa_column(F.col("word"), F.col("cand"), max_distance)).filter(F.col("dist") <= max_distance)
@@ -157,10 +187,10 @@ def stem_reconstructions(unknown_words: DataFrame, lexicon: DataFrame, pack: Pac
     """(word, cand): for unknown words with a suffix on an unknown stem, near words of the stem's key with the suffix again."""
     table = Lexicon(pack)
 
-    def cut(xs: pd.Series) -> pd.Series:
+    def parts(xs: pd.Series) -> pd.Series:
         return xs.map(lambda x: [{"stem": a, "suffix": s} for a, s in table.splits(x) if not table.lookup(a).known][:most_splits])
 
-    f = F.pandas_udf(cut, "array<struct<stem:string,suffix:string>>")
+    f = F.pandas_udf(parts, "array<struct<stem:string,suffix:string>>")
     s = unknown_words.select("word", F.explode(f("word")).alias("s")).select("word", "s.stem", "s.suffix")
     j = s.join(lexicon.select(F.col("word").alias("near"), "freq"), soundex_column(F.col("stem")) == soundex_column(F.col("near")))
     j = j.withColumn("dist", osa_column(F.col("stem"), F.col("near"), 2)).filter("dist <= 2")

@@ -1,7 +1,10 @@
-"""Greedy choice among overlapping edits, per document, by built-ins."""
+"""Greedy choice among overlapping edits, per document."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,35 +16,49 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def resolved(docs: DataFrame, config: PipelineConfig = PipelineConfig(), id_col: str = "doc_id") -> DataFrame:
-    """(id, kept, suppressed) of rows (id, edits).
+def _greedy(starts: pd.Series, ends: pd.Series, good: pd.Series) -> pd.Series:
+    """Which spans of each row are taken, in order: those that are good and overlap none taken before.
+
+    The spans taken don't overlap, so in order of place their ends are in order too, and
+    only the last one that begins before a span's end can overlap it."""
+
+    def one(a, b, ok) -> list[bool]:
+        out: list[bool] = []
+        taken: list[tuple[int, int]] = []
+        for s, e, fine in zip(a, b, ok, strict=True):
+            k = bisect_left(taken, (e, -1)) if fine else 0
+            fine = bool(fine) and not (k and taken[k - 1][1] > s)
+            if fine:
+                insort(taken, (int(s), int(e)))
+            out.append(fine)
+        return out
+
+    return pd.Series([None if a is None else one(a, b, ok) for a, b, ok in zip(starts, ends, good, strict=True)], dtype=object)
+
+
+def resolved(docs: DataFrame, config: PipelineConfig = PipelineConfig(), id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, kept, suppressed) of rows (id, keep, edits).
 
     Edits of classes that aren't enabled go. The rest is taken by confidence,
     stage, span length, place and order of emission; one that overlaps no kept
-    edit and is confident enough is kept. At most max_edits are kept, by place."""
-    edits = F.col("edits")
+    edit and is confident enough is kept. At most max_edits are kept, by place.
+    Only places leave the JVM; the time is that of sorting a document's edits."""
+    edits = F.coalesce(F.col("edits"), F.slice("edits", 1, 0))
     if config.enabled_classes is not None:
         edits = F.filter(edits, lambda e: e["error_class"].isin(*config.enabled_classes))
     keyed = F.transform(
         edits, lambda e: F.struct((-e["confidence"]).alias("k1"), (-e["stage"]).alias("k2"), (e["end"] - e["start"]).alias("k3"), e["start"].alias("k4"), e["seq"].alias("k5"), e.alias("e"))
     )
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["e"])
-    none = F.slice(ordered, F.lit(1), F.lit(0))
-    state = F.struct(none.alias("kept"), none.alias("suppressed"))
-
-    def step(acc: Column, e: Column) -> Column:
-        good = (e["confidence"] >= config.min_confidence) & ~F.exists(acc["kept"], lambda k: overlaps(k, e))
-        return F.struct(
-            F.when(good, F.concat(acc["kept"], F.array(e))).otherwise(acc["kept"]).alias("kept"),
-            F.when(good, acc["suppressed"]).otherwise(F.concat(acc["suppressed"], F.array(e))).alias("suppressed"),
-        )
-
-    done = docs.withColumn("__o", ordered).withColumn("__r", F.aggregate("__o", state, step)).withColumn("__k", by_place(F.col("__r")["kept"]))
+    done = docs.withColumn("__o", F.transform(F.array_sort(keyed), lambda k: k["e"]))
+    good = F.transform("__o", lambda e: e["confidence"] >= config.min_confidence)
+    done = done.withColumn("__t", F.pandas_udf(_greedy, "array<boolean>")(F.col("__o.start"), F.col("__o.end"), good))
+    part = lambda which: F.filter("__o", lambda e, i: F.get("__t", i) == F.lit(which))
+    done = done.withColumns({"__k": by_place(part(True)), "__s": part(False)})
     short = F.transform(
         F.slice("__k", 1, config.max_edits), lambda e: e.withField("suggestions", F.slice(e["suggestions"], 1, config.max_suggestions))
     )
     over = F.slice(F.col("__k"), F.lit(config.max_edits + 1), F.greatest(F.size("__k"), F.lit(0)))
-    return done.select(id_col, short.alias("kept"), F.concat(F.col("__r")["suppressed"], over).alias("suppressed"))
+    return done.select(id_col, *keep, short.alias("kept"), F.concat(F.col("__s"), over).alias("suppressed"))
 
 
 def by_place(edits: Column) -> Column:
@@ -71,12 +88,14 @@ def ignored(edits: DataFrame, ignore: DataFrame) -> DataFrame:
 
 
 def accepted(text: Column, edits: Column) -> Column:
-    """text with the first suggestion of every edit, from the last to the first."""
-    back = F.reverse(edits)
-    return F.aggregate(
-        back, text,
-        lambda t, e: F.when(F.size(e["suggestions"]) == 0, t).otherwise(F.concat(F.substring(t, F.lit(1), e["start"]), F.get(e["suggestions"], F.lit(0)), F.substring(t, e["end"] + 1, F.length(t)))),
-    )
+    """text with the first suggestion of every edit; edits are in order and don't overlap.
+
+    Each part of the text is taken once: what lies between an edit and the one before it, then its suggestion."""
+    some = F.filter(edits, lambda e: F.size(e["suggestions"]) > 0)
+    end = lambda i: F.when(i > 0, F.get(some, i - 1)["end"]).otherwise(0)
+    parts = F.transform(some, lambda e, i: F.concat(F.substring(text, end(i) + 1, e["start"] - end(i)), F.get(e["suggestions"], F.lit(0))))
+    rest = F.substring(text, end(F.size(some)) + 1, F.length(text))
+    return F.concat(F.array_join(parts, ""), rest)
 
 
 def stage_distribution(edits: DataFrame) -> DataFrame:

@@ -61,10 +61,10 @@ def last_days(events: DataFrame, n: int = 14) -> DataFrame:
 
 
 def by_class(events: DataFrame) -> DataFrame:
-    """(error_class, accepted, ignored, total)"""
+    """(error_class, accepted, ignored, total), most first; as many rows as there are classes."""
     one = lambda t: F.sum(F.when(F.col("type") == t, 1).otherwise(0)).cast("long").alias(t)
     g = events.filter(F.col("type").isin("accept", "ignore")).groupBy("error_class").agg(one("accept"), one("ignore"))
-    return g.select("error_class", F.col("accept").alias("accepted"), F.col("ignore").alias("ignored"), (F.col("accept") + F.col("ignore")).alias("total"))
+    return g.select("error_class", F.col("accept").alias("accepted"), F.col("ignore").alias("ignored"), (F.col("accept") + F.col("ignore")).alias("total")).orderBy(F.desc("total"), "error_class")
 
 
 def total(events: DataFrame) -> DataFrame:

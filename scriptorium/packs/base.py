@@ -54,6 +54,7 @@ class Pack:
     plural_suffixes: tuple[str, ...] = ()
     plural_person: str = ""
     classifiers: tuple[str, ...] = ()
+    bare_classifiers: tuple[str, ...] = ()
     thing_to_person: dict[str, str] = field(default_factory=dict)
     person_to_thing: dict[str, str] = field(default_factory=dict)
     person_nouns: tuple[str, ...] = ()

@@ -34,7 +34,8 @@ REGISTER_VERBS = words("কর বল চল দেখ লিখ পড় জ
 PRIORITY_MODERN = words("চ্ছে চ্ছি চ্ছেন চ্ছিল")
 MODERN_ENDINGS = words("েছে েছি েছেন েছিল ছে ছি ছেন লাম বেন")
 DERIVED = pairs("িতেছে ছে িতেছি ছি িতেছেন ছেন িয়াছে েছে িয়াছি েছি িয়াছেন েছেন িয়াছিল েছিল িলাম লাম িবেন বেন িবে বে িল ল িয়া ে")
-CONTEXTUAL = {f("তারা"): (f("তাহারা"), words("যাহারা"))}
+# A word that is modern only after some others, and its archaic form.
+CONTEXTUAL = {f("পরে"): (f("পরিয়া"), words("জামা শাড়ি কাপড় জুতা টুপি"))}
 # Subjects and their persons.
 SUBJECTS = pairs("আমি first আমরা first তুমি second তোমরা second তুই intimate তোরা intimate সে third তারা third তিনি honorific আপনি honorific আপনারা honorific")
 AMBIGUOUS_SUBJECTS = words("তার কে")
@@ -57,6 +58,8 @@ QUANTIFIERS = words("অনেক সব বহু সকল কয়েকট
 PLURAL_SUFFIXES = words("গুলো গুলি সমূহ")
 PLURAL_PERSON = f("রা")
 CLASSIFIERS = words("টি টা খানা জন")
+# Classifiers that a number before them takes in.
+BARE_CLASSIFIERS = words("জন টি টা")
 THING_TO_PERSON = pairs("একটা একজন একটি একজন দুটো দুজন দুটি দুজন তিনটি তিনজন তিনটা তিনজন")
 PERSON_TO_THING = pairs("একজন একটি দুজন দুটি তিনজন তিনটি")
 PERSON_NOUNS = words("শিক্ষক ছাত্র ডাক্তার লোক মেয়ে ছেলে মানুষ কৃষক লেখক")
@@ -84,7 +87,7 @@ PACK = Pack(
     guarded_endings=GUARDED_ENDINGS, register_verbs=REGISTER_VERBS, priority_modern=PRIORITY_MODERN, modern_endings=MODERN_ENDINGS, derived=DERIVED,
     contextual=CONTEXTUAL, subjects=SUBJECTS, ambiguous_subjects=AMBIGUOUS_SUBJECTS, paradigms=PARADIGMS, ambiguous_endings=AMBIGUOUS_ENDINGS, final_only=FINAL_ONLY,
     roots=ROOTS, clause_breaks=CLAUSE_BREAKS, particles=PARTICLES, not_verbs=NOT_VERBS, phrase_heads=PHRASE_HEADS, quantifiers=QUANTIFIERS,
-    plural_suffixes=PLURAL_SUFFIXES, plural_person=PLURAL_PERSON, classifiers=CLASSIFIERS, thing_to_person=THING_TO_PERSON, person_to_thing=PERSON_TO_THING, person_nouns=PERSON_NOUNS, thing_nouns=THING_NOUNS,
+    plural_suffixes=PLURAL_SUFFIXES, plural_person=PLURAL_PERSON, classifiers=CLASSIFIERS, bare_classifiers=BARE_CLASSIFIERS, thing_to_person=THING_TO_PERSON, person_to_thing=PERSON_TO_THING, person_nouns=PERSON_NOUNS, thing_nouns=THING_NOUNS,
     possessives=POSSESSIVES, any_plural_possessive=ANY_PLURAL_POSSESSIVE, collocations=COLLOCATIONS, suffixes=SUFFIXES, prefixes=PREFIXES,
     vowel_final_only=VOWEL_FINAL_ONLY, lexicon=SEED, coverage=1.0,
 )

@@ -5,38 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.config import MAX_TEXT, PipelineConfig
+from scriptorium.config import PipelineConfig
 from scriptorium.functions.normalize import normalized, remapped
 from scriptorium.functions.readability import scored
 from scriptorium.functions.scope import out_of_scope
-from scriptorium.functions.tokenize import sentence_rows, token_rows
-from scriptorium.operators.detect import edits
-from scriptorium.operators.resolve import edit_rows, resolved
+from scriptorium.functions.tokenize import sentence_rows
+from scriptorium.operators.detect import normalized_edits
+from scriptorium.operators.resolve import accepted, edit_rows, resolved
 from scriptorium.packs.base import get_pack
 
 #: Stages that are declared and have no detector.
 SKIPPED = {2: "not part of this engine", 3: "not part of this engine", 4: "not part of this engine"}
 
 
+def _found(docs: DataFrame, code: str, config: PipelineConfig, id_col: str) -> DataFrame:
+    """(id, __sc_found, kept, suppressed): what was found in each row's normalised text, resolved; nothing leaves its row."""
+    n = normalized_edits(docs.select(id_col, "text"), get_pack(code)).withColumn("edits", F.col("__sc_found.edits"))
+    return resolved(n, config, id_col, keep=("__sc_found",))
+
+
 def check(docs: DataFrame, code: str = "bn", config: PipelineConfig = PipelineConfig(), id_col: str = "doc_id") -> dict[str, DataFrame]:
     """DataFrames by name: normalized, sentences, edits (in places of the submitted text), out_of_scope,
-    readability, stage_report and too_long. Texts beyond the limit are only in too_long."""
+    readability, stage_report and too_long.
+
+    Each is one pass over docs without a shuffle, but for the counts of stage_report; rows with equal or null ids
+    keep their own edits. Texts beyond config.max_text, where that is set, are only in too_long."""
     pack = get_pack(code)
-    fits = F.length(F.coalesce("text", F.lit(""))) <= MAX_TEXT
-    n = docs.filter(fits).select(id_col, normalized(F.col("text")).alias("n"))
+    fits = F.lit(True) if config.max_text is None else F.length(F.coalesce("text", F.lit(""))) <= config.max_text
+    given = docs.filter(fits)
+    n = given.select(id_col, normalized(F.col("text")).alias("n"))
     plain = n.select(id_col, F.col("n.text").alias("text"))
-    rows = edit_rows(resolved(edits(plain, pack, id_col), config, id_col), id_col)
-    back = rows.join(n.select(id_col, "n.offset_map"), id_col)
-    found = back.select(
-        id_col, remapped(F.col("start"), F.col("offset_map")).alias("start"), remapped(F.col("end"), F.col("offset_map")).alias("end"),
-        *[c for c in rows.columns if c not in (id_col, "start", "end")],
-    )
+    mapped = lambda e, places: e.withField("start", remapped(e["start"], places)).withField("end", remapped(e["end"], places))
+    back = lambda c: F.transform(c, lambda e: mapped(e, F.col("__sc_found.offset_map")))
+    found = edit_rows(_found(given, code, config, id_col).withColumns({"kept": back("kept"), "suppressed": back("suppressed")}), id_col)
     report = found.filter("surfaced").groupBy("stage").agg(F.count("*").alias("edits_emitted"))
     return {
         "normalized": n.select(id_col, "n.*"),
         "sentences": sentence_rows(plain, pack.rules, id_col),
         "edits": found,
-        "out_of_scope": out_of_scope(token_rows(docs.filter(fits).select(id_col, "text"), pack.rules, id_col), id_col),
+        "out_of_scope": out_of_scope(given, pack.rules, id_col),
         "readability": plain.select(id_col, scored(F.col("text"), pack.rules).alias("r")).select(id_col, "r.*"),
         "stage_report": report,
         "too_long": docs.filter(~fits).select(id_col),
@@ -44,12 +51,8 @@ def check(docs: DataFrame, code: str = "bn", config: PipelineConfig = PipelineCo
 
 
 def accept_all(docs: DataFrame, code: str = "bn", config: PipelineConfig = PipelineConfig(), id_col: str = "doc_id") -> DataFrame:
-    """(id, text): normalised texts with the first suggestion of every kept edit."""
-    from scriptorium.operators.resolve import accepted
-
-    plain = docs.select(id_col, normalized(F.col("text"))["text"].alias("text"))
-    kept = resolved(edits(plain, get_pack(code), id_col), config, id_col)
-    return plain.join(kept, id_col).select(id_col, accepted(F.col("text"), F.col("kept")).alias("text"))
+    """(id, text), a row for each of docs: normalised texts with the first suggestion of every kept edit."""
+    return _found(docs, code, config, id_col).select(id_col, accepted(F.col("__sc_found.text"), F.col("kept")).alias("text"))
 
 
 def register_udtf(spark, name: str = "check_text") -> None:

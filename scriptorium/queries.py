@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.config import PipelineConfig
@@ -16,8 +16,9 @@ from scriptorium.functions.readability import sentence_length_variance
 from scriptorium.functions.scope import out_of_scope
 from scriptorium.operators import evaluate, lexicon, limits, resolve, store, usage
 from scriptorium.operators.detect import edits
-from scriptorium.packs.base import get_pack
-from scriptorium.session import table
+from scriptorium.packs.base import Collocation, Pack, get_pack
+from scriptorium.plans.check import accept_all, check
+from scriptorium.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,9 +163,9 @@ def suggest_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY = "substr(word, 1, 1) || translate(substr(word, 2), 'bfpvcgjkqsxzdtlmnraeiouhwy', '111122222222334556')"
 
 
-@query(f"WITH {_FREQ} SELECT {_KEY} AS key, count(*) AS words FROM f WHERE docs >= 3 AND NOT contains(word, '''') AND NOT contains(word, '’') GROUP BY 1")
+@query(f"WITH {_FREQ} SELECT {_KEY} AS key, count(*) AS words FROM f WHERE docs >= 3 GROUP BY 1")
 def phonetic_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexicon.corpus_lexicon(table(spark, sf_dir, "documents")).filter(~F.col("word").rlike("['’]"))
+    found = lexicon.corpus_lexicon(table(spark, sf_dir, "documents"))
     return found.groupBy(latin_key(F.col("word")).alias("key")).agg(F.count("*").alias("words"))
 
 
@@ -176,17 +177,36 @@ def candidates_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.candidates(freq.filter("docs < 3"), freq.filter("docs >= 3").select("word", "freq"), 1).select("word", "cand")
 
 
-@query()
+#: Pairs that need a letter changed between two that are swapped don't count as two edits: nothing is touched twice.
+_APART = """(levenshtein(word, cand) <= 2 OR len(list_filter(range(1, length(word)), lambda i: len(list_filter([i - 1, i, i + 1], lambda j: j > 0 AND word[i] = cand[j+1] AND word[i+1] = cand[j]
+  AND damerau_levenshtein(word[1:i-1], cand[1:j-1]) + damerau_levenshtein(word[i+2:], cand[j+2:]) <= 1)) > 0)) > 0)"""
+_ONE_LESS = "list_transform(range(1, length({w}) + 1), lambda i: {w}[1:i-1] || {w}[i+1:])"
+
+
+@query(f"""WITH {_FREQ}, one AS (SELECT word, docs, list_distinct(list_concat([word], {_ONE_LESS.format(w="word")})) AS l FROM f),
+k AS (SELECT DISTINCT word, docs, unnest(list_concat(l, flatten(list_transform(l, lambda v: list_transform(range(1, length(v) + 1), lambda i: v[1:i-1] || v[i+1:]))))) AS x FROM one),
+p AS (SELECT DISTINCT a.word, b.word AS cand FROM k a JOIN k b ON a.x = b.x WHERE a.docs < 3 AND b.docs >= 3 AND abs(length(a.word) - length(b.word)) <= 2),
+d AS (SELECT p.word, cand, f.freq, damerau_levenshtein(p.word, cand) AS dist FROM p JOIN f ON f.word = cand),
+r AS (SELECT word, cand, dist, row_number() OVER (PARTITION BY word ORDER BY dist, abs(length(word) - length(cand)), {_KEY} <> {_KEY.replace("word", "cand")}, freq DESC, cand) AS rank
+  FROM d WHERE dist <= 1 OR (dist = 2 AND {_APART}))
+SELECT word, rank::INTEGER AS rank, cand, dist::INTEGER AS dist FROM r WHERE rank <= 5""")
 def candidates_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq = lexicon.token_frequency(table(spark, sf_dir, "documents"))
+    freq = cut(lexicon.token_frequency(table(spark, sf_dir, "documents")))
     pool = lexicon.candidates(freq.filter("docs < 3"), freq.filter("docs >= 3").select("word", "freq"), 2)
     return lexicon.ranked(pool).select("word", "rank", "cand", "dist")
 
 
-@query("""WITH p AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[.?!]+|\\n\\n+'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS s FROM documents)
-SELECT doc_id, len(s)::BIGINT AS n_sentences FROM p""")
+_SENTENCES = r"""p AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.?!]+[.?!"'')\]]*[ \t]*') AS ps FROM documents),
+b AS (SELECT doc_id, ps, list_transform(ps, lambda x: list_transform(string_split_regex(x, '\n\n+'), lambda y: CASE WHEN regexp_matches(y, '[^\s]') THEN 1 ELSE 0 END)) AS z FROM p),
+n AS (SELECT doc_id, len(ps) - 1 + list_sum(list_transform(range(1, len(ps) + 1), lambda i: list_sum(z[i]) - CASE WHEN i < len(ps) THEN z[i][-1] ELSE 0 END)) AS k FROM b)"""
+
+
+@query(f"WITH {_SENTENCES} SELECT doc_id, k::BIGINT AS n_sentences FROM n")
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tokenize.sentence_count(F.col("text")).alias("n_sentences"))
+    """Every terminator run ends a sentence, and so does a blank line after text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tokenize.sentence_rows(docs, tokenize.LATIN).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_sentences"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[.?!]+|\\n\\n+'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS s FROM documents),
@@ -212,71 +232,98 @@ def ui_word_count_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tokenize.ui_word_count(F.col("text")).alias("n_words"))
 
 
-@query("""SELECT substr(m, 1, 1) AS mark, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), ',{2,}|;{2,}|:{2,}|\\?{2,}|!{2,}')) AS m FROM documents) GROUP BY 1""")
+_MARK = "[।॥,;:?!]"
+_TWICE = "(?:।{2,}|॥{2,}|,{2,}|;{2,}|:{2,}|\\?{2,}|!{2,})"
+
+
+def _count(pattern: str, x: str = "x") -> str:
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
+
+def _with_rule(docs: DataFrame, rule: str) -> DataFrame:
+    """(doc_id, n): edits of a rule that the detectors give each document, before overlaps are resolved."""
+    return edits(docs.select("doc_id", "text"), get_pack("la")).select("doc_id", F.size(F.filter("edits", lambda e: e["rule"] == rule)).cast("long").alias("n"))
+
+
+@query(f"SELECT substr(m, 1, 1) AS mark, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{_TWICE}')) AS m FROM documents) GROUP BY 1")
 def punct_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([,;:?!])\1+"), F.lit(0))
-    return table(spark, sf_dir, "documents").select(F.explode(found).alias("m")).groupBy(F.left("m", F.lit(1)).alias("mark")).agg(F.count("*").alias("n"))
+    found = edits(table(spark, sf_dir, "documents"), get_pack("la")).select(F.explode("edits").alias("e")).filter("e.rule = 'repeated_mark'")
+    return found.groupBy(F.left("e.original", F.lit(1)).alias("mark")).agg(F.count("*").alias("n"))
 
 
 def _perturbed(spark: SparkSession, sf_dir: str, old: str, new: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(old), F.lit(new)).alias("text"))
 
 
-def _matches(docs: DataFrame, pattern: str) -> DataFrame:
-    return docs.select("doc_id", F.regexp_count("text", F.lit(pattern)).cast("long").alias("n"))
-
-
-@query("SELECT doc_id, len(regexp_extract_all(replace(coalesce(text, ''), ', ', ' ,  '), '[ \\t]+[,;:?!]'))::BIGINT AS n FROM documents")
+@query(f"SELECT doc_id, {_count(f'[ \\t]+{_MARK}')}::BIGINT AS n FROM (SELECT doc_id, replace(coalesce(text, ''), ', ', ' ,  ') AS x FROM documents)")
 def punct_space_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(_perturbed(spark, sf_dir, ", ", " ,  "), r"[ \t]+[,;:?!]")
+    return _with_rule(_perturbed(spark, sf_dir, ", ", " ,  "), "space_before")
 
 
-@query("SELECT doc_id, len(regexp_extract_all(replace(coalesce(text, ''), ', ', ','), '[,;:?!][A-Za-z]'))::BIGINT AS n FROM documents")
+@query(f"SELECT doc_id, {_count(f'{_MARK}[\\x{{980}}-\\x{{9FF}}]')}::BIGINT AS n FROM (SELECT doc_id, replace(coalesce(text, ''), ', ', ',ক') AS x FROM documents)")
 def punct_missing_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(_perturbed(spark, sf_dir, ", ", ","), r"[,;:?!](?=[A-Za-z])")
+    """A mark with a letter of the pack's script right after it."""
+    return _with_rule(_perturbed(spark, sf_dir, ", ", ",ক"), "missing_space")
+
+
+_INNER = "[^ \\t\\n\\r\\f\\v][ \\t]{2,}"
+_SPACES = f"({_count(_INNER)} - {_count(f'{_INNER}(?:[\\n\\r\\f\\v]|$)')})"
 
 
-@query("SELECT doc_id, len(regexp_extract_all(replace(coalesce(text, ''), ', ', ',   '), ',[ \\t]{2,}'))::BIGINT AS n FROM documents")
+@query(f"SELECT doc_id, {_SPACES}::BIGINT AS n FROM (SELECT doc_id, replace(coalesce(text, ''), ', ', ',   ') AS x FROM documents)")
 def punct_multi_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(_perturbed(spark, sf_dir, ", ", ",   "), r"(?<=,)[ \t]{2,}")
+    return _with_rule(_perturbed(spark, sf_dir, ", ", ",   "), "multiple_spaces")
 
 
-_NBSP = "chr(160)"
+@query(f"SELECT doc_id, {_count('[\\x{980}-\\x{9FF}] ?\\.(?:[ \\t\\n\\r\\f\\v]|$)')}::BIGINT AS n FROM (SELECT doc_id, replace(coalesce(text, ''), ', ', 'ক. ') AS x FROM documents)")
+def punct_latin_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_rule(_perturbed(spark, sf_dir, ", ", "ক. "), "latin_period")
 
 
-@query(f"SELECT doc_id, sha256(replace(replace(replace(coalesce(text, ''), ', ', ',' || {_NBSP} || chr(8195)), {_NBSP}, ' '), chr(8195), ' ')) AS folded FROM documents WHERE NOT contains(coalesce(text, ''), chr(9))")
+_BLANK = "".join(f"chr({ord(c)}) || " for c in normalize.SPACE_LIKE)[:-4]
+
+
+@query(f"SELECT doc_id, sha256(translate(replace(coalesce(text, ''), ', ', ',' || chr(160) || chr(8195)), {_BLANK}, '{' ' * len(normalize.SPACE_LIKE)}')) AS folded FROM documents")
 def space_like_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _perturbed(spark, sf_dir, ", ", "," + u("A0 2003")).filter(~F.contains("text", F.lit("\t")))
+    docs = _perturbed(spark, sf_dir, ", ", "," + u("A0 2003"))
     return docs.select("doc_id", F.sha2(normalize.space_like_folded(F.col("text")), 256).alias("folded"))
 
 
-@query("SELECT doc_id, sha256(replace(replace(coalesce(text, ''), ', ', '... '), '. ', '\" ')) AS folded FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[‘’“”–—…]')")
+def _plain_marks(x: str) -> str:
+    return f"""replace(translate({x}, '‘’“”–—', '{"''" * 2}""--'), '…', '...')"""
+
+
+@query(f"""SELECT doc_id, sha256({_plain_marks(f"replace({_plain_marks("replace(coalesce(text, ''), ', ', '… ')")}, '. ', '” ')")}) AS folded FROM documents""")
 def punct_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(~F.coalesce("text", F.lit("")).rlike(f"[{''.join(normalize.PUNCTUATION)}]"))
-    ellipses = F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit(u("2026") + " "))
-    # An ellipsis becomes three periods after the quotes are set, in the SQL before; both meet in the same text.
-    folded = F.replace(normalize.punctuation_folded(ellipses), F.lit(". "), F.lit(u("201D") + " "))
-    return docs.select("doc_id", F.sha2(normalize.punctuation_folded(folded), 256).alias("folded"))
+    """Typographic marks that are there, and those put in place of others, before and after a first fold."""
+    ellipses = F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit("… "))
+    folded = F.replace(normalize.punctuation_folded(ellipses), F.lit(". "), F.lit("” "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize.punctuation_folded(folded), 256).alias("folded"))
 
 
-def checked(spark: SparkSession, sf_dir: str, code: str = "la") -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resolve.edit_rows(resolve.resolved(edits(docs, get_pack(code))))
+#: Every edit that overlaps no better one, however many a document has.
+ALL_EDITS = PipelineConfig(max_edits=1 << 30)
 
 
-@query("""WITH t AS (SELECT coalesce(text, '') AS x FROM documents),
-r AS (SELECT unnest(regexp_extract_all(x, ',{2,}|;{2,}|:{2,}|\\?{2,}|!{2,}')) AS m FROM t WHERE NOT regexp_matches(x, '[ \\t]+[,;:?!]') AND NOT regexp_matches(x, '[ \\t]{2,}'))
-SELECT 'PUNCTUATION' AS error_class, 'repeated_mark' AS rule, count(*) AS n FROM r HAVING count(*) > 0""")
+@query(f"""WITH t AS (SELECT coalesce(text, '') AS x FROM documents),
+r AS (SELECT 'space_before' AS rule, {_count(f'[ \\t]+{_MARK}')} AS n FROM t
+  UNION ALL SELECT 'repeated_mark', {_count(_TWICE)} - {_count(f'[ \\t]{_TWICE}')} FROM t
+  UNION ALL SELECT 'multiple_spaces', {_SPACES} - {_count(f'{_INNER}{_MARK}')} FROM t)
+SELECT 'PUNCTUATION' AS error_class, rule, sum(n)::BIGINT AS n FROM r GROUP BY rule HAVING sum(n) > 0""")
 def edits_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits that surface, by class and rule, in documents without spaces before marks or runs of spaces."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(~F.coalesce("text", F.lit("")).rlike(r"[ \t]+[,;:?!]|[ \t]{2,}"))
-    rows = resolve.edit_rows(resolve.resolved(edits(docs, get_pack("la"))))
+    """Edits that surface, by class and rule: a space before a mark wins over repeated marks and runs of spaces."""
+    rows = check(table(spark, sf_dir, "documents"), "la", ALL_EDITS)["edits"]
     return rows.filter("surfaced").groupBy("error_class", "rule").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, replace(replace(coalesce(text, ''), ', ', ' ,, '), '. ', '.   ') AS x FROM documents)
+SELECT doc_id, {_count(f'[ \\t]+{_MARK}')}::BIGINT AS space_before, ({_count(_TWICE)} - {_count(f'[ \\t]{_TWICE}')})::BIGINT AS repeated_mark, ({_SPACES} - {_count(f'{_INNER}{_MARK}')})::BIGINT AS multiple_spaces FROM t""")
 def edits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checked(spark, sf_dir).select("doc_id", "start", "end", "original", "error_class", "rule", "confidence", "surfaced")
+    """The whole check over documents with a mistake at every comma and every end of a sentence: what surfaces, by rule."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit(" ,, ")), F.lit(". "), F.lit(".   ")))
+    one = lambda r: F.sum((F.col("surfaced") & (F.col("rule") == r)).cast("long")).alias(r)
+    found = check(docs, "la", ALL_EDITS)["edits"].groupBy("doc_id").agg(*map(one, ("space_before", "repeated_mark", "multiple_spaces")))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("space_before", "repeated_mark", "multiple_spaces")])
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_LAT}')) AS x, generate_subscripts(regexp_extract_all(coalesce(text, ''), '{_LAT}'), 1) AS i FROM documents),
@@ -284,8 +331,8 @@ r AS (SELECT *, sum(CASE WHEN regexp_matches(x, '^[0-9]') THEN 1 ELSE 0 END) OVE
 g AS (SELECT doc_id, run, count(*) AS n, max(length(x)) AS l FROM r WHERE NOT regexp_matches(x, '^[0-9]') GROUP BY 1, 2)
 SELECT doc_id, count(*)::BIGINT AS n_spans, sum(n)::BIGINT AS n_tokens FROM g WHERE n > 1 OR l >= 2 GROUP BY doc_id""")
 def out_of_scope_bn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = tokenize.token_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out_of_scope(tokens).groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("n_tokens").alias("n_tokens"))
+    found = out_of_scope(table(spark, sf_dir, "documents"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("n_tokens").alias("n_tokens"))
 
 
 _CASES = """c AS (SELECT d.doc_id AS id, l.quality, CASE WHEN d.n_chars < 400 THEN 0 ELSE 1 END AS guess FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
@@ -427,12 +474,33 @@ def uuid7_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT * FROM (VALUES ('error', 'wrong_not_in_text', 'a1'), ('error', 'wrong_is_right', 'a2'), ('error', 'few_cases', 'HOMONYM'), ('error', 'duplicate_id', 'a4'),
-('warning', 'non_word_is_known', 'a3'), ('warning', 'right_is_unknown', 'a3')) t(severity, code, id)""")
-def gold_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+('warning', 'non_word_is_known', 'a2'), ('warning', 'non_word_is_known', 'a3'), ('warning', 'right_is_unknown', 'a3')) t(severity, code, id)""")
+def gold_lint_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("a1", "teh cat", "NON_WORD", "tge", "the"), ("a2", "the cat", "NON_WORD", "cat", "cat"), ("a3", "teh dog", "NON_WORD", "teh", "thx"), ("a4", "the dig", "HOMONYM", "dig", "dog"), ("a4", "the dig", "HOMONYM", "dig", "dog")]
     cases = spark.createDataFrame(rows, "id string, text string, error_class string, wrong string, right string")
     words = spark.createDataFrame([("the",), ("teh",), ("cat",), ("dog",)], "word string")
-    return evaluate.gold_lint(cases, words).filter("NOT (code = 'non_word_is_known' AND id = 'a2')")
+    return evaluate.gold_lint(cases, words)
+
+
+_GOLD = """(SELECT item_id::VARCHAR AS id, text, CASE item_id % 3 WHEN 0 THEN 'NON_WORD' WHEN 1 THEN 'HOMONYM' ELSE 'C' || item_id::VARCHAR END AS error_class,
+  CASE WHEN item_id % 7 = 0 THEN 'zz' ELSE '' END || regexp_extract(text, '[a-z]+') AS wrong, CASE WHEN item_id % 5 = 0 THEN regexp_extract(text, '[a-z]+') ELSE regexp_extract(text, '[a-z]+ ([a-z]+)', 1) END AS "right" FROM benchmark)"""
+
+
+@query(f"""WITH {_FREQ}, lex AS (SELECT word FROM f WHERE docs >= 3), c AS (SELECT * FROM {_GOLD} UNION ALL SELECT * FROM {_GOLD} WHERE id::BIGINT % 11 = 0)
+SELECT 'error' AS severity, 'wrong_not_in_text' AS code, id FROM c WHERE NOT contains(text, wrong)
+UNION ALL SELECT 'error', 'wrong_is_right', id FROM c WHERE wrong = "right"
+UNION ALL SELECT 'error', 'few_cases', error_class FROM c GROUP BY error_class HAVING count(*) < 3
+UNION ALL SELECT 'error', 'duplicate_id', id FROM c GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'warning', 'non_word_is_known', id FROM c WHERE error_class = 'NON_WORD' AND wrong IN (SELECT word FROM lex)
+UNION ALL SELECT 'warning', 'right_is_unknown', id FROM c WHERE "right" IS NOT NULL AND NOT contains("right", ' ') AND "right" NOT IN (SELECT word FROM lex)""")
+def gold_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases made of the benchmark's first words, some twice and some wrong, against the documents' lexicon."""
+    first = F.regexp_extract("text", "[a-z]+", 0)
+    i = F.col("item_id")
+    cases = table(spark, sf_dir, "benchmark").select(
+        i.cast("string").alias("id"), "text", F.when(i % 3 == 0, "NON_WORD").when(i % 3 == 1, "HOMONYM").otherwise(F.concat(F.lit("C"), i.cast("string"))).alias("error_class"),
+        F.concat(F.when(i % 7 == 0, "zz").otherwise(""), first).alias("wrong"), F.when(i % 5 == 0, first).otherwise(F.regexp_extract("text", "[a-z]+ ([a-z]+)", 1)).alias("right"))
+    return evaluate.gold_lint(cases.union(cases.filter(F.col("id").cast("long") % 11 == 0)), lexicon.corpus_lexicon(table(spark, sf_dir, "documents")))
 
 
 @query("""WITH t AS (SELECT * FROM documents), n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), chr(9) || ' ', '→·')) AS shown FROM t) SELECT * FROM n""")
@@ -442,15 +510,16 @@ def shown_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(shown(F.coalesce("text", F.lit(""))), 256).alias("shown"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), 1) AS i FROM documents),
-x AS (SELECT doc_id, word, lag(word) OVER o AS prev, lead(word) OVER o AS next FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i))
-SELECT doc_id, count(*) AS n FROM x WHERE word = 'the' AND (next = 'of' OR prev = 'and') GROUP BY doc_id""")
+@query(f"""WITH s AS (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[.?!]+|\\n\\n+')) AS x, generate_subscripts(string_split_regex(lower(coalesce(text, '')), '[.?!]+|\\n\\n+'), 1) AS k FROM documents),
+w AS (SELECT doc_id, k, unnest(regexp_extract_all(x, '{_LAT}')) AS word, generate_subscripts(regexp_extract_all(x, '{_LAT}'), 1) AS i FROM s),
+n AS (SELECT doc_id, word, lag(word) OVER o AS prev, lead(word) OVER o AS next FROM w WINDOW o AS (PARTITION BY doc_id, k ORDER BY i))
+SELECT doc_id, count(*) AS n FROM n WHERE word = 'the' AND (next = 'of' OR prev = 'and') GROUP BY doc_id""")
 def neighbour_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The neighbour test of collocations on Latin text: a word by the token before or after it."""
-    found = F.posexplode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("i", "word")
-    w = Window.partitionBy("doc_id").orderBy("i")
-    x = table(spark, sf_dir, "documents").select("doc_id", found).withColumns({"prev": F.lag("word").over(w), "next": F.lead("word").over(w)})
-    return x.filter("word = 'the' AND (next = 'of' OR prev = 'and')").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """The collocation detector on Latin text: a word by the token before or after it, within a sentence."""
+    pack = Pack("the", tokenize.LATIN, lexicon=("the",), collocations=(Collocation("the", "a", before=("of",), after=("and",)),))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    found = edits(docs, pack).select("doc_id", F.size(F.filter("edits", lambda e: e["rule"] == "collocation")).cast("long").alias("n"))
+    return found.filter("n > 0")
 
 
 @query("""SELECT * FROM (VALUES (1, 'NOTVA_SHOTVA', 'spelling', 'na and sha'), (11, 'NON_WORD', 'spelling', 'lexicon'), (13, 'PUNCTUATION', 'punctuation', 'punctuation')) t(doc_id, error_class, category, rule_reference)""")
@@ -464,21 +533,24 @@ def bn_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("doc_id", "error_class", "category", "rule_reference").distinct()
 
 
-@query("SELECT * FROM (VALUES (1, 'a, b! c'), (2, 'clean')) t(doc_id, text)")
+@query("SELECT * FROM (VALUES (1, 'a, b! c'), (1, 'a, b! c'), (2, 'clean'), (NULL, 'x!')) t(doc_id, text)")
 def accept_all_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every first suggestion applied, from the last edit to the first."""
-    docs = spark.createDataFrame([(1, "a , b!!  c"), (2, "clean")], "doc_id int, text string")
-    kept = resolve.resolved(edits(docs, get_pack("la")))
-    return docs.join(kept, "doc_id").select("doc_id", resolve.accepted(F.col("text"), F.col("kept")).alias("text"))
+    """Every first suggestion applied; rows of equal and null ids are their own."""
+    docs = spark.createDataFrame([(1, "a , b!!  c"), (1, "a , b!!  c"), (2, "clean"), (None, "x!!")], "doc_id int, text string")
+    return accept_all(docs, "la")
 
 
-@query("SELECT * FROM (VALUES (1, 2.0, 0.0, 0.0, 2.0, 100.0), (2, 0.0, 0.0, 0.0, NULL, 0.0)) t(doc_id, syllables_per_word, tatsama_share, length_variance, mean_sentence_length, score)")
+@query("""SELECT doc_id, syllables_per_word::DOUBLE AS syllables_per_word, tatsama_share::DOUBLE AS tatsama_share, length_variance::DOUBLE AS length_variance,
+  mean_sentence_length::DOUBLE AS mean_sentence_length, words::DOUBLE AS words, sentences::DOUBLE AS sentences, score::DOUBLE AS score
+FROM (VALUES (1, 2.0, 0.0, 0.0, 2.0, 2.0, 1.0, 100.0), (2, 0.0, 0.0, 0.0, NULL, 0.0, 0.0, 0.0), (3, 2.333, 0.333, 0.25, 1.5, 3.0, 2.0, 62.5))
+  t(doc_id, syllables_per_word, tatsama_share, length_variance, mean_sentence_length, words, sentences, score)""")
 def bn_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scriptorium.functions.readability import scored
+    """Two words of two syllables; no words; one learned word of three in two sentences, 100 * (1 - (0.3 * 0.1333 + 0.35 * 0.7407 + 0.15 * 0.0028) / 0.8)."""
+    from scriptorium.functions.readability import FIELDS, scored
 
-    docs = spark.createDataFrame([(1, u("986 9AE 9BF 20 9AD 9BE 9A4 20 964").replace(u("9AD 9BE 9A4"), u("9AF 9BE 987"))), (2, "no words of ours.")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, "আমি যাই।"), (2, "no words of ours."), (3, "আমি লক্ষণ। যাই।")], "doc_id int, text string")
     r = docs.select("doc_id", scored(F.col("text")).alias("r"))
-    return r.select("doc_id", *[F.col(f"r.{c}") for c in ("syllables_per_word", "tatsama_share", "length_variance", "mean_sentence_length", "score")])
+    return r.select("doc_id", *[F.col(f"r.{c}") for c in FIELDS])
 
 
 @query("SELECT * FROM (VALUES (1, 'SFX A Y 12'), (2, 'PFX B N 3'), (3, 'SFX A 0 x$ .')) t(id, line)")
@@ -548,4 +620,79 @@ def digit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number or a word of the pack ends a foreign run; one letter alone is none."""
     docs = spark.createDataFrame([(1, "hello the world".replace(" the ", " (!) ") + " 12 a " + u("995") + " ok " + u("996") + " b")], "doc_id int, text string")
-    return out_of_scope(tokenize.token_rows(docs)).select("doc_id", "start", "end", F.col("n_tokens").cast("int").alias("n_tokens"), "script")
+    return out_of_scope(docs).select("doc_id", "start", "end", F.col("n_tokens").cast("int").alias("n_tokens"), "script")
+
+
+_BN = get_pack("bn")
+
+
+def _values(rows, names: str) -> str:
+    """Rows of strings as an SQL table."""
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(f"'{x}'" for x in r) + ')' for r in rows)}) t({names}))"
+
+
+_CELLS = [(t, p, e) for t, cells in _BN.paradigms.items() for p, e in cells.items() if e not in _BN.ambiguous_endings]
+
+
+@query(f"""WITH s AS {_values(_BN.subjects.items(), "subject, person")}, r AS {_values([(x,) for x in _BN.roots], "root")}, c AS {_values(_CELLS, "tense, person, ending")},
+a AS {_values([(t, p, e) for t, cells in _BN.paradigms.items() for p, e in cells.items()], "tense, person, ending")},
+e AS (SELECT ending, min(tense) AS tense, list(person) AS persons FROM c GROUP BY ending), n AS {_values([(x,) for x in _BN.not_verbs], "word")}
+SELECT subject || ' ' || root || e.ending || '।' AS text, root || a.ending AS suggestion FROM s, r, e JOIN a ON a.tense = e.tense AND a.person = s.person
+WHERE NOT list_contains(persons, s.person) AND root || e.ending NOT IN (SELECT word FROM n)""")
+def bn_verb_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject with every root and ending: which verbs are in another person, and the right ending of the first tense."""
+    texts = sorted({(f"{s} {r}{e}।",) for s in _BN.subjects for r in _BN.roots for _, _, e in _CELLS})
+    docs = spark.createDataFrame([(i, t) for i, (t,) in enumerate(texts)], "doc_id int, text string")
+    found = docs.join(check(docs, "bn")["edits"].filter("rule = 'verb_person' AND surfaced"), "doc_id")
+    return found.select("text", F.get("suggestions", F.lit(0)).alias("suggestion"))
+
+
+_NOUNS = (*_BN.person_nouns, *_BN.thing_nouns)
+
+
+@query(f"""WITH q AS {_values([(x,) for x in _BN.quantifiers], "q")}, n AS {_values([(x, str(x in _BN.person_nouns).lower()) for x in _NOUNS], "noun, person")}, p AS {_values([(x,) for x in _BN.plural_suffixes], "suffix")},
+t AS {_values([*((a, b, "true") for a, b in _BN.thing_to_person.items()), *((a, b, "false") for a, b in _BN.person_to_thing.items())], "num, other, person")}, b AS {_values([(x,) for x in ("", *_BN.bare_classifiers)], "bare")}
+SELECT q || ' ' || noun || suffix || '।' AS text, 'double_plural' AS rule, noun || suffix AS original, noun AS suggestion FROM q, n, p
+UNION ALL SELECT num || ' ' || CASE WHEN bare = '' THEN '' ELSE bare || ' ' END || noun || '।', 'animacy', num || CASE WHEN bare = '' THEN '' ELSE ' ' || bare END, other FROM n, b, t WHERE t.person = n.person""")
+def bn_classifier_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quantifier with every plural, and every number with every noun, with a bare classifier between or not."""
+    texts = [f"{q} {n}{s}।" for q in _BN.quantifiers for n in _NOUNS for s in _BN.plural_suffixes]
+    texts += [f"{num} {b + ' ' if b else ''}{n}।" for num in sorted({*_BN.thing_to_person, *_BN.person_to_thing}) for b in ("", *_BN.bare_classifiers) for n in _NOUNS]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = docs.join(check(docs, "bn")["edits"].filter("rule IN ('double_plural', 'animacy') AND surfaced"), "doc_id")
+    return found.select("text", "rule", "original", F.get("suggestions", F.lit(0)).alias("suggestion"))
+
+
+_WRONG = [*((a, b, "violation") for a, b in _BN.violations.items()), *((a, b, "standard_form") for a, b in _BN.standard_forms.items())]
+
+
+@query(f"""WITH w AS {_values(_WRONG, "wrong, suggestion, rule")}, n AS {_values([(x,) for x in _BN.thing_nouns], "noun")}, m AS {_values([(x,) for x in "।?!"], "mark")}
+SELECT noun || ' ' || wrong || mark AS text, rule, suggestion, length(noun)::INTEGER + 1 AS start, (length(noun) + 1 + length(wrong))::INTEGER AS "end" FROM w, n, m""")
+def bn_spelling_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listed misspelling after every noun and before every end of a sentence, with its place in the submitted text."""
+    texts = [f"{n} {w}{m}" for w, _, _ in _WRONG for n in _BN.thing_nouns for m in "।?!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = docs.join(check(docs, "bn")["edits"].filter("rule IN ('violation', 'standard_form') AND surfaced"), "doc_id")
+    return found.select("text", "rule", F.get("suggestions", F.lit(0)).alias("suggestion"), "start", "end")
+
+
+_PAIRS = [(a, m) for a, m in _BN.register.items()]
+
+
+@query(f"""WITH p AS {_values(_PAIRS, "archaic, modern")}, v AS {_values([(r + e,) for r in _BN.roots for e in ("চ্ছে", "েছি", "েছেন")], "verb")}
+SELECT archaic || ' ' || verb || '।' AS text, archaic AS original, modern AS suggestion FROM p, v""")
+def bn_register_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every archaic word beside verbs of modern endings: the archaic one, in the minority or as many, is flagged."""
+    texts = [f"{a} {r}{e}।" for a, _ in _PAIRS for r in _BN.roots for e in ("চ্ছে", "েছি", "েছেন")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = docs.join(edits(docs, _BN).select("doc_id", F.explode("edits").alias("e")).select("doc_id", "e.*").filter("rule = 'register_clash'"), "doc_id")
+    return found.select("text", "original", F.get("suggestions", F.lit(0)).alias("suggestion"))
+
+
+@query(f"""WITH n AS (SELECT unnest(range(0, 11))::INTEGER AS modern), a AS (SELECT unnest(range(0, 11))::INTEGER AS archaic)
+SELECT modern, archaic, (modern > 0 AND archaic > 0 AND modern + archaic >= 4 AND least(modern, archaic) / (modern + archaic)::DOUBLE >= 0.15) AS drift FROM n, a""")
+def bn_drift_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of so many modern and archaic sentences: drift from four sentences and a share of 0.15 on."""
+    docs = spark.createDataFrame([(100 * m + a, "আমি কাজ করেছি। " * m + "তাহারা কাজ জানে। " * a) for m in range(11) for a in range(11)], "doc_id int, text string")
+    flagged = F.exists("edits", lambda e: e["rule"] == "register_drift")
+    return edits(docs, _BN).select((F.floor(F.col("doc_id") / 100)).cast("int").alias("modern"), (F.col("doc_id") % 100).cast("int").alias("archaic"), flagged.alias("drift"))

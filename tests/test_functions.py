@@ -77,7 +77,7 @@ def test_bijoy_is_detected_and_not_converted():
     text = "Avgvi †mvbvi ‡ Š evsjv ‹ Œ"
     assert bijoy.looks_like(text) and bijoy.convert(text) == text
     assert not bijoy.looks_like("plain text") and bijoy.coverage("  12") == 1.0
-    assert bijoy.convert("KL") == u("995 996") and bijoy.reordered(u("9BF 995 9CD 9A4")) == u("995 9CD 9A4 9BF")
+    assert [bijoy.convert(x) for x in ("evsjv", "Zzwg")] == ["বাংলা", "তুমি"] and bijoy.reordered(u("9BF 995 9CD 9A4")) == u("995 9CD 9A4 9BF")
 
 
 def test_syllables(spark):
@@ -88,7 +88,7 @@ def test_syllables(spark):
 
 def test_readability(spark):
     empty = readability.score("English only.")
-    assert empty["score"] == 0.0 and "mean_sentence_length" not in empty
+    assert empty == dict.fromkeys(readability.FIELDS, 0.0) | {"mean_sentence_length": None}
     easy, hard = readability.score(u("986 9AE 9BF 20 9AF 9BE 987 964")), readability.score(u("995 9CD 9B7 9A3 9BF 995 9A4 9BE 20 9AC 9BF 9B6 9C7 9B7 9A3 964"))
     assert 0 <= hard["score"] < easy["score"] <= 100
     assert spark.createDataFrame([("x",)], "t string").select(readability.scored(F.col("t")).alias("r")).first()["r"]["mean_sentence_length"] is None
@@ -97,7 +97,7 @@ def test_readability(spark):
 def test_scope(spark):
     text = u("986 9AE 9BF") + " hello big world " + u("9AC 987") + " a 12 ok go"
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
-    got = [text[r["start"] : r["end"]] for r in out_of_scope(tokenize.token_rows(docs)).orderBy("start").collect()]
+    got = [text[r["start"] : r["end"]] for r in out_of_scope(docs).orderBy("start").collect()]
     assert got == ["hello big world", "ok go"]
 
 
@@ -124,3 +124,49 @@ def test_native_folds_are_the_kernel(spark):
     text = "a" + u("A0 3000 200B") + u("2018 2026")
     row = spark.createDataFrame([(text,)], "t string").select(normalize.punctuation_folded(normalize.space_like_folded(normalize.invisibles_stripped(F.col("t"))))).first()
     assert row[0] == normalize.normalize(text)[0]
+
+
+def test_readability_keys_and_rounding():
+    """Two words of 2 and 3 syllables, one learned, and one word: places as documented."""
+    got = readability.score("আমি লক্ষণ। যাই।")
+    assert set(got) == set(readability.FIELDS) and (got["words"], got["sentences"]) == (3.0, 2.0)
+    assert got["syllables_per_word"] == 2.333 and got["tatsama_share"] == 0.333 and got["length_variance"] == 0.25
+    for w in ("বিষয়", "কারণ", "ঋণ", "কৃষক", "দুঃখ", "বাক্য", "প্রাণ", "বিশ্ব", "রক্ষা", "জ্ঞান"):
+        assert readability.tatsama(w), w
+    assert not any(map(readability.tatsama, ("আমি", "ভাত", "উৎস", "মা")))
+
+
+def brute_osa(a, b):
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_osa_within_a_band():
+    import random
+    import time
+
+    from scriptorium.functions.distance import osa
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+        want = brute_osa(a, b)
+        assert osa(a, b) == want
+        for limit in (0, 1, 2, 3):
+            assert osa(a, b, limit) == min(want, limit + 1), (a, b, limit)
+    began = time.process_time()
+    assert osa("ab" * 50_000, "ba" * 50_000, 2) == 2
+    assert time.process_time() - began < 5
+
+
+def test_keys_of_long_words(spark):
+    from scriptorium.functions.distance import latin_key
+
+    n = (1 << 20) + 5
+    row = spark.createDataFrame([("b" + "t" * n + "l",)], "w string").select(latin_key(F.col("w")).alias("k")).first()
+    assert len(row["k"]) == n + 2 and row["k"][-1] == "4"

@@ -87,7 +87,9 @@ def test_kept_edits_never_overlap(spark):
 
 def test_check_maps_back_to_the_submitted_text(spark):
     text = "​আমি “ভাত” কারন  জানি।"
-    out = check(spark.createDataFrame([(1, text), (2, "x" * 200_001), (3, None)], "doc_id int, text string"))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 200_001), (3, None)], "doc_id int, text string")
+    assert check(docs)["too_long"].count() == 0 and check(docs)["readability"].count() == 3
+    out = check(docs, config=PipelineConfig(max_text=200_000))
     rows = [r for r in out["edits"].collect() if r["rule"] == "violation"]
     assert [text[r["start"] : r["end"]] for r in rows] == ["কারন"]
     assert [r["doc_id"] for r in out["too_long"].collect()] == [2]
@@ -101,6 +103,104 @@ def test_accept_all(spark):
     assert accept_all(docs).first()["text"] == normalize("ভালো, আমি!")[0]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_check_is_one_pass(spark):
+    """Repeated and null ids keep their own edits; no exchange, no join, and one pass of Python over the text."""
+    docs = spark.createDataFrame([(1, "ক , খ!!  গ"), (1, "ক , খ!!  গ"), (None, "ঘ!!"), (2, "ঙ")], "doc_id int, text string")
+    out = check(docs, "la")
+    found = [r["doc_id"] for r in out["edits"].filter("error_class = 'PUNCTUATION'").collect()]
+    assert sorted(found, key=repr) == [1] * 6 + [None]
+    for df in (out["edits"], out["out_of_scope"], out["readability"], accept_all(docs), check(docs)["edits"]):
+        assert "Exchange" not in plan_of(df) and "Join" not in plan_of(df)
+    assert plan_of(out["edits"]).count("ArrowEvalPython [") == 2  # found, then which of the edits are taken
+    assert sorted((r["doc_id"], r["text"]) for r in accept_all(docs, "la").collect() if r["doc_id"]) == [(1, "ক, খ! গ"), (1, "ক, খ! গ"), (2, "ঙ")]
+    assert accept_all(docs).count() == 4
+
+
+def test_many_edits_in_one_text(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "ক !!  " * 20_000)], "doc_id int, text string")
+    began = time.time()
+    kept = resolve.resolved(edits(docs, get_pack("la")), PipelineConfig(max_edits=1 << 30)).select(F.size("kept").alias("n"), F.size("suppressed").alias("m")).first()
+    assert kept["n"] >= 39_000 and time.time() - began < 60
+
+
+def test_suggestions_are_ranked(checker):
+    """By distance, a letter of the same sound, length gap, key, place in the list; reconstructed stems are among them."""
+    w = normalize
+    pool = ["কাল", "কাজ", "কাস", "কাশি"]
+    assert checker.ranked("কাশ", pool, 5)[0] == "কাস"
+    assert checker.ranked("কাশ", ["কাশা", "কাত"], 5) == ["কাত", "কাশা"]
+    first, later = checker.pack.lexicon[0], checker.pack.lexicon[-1]
+    assert checker.frequency[first] > checker.frequency[later]
+    got = checker.suggest(w("মানুশকে")[0])
+    assert got[0] == w("মানুষকে")[0]
+    assert checker.suggest(w("মানুশ")[0])[0] == w("মানুষ")[0]
+
+
+def test_a_word_that_its_neighbour_marks(checker):
+    a, b = normalize("জামা পরে")[0].split()
+    assert checker.register_of(b, a) == "modern" and checker.register_of(b, None) is None and checker.register_of(b, "বই") is None
+    assert checker.counterpart(b, "modern") == normalize("পরিয়া")[0]
+
+
+def test_counterparts_come_from_the_longest_ending(checker):
+    assert checker.counterpart(normalize("করিতেছেন")[0], "archaic") == "করছেন"
+    from dataclasses import replace
+
+    less = Checker(replace(checker.pack, derived={k: v for k, v in checker.pack.derived.items() if k != "িতেছেন"}, archaic_endings=(*checker.pack.archaic_endings, "েন")))
+    assert less.counterpart("করিতেছেন", "archaic") is None
+
+
+def test_animacy_takes_in_a_bare_classifier(checker):
+    for text, span, right in (("একটা জন শিক্ষক।", "একটা জন", "একজন"), ("দুটি ছাত্র।", "দুটি", "দুজন"), ("একজন টা বই।", "একজন টা", "একটি")):
+        found = [e for e in checker.check(normalize(text)[0]) if e.rule == "animacy"]
+        assert [(e.original, e.suggestions) for e in found] == [(normalize(span)[0], (normalize(right)[0],))]
+        assert normalize(text)[0][found[0].start : found[0].end] == normalize(span)[0]
+
+
+def test_candidates_of_long_words(spark):
+    """Each side of the bound, against every pair; and a word of 50,000 letters."""
+    from scriptorium.functions.distance import osa
+
+    rng = random.Random(9)
+    words = {"".join(rng.choice("ab") for _ in range(n)) for n in (1, 2, 3, 5, 7, 8, 9, 10, 11) for _ in range(6)}
+    for w in list(words):
+        for _ in range(3):
+            x = list(w)
+            for _ in range(rng.randrange(1, 3)):
+                k = rng.randrange(len(x) + 1)
+                x[k : k + rng.randrange(2)] = rng.choice(["", "a", "b", "c"])
+            words.add("".join(x))
+    words = sorted(w for w in words if w)
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, freq int")
+    for most in (1, 2):
+        for long in (0, 5, 8, 100):
+            got = {(r["word"], r["cand"], r["dist"]) for r in lexicon.candidates(df.select("word"), df, most, long=long).collect()}
+            assert got == {(a, b, osa(a, b)) for a in words for b in words if a != b and osa(a, b) <= most}, (most, long)
+    huge = "xyz" * 17_000
+    got = lexicon.candidates(spark.createDataFrame([(huge,)], "word string"), spark.createDataFrame([(huge[:-1], 1), (huge[1:] + "q", 1), ("xyz", 1)], "word string, freq int"), 2).select("dist").collect()
+    assert sorted(r["dist"] for r in got) == [1, 2]
+
+
+def test_core_names_no_language():
+    """Operators, plans, sources and streams hold no letter of the pack's script: those are in the pack and in functions of its letters."""
+    from pathlib import Path
+
+    import scriptorium
+
+    root = Path(scriptorium.__file__).parent
+    for folder in ("operators", "plans", "sources", "streaming"):
+        for p in (root / folder).glob("*.py"):
+            assert not [c for c in p.read_text(encoding="utf-8") if 0x980 <= ord(c) <= 0x9FF], p
+    for p in (root / "config.py", root / "session.py", root / "packs" / "base.py"):
+        assert not [c for c in p.read_text(encoding="utf-8") if 0x980 <= ord(c) <= 0x9FF], p
+
+
 def test_ids_and_ignored(spark):
     docs = spark.createDataFrame([(1, "কারন কারন")], "doc_id int, text string")
     rows = resolve.with_ids(resolve.edit_rows(resolve.resolved(edits(docs, get_pack("bn")))))
