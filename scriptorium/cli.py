@@ -1,6 +1,7 @@
-"""Command line: check, classes, languages, readability, identity.
+"""Command line: check, eval, classes, languages, readability, identity.
 
     python -m scriptorium.cli check --lang bn PATH
+    python -m scriptorium.cli eval FOLDER --lang bn --baseline FOLDER --strict
 """
 
 from __future__ import annotations
@@ -34,6 +35,12 @@ def main(argv: list[str] | None = None) -> int:
         c = sub.add_parser(name)
         c.add_argument("text")
         c.add_argument("--lang", default="bn", choices=languages())
+    e = sub.add_parser("eval")
+    e.add_argument("gold")
+    e.add_argument("--lang", default="bn", choices=languages())
+    e.add_argument("--baseline")
+    e.add_argument("--update-baseline", metavar="FOLDER")
+    e.add_argument("--strict", action="store_true")
     for name in ("classes", "languages"):
         sub.add_parser(name)
     i = sub.add_parser("identity")
@@ -49,6 +56,21 @@ def main(argv: list[str] | None = None) -> int:
         found = check(spark.createDataFrame([(0, text_of(a.text))], "doc_id int, text string"), a.lang)["edits"]
         for line in found.filter("surfaced").orderBy("start").toJSON().toLocalIterator():
             print(line)
+    elif a.command == "eval":
+        from pyspark.sql import SparkSession
+
+        from scriptorium.plans.evaluation import gated
+        from scriptorium.sources.tables import markdown, write_baseline
+
+        per_class, headline, gate = gated(SparkSession.builder.getOrCreate(), a.gold, a.lang, a.baseline, a.strict)
+        print(markdown(per_class))
+        print(headline.toJSON().first())
+        rows = gate.collect()  # at most a row for each gate and class
+        for r in rows:
+            print(r["severity"], r["code"], r["message"], sep="\t", file=sys.stderr)
+        if a.update_baseline:
+            write_baseline(per_class, a.update_baseline)
+        return int(any(r["severity"] == "blocker" for r in rows))
     elif a.command == "readability":
         print(json.dumps(score(normalize(text_of(a.text))[0], get_pack(a.lang).rules), ensure_ascii=False))
     elif a.command == "classes":

@@ -5,13 +5,70 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from typing import Protocol, runtime_checkable
+from typing import Any, Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 
 from scriptorium.functions.tokenize import Rules
 
 
+@runtime_checkable
+class Normalizer(Protocol):
+    """A struct (text, original, offset_map, applied_rules) of a text; applied to its own text, it changes nothing."""
+
+    def __call__(self, text: Column) -> Column: ...
+
+
+@runtime_checkable
+class SentenceTokenizer(Protocol):
+    """What ends a sentence, and the pattern of words."""
+
+    terminators: str
+    word: str
+
+
+@runtime_checkable
+class WordList(Protocol):
+    """Words with the affixes they take, and whether a word is one of them."""
+
+    words: frozenset[str]
+
+    def lookup(self, word: str) -> Any: ...
+
+
+@runtime_checkable
+class Detector(Protocol):
+    """An array of edits (config.EDIT_DDL) in a text; their order is that of emission."""
+
+    def __call__(self, text: Column) -> Column: ...
+
+
+@runtime_checkable
+class Corrector(Protocol):
+    """The edits that were kept, with other suggestions; places stay."""
+
+    def __call__(self, text: Column, edits: Column) -> Column: ...
+
+
+@runtime_checkable
+class ReadabilityScorer(Protocol):
+    """A struct of a text's score and its parts."""
+
+    def __call__(self, text: Column) -> Column: ...
+
+
+@runtime_checkable
+class LanguagePack(Protocol):
+    """What the checker asks of a pack."""
+
+    code: str
+    rules: SentenceTokenizer
+    lexicon: tuple[str, ...]
+    detectors: tuple[Detector, ...]
+    correctors: tuple[Corrector, ...]
+    readability: ReadabilityScorer | None
+
+
 @dataclass(frozen=True)
 class Collocation:
     """wrong is right's mistake if the next token is in before, or the previous one in after."""
@@ -67,21 +124,10 @@ class Pack:
     vowel_final_only: tuple[str, ...] = ()
     lexicon: tuple[str, ...] = ()
     coverage: float | None = None
-
-
-@runtime_checkable
-class Normalizer(Protocol):
-    def __call__(self, docs: DataFrame) -> DataFrame: ...
-
-
-@runtime_checkable
-class Detector(Protocol):
-    def __call__(self, docs: DataFrame, pack: Pack) -> DataFrame: ...
-
-
-@runtime_checkable
-class Corrector(Protocol):
-    def __call__(self, edits: DataFrame) -> DataFrame: ...
+    #: Beyond the checker's own: columns over a document's text, which stay on its row.
+    detectors: tuple[Detector, ...] = ()
+    correctors: tuple[Corrector, ...] = ()
+    readability: ReadabilityScorer | None = None
 
 
 _FACTORIES: dict[str, Callable[[], Pack]] = {

@@ -1,6 +1,6 @@
 """Latin pack. Our own addition: it proves that packs are pluggable and runs the
 language-neutral rules on corpora without Bengali. Its lexicon comes from the
-corpus (operators.lexicon.corpus_lexicon)."""
+corpus (plans.corpus)."""
 
 from __future__ import annotations
 

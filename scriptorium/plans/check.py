@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,17 @@ SKIPPED = {2: "not part of this engine", 3: "not part of this engine", 4: "not p
 
 def _found(docs: DataFrame, code: str, config: PipelineConfig, id_col: str) -> DataFrame:
     """(id, __sc_found, kept, suppressed): what was found in each row's normalised text, resolved; nothing leaves its row."""
-    n = normalized_edits(docs.select(id_col, "text"), get_pack(code)).withColumn("edits", F.col("__sc_found.edits"))
-    return resolved(n, config, id_col, keep=("__sc_found",))
+    pack = get_pack(code)
+    text, found = F.col("__sc_found.text"), F.col("__sc_found.edits")
+    if pack.detectors:
+        all_ = F.concat(found, *[F.coalesce(d(text), F.slice(found, 1, 0)) for d in pack.detectors])
+        found = F.transform(all_, lambda e, i: e.withField("seq", i.cast("int")))
+    # The checker's own detectors alone go to the executors.
+    n = normalized_edits(docs.select(id_col, "text"), replace(pack, detectors=(), correctors=(), readability=None)).withColumn("edits", found)
+    out = resolved(n, config, id_col, keep=("__sc_found",))
+    for c in pack.correctors:
+        out = out.withColumn("kept", c(text, F.col("kept")))
+    return out
 
 
 def check(docs: DataFrame, code: str = "bn", config: PipelineConfig = PipelineConfig(), id_col: str = "doc_id") -> dict[str, DataFrame]:
@@ -44,7 +55,7 @@ def check(docs: DataFrame, code: str = "bn", config: PipelineConfig = PipelineCo
         "sentences": sentence_rows(plain, pack.rules, id_col),
         "edits": found,
         "out_of_scope": out_of_scope(given, pack.rules, id_col),
-        "readability": plain.select(id_col, scored(F.col("text"), pack.rules).alias("r")).select(id_col, "r.*"),
+        "readability": plain.select(id_col, (pack.readability(F.col("text")) if pack.readability else scored(F.col("text"), pack.rules)).alias("r")).select(id_col, "r.*"),
         "stage_report": report,
         "too_long": docs.filter(~fits).select(id_col),
     }

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.config import ERROR_CLASSES
+from scriptorium.config import ERROR_CLASSES, FULL_LEXICON
+from scriptorium.functions.normalize import folded_word as folded
 from scriptorium.functions.normalize import normalized
+from scriptorium.operators.lexicon import word_list
+from scriptorium.packs.base import Pack
 
 GOLD = "id string, text string, error_class string, wrong string, right string, review string, source string, note string"
 SPEC = "error_class string, label string, template string, no_fix_template string, rule_reference string, gold_cases int"
@@ -22,21 +27,71 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold cases from JSON lines; an id that repeats raises."""
-    rows = spark.read.schema(GOLD).json(path)
+    """Gold cases from JSON lines: of the folder `errors` in path, a file for each class, or, without it, of
+    `errors.json` there or of path itself; an id that repeats in any of them raises."""
+    found = [x for x in (f"{path}/errors", f"{path}/errors.json") if exists(spark, x)]
+    rows = spark.read.schema(GOLD).json(found[0] if found else path)
     twice = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"gold case {twice[0][0]!r} is there twice")
     return rows
 
 
+def clean(spark: SparkSession, path: str) -> DataFrame:
+    """(sent_id, text): sentences without mistakes, a line each, of `clean.txt` in path."""
+    lines_ = spark.read.text(f"{path}/clean.txt").filter(F.trim("value") != "")
+    return lines_.select(F.xxhash64("value").alias("sent_id"), F.col("value").alias("text"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, by Spark's own file systems."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+
+
+def rule_table(spark: SparkSession, path: str, wrong: str = "wrong", right: str = "right") -> dict[str, str]:
+    """A rule table from JSON lines or CSV with a header, folded as text is; a key that comes twice with other values
+    raises. Rule tables are of a language's size and live on the driver."""
+    rows = spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.option("header", True).csv(path)
+    out: dict[str, str] = {}
+    for r in rows.select(wrong, right).toLocalIterator():
+        k, v = folded(r[0] or ""), folded(r[1] or "")
+        if out.setdefault(k, v) != v:
+            raise ValueError(f"{path}: {k!r} has two values, {out[k]!r} and {v!r}")
+    return out
+
+
+def pack_from(spark: SparkSession, base: Pack, folder: str) -> Pack:
+    """base with the tables that folder holds: <field>.jsonl or .csv for its maps, <field>.txt for its word lists.
+
+    Without a word list, base keeps its own and says so: unknown words then are hardly ever confident enough to surface."""
+    from dataclasses import fields, replace
+
+    new: dict[str, object] = {}
+    for f in fields(base):
+        for end in {"dict[str, str]": (".jsonl", ".csv"), "tuple[str, ...]": (".txt",)}.get(str(f.type), ()):
+            path = f"{folder}/{f.name}{end}"
+            if not exists(spark, path):
+                continue
+            if end == ".txt":
+                new[f.name] = tuple(folded(r["word"]) for r in word_list(lines(spark, path)).orderBy("pos").toLocalIterator())
+            else:
+                new[f.name] = rule_table(spark, path)
+    if "lexicon" in new:
+        new["coverage"] = min(1.0, len(new["lexicon"]) / FULL_LEXICON)  # type: ignore[arg-type]
+    else:
+        warnings.warn(f"no word list in {folder}: the pack's own {len(base.lexicon)} words are used, and unknown words won't surface", stacklevel=2)
+        new["coverage"] = min(1.0, len(base.lexicon) / FULL_LEXICON)
+    return replace(base, **new)  # type: ignore[arg-type]
+
+
 def class_specs(specs: DataFrame) -> DataFrame:
-    """specs, if every class is there with its keys and at least three cases; else ValueError.
+    """specs, if every class is there with its four keys and at least three cases; else ValueError.
 
     There are twelve classes, so the checks run on the driver."""
     found = {r["error_class"]: r for r in specs.collect()}
     missing = sorted(set(ERROR_CLASSES) - set(found))
-    bad = sorted(k for k, r in found.items() if not (r["label"] and r["template"] and r["rule_reference"]) or (r["gold_cases"] or 0) < 3)
+    bad = sorted(k for k, r in found.items() if not all(r[c] for c in ("label", "template", "no_fix_template", "rule_reference")) or (r["gold_cases"] or 0) < 3)
     if missing or bad:
         raise ValueError(f"classes without spec: {missing}; incomplete: {bad}")
     return specs

@@ -355,3 +355,45 @@ def test_cli(capsys, tmp_path):
 
 def test_share_text(spark):
     assert [r[0] for r in spark.createDataFrame([(0.155,), (0.5,)], "s double").select(resolve.share_text(F.col("s"))).collect()] == ["16%", "50%"]
+
+
+def test_packs_can_be_extended(spark):
+    """A pack's own detector, corrector and readability run in the plan; the pack keeps its protocol."""
+    from dataclasses import replace as replaced
+
+    from scriptorium.config import EDIT_DDL
+    from scriptorium.packs import base
+
+    ddl = "array<struct<" + ",".join(f"{n}:{t}" for n, t in (p.rsplit(" ", 1) for p in EDIT_DDL.split(", "))) + ">>"
+
+    def loud(text):
+        e = F.struct(*[v.alias(n) for n, v in dict(start=F.lit(0), end=F.lit(1), original=F.left(text, F.lit(1)), suggestions=F.array(F.lit("?")), error_class=F.lit("WORD_ORDER"), confidence=F.lit(0.99), stage=F.lit(2), rule=F.lit("loud"), seq=F.lit(0)).items()])
+        return F.when(text == F.upper(text), F.array(e)).cast(ddl)
+
+    def shout(text, edits):
+        return F.transform(edits, lambda e: e.withField("suggestions", F.transform(e["suggestions"], lambda s: F.concat(s, F.lit("!")))))
+
+    base.register("xx", lambda: replaced(get_pack("la"), code="xx", detectors=(loud,), correctors=(shout,), readability=lambda text: F.struct(F.length(text).alias("size"))))
+    assert isinstance(get_pack("xx"), base.LanguagePack) and isinstance(loud, base.Detector) and isinstance(get_pack("xx").rules, base.SentenceTokenizer)
+    docs = spark.createDataFrame([(1, "ABC !!"), (2, "abc"), (None, "x")], "doc_id int, text string")
+    out = check(docs, "xx")
+    got = sorted((r["doc_id"], r["rule"], list(r["suggestions"])) for r in out["edits"].filter("surfaced").collect())
+    assert got == [(1, "loud", ["?!"]), (1, "space_before", ["!!"])]
+    assert sorted(r["size"] for r in out["readability"].collect()) == [1, 3, 6]
+    base._FACTORIES.pop("xx")
+
+
+def test_corpus_spelling(spark):
+    """Words of three documents are the lexicon; the others are flagged at their places, with the nearest words; rows of one id are apart."""
+    from scriptorium.plans.corpus import check_corpus
+
+    rows = [(1, "house garden river"), (2, "River house, garden"), (3, "the house by the river; garden"), (4, "Huose graden xyzzyq , rivers"), (4, "Huose graden xyzzyq , rivers"), (None, "huosee"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = check_corpus(docs, coverage=1.0).collect()
+    one = [(r["start"], r["end"], r["original"], list(r["suggestions"]), r["rule"]) for r in got if r["doc_id"] == 4 and r["surfaced"]]
+    assert sorted(one) == sorted(2 * [(0, 5, "Huose", ["house"], "unknown_with_suggestions"), (6, 12, "graden", ["garden"], "unknown_with_suggestions"), (19, 21, " ,", [","], "space_before"), (22, 28, "rivers", ["river"], "unknown_with_suggestions")])
+    assert [r["original"] for r in got if r["doc_id"] is None] == ["huosee"]
+    assert [r["surfaced"] for r in got if r["original"] == "xyzzyq"] == [False, False]
+    assert {r["original"] for r in got if r["doc_id"] == 3} == {"the", "by"}
+    budget = check_corpus(spark.createDataFrame([(1, " ".join(f"w{c}w" for c in "abcdefghijklmnopqrstuvwxyz") + " zz")], "doc_id int, text string"), coverage=1.0)
+    assert budget.count() == 27 and not budget.filter("surfaced").count()

@@ -67,3 +67,57 @@ def test_nothing_else_imports_llm():
     for p in ROOT.rglob("*.py"):
         if "llm" not in p.parts:
             assert "scriptorium.llm" not in p.read_text(encoding="utf-8"), p
+
+
+def test_gold_folders(spark, tmp_path):
+    """A file for each class; one file without them; an id that two files share raises."""
+    import json
+
+    row = lambda i, c: json.dumps({"id": i, "text": "teh", "error_class": c, "wrong": "teh", "right": "the", "review": "human", "source": "own"})
+    (tmp_path / "a" / "errors").mkdir(parents=True)
+    (tmp_path / "a" / "errors" / "homonym.json").write_text(row("1", "HOMONYM"))
+    (tmp_path / "a" / "errors" / "non_word.json").write_text(row("2", "NON_WORD") + "\n" + row("3", "NON_WORD"))
+    assert tables.gold(spark, str(tmp_path / "a")).count() == 3
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "errors.json").write_text(row("1", "HOMONYM"))
+    assert tables.gold(spark, str(tmp_path / "b")).count() == 1
+    (tmp_path / "a" / "errors" / "z.json").write_text(row("2", "HOMONYM"))
+    with pytest.raises(ValueError, match="'2' is there twice"):
+        tables.gold(spark, str(tmp_path / "a"))
+
+
+def test_packs_from_files(spark, tmp_path):
+    """Tables and word lists of a folder replace the pack's; without a word list there is a warning, and unknown words stay damped."""
+    from scriptorium.operators.detect import Checker
+    from scriptorium.packs.base import get_pack
+
+    (tmp_path / "violations.csv").write_text("wrong,right\nকখগ,গখক\n", encoding="utf-8")
+    (tmp_path / "standard_forms.jsonl").write_text('{"wrong": "খখ", "right": "গগ"}\n', encoding="utf-8")
+    with pytest.warns(UserWarning, match="no word list"):
+        pack = tables.pack_from(spark, get_pack("bn"), str(tmp_path))
+    assert pack.violations == {"কখগ": "গখক"} and pack.standard_forms == {"খখ": "গগ"} and pack.coverage < 0.01
+    assert all(e.confidence < 0.55 for e in Checker(pack).check("ঘঘঘঝ") if e.rule.startswith("unknown"))
+    (tmp_path / "lexicon.txt").write_text("# words\n" + "\n".join(["আমি", "তুমি"]) + "\n", encoding="utf-8")
+    pack = tables.pack_from(spark, get_pack("bn"), str(tmp_path))
+    assert pack.lexicon == ("আমি", "তুমি") and 0 < pack.coverage < 1
+    (tmp_path / "violations.csv").write_text("wrong,right\nক,খ\nক,গ\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="two values"):
+        tables.pack_from(spark, get_pack("bn"), str(tmp_path))
+
+
+def test_eval_command(spark, tmp_path, capsys):
+    """Cases of three classes and clean sentences: the report, the headline, the baseline and the gate."""
+    import json
+
+    from scriptorium import cli
+
+    (tmp_path / "errors").mkdir()
+    row = lambda i, t, c, w, r: json.dumps({"id": i, "text": t, "error_class": c, "wrong": w, "right": r, "review": "human", "source": "own"}, ensure_ascii=False)
+    (tmp_path / "errors" / "a.json").write_text("\n".join([row("1", "সে কারন জানে না।", "NOTVA_SHOTVA", "কারন", "কারণ"), row("2", "সে লবণ জানে।", "NOTVA_SHOTVA", "লবণ", "x")]), encoding="utf-8")
+    (tmp_path / "errors" / "b.json").write_text(row("3", "ভালো ,আমি।", "PUNCTUATION", " ,", ","), encoding="utf-8")
+    (tmp_path / "clean.txt").write_text("আমি ভালো।\n", encoding="utf-8")
+    assert cli.main(["eval", str(tmp_path), "--update-baseline", str(tmp_path / "base")]) == 0
+    out = capsys.readouterr()
+    assert "| NOTVA_SHOTVA | 2 | 1 | 0 | 1 |" in out.out and '"gold_total":3' in out.out and "no_baseline" in out.err
+    assert cli.main(["eval", str(tmp_path), "--baseline", str(tmp_path / "base")]) == 0
+    assert cli.main(["eval", str(tmp_path), "--baseline", str(tmp_path / "base"), "--strict"]) == 1
