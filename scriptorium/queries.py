@@ -17,6 +17,7 @@ from scriptorium.functions.scope import out_of_scope
 from scriptorium.operators import evaluate, lexicon, limits, resolve, store, usage
 from scriptorium.operators.detect import edits
 from scriptorium.packs.base import Collocation, Pack, get_pack
+from scriptorium.plans import corpus
 from scriptorium.plans.check import accept_all, check
 from scriptorium.session import cut, table
 
@@ -139,7 +140,7 @@ def corpus_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FREQ} SELECT word FROM f WHERE docs < 3")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq = lexicon.token_frequency(table(spark, sf_dir, "documents"))
+    freq = cut(lexicon.token_frequency(table(spark, sf_dir, "documents")))
     return lexicon.unknown(freq, freq.filter("docs >= 3"))
 
 
@@ -173,7 +174,7 @@ def phonetic_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT DISTINCT a.word, b.word AS cand FROM k a JOIN k b ON a.x = b.x WHERE a.docs < 3 AND b.docs >= 3)
 SELECT word, cand FROM p WHERE damerau_levenshtein(word, cand) <= 1""")
 def candidates_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq = lexicon.token_frequency(table(spark, sf_dir, "documents"))
+    freq = cut(lexicon.token_frequency(table(spark, sf_dir, "documents")))
     return lexicon.candidates(freq.filter("docs < 3"), freq.filter("docs >= 3").select("word", "freq"), 1).select("word", "cand")
 
 
@@ -696,3 +697,16 @@ def bn_drift_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.createDataFrame([(100 * m + a, "আমি কাজ করেছি। " * m + "তাহারা কাজ জানে। " * a) for m in range(11) for a in range(11)], "doc_id int, text string")
     flagged = F.exists("edits", lambda e: e["rule"] == "register_drift")
     return edits(docs, _BN).select((F.floor(F.col("doc_id") / 100)).cast("int").alias("modern"), (F.col("doc_id") % 100).cast("int").alias("archaic"), flagged.alias("drift"))
+
+
+@query(f"""WITH {_FREQ}, one AS (SELECT word, docs, list_distinct(list_concat([word], {_ONE_LESS.format(w="word")})) AS l FROM f),
+k AS (SELECT DISTINCT word, docs, unnest(list_concat(l, flatten(list_transform(l, lambda v: list_transform(range(1, length(v) + 1), lambda i: v[1:i-1] || v[i+1:]))))) AS x FROM one),
+p AS (SELECT DISTINCT a.word, b.word AS cand FROM k a JOIN k b ON a.x = b.x WHERE a.docs < 3 AND b.docs >= 3 AND abs(length(a.word) - length(b.word)) <= 2),
+d AS (SELECT word, cand, damerau_levenshtein(word, cand) AS dist FROM p), s AS (SELECT DISTINCT word FROM d WHERE dist <= 1 OR (dist = 2 AND {_APART})),
+o AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w), u AS (SELECT o.doc_id, o.word, row_number() OVER (PARTITION BY o.doc_id ORDER BY i) AS r FROM o JOIN f ON f.word = o.word AND f.docs < 3)
+SELECT doc_id, count(*)::BIGINT AS n_unknown, count(*) FILTER (r <= 25 AND word IN (SELECT word FROM s))::BIGINT AS n_suggested FROM u GROUP BY doc_id""")
+def corpus_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown words of each document by the documents' own lexicon, and those of the first 25 that have suggestions."""
+    docs = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    found = corpus.spelling(docs, "la")
+    return found.select("doc_id", F.size("edits").cast("long").alias("n_unknown"), F.size(F.filter("edits", lambda e: F.size(e["suggestions"]) > 0)).cast("long").alias("n_suggested"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_scratch: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,15 +51,45 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new place in the shared folder, under one folder for the application, which is removed when it ends."""
+    own = f"{checkpoint_dir(spark)}/scriptorium-{spark.sparkContext.applicationId}"
+    _removed_at_exit(spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, by Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Results are lazy, so what they read from stays until the driver's Python ends; one that is killed leaves it."""
+    if path in _scratch:
+        return
+    _scratch.add(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+
+    def gone() -> None:
+        with suppress(Exception):  # the JVM may have ended before
+            at.getFileSystem(conf).delete(at, True)
+
+    atexit.register(gone)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder, with its lineage cut."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    _removed_at_exit(spark, spark.sparkContext.getCheckpointDir())  # a folder of this application's own
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: smaller than a checkpoint, and lineage is cut."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/scriptorium-{uuid.uuid4().hex}"
+    path = path or scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
