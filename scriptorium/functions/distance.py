@@ -48,6 +48,7 @@ def osa_column(a: Column, b: Column, limit: int) -> Column:
 
 
 # Signs that have no sound of their own in a key, and classes of letters that sound alike.
+# The two Assamese letters (9F0, 9F1) are our own addition.
 SILENT = HASANTA + CHANDRABINDU + NUKTA_SIGN + VISARGA + u("200C 200D")
 SOUNDS = {
     u("9B6 9B7 9B8"): "S",

@@ -25,7 +25,7 @@ class Rules:
         return re.compile(self.word)
 
 
-#: Bengali: a period ends nothing. Latin: our own second pack.
+# What ends a sentence, and the pattern of words. Bengali: a period ends nothing. Latin: our own second pack.
 BENGALI = Rules(DANDA + DOUBLE_DANDA + "?!", f"[{BLOCK}{u('200C 200D')}]+|[A-Za-z]+(?:['{u('2019')}][A-Za-z]+)*|[0-9{u('9E6-9EF')}]+(?:[.,][0-9{u('9E6-9EF')}]+)*")
 LATIN = Rules(".?!", r"[A-Za-z]+(?:['’][A-Za-z]+)*|[0-9]+(?:[.,][0-9]+)*")
 

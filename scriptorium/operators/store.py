@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = {
@@ -16,6 +16,33 @@ TABLES = {
 FREE_TIER = "free_unlimited"
 
 
+def opened(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the store at path, by its newest version that was written whole; empty ones where there is none."""
+    from scriptorium.sources.tables import exists
+
+    version = _version(spark, path)
+    where = {n: f"{path}/v{version}/{n}" for n in TABLES}
+    return {n: spark.read.schema(d).parquet(where[n]) if version and exists(spark, where[n]) else spark.createDataFrame([], d) for n, d in TABLES.items()}
+
+
+def saved(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> int:
+    """Writes all tables as one new version, which counts once its mark is there: all of them or none."""
+    version = _version(spark, path) + 1
+    for n in TABLES:
+        tables[n].write.mode("overwrite").parquet(f"{path}/v{version}/{n}")
+    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").json(f"{path}/v{version}/_done")
+    return version
+
+
+def _version(spark: SparkSession, path: str) -> int:
+    from scriptorium.sources.tables import exists
+
+    version = 0
+    while exists(spark, f"{path}/v{version + 1}/_done"):
+        version += 1
+    return version
+
+
 def first_last(events: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """(device_id, created_at, last_seen_at): what upserting each event in order ends in."""
     return events.groupBy(F.col(user).alias("device_id")).agg(F.min(ts).alias("created_at"), F.max(ts).alias("last_seen_at"))

@@ -397,3 +397,18 @@ def test_corpus_spelling(spark):
     assert {r["original"] for r in got if r["doc_id"] == 3} == {"the", "by"}
     budget = check_corpus(spark.createDataFrame([(1, " ".join(f"w{c}w" for c in "abcdefghijklmnopqrstuvwxyz") + " zz")], "doc_id int, text string"), coverage=1.0)
     assert budget.count() == 27 and not budget.filter("surfaced").count()
+
+
+def test_store_versions(spark, tmp_path):
+    """An empty store opens; a version counts as a whole, and one without its mark not at all."""
+    path = f"{tmp_path}/store"
+    tables_ = store.opened(spark, path)
+    assert set(tables_) == set(store.TABLES) and not any(t.count() for t in tables_.values())
+    seen = spark.createDataFrame([("d1", datetime(2024, 1, 1), datetime(2024, 1, 2))], "device_id string, created_at timestamp, last_seen_at timestamp")
+    assert store.saved(spark, store.ensure_devices(tables_, seen), path) == 1
+    back = store.opened(spark, path)
+    assert back["devices"].count() == back["streaks"].count() == 1 and back["users"].count() == 0
+    later = spark.createDataFrame([("d2", datetime(2024, 1, 1), datetime(2024, 1, 2))], "device_id string, created_at timestamp, last_seen_at timestamp")
+    assert store.saved(spark, store.ensure_devices(back, later), path) == 2
+    store.ensure_devices(back, later)["devices"].limit(0).write.parquet(f"{path}/v3/devices")
+    assert store.opened(spark, path)["devices"].count() == 2
