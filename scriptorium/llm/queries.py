@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, chat, decontaminate, lattice, licenses, quality, secrets, simhash, substrings, warc
 from scriptorium.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, QUALITY_SQL, SUBSTRING_SQL, WARC_SQL
-from scriptorium.session import table
+from scriptorium.session import scratch, table
 
 
 def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc.scratch(spark)
+    path = scratch(spark, "warc")
     warc.save(warc.records(table(spark, sf_dir, "pages")), path)
     return warc.page_report(spark, path)
 

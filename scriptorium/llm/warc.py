@@ -38,7 +38,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from scriptorium.session import checkpoint_dir
 
 SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, headers map<string,string>, payload binary"
 #: Columns that come from one header each.
@@ -439,10 +438,6 @@ def load(spark, path: str, payloads: bool = True) -> DataFrame:
     return spark.read.format("warc").option("payloads", str(payloads).lower()).load(path)
 
 
-def scratch(spark) -> str:
-    return f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-
-
 def page_report(spark, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records in path.
 
