@@ -22,12 +22,24 @@ def pairs(text: str) -> dict[str, str]:
 # Wrong and right spellings under the rules of na and sha.
 VIOLATIONS = pairs(
     "কারন কারণ ধারন ধারণ গ্রহন গ্রহণ প্রান প্রাণ বর্ননা বর্ণনা লবন লবণ সাধারন সাধারণ উচ্চারন উচ্চারণ "
+    "আচরন আচরণ আক্রমন আক্রমণ ব্যাকরন ব্যাকরণ উদাহরন উদাহরণ প্রমান প্রমাণ পরিমান পরিমাণ নির্মান নির্মাণ স্মরন স্মরণ মরন মরণ চরন চরণ "
+    "করুনা করুণা তরুন তরুণ ভাষন ভাষণ ঘোষনা ঘোষণা গবেষনা গবেষণা ভীষন ভীষণ দূষন দূষণ শোষন শোষণ বিশেষন বিশেষণ আকর্ষন আকর্ষণ "
+    "কৃপন কৃপণ ঋন ঋণ তৃন তৃণ ঘৃনা ঘৃণা বর্ন বর্ণ স্বর্ন স্বর্ণ পূর্ন পূর্ণ চূর্ন চূর্ণ দক্ষিন দক্ষিণ লক্ষন লক্ষণ প্রশিক্ষন প্রশিক্ষণ কল্যান কল্যাণ "
+    "গনিত গণিত গননা গণনা বানিজ্য বাণিজ্য নিপুন নিপুণ লাবন্য লাবণ্য পুন্য পুণ্য দুর্ণীতি দুর্নীতি দুর্ণাম দুর্নাম "
+    "কস্ট কষ্ট নস্ট নষ্ট স্পস্ট স্পষ্ট দুস্ট দুষ্ট মিস্টি মিষ্টি বৃস্টি বৃষ্টি সৃস্টি সৃষ্টি দৃস্টি দৃষ্টি চেস্টা চেষ্টা অনুস্ঠান অনুষ্ঠান বিসয় বিষয় "
     "পুরষ্কার পুরস্কার নমষ্কার নমস্কার আবিস্কার আবিষ্কার পরিস্কার পরিষ্কার ষ্টেশন স্টেশন ষ্টুডিও স্টুডিও মাষ্টার মাস্টার জিনিষ জিনিস"
 )
 # Older spellings and the standard ones.
-STANDARD_FORMS = pairs("বাঙালী বাঙালি গাড়ী গাড়ি বাড়ী বাড়ি শাড়ী শাড়ি সরকারী সরকারি দেশী দেশি কাহিনী কাহিনি")
+STANDARD_FORMS = pairs(
+    "বাঙালী বাঙালি গাড়ী গাড়ি বাড়ী বাড়ি শাড়ী শাড়ি সরকারী সরকারি দেশী দেশি কাহিনী কাহিনি "
+    "পাখী পাখি হাতী হাতি রানী রানি চাকরী চাকরি জানুয়ারী জানুয়ারি ফেব্রুয়ারী ফেব্রুয়ারি লাইব্রেরী লাইব্রেরি কোম্পানী কোম্পানি "
+    "ইংরেজী ইংরেজি জরুরী জরুরি খুশী খুশি বেশী বেশি তৈরী তৈরি ফরাসী ফরাসি"
+)
 # Pairs of archaic and modern forms.
-REGISTER = pairs("তাহার তার তাহারা তারা তাহাকে তাকে যাহা যা তাহা তা ইহা এটা উহা ওটা করিয়া করে হইয়া হয়ে যাইয়া গিয়ে কহিল বলল হইল হলো নাই নেই")
+REGISTER = pairs(
+    "তাহার তার তাহারা তারা তাহাকে তাকে যাহা যা তাহা তা ইহা এটা উহা ওটা করিয়া করে হইয়া হয়ে যাইয়া গিয়ে কহিল বলল হইল হলো নাই নেই "
+    "আসিয়া এসে খাইয়া খেয়ে পাইয়া পেয়ে শুনিয়া শুনে উঠিয়া উঠে বসিয়া বসে যাহারা যারা কাহাকে কাকে"
+)
 ARCHAIC_ENDINGS = words("িতেছে িতেছি িতেছেন িয়াছে িয়াছি িয়াছেন িয়াছিল িলাম িবেন")
 GUARDED_ENDINGS = words("িয়া িবে িল")
 REGISTER_VERBS = words("কর বল চল দেখ লিখ পড় জান খেল শুন ধর")
@@ -49,7 +61,10 @@ PARADIGMS = {
 }
 AMBIGUOUS_ENDINGS = words("বে লে ে তে")
 FINAL_ONLY = words("ি ো")
-ROOTS = words("কর বল চল দেখ লিখ পড় জান খেল শুন ধর")
+ROOTS = words(
+    "কর বল চল দেখ লিখ পড় জান খেল শুন ধর হাস কাঁদ বস উঠ নাচ ভাব মার কাট রাখ থাক ডাক খুঁজ বুঝ মান ঘুর ফির ছাড় আন কিন চিন "
+    "বাঁচ ঢাক মুছ ভাঙ গড় তুল দৌড় সাজ রাঁধ বাঁধ কাঁপ মিল নাম"
+)
 CLAUSE_BREAKS = words("এবং কিন্তু আর যে তবে কারণ যদি তাই অথবা বা")
 PARTICLES = words("না নি কি তো ও ই")
 NOT_VERBS = words("বলে করে পড়ে ধরে")
@@ -62,8 +77,8 @@ CLASSIFIERS = words("টি টা খানা জন")
 BARE_CLASSIFIERS = words("জন টি টা")
 THING_TO_PERSON = pairs("একটা একজন একটি একজন দুটো দুজন দুটি দুজন তিনটি তিনজন তিনটা তিনজন")
 PERSON_TO_THING = pairs("একজন একটি দুজন দুটি তিনজন তিনটি")
-PERSON_NOUNS = words("শিক্ষক ছাত্র ডাক্তার লোক মেয়ে ছেলে মানুষ কৃষক লেখক")
-THING_NOUNS = words("বই কলম গাছ টেবিল চেয়ার ঘর নদী ফুল")
+PERSON_NOUNS = words("শিক্ষক ছাত্র ডাক্তার লোক মেয়ে ছেলে মানুষ কৃষক লেখক শিল্পী নার্স উকিল পুলিশ রোগী যাত্রী শ্রমিক নেতা বন্ধু গায়ক মালী")
+THING_NOUNS = words("বই কলম গাছ টেবিল চেয়ার ঘর নদী ফুল খাতা থালা জামা ঘড়ি নৌকা চাবি বাক্স রাস্তা দরজা জানালা ছবি চিঠি")
 POSSESSIVES = {f("তারা"): pairs("তার তাদের"), f("আমরা"): pairs("আমার আমাদের"), f("তোমরা"): pairs("তোমার তোমাদের")}
 ANY_PLURAL_POSSESSIVE = pairs("তার তাদের")
 COLLOCATIONS = (
@@ -79,6 +94,11 @@ SEED = words(
     "আমি আমরা তুমি তোমরা সে তারা তিনি আপনি এবং কিন্তু আর না কি তো ভালো মন্দ দিন রাত সময় মানুষ বই কলম গাছ নদী ফুল ঘর বাড়ি গাড়ি দেশ ভাষা বাংলা "
     "শিক্ষক ছাত্র ডাক্তার লোক মেয়ে ছেলে কৃষক লেখক টেবিল চেয়ার কর বল চল দেখ লিখ পড় জান খেল শুন ধর ভাত জল মাছ স্কুল কাজ কথা গল্প গান কবিতা "
     "সব অনেক বহু সকল কিছু আজ কাল এখন তখন কারণ গ্রহণ প্রাণ বর্ণনা লবণ পুরস্কার পরিষ্কার আবিষ্কার দীন দুঃখী কূল নদীর তার তাদের আমার আমাদের তোমার তোমাদের "
+    "শিল্পী নার্স উকিল পুলিশ রোগী যাত্রী শ্রমিক নেতা বন্ধু গায়ক মালী খাতা থালা জামা ঘড়ি নৌকা চাবি বাক্স রাস্তা দরজা জানালা ছবি চিঠি "
+    "আকাশ বাতাস পানি মাটি আগুন পাহাড় সাগর গ্রাম শহর বাজার দোকান হাট মাঠ পুকুর বাগান পথ সেতু আলো ছায়া রোদ মেঘ ঝড় শীত গরম বর্ষা "
+    "মা বাবা ভাই বোন দাদা দিদি কাকা মামা নানা শিশু পরিবার হাত পা মাথা চোখ কান নাক মুখ মন শরীর রক্ত "
+    "লাল নীল সবুজ হলুদ কালো সাদা বড় ছোট নতুন পুরনো সুন্দর ভারী হালকা গভীর সহজ কঠিন দ্রুত ধীরে কাছে দূরে উপরে নিচে ভেতরে বাইরে "
+    "সকাল দুপুর বিকেল সন্ধ্যা সপ্তাহ মাস বছর শব্দ বাক্য অক্ষর চিন্তা স্বপ্ন আশা ভয় আনন্দ সুখ শান্তি যুদ্ধ ইতিহাস বিজ্ঞান সাহিত্য সঙ্গীত খবর "
     "একটি একজন দুটি দুজন তিনটি তিনজন যাচ্ছে খাচ্ছে করছে বলল করে বলে হয়ে গিয়ে হলো নেই"
 )
 
