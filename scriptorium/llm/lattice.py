@@ -30,8 +30,9 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import cache, partial
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -87,6 +88,18 @@ def pieces(path: str) -> tuple[dict[str, int], dict[int, int], list[float]]:
     return text, byte, prior
 
 
+@cache
+def trie(path: str) -> dict:
+    """The pieces of a file by character: a dictionary for each beginning, with the piece's id under 0."""
+    root: dict = {}
+    for s, i in pieces(path)[0].items():
+        node = root
+        for c in s:
+            node = node.setdefault(c, {})
+        node[0] = i
+    return root
+
+
 class Lattice:
     """All cuts of a word into pieces, with natural logarithms of probabilities for each piece."""
 
@@ -98,28 +111,45 @@ class Lattice:
         self.logs = prior if logs is None else logs
         self.longest = max(map(len, self.text), default=1)
         self.unseen = min((x for x in self.logs if x > -math.inf), default=-20.0)
-        # Pieces, and -1 for what only begins one.
-        self.begins = {s[:k]: -1 for s in self.text for k in range(1, len(s))} | self.text
+        self.root = trie(path)
 
     def alone(self, character: str) -> tuple[float, tuple[int, ...]]:
         """A character without a piece goes by its bytes."""
         ids = tuple(self.byte[x] for x in character.encode("utf-8", "surrogatepass") if x in self.byte)
         return (sum(self.logs[x] for x in ids) if ids else 3 * self.unseen), ids
 
-    def arcs(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end in s, the (start, logarithm, pieces) of the arcs that end there."""
-        n, get, logs, longest = len(s), self.begins.get, self.logs, self.longest
-        out: list[list] = [[] for _ in range(n + 1)]
-        for a in range(n):
-            if get(s[a], -1) < 0:
-                out[a + 1].append((a, *self.alone(s[a])))
-            for b in range(a + 1, min(n, a + longest) + 1):
-                i = get(s[a:b])
-                if i is None:
+    def pushed(self, s: str, arcs: list[list] | None = None) -> tuple[list[float], list[list[float]]]:
+        """Logarithms of what leads to each place of s, and their terms, one for each arc that
+        ends there; arcs, if given, takes the (start, piece or pieces) of these."""
+        exp, log, logs, root = math.exp, math.log, self.logs, self.root
+        terms: list[list[float]] = [[] for _ in range(len(s) + 1)]
+        terms[0].append(0.0)
+        out = []
+        for a in range(len(s) + 1):
+            t = terms[a]
+            if len(t) == 1:
+                here = t[0]
+            else:
+                top = max(t)
+                here = top + log(sum([exp(x - top) for x in t]))
+            out.append(here)
+            node, b = root, a
+            for c in s[a : a + self.longest]:
+                node = node.get(c)
+                b += 1
+                i = None if node is None else node.get(0)
+                if i is not None:
+                    terms[b].append(here + logs[i])
+                    if arcs is not None:
+                        arcs[b].append((a, i))
+                elif b == a + 1:
+                    w, ids = self.alone(c)
+                    terms[b].append(here + w)
+                    if arcs is not None:
+                        arcs[b].append((a, ids))
+                if node is None:
                     break
-                if i >= 0:
-                    out[b].append((a, logs[i], (i,)))
-        return out
+        return out, terms
 
     def ending(self, s: str, b: int) -> list[tuple[int, float, tuple[int, ...]]]:
         """As arcs, for one end."""
@@ -147,29 +177,43 @@ class Lattice:
     def log10(self, word: str) -> float:
         """Logarithm of the marginal probability of a word."""
         s = BEGIN + word
-        ends = self.arcs(s)[1:] if len(s) <= self.LONG else (self.ending(s, b) for b in range(1, len(s) + 1))
-        return self.forward(ends, max(self.LONG, self.longest))[-1] / math.log(10)
+        if len(s) <= self.LONG:
+            return self.pushed(s)[0][-1] / math.log(10)
+        return self.forward((self.ending(s, b) for b in range(1, len(s) + 1)), max(self.LONG, self.longest))[-1] / math.log(10)
 
     def expected(self, word: str, weight: float, into: dict[int, float]) -> None:
         """Adds the expected number of times each piece is in a cut of word."""
         s = BEGIN + word
-        n, exp = len(s), math.exp
+        n, exp, get = len(s), math.exp, into.get
         if n <= self.LONG:
-            arcs = self.arcs(s)
-            forward, at_end = self.forward(arcs[1:], n + 1), arcs.__getitem__
-        else:
-            forward, at_end = self.forward((self.ending(s, b) for b in range(1, n + 1)), n + 1), partial(self.ending, s)
-        after = array("d", bytes(8 * (n + 1)))  # of cuts of what follows a place, as a share of the whole
+            arcs: list[list] = [[] for _ in range(n + 1)]
+            forward, terms = self.pushed(s, arcs)
+            after = [0.0] * n + [1.0]  # of cuts of what follows a place, as a share of the whole
+            for b in range(n, 0, -1):
+                rest, at = after[b], forward[b]
+                if rest == 0.0:
+                    continue
+                for (a, i), x in zip(arcs[b], terms[b], strict=True):
+                    share = rest * exp(x - at)
+                    after[a] += share
+                    if type(i) is int:
+                        into[i] = get(i, 0.0) + share * weight
+                    else:
+                        for k in i:
+                            into[k] = get(k, 0.0) + share * weight
+            return
+        forward = self.forward((self.ending(s, b) for b in range(1, n + 1)), n + 1)
+        after = array("d", bytes(8 * (n + 1)))
         after[n] = 1.0
         for b in range(n, 0, -1):
-            if after[b] == 0.0:
-                continue
             rest, at = after[b], forward[b]
-            for a, w, ids in at_end(b):
+            if rest == 0.0:
+                continue
+            for a, w, ids in self.ending(s, b):
                 share = rest * exp(forward[a] + w - at)
                 after[a] += share
                 for i in ids:
-                    into[i] = into.get(i, 0.0) + share * weight
+                    into[i] = get(i, 0.0) + share * weight
 
 
 COUNTED = pa.schema([("word", pa.string()), ("c", pa.int64()), ("n", pa.int64())])
@@ -259,8 +303,10 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     logs, end = learned(vocabulary, path) if learn else (pieces(path)[2], math.log((ends + 1) / (total + 1)))
     end /= math.log(10)
     every = written(weighed(vocabulary, path, logs))
-    hot = {r["word"]: (r["c"], r["lp"]) for r in commonest(every, common).toLocalIterator()}
-    sent = spark.sparkContext.broadcast(hot)
+    # At most `common` words: their place, and by place their counts and logarithms.
+    hot = commonest(every, common).select("word", "c", "lp").toArrow()
+    places = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(hot.column("word").to_pylist())}
+    sent = spark.sparkContext.broadcast((places, hot.column("c").to_numpy().astype(np.int64), hot.column("lp").to_numpy().astype(np.float64)))
     under = math.log10(total + 0.5 * (distinct + 1))
     base = lambda c: math.log10(c + 0.5) - under
     end_base, end_known = base(ends), int(ends > 0)
@@ -271,30 +317,23 @@ def scores(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     schema = schema.set(1, pa.field("id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {w.encode("utf-8", "surrogatepass"): (c, math.log10(c + 0.5) - under, lp) for w, (c, lp) in sent.value.items()}
-        get = table.get
+        place, c, lp = sent.value
+        get, bases, known = place.get, np.log10(c + 0.5) - under, c > 0
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 out: list[tuple] = []
                 for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    counts = Counter((x or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
-                    n, known = 1, end_known
-                    bases, lps = [end_base], [end]
-                    for w, tf in counts.items():
-                        n += tf
-                        found = get(w)
-                        if found is None:
-                            out.append((row, None, w.decode("utf-8", "surrogatepass"), tf, 0, 0, 0.0, 0.0))
-                        else:
-                            known += tf if found[0] else 0
-                            bases.append(tf * found[1])
-                            lps.append(tf * found[2])
+                    tokens = (x or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+                    found = list(map(get, tokens))
+                    for w, tf in Counter([w for w, k in zip(tokens, found, strict=True) if k is None]).items():
+                        out.append((row, None, w.decode("utf-8", "surrogatepass"), tf, 0, 0, 0.0, 0.0))
+                    at_ = np.array([k for k in found if k is not None], dtype=np.int64)
                     # A key that is no word, one for each row, so that these rows spread.
-                    out.append((row, i, f"\n{row}", 0, n, known, math.fsum(bases), math.fsum(lps)))
+                    out.append((row, i, f"\n{row}", 0, len(tokens) + 1, end_known + int(known[at_].sum()), end_base + float(bases[at_].sum()), end + float(lp[at_].sum())))
                     row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c_, f.type) for c_, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     parts = docs.mapInArrow(run, f"row long, id {kind}, word string, tf long, n_tokens long, n_known long, base double, score double")
     j = parts.join(every.select("word", "c", "lp"), "word", "left")
