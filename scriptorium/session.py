@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -87,6 +88,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of what was cut once the JVM collects what refers to them; this asks it to, between steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: smaller than a checkpoint, and lineage is cut."""
     spark = df.sparkSession
