@@ -19,9 +19,13 @@ The order takes rare shingles first, by a sketch of their counts, so that
 passages that many documents have hardly ever bring two together; the sketch
 decides what is compared, never what is found. Documents of the same words are
 one node before either search. Where many nodes meet, each is compared with one of
-them, another one each round, until a round links nothing; then all pairs that
-meet and aren't connected yet are compared. So a large class costs in proportion
-to its nodes as long as rounds connect it.
+them in the first round, and one node of each class with one of the others in the
+next; then all pairs that meet and aren't connected yet are compared. So a large
+class costs in proportion to its nodes as long as rounds connect it. A shingle that
+the sketch takes to be in very many nodes is dealt in parts: the first round is within
+these, the next has one node of each class, and a shingle whose nodes are connected
+isn't looked at again; so a group of any size is in many tasks. Only where a shingle's
+nodes stay in several classes after that are all of its rows in one task.
 
 Defined results: words are those of a fingerprint; fewer words than a shingle make
 one shingle; texts without words are alike. Nodes and shingles are compared by
@@ -38,14 +42,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.llm.simhash import _LOWER, components, fingerprint, labelled, per_text
 from scriptorium.llm.simhash import links as fingerprint_links
-from scriptorium.session import cut
+from scriptorium.session import cut, release
 
 CELLS = 1 << 20
 _CHUNK = 1 << 14
-#: Up to so many pairs, their nodes are sent to the tasks; of more, sets are joined.
+#: Up to so many rows of nodes to compare are broadcast; more are joined as Spark sees fit.
 _SENT = 500_000
 
 
@@ -74,18 +79,18 @@ def shingles(words: list[bytes], size: int = 5) -> np.ndarray:
 
 def nodes(docs: DataFrame, id_col: str, text: str, shingle: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep, node, fp): one row per document; fp is its fingerprint over the same shingles."""
-    return per_text(docs, [id_col, *keep], text, {"node": lambda x: node_of(words_of(x)), "fp": lambda x: fingerprint(x, shingle)})
+    return per_text(docs, list(dict.fromkeys((id_col, *keep))), text, {"node": lambda x: node_of(words_of(x)), "fp": lambda x: fingerprint(x, shingle)})
 
 
-def _once(batches: Iterator[pa.RecordBatch], size: int, known: frozenset[int] | None = None) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """(node, shingles) by batch, of known nodes if given; a task's copies come once."""
+def _once(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(node, shingles) by batch; a task's copies come once."""
     seen: set[int] = set()
     for b in batches:
         out = []
         for x in b.column(0).to_pylist():
             words = words_of(x)
             node = node_of(words)
-            if node not in seen and (known is None or node in known):
+            if node not in seen:
                 seen.add(node)
                 out.append((node, shingles(words, size)))
         yield out
@@ -117,27 +122,34 @@ def sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
 
 
-def first_shingles(docs: DataFrame, text: str, size: int, similarity: Fraction) -> DataFrame:
-    """(key, node, n, at): the shingles at which a node can meet one that similar, its number of shingles, and the place in their order."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch(docs, text, size))
+def first_shingles(docs: DataFrame, text: str, size: int, similarity: Fraction, most: int = 200_000) -> DataFrame:
+    """(key, part, node, n, at): the shingles at which a node can meet one that similar, its number of shingles, and the place
+    in their order. part is 0, but for shingles that more than `most` nodes may have, over the usual number: there it deals them."""
+    counts = sketch(docs, text, size)
+    usual = most + 4 * int(counts.sum(dtype=np.int64)) // CELLS
+    sent = docs.sparkSession.sparkContext.broadcast((counts, -(-counts.astype(np.int64) // usual)))
     p, q = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
+        counts, parts_of = sent.value
         for some in _once(batches, size):
-            keys, own, sizes, places = [], [], [], []
+            keys, parts, own, sizes, places = [], [], [], [], []
             for node, s in some:
                 n = len(s)
                 k = n - -(-p * n // q) + 1
                 if n:
-                    keys.append(s[np.lexsort((s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]))[:k]])
-                    own.append(np.full(len(keys[-1]), node))
-                    sizes.append(np.full(len(keys[-1]), n, np.int32))
-                    places.append(np.arange(len(keys[-1]), dtype=np.int32))
+                    cell = (s & np.uint64(CELLS - 1)).astype(np.int64)
+                    first = np.lexsort((s, counts[cell]))[:k]
+                    many = parts_of[cell[first]]
+                    keys.append(s[first])
+                    parts.append(np.where(many > 1, 1 + (node & 0x7FFFFFFF) % np.maximum(many, 1), 0).astype(np.int32))
+                    own.append(np.full(k, node))
+                    sizes.append(np.full(k, n, np.int32))
+                    places.append(np.arange(k, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["key", "node", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (parts, own, sizes, places))], names=["key", "part", "node", "n", "at"])
 
-    return docs.select(text).mapInArrow(run, "key long, node long, n int, at int")
+    return docs.select(text).mapInArrow(run, "key long, part int, node long, n int, at int")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
@@ -153,80 +165,157 @@ def _whole(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[l
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, n, at), each once, of keys that several nodes have."""
+    """Rows (key, part, node, n, at), each once, of keys that several nodes have, and of all that are dealt in parts."""
+    names = ["key", "part", "node", "n", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n, at in _whole(batches):
-            order = np.lexsort((node, key))
-            key, node, n, at = key[order], node[order], n[order], at[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-            key, node, n, at = key[new], node[new], n[new], at[new]
-            same = key[1:] == key[:-1]
-            some = np.append(False, same) | np.append(same, False)
+        last: tuple[list[np.ndarray], bool] | None = None  # the row before, and whether it was given
+        for b in (x for x in batches if x.num_rows):
+            columns = [c.to_numpy() for c in b.columns]
+            if last:
+                columns = [np.concatenate([x, y]) for x, y in zip(last[0], columns, strict=True)]
+            key, part, node = columns[:3]
+            new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (node[1:] != node[:-1]))
+            given = bool(last and last[1])
+            columns = [c[new] for c in columns]
+            key, part = columns[:2]
+            same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+            some = np.append(given, same) | np.append(same, False) | (part > 0)
+            last = [c[-1:] for c in columns], bool(some[-1])
+            some[0] &= not given
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, node, n, at)], names=["key", "node", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in columns], names=names)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, n int, at int")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, "key long, part int, node long, n int, at int")
 
 
-def pairs(rows: DataFrame, similarity: Fraction, turn: int | None) -> DataFrame:
-    """(a, b): nodes of rows (key, node, n, at, root) that meet, may be that similar and have other roots.
+def _near(similarity: Fraction, n: tuple[np.ndarray, np.ndarray], place: tuple[np.ndarray, np.ndarray], root: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which pairs of rows may be that similar, by their sizes and places, and aren't connected."""
+    shared = -(-similarity.numerator * (n[0] + n[1]) // (similarity.numerator + similarity.denominator))  # at least, of two that similar
+    return (root[0] != root[1]) & (place[0] <= n[0] - shared) & (place[1] <= n[1] - shared)
 
-    With a turn, only pairs with one node of each key: one that has the fewest shingles
-    before it, as what others are edited from, and of several such another one each turn."""
-    p, q = similarity.numerator, similarity.denominator
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def starred(rows: DataFrame, similarity: Fraction, turn: int) -> DataFrame:
+    """(a, b): nodes of rows (key, part, node, n, at, root), each with one of its key: one that has the fewest
+    shingles before it, as what others are edited from, and of several such another one each turn. From the second turn
+    on, one node stands for all of a root at a key."""
+    mixed = F.xxhash64("node", F.lit(turn)).alias("mixed")
+    if turn:
+        least = F.min(F.struct("at", mixed, "node", "n")).alias("m")
+        rows = rows.groupBy("key", "root").agg(least).select("key", F.lit(0).alias("part"), "m.node", "m.n", "m.at", "root", "m.mixed")
+    else:
+        rows = rows.select("key", "part", "node", "n", "at", "root", mixed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub: list[np.ndarray] | None = None  # of the key that the last batch ended in
+        for b in (x for x in batches if x.num_rows):
+            columns = [b.column(i).to_numpy() for i in range(6)]
+            if hub and hub[0][0] == columns[0][0] and hub[1][0] == columns[1][0]:
+                columns = [np.concatenate([x, y]) for x, y in zip(hub, columns, strict=True)]
+            key, part, node, n, place, root = columns
+            n = n.astype(np.int64)
+            new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            hub = [c[first[-1] : first[-1] + 1] for c in columns]
+            ok = _near(similarity, (n, n[first]), (place, place[first]), (root, root[first]))
+            if ok.any():
+                yield _pairs(node[ok], node[first[ok]])
+
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "at", "mixed").mapInArrow(run, "a long, b long").distinct()
+
+
+def pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b): nodes of rows (key, node, n, at, root) that meet, may be that similar and have other roots."""
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, n, place, root in _whole(batches):
-            with np.errstate(over="ignore"):
-                mixed = (node.view(np.uint64) ^ np.uint64(turn or 0)) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * (turn or 0) + 1)
-            order = np.lexsort((mixed, place, key))
+            order = np.lexsort((place, key))
             key, node, n, place, root = key[order], node[order], n[order].astype(np.int64), place[order], root[order]
             edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             sizes = np.diff(edges)
-            first = np.repeat(edges[:-1], sizes)
             left = np.repeat(edges[1:], sizes) - np.arange(len(key)) - 1
-            shift, at = 1, np.arange(len(key)) if turn is not None else np.flatnonzero(left >= 1)
+            shift, at = 1, np.flatnonzero(left >= 1)
             while len(at):
-                other = first[at] if turn is not None else at + shift
-                shared = -(-p * (n[at] + n[other]) // (p + q))  # at least, of two that similar
-                ok = (root[at] != root[other]) & (place[at] <= n[at] - shared) & (place[other] <= n[other] - shared)
-                x, y = node[at[ok]], node[other[ok]]
-                if len(x):
-                    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-                if turn is not None:
-                    break
+                other = at + shift
+                ok = _near(similarity, (n[at], n[other]), (place[at], place[other]), (root[at], root[other]))
+                if ok.any():
+                    yield _pairs(node[at[ok]], node[other[ok]])
                 shift += 1
                 at = at[left[at] >= shift]
 
-    return rows.select("key", "node", "n", "at", "root").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
-
+    return rows.join(several, "key").select("key", "node", "n", "at", "root").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
-def sets(docs: DataFrame, text: str, size: int, some: DataFrame) -> DataFrame:
-    """(node, s): the shingles of the nodes of pairs (a, b)."""
-    wanted = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = None
-    if some.limit(_SENT + 1).count() <= _SENT:
-        known = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _once(batches, size, known and known.value):
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], names=["node", "s"])
+def jobs(some: DataFrame, rows: DataFrame, most: int = 256) -> DataFrame:
+    """(row, node, jobs): what the document that stands for a node has to do, jobs being (job, hub, first) structs.
 
-    out = docs.select(text).mapInArrow(run, "node long, s array<long>")
-    return (out if known else out.join(wanted, "node", "left_semi")).dropDuplicates(["node"])
+    A pair is compared where its hub is, the node of the two with more pairs. A hub with
+    more than `most` pairs has several jobs, so that no task has all of a large group."""
+    ends = some.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    n = lambda c: ends.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    p = some.join(n("a"), "a").join(n("b"), "b")
+    at_a = F.col("n_a") >= F.col("n_b")
+    p = p.select(F.when(at_a, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(at_a, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("n_a", "n_b").alias("n"))
+    p = p.withColumn("job", F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most))))
+    todo = p.select("job", "hub", "node").union(p.select("job", "hub", F.col("hub").alias("node")).distinct())
+    by_node = todo.groupBy("node").agg(F.collect_set(F.struct("job", "hub")).alias("jobs"))
+    return by_node.join(rows.groupBy("node").agg(F.min("__sc_row").alias("row")), "node").select("row", "node", "jobs")
 
 
-def verified(docs: DataFrame, text: str, size: int, some: DataFrame, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) that are that similar."""
+def verified(docs: DataFrame, rows: DataFrame, text: str, size: int, some: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) that are that similar. Only the documents that stand for their nodes are cut into shingles,
+    and a set travels once a job to the hub it is compared with."""
     p, q = similarity.numerator, similarity.denominator
-    some = cut(some)
-    whole = cut(sets(docs, text, size, some))
-    both = some.join(whole.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("k"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-    return cut(shared.filter(F.lit(q) * F.col("k") >= F.lit(p) * (F.col("n") - F.col("k"))).select("a", "b"))
+    todo = cut(jobs(cut(some), rows))
+    n = todo.limit(_SENT + 1).count()
+    if not n:
+        return cut(some.limit(0))
+    wanted = docs.select(F.col("__sc_row").alias("row"), F.col(text).alias("text")).join(F.broadcast(todo) if n <= _SENT else todo, "row").select("text", "node", "jobs")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal rows stand for a node together
+        for b in batches:
+            jobs_, hubs, own, sets_ = [], [], [], []
+            for x, node, todo_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                s = shingles(words_of(x), size).tobytes()
+                for t in todo_:
+                    jobs_.append(t["job"])
+                    hubs.append(t["hub"] == node)
+                    own.append(node)
+                    sets_.append(s)
+                    if len(sets_) * len(s) > 16 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(jobs_, pa.int64()), pa.array(hubs, pa.bool_()), pa.array(own, pa.int64()), pa.array(sets_, pa.binary())], names=["job", "hub", "node", "s"])
+                        jobs_, hubs, own, sets_ = [], [], [], []
+            if sets_:
+                yield pa.RecordBatch.from_arrays([pa.array(jobs_, pa.int64()), pa.array(hubs, pa.bool_()), pa.array(own, pa.int64()), pa.array(sets_, pa.binary())], names=["job", "hub", "node", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, hub, whole = None, 0, np.zeros(0, np.uint64)
+        for b in batches:
+            left, right = [], []
+            for j, first, node, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                if first:
+                    job, hub, whole = j, node, s
+                elif j == job:
+                    shared = int((whole[np.minimum(np.searchsorted(whole, s), len(whole) - 1)] == s).sum()) if len(whole) else 0
+                    if q * shared >= p * (len(whole) + len(s) - shared):
+                        left.append(min(hub, node))
+                        right.append(max(hub, node))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    sent = wanted.mapInArrow(spread, "job long, hub boolean, node long, s binary").repartition("job").sortWithinPartitions("job", F.desc("hub"))
+    return cut(sent.mapInArrow(compare, "a long, b long").distinct())
 
 
 def alike(rows: DataFrame) -> DataFrame:
@@ -240,34 +329,41 @@ def alike(rows: DataFrame) -> DataFrame:
     return same.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, most_rounds: int = 2, likely: DataFrame | None = None) -> DataFrame:
-    """(a, b): nodes whose connection is that of all pairs that similar; likely pairs (a, b), if given, are tried first."""
+def rowed(docs: DataFrame) -> DataFrame:
+    """docs with a hash of each row, __sc_row, if it isn't there."""
+    own = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return docs if "__sc_row" in docs.columns else docs.withColumn("__sc_row", F.xxhash64(*own))
+
+
+def links(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, most_rounds: int = 2, rows: DataFrame | None = None, most: int = 200_000) -> DataFrame:
+    """(a, b): nodes whose connection is that of all pairs that similar; rows, if given, has the docs' __sc_row, node and fp."""
     least = Fraction(str(similarity))
     if not 0 < least <= 1:
         raise ValueError("similarity is above 0, and 1 at most")
-    met = cut(meeting(first_shingles(docs, text, shingle, least)))
-
-    def unconnected(found: DataFrame) -> DataFrame:
+    docs = rowed(docs)
+    rows = cut(nodes(docs, "__sc_row", text, shingle)) if rows is None else rows
+    spark = docs.sparkSession
+    found = verified(docs, rows, text, shingle, alike(rows), least)
+    release(spark)  # the shuffles of each step before the next one's
+    met = cut(meeting(first_shingles(docs, text, shingle, least, most)))
+    release(spark)
+
+    def unconnected() -> DataFrame:
         return met.join(cut(components(found)), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    rows, found = met.withColumn("root", F.col("node")), None
-    if likely is not None:
-        found = verified(docs, text, shingle, likely, least)
-        rows = unconnected(found)
     for turn in range(most_rounds):
-        more = verified(docs, text, shingle, pairs(rows, least, turn), least)
-        found = more if found is None else found.union(more)
-        if not more.limit(1).count():
-            break
-        rows = unconnected(found)
-    rest = verified(docs, text, shingle, pairs(rows, least, None), least)
-    return rest if found is None else found.union(rest)
+        found = found.union(verified(docs, rows, text, shingle, starred(unconnected(), least, turn), least))
+        release(spark)
+    return found.union(verified(docs, rows, text, shingle, pairs(unconnected(), least), least))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, str]:
     """Rows (id, keep, node, fp), one per document; (node, root) of the nodes that have links; and the name node."""
-    rows = cut(nodes(docs, id_col, text, shingle, keep))
-    return rows, cut(components(links(docs, text, shingle, similarity, likely=alike(rows)))), "node"
+    docs = rowed(docs)
+    rows = cut(nodes(docs, id_col, text, shingle, tuple(dict.fromkeys((*keep, "__sc_row")))))
+    roots = cut(components(links(docs, text, shingle, similarity, rows=rows)))
+    release(docs.sparkSession)
+    return rows, roots, "node"
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -256,8 +256,10 @@ def links(nodes: DataFrame, most_bits: int = 2, split: int = 50_000, sent: int =
         if held:
             yield out(held)
 
+    # Fingerprints are small, their coordinates and keys aren't: all tasks share in making them.
     # The pair of quarters is part of the hash in key.
-    rows = keyed(table_of_pivots(nodes))
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    rows = keyed(table_of_pivots(spread))
     hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("key"))
     n_hot = hot.limit(sent + 1).count()
     if n_hot:
@@ -266,21 +268,26 @@ def links(nodes: DataFrame, most_bits: int = 2, split: int = 50_000, sent: int =
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, a_part: int = 250_000, most_parts: int = 20) -> DataFrame:
     """(node, root) for all nodes of edges (a, b): the root is the least node connected.
 
     Large-star and small-star rounds; only least neighbours are aggregated, never
-    lists of them, and a hub's links are joined back to one row, which Spark can split."""
+    lists of them, and a hub's links are joined back to one row, which Spark can split.
+    Up to `most_parts` times `a_part` links are dealt over no more partitions than they
+    need, so that rounds over few links don't write thousands of files; more are dealt as
+    the session says. The rounds are the same."""
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    parts = -(-e.count() // a_part)
+    dealt = lambda df: df.repartition(max(1, parts), "a") if parts <= most_parts else df
     state = None
     for _ in range(most_rounds):
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = dealt(e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = dealt(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        e = cut(small.distinct())
+        e = cut(dealt(small).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 from itertools import combinations
 
 import corpus_pipeline
@@ -59,16 +60,38 @@ def test_classes(spark):
     assert sorted(((r[0], r[2]) for r in jaccard.classes(df).collect()), key=repr) == want(rows)
 
 
-def test_rounds_only_save_pairs(spark):
+def test_rounds_and_parts_only_save_pairs(spark):
+    """Without rounds, and with every shingle dealt in parts, what is connected is the same."""
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    own = {t: jaccard.node_of(jaccard.words_of(t)) for _, t in rows}
-    for rounds in (0, 1):
-        got = [(r["a"], r["b"]) for r in jaccard.links(df, most_rounds=rounds).collect()]
-        root = connected(sorted(set(own.values())), got)
-        sets = {n: shingles(t) for t, n in own.items()}
-        whole = connected(sorted(sets), [(a, b) for a, b in combinations(sorted(sets), 2) if alike(sets[a], sets[b])])
-        assert root == whole
+    sets = {jaccard.node_of(jaccard.words_of(t)): shingles(t) for _, t in rows}
+    whole = connected(sorted(sets), [(a, b) for a, b in combinations(sorted(sets), 2) if alike(sets[a], sets[b])])
+    for rounds, most in ((0, 200_000), (1, 200_000), (2, 1), (1, 5)):
+        got = [(r["a"], r["b"]) for r in jaccard.links(df, most_rounds=rounds, most=most).collect()]
+        assert connected(sorted(sets), got) == whole, (rounds, most)
+
+
+def test_batches_of_any_size(spark):
+    """Keys that go on over batches, down to a row each, meet and are compared as in one."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(12), rng.choice([0, 0, 1]), rng.randrange(15), 10, rng.randrange(3)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "key long, part int, node long, n int, at int")
+    by = {}
+    for k, p, x, *_ in rows:
+        by.setdefault((k, p), set()).add(x)
+    want = sorted((k, p, x) for (k, p), xs in by.items() if len(xs) > 1 or p for x in xs)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        stars = []
+        for size in ("1", "2", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            met = jaccard.meeting(df)
+            assert sorted((r["key"], r["part"], r["node"]) for r in met.collect()) == want, size
+            fixed = spark.createDataFrame(sorted({(k, p, x): (k, p, x, 10, 1, x) for k, p, x, *_ in rows}.values()), "key long, part int, node long, n int, at int, root long")
+            stars.append([sorted((r["a"], r["b"]) for r in jaccard.starred(fixed, Fraction(1, 10), turn).collect()) for turn in (0, 1)])
+        assert all(s == stars[-1] for s in stars) and all(stars[-1])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
 def test_likely_pairs_come_from_pivots_and_change_nothing(spark):
@@ -82,8 +105,28 @@ def test_likely_pairs_come_from_pivots_and_change_nothing(spark):
     near = {(a, b) for a, b in combinations(sorted(own), 2) if ((own[a] ^ own[b]) & (1 << 64) - 1).bit_count() <= 2}
     assert got and connected(sorted(own), got) == connected(sorted(own), near)
     wrong = spark.createDataFrame([(min(p), max(p)) for p in combinations(sorted(own)[:6], 2)], "a long, b long")
-    one, two = ([(r["a"], r["b"]) for r in jaccard.links(df, likely=x).collect()] for x in (wrong, None))
-    assert connected(sorted(own), one) == connected(sorted(own), two)
+    docs = jaccard.rowed(df)
+    sets = {jaccard.node_of(jaccard.words_of(t)): shingles(t) for _, t in rows}
+    for some in (wrong, wrong.limit(0)):
+        got = {(r["a"], r["b"]) for r in jaccard.verified(docs, jaccard.nodes(docs, "__sc_row", "text"), "text", 5, some, Fraction(4, 5)).collect()}
+        assert got == {(r["a"], r["b"]) for r in some.collect() if alike(sets[r["a"]], sets[r["b"]])}
+
+
+def test_large_hubs_are_split(spark):
+    """A hub's pairs in several jobs are compared as in one."""
+    rows = planted()
+    df = jaccard.rowed(spark.createDataFrame(rows, "doc_id long, text string"))
+    own = sorted({jaccard.node_of(jaccard.words_of(t)) for _, t in rows})
+    some = spark.createDataFrame([(min(own[0], x), max(own[0], x)) for x in own[1:]] + [(own[1], own[2])], "a long, b long")
+    nodes = jaccard.nodes(df, "__sc_row", "text")
+    for most in (1, 7, 1000):
+        got = jaccard.jobs(some, nodes, most).collect()
+        assert sorted(r["node"] for r in got) == own and all(j["hub"] == own[0] or r["node"] in own[1:3] for r in got for j in r["jobs"])
+        by = {}
+        for r in got:
+            for j in r["jobs"]:
+                by.setdefault(j["job"], []).append(r["node"] == j["hub"])
+        assert all(sum(x) == 1 for x in by.values()) and sum(len(x) - 1 for x in by.values()) == len(own)
 
 
 def test_stage_drops_planted_near_copies(spark, sf):

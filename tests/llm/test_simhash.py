@@ -117,7 +117,10 @@ def test_empty(spark):
     assert simhash.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_chain_is_one_component(spark):
+@pytest.mark.parametrize("a_part", [250_000, 10, 40])
+def test_chain_is_one_component(spark, a_part):
+    """On each side of the bound to which links are dealt over few partitions."""
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a long, b long")
-    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    got = {r["node"]: r["root"] for r in simhash.components(edges, a_part=a_part, most_parts=5).collect()}
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+    assert simhash.components(edges.limit(0), a_part=a_part).count() == 0
