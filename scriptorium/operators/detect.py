@@ -331,8 +331,8 @@ def edits(docs: DataFrame, pack: Pack, id_col: str = "doc_id", text: str = "text
 
 
 def normalized_edits(docs: DataFrame, pack: Pack, text: str = "text") -> DataFrame:
-    """docs with one more column, __sc_found: the normalised text, its offset map and passes, and the edits in
-    it. Both steps run once, in one pass over the text."""
+    """docs with one more column, __sc_found: the normalised text, its offset map (null if no pass changed the
+    text) and passes, and the edits in it. Both steps run once, in one pass over the text."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         checker = Checker(pack)
@@ -340,7 +340,7 @@ def normalized_edits(docs: DataFrame, pack: Pack, text: str = "text") -> DataFra
             rows = []
             for x in xs:
                 new, places, passes = normalize(x)
-                rows.append((new, x or "", places, passes, as_rows(checker.check(new))))
+                rows.append((new, x or "", places if passes else None, passes, as_rows(checker.check(new))))
             yield pd.DataFrame(rows, columns=["text", "original", "offset_map", "applied_rules", "edits"])
 
     ddl = f"struct<text:string,original:string,offset_map:array<int>,applied_rules:array<string>,edits:array<struct<{EDIT_FIELDS}>>>"

@@ -46,7 +46,8 @@ def check(docs: DataFrame, code: str = "bn", config: PipelineConfig = PipelineCo
     given = docs.filter(fits)
     n = given.select(id_col, normalized(F.col("text")).alias("n"))
     plain = n.select(id_col, F.col("n.text").alias("text"))
-    mapped = lambda e, places: e.withField("start", remapped(e["start"], places)).withField("end", remapped(e["end"], places))
+    origin = lambda place, places: F.coalesce(remapped(place, places), place)
+    mapped = lambda e, places: e.withField("start", origin(e["start"], places)).withField("end", origin(e["end"], places))
     back = lambda c: F.transform(c, lambda e: mapped(e, F.col("__sc_found.offset_map")))
     found = edit_rows(_found(given, code, config, id_col).withColumns({"kept": back("kept"), "suppressed": back("suppressed")}), id_col)
     report = found.filter("surfaced").groupBy("stage").agg(F.count("*").alias("edits_emitted"))
