@@ -88,16 +88,16 @@ def normalize(text: str | None, fold_digits: bool = False) -> tuple[str, list[in
         rules.append("bijoy_to_unicode")
     space_like = dict.fromkeys(SPACE_LIKE, " ")
     passes: list[tuple[str, Callable[[str, list[int]], Mapped]]] = [
-        ("strip_invisibles", lambda t, o: dropped(t, o, lambda i: t[i] not in INVISIBLE)),
+        ("strip_invisibles", lambda t, o: dropped(t, o, lambda i: t[i] not in INVISIBLE) if any(c in t for c in INVISIBLE) else (t, o)),
         ("space_like_to_space", lambda t, o: substituted(t, o, space_like)),
         ("khanda_ta", lambda t, o: substituted(t, o, KHANDA_TA)),
-        ("strip_zwj", lambda t, o: dropped(t, o, lambda i: t[i] != ZWJ)),
-        ("strip_stray_zwnj", lambda t, o: dropped(t, o, lambda i: t[i] != ZWNJ or (i > 0 and t[i - 1] == HASANTA))),
+        ("strip_zwj", lambda t, o: dropped(t, o, lambda i: t[i] != ZWJ) if ZWJ in t else (t, o)),
+        ("strip_stray_zwnj", lambda t, o: dropped(t, o, lambda i: t[i] != ZWNJ or (i > 0 and t[i - 1] == HASANTA)) if ZWNJ in t else (t, o)),
         ("nfc", composed),
         ("compose_nukta", lambda t, o: substituted(t, o, NUKTA)),
         ("compose_vowel_signs", lambda t, o: substituted(t, o, VOWEL_SIGNS)),
         ("punct_fold", lambda t, o: substituted(t, o, PUNCTUATION)),
-        ("collapse_hasanta", lambda t, o: dropped(t, o, lambda i: not (i and t[i] == HASANTA == t[i - 1]))),
+        ("collapse_hasanta", lambda t, o: dropped(t, o, lambda i: not (i and t[i] == HASANTA == t[i - 1])) if HASANTA * 2 in t else (t, o)),
     ]
     if fold_digits:
         passes.append(("fold_digits", lambda t, o: substituted(t, o, DIGITS)))
