@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, decontaminate, lattice, licenses, quality, secrets, simhash, substrings, warc
-from scriptorium.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, QUALITY_SQL, SUBSTRING_SQL, WARC_SQL
+from scriptorium.llm import bpe, chat, decontaminate, lattice, licenses, linededup, quality, resample, search, secrets, simhash, substrings, warc
+from scriptorium.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, LINE_SQL, QUALITY_SQL, RESAMPLING_SQL, SEARCH_SQL, SUBSTRING_SQL, WARC_SQL
 from scriptorium.session import scratch, table
 
 
@@ -72,6 +72,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.deduplicated(table(spark, sf_dir, "documents"), least=10, shortest=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
     "op2_decontamination": op2_decontamination,
@@ -83,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_scores": op8_lattice_scores,
     "op9_preference_chat": op9_preference_chat,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": DECONTAMINATION_SQL,
@@ -90,4 +107,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": QUALITY_SQL,
     "op9_preference_chat": CHAT_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
+    "op11_ranked_search": SEARCH_SQL,
+    "op12_importance_resampling": RESAMPLING_SQL,
+    "op13_line_dedup": LINE_SQL,
 }

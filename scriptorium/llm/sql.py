@@ -83,3 +83,47 @@ pos AS (SELECT rid, list(p) AS ps, count(*) AS n FROM gone GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
   sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i]), ' ') END) AS kept_sha256
 FROM src LEFT JOIN pos ON pos.rid = src.rid"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+st AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS qid, item_id, {_TERMS} AS w FROM benchmark),
+q AS (SELECT qid, item_id, t, count(*)::BIGINT AS c FROM (SELECT qid, item_id, unnest(w) AS t FROM b) GROUP BY 1, 2, 3),
+p AS (SELECT rid, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2, 3, 4),
+g AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*)::BIGINT AS df FROM p GROUP BY t), st),
+s AS (SELECT qid, item_id, rid, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN g USING (t), st GROUP BY 1, 2, 3, 4)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
+
+#: CRC-32 by its table of 256 rests, over the bytes of each different feature.
+RESAMPLING_SQL = f"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+df AS (SELECT rid, array_to_string(w[i:i+n-1], ' ') AS f FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT unnest([1, 2, 3]) AS n))),
+bf AS (SELECT array_to_string(w[i:i+n-1], ' ') AS f FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT {_TERMS} AS w FROM benchmark), (SELECT unnest([1, 2, 3]) AS n))),
+fs AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+fb AS (SELECT f, list_transform(range(0, len(h) // 2), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) AS bytes FROM fs),
+fk AS (SELECT f, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS k FROM fb, tab),
+s AS (SELECT k, count(*)::BIGINT AS s FROM df JOIN fk USING (f) GROUP BY k),
+t AS (SELECT k, count(*)::BIGINT AS t FROM bf JOIN fk USING (f) GROUP BY k),
+sums AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS big_s, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS big_t),
+g AS (SELECT s.k, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (big_s + 10000)) / ((s + 1)::DOUBLE * (big_t + 10000))))::BIGINT AS g FROM s LEFT JOIN t ON t.k = s.k, sums),
+wt AS (SELECT rid, count(*)::BIGINT AS n_features, sum(g)::BIGINT AS weight FROM df JOIN fk USING (f) JOIN g USING (k) GROUP BY rid),
+x AS (SELECT dw.rid, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM dw LEFT JOIN wt ON wt.rid = dw.rid),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS r FROM y)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+  CASE WHEN n_words >= 20 AND r <= 5 * (SELECT count(*) FROM y WHERE n_words >= 20) // 100 THEN r END::BIGINT AS rank FROM z"""
+
+LINE_SQL = """
+WITH src AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ln FROM documents),
+l AS (SELECT rid, i, ln[i] AS x, translate(trim(ln[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT rid, ln, unnest(range(1, len(ln) + 1)) AS i FROM src)),
+common AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT rid) >= 10),
+m AS (SELECT rid, count(*)::BIGINT AS n_lines, count(common.k)::BIGINT AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (common.k IS NULL), '')) AS kept_sha256
+  FROM l LEFT JOIN common ON common.k = l.k GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM src JOIN m USING (rid)"""
