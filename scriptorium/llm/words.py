@@ -25,7 +25,7 @@ def words(raw: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
                 end += piece
                 last = part.rfind(b" ")
             if last >= 0 and end < len(raw):
-                end -= len(part) - last
+                end -= len(part) - last - 1  # beyond the blank, so that each piece moves on
                 part = part[:last]
         at = end
         if found := part.split():
