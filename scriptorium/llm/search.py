@@ -47,7 +47,7 @@ from scriptorium.session import scratch
 
 SHARD = "docs array<long>, terms array<string>, offsets binary, places binary, impacts binary"
 #: Text bytes and documents of a shard; numbers in the accumulators of one step; (query, term) pairs of a block.
-SHARD_BYTES, SHARD_DOCS, CELLS, PAIRS = 4 << 20, 1 << 16, 1 << 22, 400_000
+SHARD_BYTES, SHARD_DOCS, CELLS, PAIRS = 2 << 20, 1 << 16, 1 << 20, 400_000
 #: Groups of tasks whose results are merged before all are.
 GROUPS = 16
 
@@ -140,7 +140,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str
     spark = docs.sparkSession
     path = path or scratch(spark, "shards")
     # Small row groups: a reader holds few shards at a time.
-    rows.mapInArrow(run, SHARD).write.option("parquet.block.size", 16 << 20).parquet(path)
+    rows.mapInArrow(run, SHARD).write.option("parquet.block.size", 8 << 20).parquet(path)
     return Index(spark.read.schema(SHARD).parquet(path), n_docs, n_terms)
 
 

@@ -32,6 +32,7 @@ def words(raw: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
             yield found
 
 
-def texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
-    """A string column of a batch in UTF-8; null is empty."""
-    return [x or b"" for x in batch.column(column).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
+def texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
+    """A string column of a batch in UTF-8, one after the other; null is empty."""
+    for x in batch.column(column).cast(pa.binary()):
+        yield x.as_py() or b""
