@@ -41,6 +41,8 @@ CONFIDENCE = {
 #: Words that make a lexicon complete; smaller ones damp the confidence of unknown words.
 FULL_LEXICON = 150_000
 SUGGEST_BUDGET = 25
+#: Words of a lexicon that are sent to all tasks as a word graph (about 2 s to make, 200 MB); more are joined.
+GRAPH_WORDS = 200_000
 #: What one request may hold, for PipelineConfig(max_text=...); a corpus has no such limit.
 REQUEST_MAX_TEXT = 200_000
 

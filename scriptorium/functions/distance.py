@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -134,3 +136,31 @@ def latin_key(word: Column) -> Column:
     source = "".join(LATIN_CLASSES) + "aeiouhwy"
     target = "".join(v * len(k) for k, v in LATIN_CLASSES.items())
     return F.concat(F.substring(low, 1, 1), F.translate(F.substr(low, F.lit(2)), source, target))
+
+
+_LATIN = str.maketrans({c: k for chars, k in LATIN_CLASSES.items() for c in chars} | dict.fromkeys("aeiouhwy", ""))
+
+
+@lru_cache(maxsize=32_768)
+def latin_code(word: str) -> str:
+    """latin_key() of one word."""
+    low = word.lower()
+    return low[:1] + low[1:].translate(_LATIN)
+
+
+def never(a: str, b: str) -> bool:
+    return False
+
+
+@dataclass(frozen=True)
+class Sounds:
+    """How a language compares words by sound: a key, and whether one letter was taken for another of its sound; each also as columns."""
+
+    key: Callable[[str], str]
+    key_column: Callable[[Column], Column]
+    alike: Callable[[str, str], bool] = never
+    alike_column: Callable[[Column, Column], Column] | None = None
+
+
+BENGALI_SOUNDS = Sounds(soundex, soundex_column, homophone_substitution, homophone_column)
+LATIN_SOUNDS = Sounds(latin_code, latin_key)

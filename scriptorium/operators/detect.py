@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import nsmallest
 from itertools import islice
 
 import pandas as pd
@@ -19,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.config import CONFIDENCE, EDIT_DDL
-from scriptorium.functions.distance import homophone_substitution, osa, soundex
+from scriptorium.functions.distance import osa
 from scriptorium.functions.letters import BLOCK, DANDA, DOUBLE_DANDA, has_letter
 from scriptorium.functions.normalize import folded_word, normalize
 from scriptorium.functions.tokenize import sentences, tokens
+from scriptorium.functions.wordgraph import WordGraph, word_graph
 from scriptorium.operators.lexicon import Lexicon
 from scriptorium.packs.base import Pack
 
@@ -83,11 +85,6 @@ class Checker:
     def __post_init__(self) -> None:
         p = self.pack
         self.lexicon = Lexicon(p)
-        self.by_key: dict[str, list[str]] = {}
-        self.by_length: dict[int, list[str]] = {}
-        for w in sorted(self.lexicon.words):
-            self.by_key.setdefault(soundex(w), []).append(w)
-            self.by_length.setdefault(len(w), []).append(w)
         # Earlier words of the pack's list count as more frequent.
         self.frequency = {folded_word(w): len(p.lexicon) - i for i, w in enumerate(p.lexicon)}
         self.suggest = lru_cache(maxsize=100_000)(self._suggest)
@@ -99,27 +96,31 @@ class Checker:
                     endings.setdefault(ending, set()).add((tense, person))
         self.endings = sorted(endings.items(), key=lambda x: (-len(x[0]), x[0]))
 
-    def ranked(self, word: str, pool: Iterable[str], limit: int, most: int = 2) -> list[str]:
-        """The nearest of pool: by distance, one letter of the same sound, length gap, key, frequency, then code point."""
-        key = soundex(word)
-        near = []
-        for w in pool:
-            d = osa(word, w, most) if w != word else most + 1
-            if d <= most:
-                near.append((d, not homophone_substitution(word, w), abs(len(w) - len(word)), soundex(w) != key, -self.frequency.get(w, 0), w))
-        return [x[-1] for x in sorted(near)[:limit]]
+    @cached_property
+    def graph(self) -> WordGraph:
+        return word_graph(self.lexicon.words)
+
+    def ranked(self, word: str, near: Iterable[tuple[str, int]], limit: int) -> list[str]:
+        """The best of some words with their edits: by edits, one letter of the same sound, length gap, key, frequency, then code point."""
+        key, alike, own = self.pack.sounds.key, self.pack.sounds.alike, self.pack.sounds.key(word)
+        rows = ((d, not alike(word, w), abs(len(w) - len(word)), key(w) != own, -self.frequency.get(w, 0), w) for w, d in near if w != word)
+        return [x[-1] for x in nsmallest(limit, rows)]
 
     def stems(self, word: str, limit: int, most_splits: int = 4) -> Iterator[str]:
         """Words of an unknown stem's sound near it, with the suffix again."""
+        key = self.pack.sounds.key
         unknown = ((stem, s) for stem, s in self.lexicon.splits(word) if not self.lexicon.lookup(stem).known)
         for stem, s in islice(unknown, most_splits):
-            yield from (w + s for w in self.ranked(stem, self.by_key.get(soundex(stem), ()), limit))
+            same = ((w, d) for w, d in self.graph.near(stem).items() if key(w) == key(stem))
+            yield from (w + s for w in self.ranked(stem, same, limit))
 
     def _suggest(self, word: str, limit: int = 5) -> list[str]:
-        pool = {*self.by_key.get(soundex(word), ()), *self.stems(word, limit)}
-        for n in range(len(word) - 2, len(word) + 3):
-            pool.update(self.by_length.get(n, ()))
-        return self.ranked(word, pool, limit)
+        """The nearest words within two edits, of the word graph and of stems with their suffix again."""
+        near = self.graph.near(word)
+        for w in self.stems(word, limit):
+            if w not in near and (d := osa(word, w, 2)) <= 2:
+                near[w] = d
+        return self.ranked(word, near.items(), limit)
 
     def register_of(self, word: str, before: str | None) -> str | None:
         """archaic, modern or None; a word that only some neighbours mark is modern after one of them."""

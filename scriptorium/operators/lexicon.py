@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.config import FULL_LEXICON, SUGGEST_BUDGET
-from scriptorium.functions.distance import latin_key, osa_column, soundex_column
+from scriptorium.functions.distance import latin_key, osa_column
 from scriptorium.functions.letters import HASANTA, has_letter, vowel_final
 from scriptorium.functions.normalize import folded_word
 from scriptorium.functions.tokenize import LATIN, words
@@ -192,9 +192,12 @@ def stem_reconstructions(unknown_words: DataFrame, lexicon: DataFrame, pack: Pac
 
     f = F.pandas_udf(parts, "array<struct<stem:string,suffix:string>>")
     s = unknown_words.select("word", F.explode(f("word")).alias("s")).select("word", "s.stem", "s.suffix")
-    j = s.join(lexicon.select(F.col("word").alias("near"), "freq"), soundex_column(F.col("stem")) == soundex_column(F.col("near")))
-    j = j.withColumn("dist", osa_column(F.col("stem"), F.col("near"), 2)).filter("dist <= 2")
-    w = Window.partitionBy("word", "stem", "suffix").orderBy("dist", F.desc(F.coalesce("freq", F.lit(0))), "near")
+    # The nearest two edits away at most: the candidates of stems, of which those of the stem's key stay.
+    near = candidates(s.select(F.col("stem").alias("word")).distinct(), lexicon, 2, pack.sounds.key_column).filter("same_key")
+    j = s.join(near.select(F.col("word").alias("stem"), F.col("cand").alias("near"), "freq", "dist"), "stem")
+    alike = pack.sounds.alike_column
+    preferred = [F.when(alike(F.col("stem"), F.col("near")), 0).otherwise(1)] if alike else []
+    w = Window.partitionBy("word", "stem", "suffix").orderBy("dist", *preferred, F.abs(F.length("stem") - F.length("near")), F.desc(F.coalesce("freq", F.lit(0))), "near")
     return j.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_split).select("word", F.concat("near", "suffix").alias("cand"))
 
 

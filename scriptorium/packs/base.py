@@ -9,6 +9,7 @@ from typing import Any, Protocol, runtime_checkable
 
 from pyspark.sql import Column
 
+from scriptorium.functions.distance import BENGALI_SOUNDS, Sounds
 from scriptorium.functions.tokenize import Rules
 
 
@@ -87,6 +88,7 @@ class Pack:
     code: str
     rules: Rules
     script: str = "latin"
+    sounds: Sounds = BENGALI_SOUNDS
     violations: dict[str, str] = field(default_factory=dict)
     standard_forms: dict[str, str] = field(default_factory=dict)
     register: dict[str, str] = field(default_factory=dict)

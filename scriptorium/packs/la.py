@@ -4,7 +4,8 @@ corpus (plans.corpus)."""
 
 from __future__ import annotations
 
+from scriptorium.functions.distance import LATIN_SOUNDS
 from scriptorium.functions.tokenize import LATIN
 from scriptorium.packs.base import Pack
 
-PACK = Pack(code="la", rules=LATIN, script="latin")
+PACK = Pack(code="la", rules=LATIN, script="latin", sounds=LATIN_SOUNDS)

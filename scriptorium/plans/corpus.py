@@ -1,7 +1,8 @@
 """Spelling of a corpus against its own lexicon, as joins of distinct words.
 
 A pack without a word list takes the words that enough documents of the corpus share.
-The others, each once, get their candidates by join; documents then find their own
+The others, each once, get their candidates by the lexicon's word graph, or by join where
+the lexicon is too large to send; documents then find their own
 unknown words by a join on words, and only these occurrences travel. Places are those
 of the submitted text. What a document has beyond that, its marks, comes from the
 detectors, which stay where the document lies.
@@ -10,16 +11,18 @@ detectors, which stay where the document lies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.config import CONFIDENCE, EDIT_DDL, SUGGEST_BUDGET, PipelineConfig
-from scriptorium.functions.distance import latin_key
+from scriptorium.config import CONFIDENCE, EDIT_DDL, GRAPH_WORDS, SUGGEST_BUDGET, PipelineConfig
+from scriptorium.functions.distance import osa_column
 from scriptorium.functions.tokenize import tokens
-from scriptorium.operators.detect import edits
-from scriptorium.operators.lexicon import budgeted, candidates, coverage_factor, ranked, token_frequency
+from scriptorium.operators.detect import Checker, edits
+from scriptorium.operators.lexicon import budgeted, candidates, coverage_factor, ranked, stem_reconstructions, token_frequency
 from scriptorium.operators.resolve import edit_rows, resolved
 from scriptorium.packs.base import get_pack
 from scriptorium.session import cut
@@ -43,11 +46,41 @@ def vocabulary(docs: DataFrame, least_docs: int = 3, text: str = "text") -> tupl
     return tuple(freq.filter(c).select("word", "freq") for c in (F.col("docs") >= least_docs, F.col("docs") < least_docs))
 
 
-def suggestions(unknown: DataFrame, lexicon: DataFrame, limit: int = 5, most: int = 2, key=latin_key) -> DataFrame:
-    """(word, suggestions): each unknown word once, with its nearest words of the lexicon, best first; at most `limit`."""
-    best = ranked(candidates(unknown.select("word"), lexicon, most, key), limit)
+@lru_cache(maxsize=2)
+def _checker(code: str, words: tuple[str, ...]) -> Checker:
+    """A checker by these words, most frequent first; made once a Python process."""
+    return Checker(replace(get_pack(code), lexicon=words))
+
+
+def suggestions(unknown: DataFrame, lexicon: DataFrame, code: str = "la", limit: int = 5, most_words: int = GRAPH_WORDS) -> DataFrame:
+    """(word, suggestions): each unknown word once, with its nearest words of the lexicon, best first; at most `limit`.
+
+    A lexicon of up to most_words goes to all tasks, which walk its word graph; a larger one is joined. Both rank alike."""
+    rules = get_pack(code)
+    unknown = unknown.select("word")
+    if lexicon.limit(most_words + 1).count() <= most_words:
+        ordered = lexicon.select("word", F.coalesce("freq", F.lit(0)).alias("freq")).collect()
+        sent = unknown.sparkSession.sparkContext.broadcast(tuple(r["word"] for r in sorted(ordered, key=lambda r: (-r["freq"], r["word"]))))
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            suggest = _checker(code, sent.value)._suggest
+            for xs in batches:
+                yield xs.map(lambda x: suggest(x, limit))
+
+        # Walks take about a millisecond a word: words are dealt to all tasks.
+        dealt = unknown.repartition(unknown.sparkSession.sparkContext.defaultParallelism * 4, "word")
+        return dealt.select("word", F.pandas_udf(run, "array<string>")("word").alias("suggestions"))
+    pool = candidates(unknown, lexicon, 2, rules.sounds.key_column)
+    if rules.suffixes:
+        stems = stem_reconstructions(unknown, lexicon, rules).join(pool.select("word", "cand"), ["word", "cand"], "left_anti")
+        near = osa_column(F.col("word"), F.col("cand"), 2)
+        same = rules.sounds.key_column(F.col("word")) == rules.sounds.key_column(F.col("cand"))
+        freq = lexicon.select(F.col("word").alias("cand"), "freq")
+        pool = pool.unionByName(stems.distinct().withColumn("dist", near).filter("dist <= 2").join(freq, "cand", "left").withColumn("same_key", same))
+    alike = rules.sounds.alike_column
+    best = ranked(pool, limit, alike(F.col("word"), F.col("cand")) if alike else None)
     found = best.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cand"))), lambda s: s["cand"]).alias("suggestions"))
-    return unknown.select("word").join(found, "word", "left").select("word", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
+    return unknown.join(found, "word", "left").select("word", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
 
 
 def spelling(docs: DataFrame, code: str = "la", least_docs: int = 3, coverage: float | None = None, id_col: str = "doc_id", text: str = "text", budget: int = SUGGEST_BUDGET) -> DataFrame:
@@ -56,7 +89,7 @@ def spelling(docs: DataFrame, code: str = "la", least_docs: int = 3, coverage: f
     lexicon, rare = vocabulary(docs, least_docs, text)
     if coverage is None:
         coverage = lexicon.agg(coverage_factor(F.count("*")).alias("c")).first()["c"]
-    known = cut(suggestions(rare, lexicon))
+    known = cut(suggestions(rare, lexicon, code))
     found = budgeted(occurrences(docs, code, id_col, text).join(known, "word"), "row", budget)
     none = F.array().cast("array<string>")
     found = found.withColumn("suggestions", F.when(F.col("within_budget"), F.col("suggestions")).otherwise(none))

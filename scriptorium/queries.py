@@ -184,19 +184,28 @@ _APART = """(levenshtein(word, cand) <= 2 OR len(list_filter(range(1, length(wor
 _ONE_LESS = "list_transform(range(1, length({w}) + 1), lambda i: {w}[1:i-1] || {w}[i+1:])"
 
 
-@query(f"""WITH {_FREQ}, one AS (SELECT word, docs, list_distinct(list_concat([word], {_ONE_LESS.format(w="word")})) AS l FROM f),
+_RANKED = f"""WITH {_FREQ}, one AS (SELECT word, docs, list_distinct(list_concat([word], {_ONE_LESS.format(w="word")})) AS l FROM f),
 k AS (SELECT DISTINCT word, docs, unnest(list_concat(l, flatten(list_transform(l, lambda v: list_transform(range(1, length(v) + 1), lambda i: v[1:i-1] || v[i+1:]))))) AS x FROM one),
 p AS (SELECT DISTINCT a.word, b.word AS cand FROM k a JOIN k b ON a.x = b.x WHERE a.docs < 3 AND b.docs >= 3 AND abs(length(a.word) - length(b.word)) <= 2),
 d AS (SELECT p.word, cand, f.freq, damerau_levenshtein(p.word, cand) AS dist FROM p JOIN f ON f.word = cand),
 r AS (SELECT word, cand, dist, row_number() OVER (PARTITION BY word ORDER BY dist, abs(length(word) - length(cand)), {_KEY} <> {_KEY.replace("word", "cand")}, freq DESC, cand) AS rank
-  FROM d WHERE dist <= 1 OR (dist = 2 AND {_APART}))
-SELECT word, rank::INTEGER AS rank, cand, dist::INTEGER AS dist FROM r WHERE rank <= 5""")
+  FROM d WHERE dist <= 1 OR (dist = 2 AND {_APART}))"""
+
+
+@query(f"{_RANKED} SELECT word, rank::INTEGER AS rank, cand, dist::INTEGER AS dist FROM r WHERE rank <= 5")
 def candidates_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq = cut(lexicon.token_frequency(table(spark, sf_dir, "documents")))
     pool = lexicon.candidates(freq.filter("docs < 3"), freq.filter("docs >= 3").select("word", "freq"), 2)
     return lexicon.ranked(pool).select("word", "rank", "cand", "dist")
 
 
+@query(f"{_RANKED} SELECT f.word, coalesce(s, '') AS suggestions FROM f LEFT JOIN (SELECT word, string_agg(cand, ',' ORDER BY rank) AS s FROM r WHERE rank <= 5 GROUP BY word) x ON x.word = f.word WHERE docs < 3")
+def graph_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same five by walking the lexicon's word graph, a word at a time, for every unknown word."""
+    lexicon_, rare = corpus.vocabulary(table(spark, sf_dir, "documents"))
+    return corpus.suggestions(rare, lexicon_, "la").select("word", F.array_join("suggestions", ",").alias("suggestions"))
+
+
 _SENTENCES = r"""p AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.?!]+[.?!"'')\]]*[ \t]*') AS ps FROM documents),
 b AS (SELECT doc_id, ps, list_transform(ps, lambda x: list_transform(string_split_regex(x, '\n\n+'), lambda y: CASE WHEN regexp_matches(y, '[^\s]') THEN 1 ELSE 0 END)) AS z FROM p),
 n AS (SELECT doc_id, len(ps) - 1 + list_sum(list_transform(range(1, len(ps) + 1), lambda i: list_sum(z[i]) - CASE WHEN i < len(ps) THEN z[i][-1] ELSE 0 END)) AS k FROM b)"""
