@@ -19,15 +19,16 @@ MAP = {"A": "আ", "v": "া", "w": "ি", "z": "ু", "g": "ম", "e": "ব", "
 SIGNATURE = "‡†ÒÓ¸¯‹›„‰Œ˜™šœžŸ¡¢£¤¥¦§¨©ª«¬®°±²³´µ¶·¹º»¼½¾¿"
 PRE_BASE = u("9BF 9C7 9C8")
 MIN_HITS, MIN_SHARE, MIN_COVERAGE = 4, 0.08, 0.95
+_SIGNS, _LETTERS = re.compile(f"[{re.escape(''.join(SIGNATURE))}]"), re.compile(f"[{BLOCK}]")
 _ORDER = re.compile(f"([{PRE_BASE}])([{CONSONANT}](?:{HASANTA}[{CONSONANT}])*)")
 
 
 def looks_like(text: str, min_hits: int = MIN_HITS) -> bool:
-    if re.search(f"[{BLOCK}]", text):
+    hits = len(_SIGNS.findall(text))
+    if hits < min_hits or _LETTERS.search(text):
         return False
-    solid = sum(not c.isspace() for c in text)
-    hits = sum(c in SIGNATURE for c in text)
-    return solid >= 4 and hits >= min_hits and hits / solid >= MIN_SHARE
+    solid = len("".join(text.split()))
+    return solid >= 4 and hits / solid >= MIN_SHARE
 
 
 def coverage(text: str) -> float:

@@ -1,8 +1,9 @@
 """Unicode normalisation of Bengali text with an offset map, and spans mapped back.
 
-Passes run in a fixed order over (text, origin of each character); a pass that
-changes nothing isn't reported. origin[i] is the place in the submitted text of
-character i, with the length of the submitted text after the last.
+Passes run in a fixed order, each giving the new text and its changes, over which the
+map of breakpoints is carried; a pass that changes nothing isn't reported. The map gives
+the place in the submitted text of each character, and the length of the submitted text
+for the end.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import bijoy
 from scriptorium.functions.letters import HASANTA, is_dependent, u
+from scriptorium.functions.offsets import OFFSETS_DDL, Change, Offsets
 
 # Code points of each pass.
 INVISIBLE = u("200B 200E 200F 2060 FEFF AD")
@@ -28,28 +30,19 @@ VOWEL_SIGNS = {u("9C7 9BE"): u("9CB"), u("9BE 9C7"): u("9CB"), u("9C7 9D7"): u("
 PUNCTUATION = {u("2018"): "'", u("2019"): "'", u("201C"): '"', u("201D"): '"', u("2013"): "-", u("2014"): "-", u("2026"): "..."}
 DIGITS = {chr(0x09E6 + i): str(i) for i in range(10)}
 
-Mapped = tuple[str, list[int]]
+Changed = tuple[str, list[Change]]
 
 
-def substituted(text: str, origin: list[int], table: dict[str, str]) -> Mapped:
+def substituted(text: str, pattern: re.Pattern, table: dict[str, str]) -> Changed:
     """Left to right, longest source first; what replaces a source comes from its first character."""
-    pattern = re.compile("|".join(map(re.escape, sorted(table, key=lambda s: (-len(s), s)))))
-    if not pattern.search(text):
-        return text, origin
-    out, places, done = [], [], 0
-    for m in pattern.finditer(text):
-        new = table[m.group()]
-        out += [text[done : m.start()], new]
-        places += origin[done : m.start()] + [origin[m.start()]] * len(new)
-        done = m.end()
-    return "".join([*out, text[done:]]), places + origin[done:]
+    changes = [(m.start(), m.end(), (0,) * len(table[m.group()])) for m in pattern.finditer(text)]
+    return (pattern.sub(lambda m: table[m.group()], text), changes) if changes else (text, [])
 
 
-def dropped(text: str, origin: list[int], keep: Callable[[int], bool]) -> Mapped:
-    stay = [i for i in range(len(text)) if keep(i)]
-    if len(stay) == len(text):
-        return text, origin
-    return "".join(text[i] for i in stay), [origin[i] for i in stay] + [origin[-1]]
+def dropped(text: str, pattern: re.Pattern) -> Changed:
+    """Without the characters that match, one at a time."""
+    changes: list[Change] = [(m.start(), m.end(), ()) for m in pattern.finditer(text)]
+    return (pattern.sub("", text), changes) if changes else (text, [])
 
 
 def clusters(text: str) -> list[tuple[int, int]]:
@@ -64,72 +57,78 @@ def clusters(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def composed(text: str, origin: list[int]) -> Mapped:
+def composed(text: str) -> Changed:
     """NFC by cluster; a cluster that changes keeps its places in order, the first for what is new."""
     if unicodedata.is_normalized("NFC", text):
-        return text, origin
-    out, places = [], []
+        return text, []
+    out, changes = [], []
     for a, b in clusters(text):
         new = unicodedata.normalize("NFC", text[a:b])
         out.append(new)
-        own = origin[a:b]
-        places += own if new == text[a:b] else [own[min(i, len(own) - 1)] if len(new) >= len(own) else own[0] for i in range(len(new))]
-    return "".join(out), [*places, origin[-1]]
+        if new != text[a:b]:
+            changes.append((a, b, tuple(min(i, b - a - 1) if len(new) >= b - a else 0 for i in range(len(new)))))
+    return "".join(out), changes
 
 
-def normalize(text: str | None, fold_digits: bool = False) -> tuple[str, list[int], list[str]]:
+def _any(table: dict[str, str]) -> re.Pattern:
+    return re.compile("|".join(map(re.escape, sorted(table, key=lambda s: (-len(s), s)))))
+
+
+def _tables(**tables: dict[str, str]) -> dict[str, Callable[[str], Changed]]:
+    return {name: (lambda text, pattern=_any(table), table=table: substituted(text, pattern, table)) for name, table in tables.items()}
+
+
+def _drops(**patterns: str) -> dict[str, Callable[[str], Changed]]:
+    return {name: (lambda text, pattern=re.compile(p): dropped(text, pattern)) for name, p in patterns.items()}
+
+
+#: In this order. A hasanta after another goes; a stray joiner is one that no hasanta precedes.
+PASSES: dict[str, Callable[[str], Changed]] = {
+    **_drops(strip_invisibles=f"[{INVISIBLE}]"),
+    **_tables(space_like_to_space=dict.fromkeys(SPACE_LIKE, " "), khanda_ta=KHANDA_TA),
+    **_drops(strip_zwj=ZWJ, strip_stray_zwnj=f"(?<!{HASANTA}){ZWNJ}"),
+    "nfc": composed,
+    **_tables(compose_nukta=NUKTA, compose_vowel_signs=VOWEL_SIGNS, punct_fold=PUNCTUATION),
+    **_drops(collapse_hasanta=f"(?<={HASANTA}){HASANTA}"),
+}
+FOLD_DIGITS = _tables(fold_digits=DIGITS)
+_NUKTA = _any(NUKTA)
+
+
+def normalize(text: str | None, fold_digits: bool = False) -> tuple[str, Offsets, list[str]]:
     """(normalised text, offset map, names of the passes that changed it)."""
     original = text = text or ""
-    origin = [*range(len(text) + 1)]
-    rules: list[str] = []
+    offsets, rules = Offsets(len(text)), []
     if bijoy.looks_like(text):
         text = bijoy.convert(text)
-        origin = [0] * len(text) + [len(original)]
+        offsets = Offsets.flat(len(text), len(original))
         rules.append("bijoy_to_unicode")
-    space_like = dict.fromkeys(SPACE_LIKE, " ")
-    passes: list[tuple[str, Callable[[str, list[int]], Mapped]]] = [
-        ("strip_invisibles", lambda t, o: dropped(t, o, lambda i: t[i] not in INVISIBLE) if any(c in t for c in INVISIBLE) else (t, o)),
-        ("space_like_to_space", lambda t, o: substituted(t, o, space_like)),
-        ("khanda_ta", lambda t, o: substituted(t, o, KHANDA_TA)),
-        ("strip_zwj", lambda t, o: dropped(t, o, lambda i: t[i] != ZWJ) if ZWJ in t else (t, o)),
-        ("strip_stray_zwnj", lambda t, o: dropped(t, o, lambda i: t[i] != ZWNJ or (i > 0 and t[i - 1] == HASANTA)) if ZWNJ in t else (t, o)),
-        ("nfc", composed),
-        ("compose_nukta", lambda t, o: substituted(t, o, NUKTA)),
-        ("compose_vowel_signs", lambda t, o: substituted(t, o, VOWEL_SIGNS)),
-        ("punct_fold", lambda t, o: substituted(t, o, PUNCTUATION)),
-        ("collapse_hasanta", lambda t, o: dropped(t, o, lambda i: not (i and t[i] == HASANTA == t[i - 1])) if HASANTA * 2 in t else (t, o)),
-    ]
-    if fold_digits:
-        passes.append(("fold_digits", lambda t, o: substituted(t, o, DIGITS)))
-    for name, change in passes:
-        new, places = change(text, origin)
-        if new != text:
+    if text.isascii() and "\t" not in text:  # no pass changes such a text
+        return text, offsets, rules
+    for name, change in (PASSES | FOLD_DIGITS if fold_digits else PASSES).items():
+        text, changes = change(text)
+        if changes:
+            offsets = offsets.over(changes)
             rules.append(name)
-        text, origin = new, places
-    return text, origin, rules
+    return text, offsets, rules
 
 
 def folded_word(word: str) -> str:
     """A lexicon word as it is stored: NFC, with the three letters composed."""
-    return substituted(unicodedata.normalize("NFC", word), [*range(len(word) * 3 + 1)], NUKTA)[0]
+    return substituted(unicodedata.normalize("NFC", word), _NUKTA, NUKTA)[0]
 
 
 def _normalized(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for x in texts:
         t, o, r = normalize(x)
-        rows.append((t, x or "", o, r))
+        rows.append((t, x or "", [{"place": p, "origin": q, "step": s} for p, q, s in o.rows()], r))
     return pd.DataFrame(rows, columns=["text", "original", "offset_map", "applied_rules"])
 
 
 def normalized(text: Column) -> Column:
-    """A struct of the normalised text, the original, the offset map and the passes."""
-    return F.pandas_udf(_normalized, "struct<text:string,original:string,offset_map:array<int>,applied_rules:array<string>>")(text)
-
-
-def remapped(place: Column, offset_map: Column) -> Column:
-    """A place of the normalised text in the submitted text."""
-    return F.element_at(offset_map, F.least(place, F.size(offset_map) - 1) + 1)
+    """A struct of the normalised text, the original, the offset map as breakpoints and the passes."""
+    return F.pandas_udf(_normalized, f"struct<text:string,original:string,offset_map:{OFFSETS_DDL},applied_rules:array<string>>")(text)
 
 
 def space_like_folded(text: Column) -> Column:

@@ -10,22 +10,26 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, lru_cache
 from heapq import nsmallest
-from itertools import islice
+from itertools import accumulate, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scriptorium.config import CONFIDENCE, EDIT_DDL
+from scriptorium.config import CONFIDENCE, EDIT_DDL, PipelineConfig
 from scriptorium.functions.distance import osa
 from scriptorium.functions.letters import BLOCK, DANDA, DOUBLE_DANDA, has_letter
 from scriptorium.functions.normalize import folded_word, normalize
+from scriptorium.functions.offsets import OFFSETS_DDL
 from scriptorium.functions.tokenize import sentences, tokens
 from scriptorium.functions.wordgraph import WordGraph, word_graph
 from scriptorium.operators.lexicon import Lexicon
+from scriptorium.operators.resolve import chosen
 from scriptorium.packs.base import Pack
 
 
@@ -295,18 +299,18 @@ class Checker:
             yield Edit(a, min(b, a + 1), "", (), "REGISTER_INCONSISTENCY", CONFIDENCE["register_drift"], "register_drift")
 
     def check(self, text: str) -> list[Edit]:
+        if not self.pack.lexicon:  # no table of words: marks only
+            return list(punctuation(text))
         out: list[Edit] = []
         parts: list[tuple[tuple[int, int], list[Word]]] = []
         calls = [0]
         for a, b in sentences(text, self.pack.rules):
             ws = [Word(s, e, t) for s, e, t, is_word in tokens(text[a:b], a, self.pack.rules) if is_word]
             parts.append(((a, b), ws))
-            if self.pack.lexicon:
-                for found in (self.spelling(ws, calls), self.collocation(ws), self.verb_person(ws, text), self.classifier(ws), self.standard(ws), self.register(ws)):
-                    out += found
+            for found in (self.spelling(ws, calls), self.collocation(ws), self.verb_person(ws, text), self.classifier(ws), self.standard(ws), self.register(ws)):
+                out += found
         out += punctuation(text)
-        if self.pack.lexicon:
-            out += self.drift(parts)
+        out += self.drift(parts)
         return out
 
 
@@ -341,8 +345,52 @@ def normalized_edits(docs: DataFrame, pack: Pack, text: str = "text") -> DataFra
             rows = []
             for x in xs:
                 new, places, passes = normalize(x)
-                rows.append((new, x or "", places if passes else None, passes, as_rows(checker.check(new))))
+                steps = [{"place": p, "origin": q, "step": s} for p, q, s in places.rows()]
+                rows.append((new, x or "", steps if passes else None, passes, as_rows(checker.check(new))))
             yield pd.DataFrame(rows, columns=["text", "original", "offset_map", "applied_rules", "edits"])
 
-    ddl = f"struct<text:string,original:string,offset_map:array<int>,applied_rules:array<string>,edits:array<struct<{EDIT_FIELDS}>>>"
+    ddl = f"struct<text:string,original:string,offset_map:{OFFSETS_DDL},applied_rules:array<string>,edits:array<struct<{EDIT_FIELDS}>>>"
     return docs.withColumn("__sc_found", F.pandas_udf(run, ddl)(text))
+
+
+def edit_arrays(lists: list[list[tuple[int, Edit]]], most_suggestions: int) -> pa.ListArray:
+    """Edits of several texts, each with its place in order of emission, as an Arrow column."""
+    flat = [x for one in lists for x in one]
+    found = [e.suggestions[:most_suggestions] for _, e in flat]
+    ends = lambda xs: pa.array([0, *accumulate(map(len, xs))], pa.int32())
+    columns = {
+        "start": pa.array([e.start for _, e in flat], pa.int32()), "end": pa.array([e.end for _, e in flat], pa.int32()), "original": pa.array([e.original for _, e in flat], pa.string()),
+        "suggestions": pa.ListArray.from_arrays(ends(found), pa.array([s for one in found for s in one], pa.string())), "error_class": pa.array([e.error_class for _, e in flat], pa.string()),
+        "confidence": pa.array([e.confidence for _, e in flat], pa.float64()), "stage": pa.array([1] * len(flat), pa.int32()), "rule": pa.array([e.rule for _, e in flat], pa.string()),
+        "seq": pa.array([n for n, _ in flat], pa.int32()),
+    }
+    return pa.ListArray.from_arrays(ends(lists), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+
+def checked(docs: DataFrame, pack: Pack, config: PipelineConfig = PipelineConfig(), id_col: str = "doc_id", submitted: bool = True, text: str = "text") -> DataFrame:
+    """(id, text, kept, suppressed): normalised, checked and resolved in one pass over the text.
+
+    Places are those of the submitted text, and text is null; or, without `submitted`, of the normalised text,
+    which comes with them."""
+    kind = f"array<struct<{EDIT_FIELDS}>>"
+    plain = replace(pack, detectors=(), correctors=(), readability=None)  # the checker's own detectors alone go to the executors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        checker = Checker(plain)
+        for b in batches:
+            kept, other, new_texts = [], [], []
+            for x in b.column(1).to_pylist():
+                new, places, passes = normalize(x)
+                a, z = chosen(checker.check(new), config)
+                if submitted and passes:
+                    a, z = ([(n, replace(e, start=places[e.start], end=places[e.end])) for n, e in es] for es in (a, z))
+                kept.append(a)
+                other.append(z)
+                new_texts.append(None if submitted else new)
+            # What wasn't kept has all its suggestions, as has what lies beyond max_edits.
+            arrays = [b.column(0), pa.array(new_texts, pa.string()), edit_arrays(kept, config.max_suggestions), edit_arrays(other, 1 << 30)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "text", "kept", "suppressed"])
+
+    id_field = docs.schema[id_col]
+    schema = T.StructType([T.StructField(id_col, id_field.dataType), *T._parse_datatype_string(f"text string, kept {kind}, suppressed {kind}").fields])
+    return docs.select(id_col, text).mapInArrow(run, schema)

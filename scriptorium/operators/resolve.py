@@ -16,26 +16,44 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def _greedy(starts: pd.Series, ends: pd.Series, good: pd.Series) -> pd.Series:
-    """Which spans of each row are taken, in order: those that are good and overlap none taken before.
+class Taken:
+    """Spans that don't overlap. In order of place their ends are in order too, so only the last one
+    that begins before a span's end can overlap it."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
 
-    The spans taken don't overlap, so in order of place their ends are in order too, and
-    only the last one that begins before a span's end can overlap it."""
+    def fits(self, start: int, end: int) -> bool:
+        """Whether the span overlaps none that was taken; if so, it is taken."""
+        k = bisect_left(self.spans, (end, -1))
+        if k and self.spans[k - 1][1] > start:
+            return False
+        insort(self.spans, (start, end))
+        return True
+
+
+def _greedy(starts: pd.Series, ends: pd.Series, good: pd.Series) -> pd.Series:
+    """Which spans of each row are taken, in order: those that are good and overlap none taken before."""
 
     def one(a, b, ok) -> list[bool]:
-        out: list[bool] = []
-        taken: list[tuple[int, int]] = []
-        for s, e, fine in zip(a, b, ok, strict=True):
-            k = bisect_left(taken, (e, -1)) if fine else 0
-            fine = bool(fine) and not (k and taken[k - 1][1] > s)
-            if fine:
-                insort(taken, (int(s), int(e)))
-            out.append(fine)
-        return out
+        taken = Taken()
+        return [bool(fine) and taken.fits(int(s), int(e)) for s, e, fine in zip(a, b, ok, strict=True)]
 
     return pd.Series([None if a is None else one(a, b, ok) for a, b, ok in zip(starts, ends, good, strict=True)], dtype=object)
 
 
+def chosen(found: list, config: PipelineConfig = PipelineConfig()) -> tuple[list[tuple], list[tuple]]:
+    """(kept, suppressed) of one text's edits, each with its place in order of emission: as resolved() does it for rows."""
+    some = [(n, e) for n, e in enumerate(found) if config.enabled_classes is None or e.error_class in config.enabled_classes]
+    some.sort(key=lambda x: (-x[1].confidence, x[1].end - x[1].start, x[1].start, x[0]))  # all are of stage 1
+    taken = Taken()
+    kept, suppressed = [], []
+    for x in some:
+        (kept if x[1].confidence >= config.min_confidence and taken.fits(x[1].start, x[1].end) else suppressed).append(x)
+    kept.sort(key=lambda x: (x[1].start, x[0]))
+    return kept[: config.max_edits], suppressed + kept[config.max_edits :]
+
+
 def resolved(docs: DataFrame, config: PipelineConfig = PipelineConfig(), id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep, kept, suppressed) of rows (id, keep, edits).
 

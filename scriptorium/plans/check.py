@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.config import PipelineConfig
-from scriptorium.functions.normalize import normalized, remapped
+from scriptorium.functions.normalize import normalized
+from scriptorium.functions.offsets import remapped
 from scriptorium.functions.readability import scored
 from scriptorium.functions.scope import out_of_scope
 from scriptorium.functions.tokenize import sentence_rows
-from scriptorium.operators.detect import normalized_edits
+from scriptorium.operators.detect import checked, normalized_edits
 from scriptorium.operators.resolve import accepted, edit_rows, resolved
 from scriptorium.packs.base import get_pack
 
@@ -20,19 +21,28 @@ from scriptorium.packs.base import get_pack
 SKIPPED = {2: "not part of this engine", 3: "not part of this engine", 4: "not part of this engine"}
 
 
-def _found(docs: DataFrame, code: str, config: PipelineConfig, id_col: str) -> DataFrame:
-    """(id, __sc_found, kept, suppressed): what was found in each row's normalised text, resolved; nothing leaves its row."""
+def _found(docs: DataFrame, code: str, config: PipelineConfig, id_col: str, submitted: bool) -> DataFrame:
+    """(id, text, kept, suppressed): what was found in each row's normalised text, resolved; nothing leaves its row.
+
+    One pass over the text, unless the pack has detectors or correctors of its own: these are columns, which stand
+    between the checker's own and the resolver, or after it."""
     pack = get_pack(code)
+    if not pack.detectors and not pack.correctors:
+        return checked(docs, pack, config, id_col, submitted)
     text, found = F.col("__sc_found.text"), F.col("__sc_found.edits")
     if pack.detectors:
         all_ = F.concat(found, *[F.coalesce(d(text), F.slice(found, 1, 0)) for d in pack.detectors])
         found = F.transform(all_, lambda e, i: e.withField("seq", i.cast("int")))
-    # The checker's own detectors alone go to the executors.
     n = normalized_edits(docs.select(id_col, "text"), replace(pack, detectors=(), correctors=(), readability=None)).withColumn("edits", found)
     out = resolved(n, config, id_col, keep=("__sc_found",))
     for c in pack.correctors:
         out = out.withColumn("kept", c(text, F.col("kept")))
-    return out
+    if submitted:
+        places, size = F.col("__sc_found.offset_map"), F.length(text)
+        origin = lambda place: F.coalesce(remapped(place, places, size), place)
+        back = lambda c: F.transform(c, lambda e: e.withField("start", origin(e["start"])).withField("end", origin(e["end"])))
+        out = out.withColumns({"kept": back("kept"), "suppressed": back("suppressed")})
+    return out.select(id_col, text.alias("text"), "kept", "suppressed")
 
 
 def check(docs: DataFrame, code: str = "bn", config: PipelineConfig = PipelineConfig(), id_col: str = "doc_id") -> dict[str, DataFrame]:
@@ -46,10 +56,7 @@ def check(docs: DataFrame, code: str = "bn", config: PipelineConfig = PipelineCo
     given = docs.filter(fits)
     n = given.select(id_col, normalized(F.col("text")).alias("n"))
     plain = n.select(id_col, F.col("n.text").alias("text"))
-    origin = lambda place, places: F.coalesce(remapped(place, places), place)
-    mapped = lambda e, places: e.withField("start", origin(e["start"], places)).withField("end", origin(e["end"], places))
-    back = lambda c: F.transform(c, lambda e: mapped(e, F.col("__sc_found.offset_map")))
-    found = edit_rows(_found(given, code, config, id_col).withColumns({"kept": back("kept"), "suppressed": back("suppressed")}), id_col)
+    found = edit_rows(_found(given, code, config, id_col, True), id_col)
     report = found.filter("surfaced").groupBy("stage").agg(F.count("*").alias("edits_emitted"))
     return {
         "normalized": n.select(id_col, "n.*"),
@@ -64,7 +71,7 @@ def check(docs: DataFrame, code: str = "bn", config: PipelineConfig = PipelineCo
 
 def accept_all(docs: DataFrame, code: str = "bn", config: PipelineConfig = PipelineConfig(), id_col: str = "doc_id") -> DataFrame:
     """(id, text), a row for each of docs: normalised texts with the first suggestion of every kept edit."""
-    return _found(docs, code, config, id_col).select(id_col, accepted(F.col("__sc_found.text"), F.col("kept")).alias("text"))
+    return _found(docs, code, config, id_col, False).select(id_col, accepted(F.col("text"), F.col("kept")).alias("text"))
 
 
 def register_udtf(spark, name: str = "check_text") -> None:

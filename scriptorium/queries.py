@@ -12,6 +12,7 @@ from scriptorium.functions import bijoy, normalize, tokenize
 from scriptorium.functions.distance import homophone_column, latin_key, osa_column, soundex_column
 from scriptorium.functions.identity import uuid7_millis
 from scriptorium.functions.letters import u
+from scriptorium.functions.offsets import remapped
 from scriptorium.functions.readability import sentence_length_variance
 from scriptorium.functions.scope import out_of_scope
 from scriptorium.operators import evaluate, lexicon, limits, resolve, store, usage
@@ -452,10 +453,10 @@ def bn_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passes that fired, the new length, and where the new end lies in the submitted text."""
     docs = spark.createDataFrame([(1, u("9A1 9BC")), (2, u("200B") + "a" + u("2018") + "b"), (3, "ab")], "doc_id int, text string")
-    n = docs.select("doc_id", normalize.normalized(F.col("text")).alias("n"))
+    n = docs.select("doc_id", normalize.normalized(F.col("text")).alias("norm"))
     return n.select(
-        "doc_id", F.array_join("n.applied_rules", ",").alias("rules"), F.length("n.text").alias("n"),
-        normalize.remapped(F.length("n.text"), F.col("n.offset_map")).alias("original_end"),
+        "doc_id", F.array_join("norm.applied_rules", ",").alias("rules"), F.length("norm.text").alias("n"),
+        remapped(F.length("norm.text"), F.col("norm.offset_map"), F.length("norm.text")).alias("original_end"),
     )
 
 
