@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 
 def u(codes: str) -> str:
@@ -55,6 +57,15 @@ def has_letter(word: str) -> bool:
     return not _LETTER.isdisjoint(word)
 
 
+def has_any_letter(word: str) -> bool:
+    return any(map(str.isalpha, word))
+
+
+def lettered(script: str) -> Callable[[str], bool]:
+    """Whether a word has a letter of the script; of any, for scripts without classes here."""
+    return has_letter if script == "bengali" else has_any_letter
+
+
 def has_letter_column(text: Column) -> Column:
     return text.rlike(f"[{CONSONANT}{INDEPENDENT}]")
 

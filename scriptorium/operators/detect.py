@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from scriptorium.config import CONFIDENCE, EDIT_DDL, PipelineConfig
 from scriptorium.functions.distance import osa
-from scriptorium.functions.letters import BLOCK, DANDA, DOUBLE_DANDA, has_letter
+from scriptorium.functions.letters import BLOCK, DANDA, DOUBLE_DANDA
 from scriptorium.functions.normalize import folded_word, normalize
 from scriptorium.functions.offsets import OFFSETS_DDL
 from scriptorium.functions.tokenize import sentences, tokens
@@ -158,7 +158,7 @@ class Checker:
     def spelling(self, ws: list[Word], calls: list[int]) -> Iterator[Edit]:
         p = self.pack
         for i, w in enumerate(ws):
-            if not has_letter(w.text):
+            if not self.lexicon.has_letter(w.text):
                 continue
             if w.text in p.violations:
                 yield edit(w, (p.violations[w.text],), "NOTVA_SHOTVA", "violation")

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import FULL_LEXICON, SUGGEST_BUDGET
 from scriptorium.functions.distance import latin_key, osa_column
-from scriptorium.functions.letters import HASANTA, has_letter, vowel_final
+from scriptorium.functions.letters import HASANTA
 from scriptorium.functions.normalize import folded_word
 from scriptorium.functions.tokenize import LATIN, words
+from scriptorium.operators.affixes import Affixes
+from scriptorium.operators.membership import strangers
 from scriptorium.packs.base import Pack
 from scriptorium.session import cut
 
@@ -30,18 +32,11 @@ class Lexicon:
 
     def __init__(self, pack: Pack, more: Iterator[str] | tuple[str, ...] = (), depth: int = 4):
         self.words = frozenset(map(folded_word, pack.lexicon)) | frozenset(more) | frozenset(pack.violations.values()) | frozenset(pack.standard_forms.values()) | frozenset(pack.register.values())
-        order = lambda xs: sorted(set(xs), key=lambda s: (-len(s), s))
-        self.suffixes, self.prefixes, self.guarded, self.depth = order(pack.suffixes), order(pack.prefixes), frozenset(pack.vowel_final_only), depth
-
-    def splits(self, word: str) -> Iterator[tuple[str, str]]:
-        for s in self.suffixes:
-            if word.endswith(s) and len(word) > len(s) + 1:
-                stem = word[: -len(s)]
-                if s not in self.guarded or vowel_final(stem):
-                    yield stem, s
+        self.affixes, self.depth = Affixes(pack, depth), depth
+        self.has_letter, self.splits, self.prefixes = self.affixes.has_letter, self.affixes.splits, self.affixes.prefixes
 
     def lookup(self, word: str, depth: int = 0) -> Lookup:
-        if not word or word in self.words or not has_letter(word):
+        if not word or word in self.words or not self.has_letter(word):
             return Lookup(True, word)
         if depth < self.depth:
             for stem, s in self.splits(word):
@@ -118,8 +113,11 @@ def coverage_factor(size: Column) -> Column:
     return F.least(F.lit(1.0), size / F.lit(float(FULL_LEXICON)))
 
 
-def unknown(found: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Distinct words without an entry."""
+def unknown(found: DataFrame, lexicon: DataFrame, distinct: bool = False) -> DataFrame:
+    """Distinct words without an entry. Where each of found's words comes once, which `distinct` says, only those that
+    the lexicon's filter lets pass are shuffled."""
+    if distinct:
+        return strangers(found.select("word"), lexicon.select("word"))
     return found.select("word").distinct().join(lexicon.select("word"), "word", "left_anti")
 
 

@@ -23,18 +23,28 @@ from scriptorium.functions.distance import osa_column
 from scriptorium.functions.tokenize import tokens
 from scriptorium.operators.detect import Checker, edits
 from scriptorium.operators.lexicon import budgeted, candidates, coverage_factor, ranked, stem_reconstructions, token_frequency
+from scriptorium.operators.membership import MemberFilter, member_filter, power_of
 from scriptorium.operators.resolve import edit_rows, resolved
 from scriptorium.packs.base import get_pack
 from scriptorium.session import cut
 
 
-def occurrences(docs: DataFrame, code: str = "la", id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, word, start, end, original): the words of each text with their places; row tells rows of one id apart."""
+def occurrences(docs: DataFrame, code: str = "la", id_col: str = "doc_id", text: str = "text", among: MemberFilter | None = None) -> DataFrame:
+    """(row, id, word, start, end, original): the words of each text with their places; row tells rows of one id apart.
+
+    With a filter, only words that it lets pass: those of its list, and a few others."""
     rules = get_pack(code).rules
+    sent = among and docs.sparkSession.sparkContext.broadcast((among.power, among.blocks))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        members = sent and MemberFilter(*sent.value)
+
+        def one(x: str) -> list[dict]:
+            found = [{"word": t.lower(), "start": s, "end": e, "original": t} for s, e, t, w in tokens(x, 0, rules) if w and t[0].isalpha()]
+            return [t for t, ok in zip(found, members.passes(t["word"] for t in found), strict=True) if ok] if members else found
+
         for xs in batches:
-            yield xs.map(lambda x: [{"word": t.lower(), "start": s, "end": e, "original": t} for s, e, t, w in tokens(x or "", 0, rules) if w and t[0].isalpha()])
+            yield xs.map(lambda x: one(x or ""))
 
     f = F.pandas_udf(run, "array<struct<word:string,start:int,end:int,original:string>>")
     return docs.select("row", id_col, F.explode(f(text)).alias("t")).select("row", id_col, "t.*")
@@ -46,6 +56,12 @@ def vocabulary(docs: DataFrame, least_docs: int = 3, text: str = "text") -> tupl
     return tuple(freq.filter(c).select("word", "freq") for c in (F.col("docs") >= least_docs, F.col("docs") < least_docs))
 
 
+def filter_of(words: DataFrame) -> MemberFilter | None:
+    """The filter of a list of words, if it may be sent to all tasks."""
+    power = power_of(words.count())
+    return None if power is None else member_filter(words, power)
+
+
 @lru_cache(maxsize=2)
 def _checker(code: str, words: tuple[str, ...]) -> Checker:
     """A checker by these words, most frequent first; made once a Python process."""
@@ -90,7 +106,7 @@ def spelling(docs: DataFrame, code: str = "la", least_docs: int = 3, coverage: f
     if coverage is None:
         coverage = lexicon.agg(coverage_factor(F.count("*")).alias("c")).first()["c"]
     known = cut(suggestions(rare, lexicon, code))
-    found = budgeted(occurrences(docs, code, id_col, text).join(known, "word"), "row", budget)
+    found = budgeted(occurrences(docs, code, id_col, text, filter_of(known)).join(known, "word"), "row", budget)
     none = F.array().cast("array<string>")
     found = found.withColumn("suggestions", F.when(F.col("within_budget"), F.col("suggestions")).otherwise(none))
     rule = F.when(F.size("suggestions") > 0, "unknown_with_suggestions").otherwise("unknown_alone")

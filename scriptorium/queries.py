@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from scriptorium.functions.letters import u
 from scriptorium.functions.offsets import remapped
 from scriptorium.functions.readability import sentence_length_variance
 from scriptorium.functions.scope import out_of_scope
-from scriptorium.operators import evaluate, lexicon, limits, resolve, store, usage
+from scriptorium.operators import affixes, evaluate, lexicon, limits, resolve, store, usage
 from scriptorium.operators.detect import edits
 from scriptorium.packs.base import Collocation, Pack, get_pack
 from scriptorium.plans import corpus
@@ -142,7 +143,7 @@ def corpus_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FREQ} SELECT word FROM f WHERE docs < 3")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq = cut(lexicon.token_frequency(table(spark, sf_dir, "documents")))
-    return lexicon.unknown(freq, freq.filter("docs >= 3"))
+    return lexicon.unknown(freq, freq.filter("docs >= 3"), distinct=True)
 
 
 @query(f"WITH {_FREQ} SELECT round(least(1.0, count(*) / 150000.0), 9) AS coverage, count(*) AS size FROM f WHERE docs >= 3")
@@ -156,12 +157,32 @@ u AS (SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.i) AS
 SELECT doc_id, count(*)::BIGINT AS n_unknown, count(*) FILTER (r <= 25)::BIGINT AS n_within FROM u GROUP BY doc_id""")
 def suggest_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    freq = lexicon.token_frequency(docs)
-    at = docs.select("doc_id", F.posexplode(F.filter(tokenize.words(F.lower(F.coalesce("text", F.lit("")))), lambda w: w.rlike("^[a-z]"))).alias("start", "word"))
-    rare = at.join(freq.filter("docs < 3").select("word"), "word", "left_semi")
+    rare = cut(lexicon.token_frequency(docs).filter("docs < 3").select("word"))
+    # A document's common words don't leave it: the filter of the rare ones stops them.
+    at = corpus.occurrences(docs.withColumn("row", F.col("doc_id")), "la", among=corpus.filter_of(rare))
+    rare = at.join(rare, "word", "left_semi")
     return lexicon.budgeted(rare).groupBy("doc_id").agg(F.count("*").alias("n_unknown"), F.sum(F.col("within_budget").cast("long")).alias("n_within"))
 
 
+# Our own Latin affixes, as many as show every way of the analysis: nested, overlapping, and a prefix.
+_AFFIXED = replace(get_pack("la"), suffixes=("s", "es", "ed", "er", "ers", "ing", "ings", "ly", "al", "ion", "tion", "ions", "ness", "e", "en"), prefixes=("un", "re", "in", "th"))
+_LIST = ", ".join(f"('{s}', {n})" for n, s in enumerate(sorted(_AFFIXED.suffixes, key=lambda s: (-len(s), s))))
+_HEADS = ", ".join(f"('{s}', {n})" for n, s in enumerate(sorted(_AFFIXED.prefixes, key=lambda s: (-len(s), s))))
+
+
+@query(f"""WITH RECURSIVE {_FREQ}, lex AS (SELECT word FROM f WHERE docs >= 3), sx AS (SELECT * FROM (VALUES {_LIST}) t(s, n)), px AS (SELECT * FROM (VALUES {_HEADS}) t(p, n)),
+rest AS (SELECT word, word AS form, CAST([] AS INTEGER[]) AS path, '' AS stripped, 0 AS depth FROM f WHERE docs < 3
+  UNION ALL SELECT word, form[length(p) + 1:], [1000 + n], '', 1 FROM (SELECT word, word AS form FROM f WHERE docs < 3), px WHERE starts_with(form, p) AND length(form) > length(p) + 1
+  UNION ALL SELECT word, form[:length(form) - length(s)], list_append(path, n), s || stripped, depth + 1 FROM rest, sx WHERE depth < 4 AND ends_with(form, s) AND length(form) > length(s) + 1),
+hit AS (SELECT rest.word, form, stripped, row_number() OVER (PARTITION BY rest.word ORDER BY path) AS r FROM rest JOIN lex ON lex.word = form)
+SELECT f.word, docs >= 3 OR form IS NOT NULL AS known, CASE WHEN docs >= 3 THEN f.word ELSE form END AS form, coalesce(stripped, '') AS stripped FROM f LEFT JOIN hit ON hit.word = f.word AND r = 1""")
+def affix_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of documents against the words that three of them share, by suffixes up to four deep and prefixes."""
+    freq = cut(lexicon.token_frequency(table(spark, sf_dir, "documents")))
+    found = affixes.analysed(freq, freq.filter("docs >= 3"), _AFFIXED)
+    return found.select("word", "known", "form", F.array_join("stripped", "").alias("stripped"))
+
+
 _KEY = "substr(word, 1, 1) || translate(substr(word, 2), 'bfpvcgjkqsxzdtlmnraeiouhwy', '111122222222334556')"
 
 
