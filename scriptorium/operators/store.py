@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.operators.upserts import UpsertLog
+from scriptorium.session import remove
+from scriptorium.sources.files import exists, listed
+
 TABLES = {
     "devices": "device_id string, user_id string, recovery_hash string, created_at timestamp, last_seen_at timestamp",
     "users": "user_id string, created_at timestamp",
@@ -18,29 +22,35 @@ FREE_TIER = "free_unlimited"
 
 def opened(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of the store at path, by its newest version that was written whole; empty ones where there is none."""
-    from scriptorium.sources.tables import exists
-
-    version = _version(spark, path)
+    version = max(versions(spark, path), default=0)
     where = {n: f"{path}/v{version}/{n}" for n in TABLES}
     return {n: spark.read.schema(d).parquet(where[n]) if version and exists(spark, where[n]) else spark.createDataFrame([], d) for n, d in TABLES.items()}
 
 
-def saved(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> int:
-    """Writes all tables as one new version, which counts once its mark is there: all of them or none."""
-    version = _version(spark, path) + 1
+def saved(spark: SparkSession, tables: dict[str, DataFrame], path: str, keep: int = 2) -> int:
+    """Writes all tables as one new version, which counts once its mark is there: all of them or none.
+
+    The newest `keep` versions stay, so that what still reads the one before can end; older ones go."""
+    version = max(versions(spark, path), default=0) + 1
     for n in TABLES:
         tables[n].write.mode("overwrite").parquet(f"{path}/v{version}/{n}")
     spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").json(f"{path}/v{version}/_done")
+    for old in versions(spark, path):
+        if old <= version - keep:
+            remove(spark, f"{path}/v{old}")
     return version
 
 
-def _version(spark: SparkSession, path: str) -> int:
-    from scriptorium.sources.tables import exists
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that are there whole."""
+    return sorted(int(n[1:]) for n in listed(spark, path) if n[:1] == "v" and n[1:].isdigit() and exists(spark, f"{path}/{n}/_done"))
 
-    version = 0
-    while exists(spark, f"{path}/v{version + 1}/_done"):
-        version += 1
-    return version
+
+def devices_log(spark: SparkSession, path: str, **how: int) -> UpsertLog:
+    """Devices as a log of deltas: when each was first and last seen, its user and its recovery hash."""
+    schema = "device_id string, user_id string, recovery_hash string, created_at timestamp, last_seen_at timestamp"
+    rules = (("user_id", "last by last_seen_at"), ("recovery_hash", "last by last_seen_at"), ("created_at", "min"), ("last_seen_at", "max"))
+    return UpsertLog(spark, path, "device_id", schema, rules, **how)
 
 
 def first_last(events: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:

@@ -12,6 +12,7 @@ from scriptorium.functions.normalize import folded_word as folded
 from scriptorium.functions.normalize import normalized
 from scriptorium.operators.lexicon import word_list
 from scriptorium.packs.base import Pack
+from scriptorium.sources.files import exists
 
 GOLD = "id string, text string, error_class string, wrong string, right string, review string, source string, note string"
 SPEC = "error_class string, label string, template string, no_fix_template string, rule_reference string, gold_cases int"
@@ -43,12 +44,6 @@ def clean(spark: SparkSession, path: str) -> DataFrame:
     return lines_.select(F.xxhash64("value").alias("sent_id"), F.col("value").alias("text"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a file or folder, by Spark's own file systems."""
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
-
-
 def rule_table(spark: SparkSession, path: str, wrong: str = "wrong", right: str = "right") -> dict[str, str]:
     """A rule table from JSON lines or CSV with a header, folded as text is; a key that comes twice with other values
     raises. Rule tables are of a language's size and live on the driver."""

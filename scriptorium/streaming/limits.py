@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scriptorium.operators.limits import SlidingLog
-from scriptorium.operators.store import upserted_devices
+from scriptorium.operators.store import devices_log, first_last
 
 
 def limited_stream(events: DataFrame, limit: int = 120, seconds: int = 60) -> DataFrame:
@@ -37,13 +37,12 @@ def windowed_counts(events: DataFrame, size: str = "5 minutes", late: str = "10
     return g.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def upsert_sink(path: str):
-    """A foreachBatch function that keeps last_seen_at of devices at path, a table of versions."""
+def upsert_sink(path: str, **how: int):
+    """A foreachBatch function that keeps devices at path by their events (user_id, ts): each batch writes its own delta."""
 
     def merge(batch: DataFrame, version: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.groupBy(F.col("user_id").alias("device_id")).agg(F.min("ts").alias("created_at"), F.max("ts").alias("last_seen_at"))
-        before = spark.read.parquet(f"{path}/v{version - 1}") if version else spark.createDataFrame([], seen.schema)
-        upserted_devices(before, seen).write.mode("overwrite").parquet(f"{path}/v{version}")
+        seen = first_last(batch).withColumn("device_id", F.col("device_id").cast("string"))
+        none = F.lit(None).cast("string")
+        devices_log(batch.sparkSession, path, **how).add(seen.withColumns({"user_id": none, "recovery_hash": none}), version)
 
     return merge

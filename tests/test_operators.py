@@ -277,8 +277,8 @@ def test_stream_limits(spark, tmp_path):
     q = stream.writeStream.foreachBatch(upsert_sink(str(tmp_path / "dev"))).option("checkpointLocation", str(tmp_path / "c3")).start()
     q.processAllAvailable()
     q.stop()
-    got = {r["device_id"]: r["last_seen_at"] for r in spark.read.parquet(str(tmp_path / "dev" / "v0")).collect()}
-    assert got == {0: t0 + timedelta(seconds=380), 1: t0 + timedelta(seconds=390)}
+    got = {r["device_id"]: r["last_seen_at"] for r in store.devices_log(spark, str(tmp_path / "dev")).read().collect()}
+    assert got == {"0": t0 + timedelta(seconds=380), "1": t0 + timedelta(seconds=390)}
 
 
 def test_store(spark):
