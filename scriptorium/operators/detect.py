@@ -367,6 +367,15 @@ def edit_arrays(lists: list[list[tuple[int, Edit]]], most_suggestions: int) -> p
     return pa.ListArray.from_arrays(ends(lists), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
 
+def resolved_text(checker: Checker, text: str | None, config: PipelineConfig, submitted: bool = True) -> tuple[str, list[tuple[int, Edit]], list[tuple[int, Edit]]]:
+    """The normalised text, and its edits that are kept and those that aren't, each with its place in order of emission."""
+    new, places, passes = normalize(text)
+    both = chosen(checker.check(new), config)
+    if submitted and passes:
+        both = tuple([(n, replace(e, start=places[e.start], end=places[e.end])) for n, e in es] for es in both)  # type: ignore[assignment]
+    return new, *both
+
+
 def checked(docs: DataFrame, pack: Pack, config: PipelineConfig = PipelineConfig(), id_col: str = "doc_id", submitted: bool = True, text: str = "text") -> DataFrame:
     """(id, text, kept, suppressed): normalised, checked and resolved in one pass over the text.
 
@@ -380,10 +389,7 @@ def checked(docs: DataFrame, pack: Pack, config: PipelineConfig = PipelineConfig
         for b in batches:
             kept, other, new_texts = [], [], []
             for x in b.column(1).to_pylist():
-                new, places, passes = normalize(x)
-                a, z = chosen(checker.check(new), config)
-                if submitted and passes:
-                    a, z = ([(n, replace(e, start=places[e.start], end=places[e.end])) for n, e in es] for es in (a, z))
+                new, a, z = resolved_text(checker, x, config, submitted)
                 kept.append(a)
                 other.append(z)
                 new_texts.append(None if submitted else new)

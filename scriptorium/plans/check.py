@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Iterator
+from dataclasses import fields, replace
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 
-from scriptorium.config import PipelineConfig
-from scriptorium.functions.normalize import normalized
+from scriptorium.config import EDIT_DDL, PipelineConfig
+from scriptorium.functions.normalize import normalize, normalized
 from scriptorium.functions.offsets import remapped
 from scriptorium.functions.readability import scored
 from scriptorium.functions.scope import out_of_scope
 from scriptorium.functions.tokenize import sentence_rows
-from scriptorium.operators.detect import checked, normalized_edits
+from scriptorium.operators.detect import Checker, checked, normalized_edits, resolved_text
 from scriptorium.operators.resolve import accepted, edit_rows, resolved
-from scriptorium.packs.base import get_pack
+from scriptorium.packs.base import get_pack, languages
 
 #: Stages that are declared and have no detector.
 SKIPPED = {2: "not part of this engine", 3: "not part of this engine", 4: "not part of this engine"}
@@ -74,17 +78,63 @@ def accept_all(docs: DataFrame, code: str = "bn", config: PipelineConfig = Pipel
     return _found(docs, code, config, id_col, False).select(id_col, accepted(F.col("text"), F.col("kept")).alias("text"))
 
 
-def register_udtf(spark, name: str = "check_text") -> None:
-    """Makes SQL `SELECT * FROM check_text(text, 'bn')`: the edits of one text, before overlaps are resolved."""
-    from pyspark.sql.functions import udtf
+class CheckTable:
+    """SQL: SELECT * FROM check_table(TABLE(documents), 'la', min_confidence => 0.5).
+
+    Takes any table with a column `text`, however it is partitioned. A row for each edit: the other columns of its row,
+    whatever they are, then those of check()'s edits. Columns of the table that are named like these are left out.
+    Options are the fields of PipelineConfig that are numbers. The pack's tables are made once a task."""
+
+    _KINDS = {"int": T.IntegerType(), "string": T.StringType(), "array<string>": T.ArrayType(T.StringType()), "double": T.DoubleType()}
+    #: Made without the JVM, which tasks don't have.
+    EDIT = T.StructType([*(T.StructField(c, k[t]) for k in [_KINDS] for c, t in (x.split(" ") for x in EDIT_DDL.split(", "))), T.StructField("surfaced", T.BooleanType())])
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, code: AnalyzeArgument, **options: AnalyzeArgument) -> AnalyzeResult:
+        if not table.isTable or "text" not in table.dataType.names:
+            raise ValueError("check_table asks for a table with a column `text`")
+        if code.value not in languages():
+            raise ValueError(f"no language pack {code.value!r}; there are {', '.join(languages())}")
+        if unknown := set(options) - {f.name for f in fields(PipelineConfig)}:
+            raise ValueError(f"check_table has no option {', '.join(sorted(unknown))}")
+        kept = [f for f in table.dataType.fields if f.name != "text" and f.name not in CheckTable.EDIT.names]
+        return AnalyzeResult(schema=T.StructType([*kept, *CheckTable.EDIT.fields]))
+
+    def __init__(self, analyze_result: AnalyzeResult):
+        self.columns = [f.name for f in analyze_result.schema.fields[: -len(self.EDIT.fields)]]
+        self.checker: Checker | None = None
+
+    def eval(self, row: Row, code: str, **options: Any) -> Iterator[tuple]:
+        if self.checker is None:
+            self.checker = Checker(get_pack(code))
+            self.config = replace(PipelineConfig(), **{k: v if isinstance(v, int) else float(v) for k, v in options.items()})
+        own = [row[c] for c in self.columns]
+        if self.config.max_text is not None and len(row["text"] or "") > self.config.max_text:
+            return
+        _, kept, other = resolved_text(self.checker, row["text"], self.config)
+        for found, surfaced, most in ((kept, True, self.config.max_suggestions), (other, False, 1 << 30)):
+            for n, e in found:
+                yield *own, e.start, e.end, e.original, list(e.suggestions[:most]), e.error_class, e.confidence, 1, e.rule, n, surfaced
 
-    from scriptorium.functions.normalize import normalize
-    from scriptorium.operators.detect import Checker
 
-    @udtf(returnType="start int, end int, original string, suggestion string, error_class string, confidence double, rule string")
-    class CheckText:
-        def eval(self, text: str, code: str):
-            for e in Checker(get_pack(code)).check(normalize(text)[0]):
-                yield e.start, e.end, e.original, e.suggestions[0] if e.suggestions else None, e.error_class, e.confidence, e.rule
+def register_table_function(spark, name: str = "check_table") -> None:
+    """Makes SQL `check_table(TABLE(<any table>), '<pack>')`: the edits of check(), for every row of the table."""
+    spark.udtf.register(name, udtf(CheckTable))
 
-    spark.udtf.register(name, CheckText)
+
+class CheckText:
+    """SQL: SELECT * FROM check_text('a text', 'bn'): the edits of one text, before overlaps are resolved."""
+
+    def __init__(self):
+        self.checkers: dict[str, Checker] = {}
+
+    def eval(self, text: str, code: str) -> Iterator[tuple]:
+        if code not in self.checkers:
+            self.checkers[code] = Checker(get_pack(code))
+        for e in self.checkers[code].check(normalize(text)[0]):
+            yield e.start, e.end, e.original, e.suggestions[0] if e.suggestions else None, e.error_class, e.confidence, e.rule
+
+
+def register_udtf(spark, name: str = "check_text") -> None:
+    """Makes SQL `SELECT * FROM check_text(text, 'bn')`."""
+    spark.udtf.register(name, udtf(CheckText, returnType="start int, end int, original string, suggestion string, error_class string, confidence double, rule string"))

@@ -18,10 +18,11 @@ from scriptorium.functions.readability import sentence_length_variance
 from scriptorium.functions.scope import out_of_scope
 from scriptorium.operators import affixes, evaluate, lexicon, limits, resolve, store, usage
 from scriptorium.operators.detect import edits
+from scriptorium.operators.upserts import UpsertLog
 from scriptorium.packs.base import Collocation, Pack, get_pack
 from scriptorium.plans import corpus
-from scriptorium.plans.check import accept_all, check
-from scriptorium.session import cut, table
+from scriptorium.plans.check import accept_all, check, register_table_function
+from scriptorium.session import cut, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,6 +126,19 @@ def device_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upserted_devices(store.first_last(e.filter("event_type <> 'signup'")), store.first_last(e.filter("event_type = 'signup'")))
 
 
+@query("""SELECT user_id::VARCHAR AS device_id, arg_max(event_type, {'t': ts, 'e': event_type}) AS last_event, min(ts) AS created_at, max(ts) AS last_seen_at FROM events GROUP BY user_id""")
+def device_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a log of deltas, to which the events are added week by week, the last week twice; and what each device did last."""
+    rules = (("last_event", "last by last_seen_at"), ("created_at", "min"), ("last_seen_at", "max"))
+    log = UpsertLog(spark, scratch(spark, "devices"), "device_id", "device_id string, last_event string, created_at timestamp, last_seen_at timestamp", rules, ranges=4, fanout=3)
+    at = F.col("ts").cast("timestamp")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("device_id"), F.col("event_type").alias("last_event"), at.alias("created_at"), at.alias("last_seen_at"), F.weekofyear("ts").alias("week"))
+    weeks = sorted(r["week"] for r in events.select("week").distinct().collect())
+    for week in [*weeks, *weeks[-1:]]:
+        log.add(events.filter(F.col("week") == week), week)
+    return log.read()
+
+
 _LAT = "[A-Za-z]+(?:[''’][A-Za-z]+)*|[0-9]+(?:[.,][0-9]+)*"
 _WORDS = f"w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{_LAT}'), lambda x: regexp_matches(x, '^[a-z]')) AS ws FROM documents)"
 _FREQ = f"{_WORDS}, t AS (SELECT doc_id, unnest(ws) AS word FROM w), f AS (SELECT word, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM t GROUP BY word)"
@@ -348,6 +362,14 @@ def edits_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("surfaced").groupBy("error_class", "rule").agg(F.count("*").alias("n"))
 
 
+@query(ORACLE_SQL["edits_by_class"])
+def edits_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by SQL, through the table function over the whole table."""
+    register_table_function(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("__sc_documents")
+    return spark.sql("SELECT error_class, rule, count(*) AS n FROM check_table(TABLE(__sc_documents), 'la', max_edits => 1000000000) WHERE surfaced GROUP BY error_class, rule")
+
+
 @query(f"""WITH t AS (SELECT doc_id, replace(replace(coalesce(text, ''), ', ', ' ,, '), '. ', '.   ') AS x FROM documents)
 SELECT doc_id, {_count(f'[ \\t]+{_MARK}')}::BIGINT AS space_before, ({_count(_TWICE)} - {_count(f'[ \\t]{_TWICE}')})::BIGINT AS repeated_mark, ({_SPACES} - {_count(f'{_INNER}{_MARK}')})::BIGINT AS multiple_spaces FROM t""")
 def edits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
