@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.config import ERROR_CLASSES, Gates
+from scriptorium.operators.spans import hits
 
 
 def classes(spark) -> DataFrame:
@@ -23,11 +24,7 @@ def matched(cases: DataFrame, edits: DataFrame) -> DataFrame:
     """(id, error_class, hit_seq): the first edit of the case's class that overlaps its span.
 
     A case without a span is hit by any edit of its class."""
-    g, e = cases.alias("g"), edits.alias("e")
-    on = (F.col("g.id") == F.col("e.id")) & (F.col("g.error_class") == F.col("e.error_class"))
-    near = F.col("g.start").isNull() | ((F.col("e.start") < F.col("g.end")) & (F.col("g.start") < F.col("e.end")))
-    j = g.join(e, on & near, "left")
-    return j.groupBy(F.col("g.id").alias("id"), F.col("g.error_class").alias("error_class")).agg(F.min("e.seq").alias("hit_seq"))
+    return hits(cases, edits).groupBy("id", "error_class").agg(F.min("hit_seq").alias("hit_seq"))
 
 
 def confusion(cases: DataFrame, edits: DataFrame, clean_edits: DataFrame, all_classes: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from scriptorium.functions.letters import u
 from scriptorium.functions.offsets import remapped
 from scriptorium.functions.readability import sentence_length_variance
 from scriptorium.functions.scope import out_of_scope
-from scriptorium.operators import affixes, evaluate, lexicon, limits, resolve, store, usage
+from scriptorium.operators import affixes, evaluate, lexicon, limits, resolve, spans, store, usage
 from scriptorium.operators.detect import edits
 from scriptorium.operators.upserts import UpsertLog
 from scriptorium.packs.base import Collocation, Pack, get_pack
@@ -362,6 +362,21 @@ def edits_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("surfaced").groupBy("error_class", "rule").agg(F.count("*").alias("n"))
 
 
+_SOME_MARK = f"[ \\t]+{_MARK}|{_TWICE}|[^ \\t\\n\\r\\f\\v][ \\t]{{2,}}[^ \\t\\n\\r\\f\\v]"
+
+
+@query(f"""SELECT doc_id, len(l)::BIGINT AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '{_SOME_MARK}')))::BIGINT AS n_marked
+FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)""")
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents in which an edit lies: spans of lines swept with the places of edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.split("text", "\n")
+    ends = F.aggregate(lines, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(-1)) + 1 + F.length(x))))
+    each = docs.select("doc_id", F.posexplode(F.arrays_zip(lines.alias("line"), ends.alias("end"))).alias("n", "l")).select("doc_id", (F.col("l.end") - F.length("l.line")).alias("start"), F.col("l.end").alias("end"))
+    found = check(docs, "la", ALL_EDITS)["edits"].select("doc_id", "start", "end", "seq")
+    return spans.hits(each, found, ("doc_id",)).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count("hit_seq").alias("n_marked"))
+
+
 @query(ORACLE_SQL["edits_by_class"])
 def edits_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by SQL, through the table function over the whole table."""
