@@ -12,7 +12,7 @@ from scriptorium.config import PipelineConfig
 from scriptorium.functions import bijoy, normalize, tokenize
 from scriptorium.functions.distance import homophone_column, latin_key, osa_column, soundex_column
 from scriptorium.functions.identity import uuid7_millis
-from scriptorium.functions.letters import u
+from scriptorium.functions.letters import DANDA, u
 from scriptorium.functions.offsets import remapped
 from scriptorium.functions.readability import sentence_length_variance
 from scriptorium.functions.scope import out_of_scope
@@ -23,6 +23,8 @@ from scriptorium.packs.base import Collocation, Pack, get_pack
 from scriptorium.plans import corpus
 from scriptorium.plans.check import accept_all, check, register_table_function
 from scriptorium.session import cut, scratch, table
+from scriptorium.sources import event_log
+from scriptorium.sources.tables import gold, read_baseline, write_baseline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -778,3 +780,141 @@ def corpus_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     found = corpus.spelling(docs, "la")
     return found.select("doc_id", F.size("edits").cast("long").alias("n_unknown"), F.size(F.filter("edits", lambda e: F.size(e["suggestions"]) > 0)).cast("long").alias("n_suggested"))
+
+
+# A word of Bengali for each first letter of a Latin word, written out: subjects of four persons, verbs of four, a particle,
+# the end of a clause, the head of a phrase, a quantifier and two plurals, a violation and an older form; the rest are plain words.
+_WORD_OF = u("986 9AE 9BF") + " বই করছে করছি ভালো এবং না মানুষ তুমি কলম করছো ভাত সে অনেক বইগুলো কলমগুলি কারন কাজ স্কুল জল " + u("9AC 9BE 9A1 9BC 9C0") + " আপনি করছেন গল্প সঙ্গে কথা"
+_W = _WORD_OF.split(" ")
+_PERSON = {_W[0]: 1, _W[8]: 2, _W[12]: 3, _W[21]: 4}
+_VERB = {_W[3]: 1, _W[10]: 2, _W[2]: 3, _W[22]: 4}
+_case = lambda x, m: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in m.items()) + " END"
+_in = lambda *ks: "(" + ", ".join(f"'{k}'" for k in ks) + ")"
+
+
+def _in_bengali(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): documents word by word, in sentences of their own; an older form is written with a separate dot."""
+    of = F.array(*map(F.lit, _W))
+    sents = F.filter(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "[.?!]+"), lambda s: F.regexp_extract_all(s, F.lit("[a-z]+"), F.lit(0))), lambda ws: F.size(ws) > 0)
+    said = F.transform(sents, lambda ws: F.concat(F.array_join(F.transform(ws, lambda w: F.element_at(of, F.ascii(w) - 96)), " "), F.lit(DANDA)))
+    return docs.select("doc_id", F.array_join(said, " ").alias("text"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[.?!]+'), lambda s: regexp_extract_all(s, '[a-z]+')), lambda ws: len(ws) > 0)) AS ws,
+  generate_subscripts(list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[.?!]+'), lambda s: regexp_extract_all(s, '[a-z]+')), lambda ws: len(ws) > 0), 1) AS sent FROM documents),
+s AS (SELECT doc_id, sent, list_transform(ws, lambda w: (string_split('{_WORD_OF}', ' '))[ascii(w) - 96]) AS t FROM p),
+g AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: t[i] IN {_in(*_PERSON)}) AS subj FROM s),
+c AS (SELECT *, t[subj[1] + 1:] AS after FROM g),
+d AS (SELECT *, CASE WHEN len(subj) = 1 THEN after[:coalesce(list_position(after, '{_W[5]}') - 1, len(after))] ELSE [] END AS clause FROM c),
+e AS (SELECT *, coalesce(list_max(list_filter(range(1, len(clause) + 1), lambda i: clause[i] <> '{_W[6]}')), 0) AS last FROM d),
+f AS (SELECT *, list_max(list_filter(range(1, last + 1), lambda i: clause[i] IN {_in(*_VERB)} AND NOT (i > 1 AND clause[i - 1] = '{_W[24]}'))) AS verb_at FROM e),
+v AS (SELECT doc_id, sent, t, CASE WHEN verb_at IS NOT NULL AND {_case("clause[verb_at]", _VERB)} <> {_case("t[subj[1]]", _PERSON)} THEN subj[1] + verb_at END AS verb,
+  list_distinct(list_filter(list_transform(list_filter(range(1, len(t) + 1), lambda i: t[i] = '{_W[13]}'), lambda i: CASE WHEN t[i+1] IN {_in(_W[14], _W[15])} THEN i + 1 WHEN t[i+2] IN {_in(_W[14], _W[15])} THEN i + 2 END), lambda i: i IS NOT NULL)) AS plural FROM f),
+o AS (SELECT doc_id, sent, i, t[i] AS w, coalesce(i = verb, false) AS verb, list_contains(plural, i) AS plural, length(t[i]) + CASE WHEN i = len(t) THEN 2 ELSE 1 END AS wide FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM v)),
+x AS (SELECT *, sum(wide) OVER (PARTITION BY doc_id ORDER BY sent, i) - wide AS start, w = '{_W[16]}' AS violation, w = '{_W[20]}' AS older FROM o)
+SELECT doc_id, count(*) FILTER (verb)::BIGINT AS n_verb, count(*) FILTER (plural)::BIGINT AS n_plural, count(*) FILTER (violation)::BIGINT AS n_violation, count(*) FILTER (older)::BIGINT AS n_older,
+  coalesce(sum(start) FILTER (verb OR plural OR violation OR older), 0)::BIGINT AS starts FROM x GROUP BY doc_id""")
+def bn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole check over documents turned into Bengali word by word: clauses with particles and phrase heads, plurals after
+    quantifiers, misspellings, and places mapped back over letters that the normaliser composes."""
+    docs = _in_bengali(table(spark, sf_dir, "documents")).filter("text <> ''")
+    found = check(docs, "bn", ALL_EDITS)["edits"].filter("surfaced AND rule IN ('verb_person', 'double_plural', 'violation', 'standard_form')")
+    one = lambda r, n: F.sum((F.col("rule") == r).cast("long")).alias(n)
+    n = found.groupBy("doc_id").agg(one("verb_person", "n_verb"), one("double_plural", "n_plural"), one("violation", "n_violation"), one("standard_form", "n_older"), F.sum("start").alias("starts"))
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_verb", "n_plural", "n_violation", "n_older", "starts")])
+
+
+# What stands for a pair of letters in a kind of documents, and what the normaliser makes of it, by pass.
+_FORMS = (("th", "khanda_ta", u("9A4 9CD 200D"), u("9CE")), ("en", "compose_nukta", u("9A1 9BC"), u("9DC")), ("on", "nfc", u("995 9C7 9BE"), u("995 9CB")), ("in", "compose_vowel_signs", u("995 9BE 9C7"), u("995 9CB")),
+          ("er", "collapse_hasanta", u("995 9CD 9CD 9CD 996"), u("995 9CD 996")), ("an", "strip_stray_zwnj", u("995 200C 9CD 200C 996"), u("995 9CD 200C 996")), ("re", "strip_zwj", u("995 200D 996"), u("995 996")))
+
+
+def _by_kind(at: int) -> str:
+    return "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN replace(text, '{f[0]}', '{f[at]}')" for k, f in enumerate(_FORMS)) + " END"
+
+
+_pass_of = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{f[1]}'" for k, f in enumerate(_FORMS)) + " END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), k AS (SELECT doc_id, length({_by_kind(2)}) AS submitted, {_by_kind(3)} AS x,
+  CASE WHEN {_by_kind(2)} = text THEN '' ELSE {_pass_of} END AS pass FROM t)
+SELECT doc_id, sha256(x) AS text_sha256, pass, submitted::BIGINT AS original_end FROM k""")
+def normalized_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with decomposed, reversed, doubled or stray letters at every place of a pair of letters, seven ways: the text
+    after all passes, the pass that did it, and where the end lies in the submitted text."""
+    kind = F.pmod("doc_id", F.lit(7))
+    x = F.coalesce("text", F.lit(""))
+    made = F.coalesce(*[F.when(kind == k, F.replace(x, F.lit(f[0]), F.lit(f[2]))) for k, f in enumerate(_FORMS)])
+    n = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), normalize.normalized(made).alias("norm"))
+    own = F.coalesce(*[F.when((F.col("kind") == k) & F.array_contains("norm.applied_rules", f[1]), F.lit(f[1])) for k, f in enumerate(_FORMS)], F.lit(""))
+    size = F.length("norm.text")
+    return n.select("doc_id", F.sha2("norm.text", 256).alias("text_sha256"), own.alias("pass"), remapped(size, F.col("norm.offset_map"), size).cast("long").alias("original_end"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, replace(replace(coalesce(text, ''), ', ', ' ,, '), '. ', '.   ') AS x FROM documents),
+n AS (SELECT doc_id, {_count(f'[ \\t]+{_MARK}')} + {_count(_TWICE)} - {_count(f'[ \\t]{_TWICE}')} + {_SPACES} - {_count(f'{_INNER}{_MARK}')} AS n FROM t)
+SELECT doc_id, least(3, n)::BIGINT AS surfaced FROM n""")
+def edits_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three edits of a document surface, the first by place."""
+    docs = _perturbed(spark, sf_dir, ", ", " ,, ").withColumn("text", F.replace("text", F.lit(". "), F.lit(".   ")))
+    found = check(docs, "la", PipelineConfig(max_edits=3))["edits"].filter("surfaced").groupBy("doc_id").agg(F.count("*").alias("surfaced"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("surfaced", F.lit(0)).cast("long").alias("surfaced"))
+
+
+@query(f"WITH r AS ({ORACLE_SQL['edits_by_class']}) SELECT 'by class ' || error_class AS what, sum(n)::BIGINT AS n FROM r GROUP BY error_class UNION ALL SELECT 'by stage 1', sum(n)::BIGINT FROM r HAVING sum(n) > 0")
+def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that surface, by class and by stage."""
+    found = cut(check(table(spark, sf_dir, "documents"), "la", ALL_EDITS)["edits"])
+    by_class = resolve.class_counts(found).select(F.concat(F.lit("by class "), "error_class").alias("what"), "n")
+    return by_class.unionByName(resolve.stage_distribution(found).select(F.concat(F.lit("by stage "), F.col("stage").cast("string")).alias("what"), "n"))
+
+
+@query("""WITH l AS (SELECT string_split(coalesce(text, ''), chr(10)) AS l FROM documents), r AS (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS i FROM l)
+SELECT sha256('NON_WORD' || chr(0) || i::VARCHAR || chr(0) || (i + length(line))::VARCHAR || chr(0) || line || chr(0) || upper(substr(line, 1, 1)))[:16] AS edit_id, count(*)::BIGINT AS n FROM r WHERE line <> '' GROUP BY 1""")
+def edit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of edits by content: lines of documents as edits; equal ones share an id."""
+    each = table(spark, sf_dir, "documents").select(F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "original")).filter("original <> ''")
+    made = each.select(F.lit("NON_WORD").alias("error_class"), (F.col("i") + 1).alias("start"), (F.col("i") + 1 + F.length("original")).alias("end"), "original", F.array(F.upper(F.substring("original", 1, 1))).alias("suggestions"))
+    return resolve.with_ids(made).groupBy("edit_id").agg(F.count("*").alias("n"))
+
+
+@query(ORACLE_SQL["eval_prf"])
+def baseline_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of classes, written as a baseline and read back."""
+    path = scratch(spark, "baseline")
+    write_baseline(eval_prf(spark, sf_dir), path)
+    return read_baseline(spark, path).select("error_class", "precision", "recall", "f05")
+
+
+@query("""SELECT item_id::VARCHAR AS id, position(word IN text) - 1 AS start, position(word IN text) - 1 + length(word) AS "end" FROM (SELECT item_id, text, string_split(text, ' ')[-1] AS word FROM benchmark)""")
+def gold_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as files of a class each and read back: where the wrong word, an item's last, first stands in its text."""
+    path = scratch(spark, "gold")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text", F.lit("NON_WORD").alias("error_class"), F.element_at(F.split("text", " "), -1).alias("wrong"))
+    items.write.json(f"{path}/errors")
+    return evaluate.gold_spans(gold(spark, path)).select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query("""WITH u AS (SELECT user_id::VARCHAR AS device_id, min(ts) AS a, max(ts) AS z FROM events GROUP BY 1)
+SELECT device_id, 'free_unlimited' AS tier, 0 AS days, device_id = (SELECT min(device_id) FROM u) AS recoverable FROM u""")
+def store_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every device of the log known, entitled and with a streak, in a store that was saved and opened; one is found by its recovery hash."""
+    path = scratch(spark, "store")
+    seen = store.first_last(table(spark, sf_dir, "events")).withColumns({c: F.col(c).cast(k) for c, k in (("device_id", "string"), ("created_at", "timestamp"), ("last_seen_at", "timestamp"))})
+    made = store.ensure_devices(store.ensure_devices(store.opened(spark, path), seen), seen)
+    first = seen.agg(F.min("device_id")).first()[0]
+    store.saved(spark, made | {"devices": store.attach_recovery(made["devices"], first, "digest") if first else made["devices"]}, path)
+    back = store.opened(spark, path)
+    found = store.device_for_recovery(back["devices"], "digest").select("device_id", F.lit(True).alias("found"))
+    return back["entitlements"].join(back["streaks"], "device_id").join(found, "device_id", "left").select("device_id", "tier", "days", F.coalesce("found", F.lit(False)).alias("recoverable"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY event_type")
+def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events appended to a log as two segments, by day, and scanned again."""
+    path = scratch(spark, "events")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (F.dayofmonth("ts") <= 15, F.dayofmonth("ts") > 15):
+        event_log.append(events.filter(part), path)
+    back = spark.read.schema(events.schema).parquet(f"{path}/segment-*")
+    return back.groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))

@@ -92,8 +92,9 @@ def class_specs(specs: DataFrame) -> DataFrame:
     return specs
 
 
-def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def read_baseline(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """What write_baseline wrote, a class a line; or, with whole_file, one JSON value a file."""
+    return spark.read.option("multiLine", whole_file).json(path)
 
 
 def write_baseline(per_class: DataFrame, path: str) -> None:

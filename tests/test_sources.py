@@ -121,3 +121,9 @@ def test_eval_command(spark, tmp_path, capsys):
     assert "| NOTVA_SHOTVA | 2 | 1 | 0 | 1 |" in out.out and '"gold_total":3' in out.out and "no_baseline" in out.err
     assert cli.main(["eval", str(tmp_path), "--baseline", str(tmp_path / "base")]) == 0
     assert cli.main(["eval", str(tmp_path), "--baseline", str(tmp_path / "base"), "--strict"]) == 1
+
+
+def test_a_baseline_has_all_its_classes(spark, tmp_path):
+    df = spark.createDataFrame([("A", 0.5), ("B", 0.25), ("C", 0.0)], "error_class string, f05 double")
+    tables.write_baseline(df, str(tmp_path / "b"))
+    assert sorted(map(tuple, tables.read_baseline(spark, str(tmp_path / "b")).select("error_class", "f05").collect())) == [("A", 0.5), ("B", 0.25), ("C", 0.0)]
