@@ -15,7 +15,7 @@ MARKERS = ("ষ", "ণ", "ঋ", "ৃ", "ঃ", "ঞ", u("9DD"), "্য", "্র
 # What counts as easiest, and the range up to hardest, of syllables a word, share of learned words and variance.
 EASIEST, RANGES = (2.0, 0.0, 0.0), (2.5, 0.45, 90.0)
 # Decimal places.
-PLACES = {"score": 1, "syllables_per_word": 3, "tatsama_share": 3, "length_variance": 2, "mean_sentence_length": 2}
+PLACES = {"score": 1, "syllables_per_word": 3, "tatsama_density": 3, "sentence_length_variance": 2, "mean_sentence_length": 2}
 FIELDS = (*PLACES, "words", "sentences")
 
 

@@ -24,6 +24,7 @@ from scriptorium.plans import corpus
 from scriptorium.plans.check import accept_all, check, register_table_function
 from scriptorium.session import cut, scratch, table
 from scriptorium.sources import event_log
+from scriptorium.sources.dictionary import dictionary
 from scriptorium.sources.tables import gold, read_baseline, write_baseline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -611,10 +612,10 @@ def accept_all_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accept_all(docs, "la")
 
 
-@query("""SELECT doc_id, syllables_per_word::DOUBLE AS syllables_per_word, tatsama_share::DOUBLE AS tatsama_share, length_variance::DOUBLE AS length_variance,
+@query("""SELECT doc_id, syllables_per_word::DOUBLE AS syllables_per_word, tatsama_density::DOUBLE AS tatsama_density, sentence_length_variance::DOUBLE AS sentence_length_variance,
   mean_sentence_length::DOUBLE AS mean_sentence_length, words::DOUBLE AS words, sentences::DOUBLE AS sentences, score::DOUBLE AS score
 FROM (VALUES (1, 2.0, 0.0, 0.0, 2.0, 2.0, 1.0, 100.0), (2, 0.0, 0.0, 0.0, NULL, 0.0, 0.0, 0.0), (3, 2.333, 0.333, 0.25, 1.5, 3.0, 2.0, 62.5))
-  t(doc_id, syllables_per_word, tatsama_share, length_variance, mean_sentence_length, words, sentences, score)""")
+  t(doc_id, syllables_per_word, tatsama_density, sentence_length_variance, mean_sentence_length, words, sentences, score)""")
 def bn_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two words of two syllables; no words; one learned word of three in two sentences, 100 * (1 - (0.3 * 0.1333 + 0.35 * 0.7407 + 0.15 * 0.0028) / 0.8)."""
     from scriptorium.functions.readability import FIELDS, scored
@@ -918,3 +919,20 @@ def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         event_log.append(events.filter(part), path)
     back = spark.read.schema(events.schema).parquet(f"{path}/segment-*")
     return back.groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+_AFF = ("SFX A Y 2", "SFX A 0 s [^sy]", "SFX A y ies [^aeiou]y", "SFX B N 1", "SFX B e ing e", "PFX U Y 1", "PFX U 0 un [^u]")
+
+
+@query(f"""WITH {_FREQ}, l AS (SELECT word, freq % 2 = 0 AS a, freq % 3 = 0 AS b, freq % 5 = 0 AS p FROM f WHERE docs >= 3 AND regexp_matches(word, '^[a-z]+$')),
+e AS (SELECT word AS form, p, true AS x FROM l UNION ALL SELECT word || 's', p, true FROM l WHERE a AND regexp_matches(word, '[^sy]$')
+  UNION ALL SELECT word[:-2] || 'ies', p, true FROM l WHERE a AND regexp_matches(word, '[^aeiou]y$') UNION ALL SELECT word[:-2] || 'ing', p, false FROM l WHERE b AND length(word) > 1 AND word[-1] = 'e')
+SELECT DISTINCT form AS word FROM (SELECT form FROM e UNION ALL SELECT 'un' || form FROM e WHERE p AND x AND form[1] <> 'u')""")
+def dictionary_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that three documents share, written as an affix dictionary with flags by their frequency, and all forms read back."""
+    path = scratch(spark, "dictionary")
+    flags = F.concat(*[F.when(F.col("freq") % n == 0, F.lit(f)).otherwise(F.lit("")) for n, f in ((2, "A"), (3, "B"), (5, "U"))])
+    listed = lexicon.corpus_lexicon(table(spark, sf_dir, "documents")).filter(F.col("word").rlike("^[a-z]+\\z"))
+    listed.select(F.concat("word", F.lit("/"), flags).alias("value")).write.text(f"{path}/dic")
+    spark.createDataFrame([("\n".join(_AFF),)], "value string").coalesce(1).write.text(f"{path}/aff")
+    return dictionary(spark, f"{path}/aff", f"{path}/dic")

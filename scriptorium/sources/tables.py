@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from scriptorium.operators.lexicon import word_list
 from scriptorium.packs.base import Pack
 from scriptorium.sources.files import exists
 
+#: A count line of an affix table that ends with `$`.
+HEADER_REPAIR = re.compile(r"^((?:SFX|PFX)[ \t]+\S+[ \t]+[YN][ \t]+[0-9]+)[ \t]*\$[ \t]*\Z")
 GOLD = "id string, text string, error_class string, wrong string, right string, review string, source string, note string"
 SPEC = "error_class string, label string, template string, no_fix_template string, rule_reference string, gold_cases int"
 
@@ -72,14 +75,39 @@ def pack_from(spark: SparkSession, base: Pack, folder: str) -> Pack:
                 new[f.name] = tuple(folded(r["word"]) for r in word_list(lines(spark, path)).orderBy("pos").toLocalIterator())
             else:
                 new[f.name] = rule_table(spark, path)
-    if "lexicon" in new:
-        new["coverage"] = min(1.0, len(new["lexicon"]) / FULL_LEXICON)  # type: ignore[arg-type]
-    else:
-        warnings.warn(f"no word list in {folder}: the pack's own {len(base.lexicon)} words are used, and unknown words won't surface", stacklevel=2)
-        new["coverage"] = min(1.0, len(base.lexicon) / FULL_LEXICON)
+    words = lexicon_from(spark, base, folder)
+    new["lexicon"], new["coverage"] = words, min(1.0, len(words) / FULL_LEXICON)
     return replace(base, **new)  # type: ignore[arg-type]
 
 
+def lexicon_from(spark: SparkSession, base: Pack, folder: str, most: int = FULL_LEXICON * 4) -> tuple[str, ...]:
+    """The best word list of folder, in order: the forms of an affix dictionary (`dictionary.aff`, `dictionary.dic`) after the
+    list of words (`lexicon.txt`) and its supplement (`extra_words.txt`); the list alone; the words that base has.
+
+    What is there and can't be read, or isn't there, is said, as without a dictionary unknown words are hardly ever confident
+    enough to surface. A pack's words live on the driver: a dictionary of more than `most` forms stays a table, for
+    operators.affixes and plans.corpus."""
+    from scriptorium.sources.dictionary import dictionary
+
+    listed = lambda name: [folded(r["word"]) for r in word_list(lines(spark, f"{folder}/{name}")).orderBy("pos").toLocalIterator()] if exists(spark, f"{folder}/{name}") else []
+    own = [*listed("lexicon.txt")]
+    words = [*(own or base.lexicon), *listed("extra_words.txt")]
+    aff, dic = f"{folder}/dictionary.aff", f"{folder}/dictionary.dic"
+    if exists(spark, dic):
+        try:
+            found = dictionary(spark, aff, dic)
+            if found.limit(most + 1).count() > most:
+                warnings.warn(f"{dic} has more than {most} forms and stays a table: read it with sources.dictionary", stacklevel=3)
+            else:
+                words += sorted(r["word"] for r in found.toLocalIterator())
+                return tuple(dict.fromkeys(words))
+        except Exception as e:  # a dictionary that can't be read leaves a weaker checker, never none
+            warnings.warn(f"{dic} can't be read ({e}): {len(words)} words are used instead", stacklevel=3)
+    elif not own:
+        warnings.warn(f"no word list in {folder}: the pack's own {len(base.lexicon)} words are used, and unknown words won't surface", stacklevel=3)
+    return tuple(dict.fromkeys(words))
+
+
 def class_specs(specs: DataFrame) -> DataFrame:
     """specs, if every class is there with its four keys and at least three cases; else ValueError.
 
@@ -112,7 +140,7 @@ def clear_events(spark: SparkSession, schema: str, path: str) -> None:
 
 def affix_header_repaired(line: Column) -> Column:
     """Count lines of an affix table without the `$` that some files end them with."""
-    return F.regexp_replace(line, r"^((?:SFX|PFX)[ \t]+\S+[ \t]+[YN][ \t]+[0-9]+)[ \t]*\$[ \t]*\z", "$1")
+    return F.regexp_replace(line, HEADER_REPAIR.pattern.replace("\\Z", "\\z"), "$1")
 
 
 def canonical_lines(rows: DataFrame, value: str = "value") -> DataFrame:

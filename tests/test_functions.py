@@ -132,7 +132,7 @@ def test_readability_keys_and_rounding():
     """Two words of 2 and 3 syllables, one learned, and one word: places as documented."""
     got = readability.score("আমি লক্ষণ। যাই।")
     assert set(got) == set(readability.FIELDS) and (got["words"], got["sentences"]) == (3.0, 2.0)
-    assert got["syllables_per_word"] == 2.333 and got["tatsama_share"] == 0.333 and got["length_variance"] == 0.25
+    assert got["syllables_per_word"] == 2.333 and got["tatsama_density"] == 0.333 and got["sentence_length_variance"] == 0.25
     for w in ("বিষয়", "কারণ", "ঋণ", "কৃষক", "দুঃখ", "বাক্য", "প্রাণ", "বিশ্ব", "রক্ষা", "জ্ঞান"):
         assert readability.tatsama(w), w
     assert not any(map(readability.tatsama, ("আমি", "ভাত", "উৎস", "মা")))
