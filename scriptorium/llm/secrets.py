@@ -118,6 +118,7 @@ def cut(value: str, words: dict[str, int] | None = None, enough: float = math.in
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_LEET)
+    disguised = plain != low  # compared once: at every place it would take the length of the value
     inf = math.inf
     best: list[float] = [0.0] + [inf] * n  # cost of the first i characters
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
@@ -150,7 +151,7 @@ def cut(value: str, words: dict[str, int] | None = None, enough: float = math.in
         for size in range(3, min(longest, end) + 1):
             s = end - size
             got, extra = rank.get(low[s:end]), 0.0
-            if got is None and plain != low:
+            if got is None and disguised:
                 got, extra = rank.get(plain[s:end]), log(4)
             if got is not None:
                 part = value[s:end]

@@ -199,3 +199,17 @@ def test_redaction_leaves_clean_text(spark):
     clean = "your password is incorrect and the token is generated"
     df = spark.createDataFrame([(1, clean), (2, "your password is xkvqzjwhtbmd")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()} == {1: clean, 2: "your password is [SECRET]"}
+
+
+def test_time_follows_the_length_of_a_repetitive_value():
+    """A repeat stays cheap, so that no early end helps; time is that of the characters."""
+    import time
+
+    def took(n):
+        began = time.process_time()
+        assert secrets.guess_cost("ab" * (n // 2), enough=10.0) < 10
+        return time.process_time() - began
+
+    took(2_000)
+    short, long = min(took(20_000) for _ in range(2)), min(took(160_000) for _ in range(2))
+    assert long < 16 * short, (short, long)
