@@ -130,10 +130,11 @@ def deduplicated(docs: DataFrame, least: int = 10, shortest: int = 1, batches: i
         runs.add(counted(hashed.filter(F.col("batch") == i)))
     every = hashed.select("x", "y", F.posexplode("keys").alias("at", "k")).filter("k is not null").select("x", "y", "at", "k.a", "k.b")
     gone = every.join(runs.finished(), KEY, "left_semi").groupBy("x", "y").agg(F.collect_set("at").alias("gone"))
-    own = docs.select(id_col, F.coalesce(text, F.lit("")).alias("__sc_text"), x.alias("x"), y.alias("y")).join(gone, ["x", "y"], "left")
+    gone = gone.select(F.col("x").alias("__sc_x"), F.col("y").alias("__sc_y"), F.col("gone").alias("__sc_gone"))  # the id may have any name
+    own = docs.select(id_col, F.coalesce(text, F.lit("")).alias("__sc_text"), x.alias("__sc_x"), y.alias("__sc_y")).join(gone, ["__sc_x", "__sc_y"], "left")
     ln = F.split("__sc_text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__sc_lines") - 1), "gone")
-    kept = F.when(F.col("gone").isNull(), F.col("__sc_text")).otherwise(F.array_join(F.transform(stay, lambda p: F.get("__sc_lines", p)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__sc_lines") - 1), "__sc_gone")
+    kept = F.when(F.col("__sc_gone").isNull(), F.col("__sc_text")).otherwise(F.array_join(F.transform(stay, lambda p: F.get("__sc_lines", p)), "\n"))
     return own.withColumn("__sc_lines", ln).select(
-        id_col, F.size("__sc_lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept")
+        id_col, F.size("__sc_lines").cast("long").alias("n_lines"), F.coalesce(F.size("__sc_gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept")
     )

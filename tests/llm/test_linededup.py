@@ -47,6 +47,13 @@ def test_shortest_keys(spark):
     assert rows(linededup.deduplicated(d, least=3, shortest=5)) == brute(docs, 3, 5)
 
 
+@pytest.mark.parametrize("name", ["x", "gone", "a", "batch"])
+def test_ids_and_texts_of_any_name(spark, name):
+    docs = made(6, 30)
+    d = spark.createDataFrame(docs, f"{name} long, keys string")
+    assert rows(linededup.deduplicated(d, least=3, id_col=name, text="keys", batches=2)) == brute(docs, 3)
+
+
 def test_no_rows(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.deduplicated(d).columns == ["doc_id", "n_lines", "n_dropped", "kept"]
