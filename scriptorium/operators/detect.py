@@ -91,7 +91,8 @@ class Checker:
         self.lexicon = Lexicon(p)
         # Earlier words of the pack's list count as more frequent.
         self.frequency = {folded_word(w): len(p.lexicon) - i for i, w in enumerate(p.lexicon)}
-        self.suggest = lru_cache(maxsize=100_000)(self._suggest)
+        # Words repeat: what depends on a word alone is worked out once, for as many words as a language has in use.
+        self.suggest, self.lookup, self.own_register, self.plural_of = (lru_cache(maxsize=100_000)(f) for f in (self._suggest, self.lexicon.lookup, self._register_of, self._plural_of))
         self.modern_of, self.archaic_of = p.register, {v: k for k, v in reversed(p.register.items())}
         endings: dict[str, set[tuple[str, str]]] = {}
         for tense, cells in p.paradigms.items():
@@ -113,7 +114,7 @@ class Checker:
     def stems(self, word: str, limit: int, most_splits: int = 4) -> Iterator[str]:
         """Words of an unknown stem's sound near it, with the suffix again."""
         key = self.pack.sounds.key
-        unknown = ((stem, s) for stem, s in self.lexicon.splits(word) if not self.lexicon.lookup(stem).known)
+        unknown = ((stem, s) for stem, s in self.lexicon.splits(word) if not self.lookup(stem).known)
         for stem, s in islice(unknown, most_splits):
             same = ((w, d) for w, d in self.graph.near(stem).items() if key(w) == key(stem))
             yield from (w + s for w in self.ranked(stem, same, limit))
@@ -128,7 +129,7 @@ class Checker:
 
     def register_of(self, word: str, before: str | None) -> str | None:
         """archaic, modern or None; a word that only some neighbours mark is modern after one of them."""
-        return self._register_of(word) or ("modern" if word in self.pack.contextual and before in self.pack.contextual[word][1] else None)
+        return self.own_register(word) or ("modern" if word in self.pack.contextual and before in self.pack.contextual[word][1] else None)
 
     def _register_of(self, word: str) -> str | None:
         p = self.pack
@@ -162,7 +163,7 @@ class Checker:
                 continue
             if w.text in p.violations:
                 yield edit(w, (p.violations[w.text],), "NOTVA_SHOTVA", "violation")
-            elif w.text in p.standard_forms or self.lexicon.lookup(w.text).known or self.register_of(w.text, ws[i - 1].text if i else None) == "archaic":
+            elif w.text in p.standard_forms or self.lookup(w.text).known or self.register_of(w.text, ws[i - 1].text if i else None) == "archaic":
                 continue
             else:
                 found: list[str] = []
@@ -196,7 +197,7 @@ class Checker:
         if found and ws[found[0]].text in p.subjects:
             at, person = found[0], p.subjects[ws[found[0]].text]
         else:
-            stripped = [(i, self.lexicon.lookup(w.text)) for i, w in enumerate(ws)]
+            stripped = [(i, self.lookup(w.text)) for i, w in enumerate(ws)]
             nouns = [i for i, l in stripped if l.known and any(ws[i].text.endswith(c) and c in l.stripped for c in p.classifiers)]
             if len(nouns) != 1:
                 return
@@ -224,7 +225,7 @@ class Checker:
                 yield edit(clause[k], (root + ending,), "AGREEMENT" if thing else "VERB_INFLECTION", "verb_person")
             return
 
-    def plural_of(self, word: str) -> str | None:
+    def _plural_of(self, word: str) -> str | None:
         """The stem of a plural, if it has a suffix and is long enough."""
         for s in sorted(self.pack.plural_suffixes, key=lambda s: (-len(s), s)):
             if word.endswith(s) and len(word) - len(s) >= 2:
