@@ -38,14 +38,18 @@ STANDARD_FORMS = pairs(
 # Pairs of archaic and modern forms.
 REGISTER = pairs(
     "তাহার তার তাহারা তারা তাহাকে তাকে যাহা যা তাহা তা ইহা এটা উহা ওটা করিয়া করে হইয়া হয়ে যাইয়া গিয়ে কহিল বলল হইল হলো নাই নেই "
-    "আসিয়া এসে খাইয়া খেয়ে পাইয়া পেয়ে শুনিয়া শুনে উঠিয়া উঠে বসিয়া বসে যাহারা যারা কাহাকে কাকে"
+    "আসিয়া এসে খাইয়া খেয়ে পাইয়া পেয়ে শুনিয়া শুনে উঠিয়া উঠে বসিয়া বসে যাহারা যারা কাহাকে কাকে "
+    "তাহাদের তাদের যাহার যার যাহাকে যাকে যাহাদের যাদের কাহার কার কাহাদের কাদের ইহার এর ইহাকে একে ইহারা এরা ইহাদের এদের উহার ওর উহাকে ওকে উহারা ওরা উহাদের ওদের "
+    "দিয়াছে দিয়েছে দিয়াছি দিয়েছি গিয়াছে গিয়েছে গিয়াছি গিয়েছি লইয়া নিয়ে দিয়া দিয়ে চাহিয়া চেয়ে গাহিয়া গেয়ে রহিয়া রয়ে কহিয়া কয়ে "
+    "কহিলেন বললেন কহিলাম বললাম হইল হলো হইবে হবে হইতে হতে হইলে হলে যাইতে যেতে যাইবে যাবে যাইব যাব খাইতে খেতে খাইবে খাবে আসিতে আসতে আসিবে আসবে "
+    "পাইবে পাবে পাইতে পেতে লইতে নিতে লইবে নেবে নহে নয় নহেন নন নাহি নেই"
 )
-ARCHAIC_ENDINGS = words("িতেছে িতেছি িতেছেন িয়াছে িয়াছি িয়াছেন িয়াছিল িলাম িবেন")
+ARCHAIC_ENDINGS = words("িতেছে িতেছি িতেছেন িতেছ িতেছিল িতেছিলাম িতেছিলেন িয়াছে িয়াছি িয়াছেন িয়াছ িয়াছিল িয়াছিলাম িয়াছিলেন িলাম িলেন িবেন িবার")
 GUARDED_ENDINGS = words("িয়া িবে িল")
 REGISTER_VERBS = words("কর বল চল দেখ লিখ পড় জান খেল শুন ধর")
 PRIORITY_MODERN = words("চ্ছে চ্ছি চ্ছেন চ্ছিল")
 MODERN_ENDINGS = words("েছে েছি েছেন েছিল ছে ছি ছেন লাম বেন")
-DERIVED = pairs("িতেছে ছে িতেছি ছি িতেছেন ছেন িয়াছে েছে িয়াছি েছি িয়াছেন েছেন িয়াছিল েছিল িলাম লাম িবেন বেন িবে বে িল ল িয়া ে")
+DERIVED = pairs("িতেছে ছে িতেছি ছি িতেছেন ছেন িতেছ ছো িতেছিল ছিল িতেছিলাম ছিলাম িতেছিলেন ছিলেন িয়াছে েছে িয়াছি েছি িয়াছেন েছেন িয়াছ েছো িয়াছিল েছিল িয়াছিলাম েছিলাম িয়াছিলেন েছিলেন িলাম লাম িলেন লেন িবেন বেন িবার বার িবে বে িল ল িয়া ে")
 # A word that is modern only after some others, and its archaic form.
 CONTEXTUAL = {f("পরে"): (f("পরিয়া"), words("জামা শাড়ি কাপড় জুতা টুপি"))}
 # Subjects and their persons.
@@ -58,12 +62,15 @@ PARADIGMS = {
     "past": pairs("first লাম second লে third লো honorific লেন intimate লি"),
     "future": pairs("first বো second বে third বে honorific বেন intimate বি"),
     "habitual": pairs("first তাম second তে third তো honorific তেন intimate তিস"),
+    "past progressive": pairs("first ছিলাম second ছিলে third ছিল honorific ছিলেন intimate ছিলি"),
+    "past perfect": pairs("first েছিলাম second েছিলে third েছিল honorific েছিলেন intimate েছিলি"),
+    "imperative": pairs("third ুক honorific ুন"),
 }
 AMBIGUOUS_ENDINGS = words("বে লে ে তে")
 FINAL_ONLY = words("ি ো")
 ROOTS = words(
     "কর বল চল দেখ লিখ পড় জান খেল শুন ধর হাস কাঁদ বস উঠ নাচ ভাব মার কাট রাখ থাক ডাক খুঁজ বুঝ মান ঘুর ফির ছাড় আন কিন চিন "
-    "বাঁচ ঢাক মুছ ভাঙ গড় তুল দৌড় সাজ রাঁধ বাঁধ কাঁপ মিল নাম"
+    "বাঁচ ঢাক মুছ ভাঙ গড় তুল দৌড় সাজ রাঁধ বাঁধ কাঁপ মিল নাম লাগ জাগ রাগ ভাস থাম টান মাপ চাপ পার মর ঝর"
 )
 CLAUSE_BREAKS = words("এবং কিন্তু আর যে তবে কারণ যদি তাই অথবা বা")
 PARTICLES = words("না নি কি তো ও ই")
@@ -87,7 +94,7 @@ COLLOCATIONS = (
     Collocation(f("কুল"), f("কূল"), after=words("নদীর সাগরের"), confidence=0.66),
     Collocation(f("বান"), f("বাণ"), after=words("তীর ধনুক"), confidence=0.60),
 )
-SUFFIXES = words("কে ের র তে ে েরা দের গুলো গুলি সমূহ রা টি টা খানা জন ই ও ছে ছি ছেন েছে েছি েছেন লাম লেন বেন তাম ি েন")
+SUFFIXES = words("কে ের র তে ে েরা দের গুলো গুলি সমূহ রা টি টা খানা জন ই ও ছে ছি ছেন েছে েছি েছেন লাম লেন বেন তাম ি েন ছিলাম ছিল ছিলেন েছিলাম েছিল েছিলেন ুন ুক")
 PREFIXES = words("অ অতি উপ প্রতি প্র বি সু")
 VOWEL_FINAL_ONLY = words("র তে য় ও")
 SEED = words(
