@@ -25,7 +25,7 @@ from scriptorium.plans.check import accept_all, check, register_table_function
 from scriptorium.session import cut, scratch, table
 from scriptorium.sources import event_log
 from scriptorium.sources.dictionary import dictionary
-from scriptorium.sources.tables import gold, read_baseline, write_baseline
+from scriptorium.sources.tables import gold, nukta_lint, read_baseline, write_baseline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -936,3 +936,41 @@ def dictionary_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed.select(F.concat("word", F.lit("/"), flags).alias("value")).write.text(f"{path}/dic")
     spark.createDataFrame([("\n".join(_AFF),)], "value string").coalesce(1).write.text(f"{path}/aff")
     return dictionary(spark, f"{path}/aff", f"{path}/dic")
+
+
+_LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, sum(len(string_split(line, 'en')) - 1 + len(string_split(line, 'th')) - 1)::BIGINT AS n FROM l WHERE contains(line, 'en') OR contains(line, 'th') GROUP BY doc_id""")
+def undotted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with dotted letters as two characters in place of pairs of letters: how many of these each has."""
+    made = F.replace(F.replace("line", F.lit("en"), F.lit(u("9A1 9BC"))), F.lit("th"), F.lit(u("9AF 9BC")))
+    return nukta_lint(_lines(spark, sf_dir).withColumn("value", made)).groupBy("doc_id").agg(F.sum("n_undotted").alias("n"))
+
+
+@query(f"""WITH {_LINES}, i AS (SELECT line FROM l GROUP BY line HAVING count(DISTINCT doc_id) >= 3) SELECT doc_id, count(*)::BIGINT AS n FROM l WHERE line NOT IN (SELECT line FROM i) GROUP BY doc_id""")
+def ignored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as edits without those that were ignored: lines that three documents share."""
+    each = _lines(spark, sf_dir).select("doc_id", F.lit("NON_WORD").alias("error_class"), F.col("line").alias("original"), F.array(F.upper("line")).alias("suggestions"))
+    shared = each.groupBy("error_class", "original").agg(F.countDistinct("doc_id").alias("n")).filter("n >= 3").select("error_class", "original", F.upper("original").alias("first"))
+    return resolve.ignored(each, shared).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, sha256(string_agg(x, chr(10) ORDER BY x)) AS said FROM (SELECT doc_id, CASE WHEN length(line) % 2 = 0 THEN 'no word for "' || line || '", {{other}}' ELSE line || ': write new ' || line END AS x FROM l) GROUP BY doc_id""")
+def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An explanation for each line; half of them have no correction and take the other template; unknown keys stay."""
+    right = F.when(F.length("line") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("new "), "line"))
+    said = resolve.rendered(F.lit("{wrong}: write {right}"), {"wrong": F.col("line"), "right": right}, F.lit('no word for "{wrong}", {other}'))
+    return _lines(spark, sf_dir).select("doc_id", said.alias("x")).groupBy("doc_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("x")), "\n"), 256).alias("said"))
+
+
+@query("""WITH e AS (SELECT word, row_number() OVER (ORDER BY doc_id, word) AS place FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ')[1] AS word FROM documents))
+SELECT word, ((SELECT count(*) FROM e) - max(place) + 1)::BIGINT AS freq FROM e GROUP BY word""")
+def list_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in a list of the documents' first words stand for frequencies; of repeats the last place counts."""
+    entries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.get(F.split(F.coalesce("text", F.lit("")), " "), F.lit(0)).alias("word"))
+    return lexicon.frequency_proxy(entries)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import ERROR_CLASSES, FULL_LEXICON
 from scriptorium.functions.normalize import folded_word as folded
-from scriptorium.functions.normalize import normalized
+from scriptorium.functions.normalize import NUKTA, normalized
 from scriptorium.operators.lexicon import word_list
 from scriptorium.packs.base import Pack
 from scriptorium.sources.files import exists
@@ -148,6 +148,12 @@ def canonical_lines(rows: DataFrame, value: str = "value") -> DataFrame:
     return rows.withColumn(value, normalized(F.col(value))["text"])
 
 
+def nukta_lint(rows: DataFrame, value: str = "value") -> DataFrame:
+    """Rows whose text spells one of the three dotted letters as two characters, with n_undotted: data files must not."""
+    found = F.regexp_count(F.col(value), F.lit("|".join(NUKTA)))
+    return rows.withColumn("n_undotted", found.cast("long")).filter("n_undotted > 0")
+
+
 def markdown(per_class: DataFrame) -> str:
     """The report of an evaluation: twelve classes, a row each."""
     out = ["| class | n | tp | fp | fn | P | R | F0.5 |", "|-|-|-|-|-|-|-|-|"]
