@@ -48,6 +48,8 @@ from scriptorium.session import scratch
 SHARD = "docs array<long>, terms array<string>, offsets binary, places binary, impacts binary"
 #: Text bytes and documents of a shard; numbers in the accumulators of one step; (query, term) pairs of a block.
 SHARD_BYTES, SHARD_DOCS, CELLS, PAIRS = 2 << 20, 1 << 16, 1 << 20, 400_000
+#: Shards of a row group at most, which a writer or a reader holds at a time.
+GROUP_SHARDS = 4
 #: Groups of tasks whose results are merged before all are.
 GROUPS = 16
 
@@ -139,8 +141,9 @@ def index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str
 
     spark = docs.sparkSession
     path = path or scratch(spark, "shards")
-    # Small row groups: a reader holds few shards at a time.
-    rows.mapInArrow(run, SHARD).write.option("parquet.block.size", 8 << 20).parquet(path)
+    # Small row groups: a writer and a reader hold few shards at a time. Sizes alone don't see to that: a writer asks for
+    # the size of its row group after a hundred rows first.
+    rows.mapInArrow(run, SHARD).write.options(**{"parquet.block.size": 8 << 20, "parquet.block.row.count.limit": GROUP_SHARDS}).parquet(path)
     return Index(spark.read.schema(SHARD).parquet(path), n_docs, n_terms)
 
 

@@ -6,7 +6,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from scriptorium.llm import search
 from scriptorium.llm.words import words
 
@@ -52,6 +54,14 @@ def test_any_size_of_shards_and_blocks(spark, monkeypatch, shard, pairs, cells):
     assert got == brute(docs, queries, 5)
 
 
+def test_row_groups_hold_few_shards(spark, tmp_path):
+    d = spark.range(0, 250, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    search.index(d, path=str(tmp_path / "shards"), shard_bytes=1)
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "shards").glob("*.parquet")]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == 250 and max(groups) <= search.GROUP_SHARDS
+
+
 def test_a_word_in_every_document_weighs_little_and_alone_nothing(spark):
     d = spark.createDataFrame([(i, "common") for i in range(2000)], "doc_id int, text string")
     q = spark.createDataFrame([("a", "common")], "item_id string, text string")
