@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.letters import BLOCK, CONSONANT, INDEPENDENT, expanded
+from scriptorium.functions.pieces import of_series
 from scriptorium.functions.tokenize import BENGALI, Rules, sentences, tokens
 
 
@@ -42,8 +45,9 @@ def foreign_runs(text: str, rules: Rules = BENGALI) -> list[tuple[int, int, int,
 def out_of_scope(docs: DataFrame, rules: Rules = BENGALI, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, start, end, n_tokens, script) of runs of foreign words; found where the document lies, without a shuffle."""
 
-    def run(xs: pd.Series) -> pd.Series:
-        return xs.map(lambda x: [{"start": a, "end": b, "n_tokens": n, "first": t} for a, b, n, t in foreign_runs(x or "", rules)])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for xs in (part for b in batches for part in of_series(b)):
+            yield xs.map(lambda x: [{"start": a, "end": b, "n_tokens": n, "first": t} for a, b, n, t in foreign_runs(x or "", rules)])
 
     f = F.pandas_udf(run, "array<struct<start:int,end:int,n_tokens:bigint,first:string>>")
     spans = docs.select(id_col, F.explode(f(text)).alias("r"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.letters import BLOCK, DANDA, DOUBLE_DANDA, u
+from scriptorium.functions.pieces import of_series
 
 
 @dataclass(frozen=True)
@@ -61,8 +63,9 @@ def tokens(text: str, offset: int = 0, rules: Rules = BENGALI) -> list[tuple[int
 def sentence_rows(docs: DataFrame, rules: Rules = BENGALI, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, sent_idx, start, end, text)"""
 
-    def cut(xs: pd.Series) -> pd.Series:
-        return xs.map(lambda x: [{"start": a, "end": b, "text": (x or "")[a:b]} for a, b in sentences(x or "", rules)])
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for xs in (part for b in batches for part in of_series(b)):
+            yield xs.map(lambda x: [{"start": a, "end": b, "text": (x or "")[a:b]} for a, b in sentences(x or "", rules)])
 
     f = F.pandas_udf(cut, "array<struct<start:int,end:int,text:string>>")
     return docs.select(id_col, F.posexplode(f(text)).alias("sent_idx", "s")).select(id_col, "sent_idx", "s.start", "s.end", "s.text")
@@ -71,7 +74,7 @@ def sentence_rows(docs: DataFrame, rules: Rules = BENGALI, id_col: str = "doc_id
 def token_rows(docs: DataFrame, rules: Rules = BENGALI, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, sent_idx, tok_idx, start, end, text, is_word)"""
 
-    def cut(xs: pd.Series) -> pd.Series:
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(x: str) -> list[dict]:
             return [
                 {"sent_idx": n, "tok_idx": i, "start": s, "end": e, "text": t, "is_word": w}
@@ -79,7 +82,8 @@ def token_rows(docs: DataFrame, rules: Rules = BENGALI, id_col: str = "doc_id",
                 for i, (s, e, t, w) in enumerate(tokens(x[a:b], a, rules))
             ]
 
-        return xs.map(lambda x: one(x or ""))
+        for xs in (part for b in batches for part in of_series(b)):
+            yield xs.map(lambda x: one(x or ""))
 
     f = F.pandas_udf(cut, "array<struct<sent_idx:int,tok_idx:int,start:int,end:int,text:string,is_word:boolean>>")
     return docs.select(id_col, F.explode(f(text)).alias("t")).select(id_col, "t.*")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import CONFIDENCE, EDIT_DDL, GRAPH_WORDS, SUGGEST_BUDGET, PipelineConfig
 from scriptorium.functions.distance import osa_column
+from scriptorium.functions.pieces import of_series
 from scriptorium.functions.tokenize import tokens
 from scriptorium.operators.detect import Checker, edits
 from scriptorium.operators.lexicon import budgeted, candidates, coverage_factor, ranked, stem_reconstructions, token_frequency
@@ -43,7 +44,7 @@ def occurrences(docs: DataFrame, code: str = "la", id_col: str = "doc_id", text:
             found = [{"word": t.lower(), "start": s, "end": e, "original": t} for s, e, t, w in tokens(x, 0, rules) if w and t[0].isalpha()]
             return [t for t, ok in zip(found, members.passes(t["word"] for t in found), strict=True) if ok] if members else found
 
-        for xs in batches:
+        for xs in (part for b in batches for part in of_series(b)):
             yield xs.map(lambda x: one(x or ""))
 
     f = F.pandas_udf(run, "array<struct<word:string,start:int,end:int,original:string>>")

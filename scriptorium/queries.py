@@ -291,12 +291,12 @@ def _count(pattern: str, x: str = "x") -> str:
 
 def _with_rule(docs: DataFrame, rule: str) -> DataFrame:
     """(doc_id, n): edits of a rule that the detectors give each document, before overlaps are resolved."""
-    return edits(docs.select("doc_id", "text"), get_pack("la")).select("doc_id", F.size(F.filter("edits", lambda e: e["rule"] == rule)).cast("long").alias("n"))
+    return edits(docs.select("doc_id", "text"), get_pack("la"), rules=(rule,)).select("doc_id", F.size("edits").cast("long").alias("n"))
 
 
 @query(f"SELECT substr(m, 1, 1) AS mark, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{_TWICE}')) AS m FROM documents) GROUP BY 1")
 def punct_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = edits(table(spark, sf_dir, "documents"), get_pack("la")).select(F.explode("edits").alias("e")).filter("e.rule = 'repeated_mark'")
+    found = edits(table(spark, sf_dir, "documents"), get_pack("la"), rules=("repeated_mark",)).select(F.explode("edits").alias("e"))
     return found.groupBy(F.left("e.original", F.lit(1)).alias("mark")).agg(F.count("*").alias("n"))
 
 
@@ -590,7 +590,7 @@ def neighbour_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collocation detector on Latin text: a word by the token before or after it, within a sentence."""
     pack = Pack("the", tokenize.LATIN, lexicon=("the",), collocations=(Collocation("the", "a", before=("of",), after=("and",)),))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    found = edits(docs, pack).select("doc_id", F.size(F.filter("edits", lambda e: e["rule"] == "collocation")).cast("long").alias("n"))
+    found = edits(docs, pack, rules=("collocation",)).select("doc_id", F.size("edits").cast("long").alias("n"))
     return found.filter("n > 0")
 
 
