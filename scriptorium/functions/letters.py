@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def u(codes: str) -> str:
     """Characters by their code points, a-b for a range as in a regular expression."""
@@ -37,6 +41,20 @@ def expanded(ranges: str) -> str:
 _DEPENDENT, _LETTER, _SIGN = frozenset(expanded(DEPENDENT)), frozenset(expanded(CONSONANT + INDEPENDENT)), frozenset(expanded(SIGN + INDEPENDENT))
 
 
+@lru_cache(maxsize=1)
+def _one_for_one() -> tuple[str, str]:
+    """Letters that have an upper form of one letter, and these forms: where the full form has several, the title form or, of sharp s, U+1E9E."""
+    pairs = {c: next((x for x in (c.upper(), c.title()) if len(x) == 1), c) for c in map(chr, range(sys.maxunicode + 1)) if c.upper() != c or c.title() != c}
+    pairs[u("DF")] = u("1E9E")
+    pairs = {c: x for c, x in pairs.items() if c != x}
+    return "".join(pairs), "".join(pairs.values())
+
+
+def upper_by_letter(text: Column) -> Column:
+    """text in capitals, each letter for itself, so that its length stays; upper() makes two letters of a sharp s."""
+    return F.translate(text, *_one_for_one())
+
+
 def is_bengali(c: str) -> bool:
     return 0x980 <= ord(c) <= 0x9FF
 

@@ -12,7 +12,7 @@ from scriptorium.config import PipelineConfig
 from scriptorium.functions import bijoy, normalize, tokenize
 from scriptorium.functions.distance import homophone_column, latin_key, osa_column, soundex_column
 from scriptorium.functions.identity import uuid7_millis
-from scriptorium.functions.letters import DANDA, u
+from scriptorium.functions.letters import DANDA, u, upper_by_letter
 from scriptorium.functions.offsets import remapped
 from scriptorium.functions.readability import sentence_length_variance
 from scriptorium.functions.scope import out_of_scope
@@ -875,7 +875,7 @@ SELECT sha256('NON_WORD' || chr(0) || i::VARCHAR || chr(0) || (i + length(line))
 def edit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of edits by content: lines of documents as edits; equal ones share an id."""
     each = table(spark, sf_dir, "documents").select(F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "original")).filter("original <> ''")
-    made = each.select(F.lit("NON_WORD").alias("error_class"), (F.col("i") + 1).alias("start"), (F.col("i") + 1 + F.length("original")).alias("end"), "original", F.array(F.upper(F.substring("original", 1, 1))).alias("suggestions"))
+    made = each.select(F.lit("NON_WORD").alias("error_class"), (F.col("i") + 1).alias("start"), (F.col("i") + 1 + F.length("original")).alias("end"), "original", F.array(upper_by_letter(F.substring("original", 1, 1))).alias("suggestions"))
     return resolve.with_ids(made).groupBy("edit_id").agg(F.count("*").alias("n"))
 
 
