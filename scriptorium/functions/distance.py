@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,11 +41,68 @@ def osa(a: str, b: str, limit: int | None = None) -> int:
     return one[len(b)] if limit is None or one[len(b)] <= limit else limit + 1
 
 
+#: Words of more letters are compared one by one.
+WIDE = 64
+
+
+def osa_many(xs: list[str], ys: list[str], limit: int) -> np.ndarray:
+    """osa() of many pairs at a time: the rows of osa(), each a step over all pairs, a diagonal after another."""
+    out = np.full(len(xs), limit + 1, dtype=np.int32)
+    m, n = np.fromiter(map(len, xs), np.int64, len(xs)), np.fromiter(map(len, ys), np.int64, len(ys))
+    for i in np.flatnonzero(np.maximum(m, n) > WIDE).tolist():
+        out[i] = osa(xs[i], ys[i], limit)
+    some = np.flatnonzero((np.maximum(m, n) <= WIDE) & (np.abs(m - n) <= limit))
+    if not len(some):
+        return out
+    m, n = m[some], n[some]
+    width = int(m.max())
+
+    def letters(words: list[str], size: np.ndarray, columns: int, pad: int) -> np.ndarray:
+        """A row for each place; what lies beyond a word equals no letter."""
+        x = np.array([words[i] for i in some.tolist()], dtype=f"U{columns}").view(np.uint32).reshape(len(some), columns)
+        return np.ascontiguousarray(np.where(np.arange(columns) < size[:, None], x, np.uint32(pad)).T)
+
+    a, b = letters(xs, m, max(1, width), 0xFFFFFFFE), letters(ys, n, width + limit + 1, 0xFFFFFFFF)
+    far = np.full(len(some), limit + 1, dtype=np.int8)
+    # Diagonal k holds the columns j = i + k - limit; all others are farther.
+    two = one = [far] * (2 * limit + 1)
+    one = [far if k < limit else np.full(len(some), k - limit, dtype=np.int8) for k in range(2 * limit + 1)]
+    found = np.full(len(some), limit + 1, dtype=np.int8)
+
+    def ended(i: int, row: list[np.ndarray]) -> None:
+        for k in range(2 * limit + 1):
+            here = (m == i) & (n == i + k - limit)
+            found[here] = row[k][here]
+
+    ended(0, one)
+    for i in range(1, width + 1):
+        now: list[np.ndarray] = []
+        for k in range(2 * limit + 1):
+            j = i + k - limit
+            if j <= 0:
+                now.append(np.full(len(some), i, dtype=np.int8) if j == 0 else far)
+                continue
+            d = one[k] + (a[i - 1] != b[j - 1])
+            if k < 2 * limit:
+                d = np.minimum(d, one[k + 1] + 1)
+            if k:
+                d = np.minimum(d, now[k - 1] + 1)
+            if i > 1 and j > 1:
+                d = np.where((a[i - 1] == b[j - 2]) & (a[i - 2] == b[j - 1]), np.minimum(d, two[k] + 1), d)
+            now.append(np.minimum(d, limit + 1).astype(np.int8))
+        two, one = one, now
+        ended(i, one)
+    out[some] = found
+    return out
+
+
 def osa_column(a: Column, b: Column, limit: int) -> Column:
     """osa() of two columns; rows with too wide a gap in length should be filtered before."""
 
     def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else osa(x, y, limit) for x, y in zip(xs, ys, strict=True)], dtype="Int32")
+        none = (xs.isna() | ys.isna()).to_numpy()
+        found = osa_many(xs.where(~none, "").tolist(), ys.where(~none, "").tolist(), limit)
+        return pd.Series(pd.arrays.IntegerArray(found, none))
 
     return F.pandas_udf(run, "int")(a, b)
 
