@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import replace
 from functools import lru_cache
+from itertools import compress
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from scriptorium.config import CONFIDENCE, EDIT_DDL, GRAPH_WORDS, SUGGEST_BUDGET, PipelineConfig
 from scriptorium.functions.distance import osa_column
 from scriptorium.functions.pieces import of_series
-from scriptorium.functions.tokenize import tokens
 from scriptorium.operators.detect import Checker, edits
 from scriptorium.operators.lexicon import budgeted, candidates, coverage_factor, ranked, stem_reconstructions, token_frequency
 from scriptorium.operators.membership import MemberFilter, member_filter, power_of
@@ -40,12 +40,15 @@ def occurrences(docs: DataFrame, code: str = "la", id_col: str = "doc_id", text:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         members = sent and MemberFilter(*sent.value)
 
-        def one(x: str) -> list[dict]:
-            found = [{"word": t.lower(), "start": s, "end": e, "original": t} for s, e, t, w in tokens(x, 0, rules) if w and t[0].isalpha()]
-            return [t for t, ok in zip(found, members.passes(t["word"] for t in found), strict=True) if ok] if members else found
+        pattern = rules.tokens
 
         for xs in (part for b in batches for part in of_series(b)):
-            yield xs.map(lambda x: one(x or ""))
+            found = [[(m.group().lower(), m) for m in pattern.finditer(x or "") if m.group()[0].isalpha()] for x in xs]
+            if members:  # each word of a piece is looked up once
+                words = list({w for one in found for w, _ in one})
+                known = set(compress(words, members.passes(words)))
+                found = [[t for t in one if t[0] in known] for one in found]
+            yield pd.Series([[{"word": w, "start": m.start(), "end": m.end(), "original": m.group()} for w, m in one] for one in found], dtype=object)
 
     f = F.pandas_udf(run, "array<struct<word:string,start:int,end:int,original:string>>")
     return docs.select("row", id_col, F.explode(f(text)).alias("t")).select("row", id_col, "t.*")
