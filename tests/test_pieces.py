@@ -41,3 +41,11 @@ def test_edits_of_some_rules():
     whole = checker.check(text)
     for rule in {e.rule for e in whole} | {r for own in RULES.values() for r in own}:
         assert checker.check(text, frozenset({rule})) == [e for e in whole if e.rule == rule]
+
+
+def test_words_without_a_trait_are_passed_over():
+    """Words that no detector looks for are looked up once, and leave the detectors alone."""
+    checker = Checker(get_pack("bn"))
+    word = next(w for w in get_pack("bn").lexicon if checker.traits_of(w) == 0)
+    checker.spelling = checker.collocation = checker.classifier = checker.standard = checker.register = lambda *_: (1 / n for n in (0,))
+    assert checker.check(f"{word} {word}") == []
