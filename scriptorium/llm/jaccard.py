@@ -361,7 +361,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle
     """Rows (id, keep, node, fp), one per document; (node, root) of the nodes that have links; and the name node."""
     docs = rowed(docs)
     rows = cut(nodes(docs, id_col, text, shingle, tuple(dict.fromkeys((*keep, "__sc_row")))))
-    roots = cut(components(links(docs, text, shingle, similarity, rows=rows)))
+    found = links(docs, text, shingle, similarity, rows=rows)
+    release(docs.sparkSession)  # those of the last pairs, before the rounds of classes
+    roots = cut(components(found))
     release(docs.sparkSession)
     return rows, roots, "node"
 

@@ -41,7 +41,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -268,30 +268,49 @@ def links(nodes: DataFrame, most_bits: int = 2, split: int = 50_000, sent: int =
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
+def round_of_few(e: DataFrame, parts: int) -> DataFrame:
+    """(a, b, moved): a large and a small star over links (a, b) with b < a, all links of a node in one of `parts` partitions.
+
+    moved is false everywhere only if the links were stars of their least nodes before, which the round then gives back."""
+    dealt = lambda df: df.repartition(parts, "a").distinct()
+    least = F.min("b").over(Window.partitionBy("a"))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = dealt(e.select(F.explode(ways).alias("e")).select("e.a", "e.b")).withColumn("m", F.least("a", least))
+    large = dealt(both.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"), F.expr("m < a").alias("moved"))).withColumn("m", least)
+    return large.select(F.expr("if(b = m, a, b)").alias("a"), F.col("m").alias("b"), F.expr("moved or b <> m").alias("moved"))
+
+
+def round_of_many(e: DataFrame) -> DataFrame:
+    """(a, b): the same round, by joins that Spark can split, dealt as the session says."""
+    both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(least, "a")
+    return small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+
+
 def components(edges: DataFrame, most_rounds: int = 60, a_part: int = 250_000, most_parts: int = 20) -> DataFrame:
     """(node, root) for all nodes of edges (a, b): the root is the least node connected.
 
     Large-star and small-star rounds; only least neighbours are aggregated, never
     lists of them, and a hub's links are joined back to one row, which Spark can split.
     Up to `most_parts` times `a_part` links are dealt over no more partitions than they
-    need, so that rounds over few links don't write thousands of files; more are dealt as
-    the session says. The rounds are the same."""
+    need, and twice a round, without joins: a round over few links takes tasks, files and log
+    lines in proportion to its stages, not to them. The rounds are the same."""
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     parts = -(-e.count() // a_part)
-    dealt = lambda df: df.repartition(max(1, parts), "a") if parts <= most_parts else df
     state = None
     for _ in range(most_rounds):
-        both = dealt(e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = dealt(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        e = cut(dealt(small).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        if parts <= most_parts:
+            e = cut(round_of_few(e, max(1, parts)))
+            settled = e.filter("moved").isEmpty()
+        else:
+            e = cut(round_of_many(e))
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            settled, state = now == state, now
+        if settled:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = now
     raise RuntimeError(f"links did not settle in {most_rounds} rounds")
 
 

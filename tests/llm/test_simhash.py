@@ -124,3 +124,24 @@ def test_chain_is_one_component(spark, a_part):
     got = {r["node"]: r["root"] for r in simhash.components(edges, a_part=a_part, most_parts=5).collect()}
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
     assert simhash.components(edges.limit(0), a_part=a_part).count() == 0
+
+
+def test_rounds_over_few_links_are_few_stages(spark):
+    """Of links that are repeated or lead to hubs, classes are right on both ways; and over few links rounds have few stages."""
+    rng = np.random.default_rng(6)
+    some = [tuple(map(int, x)) for x in rng.integers(0, 400, (330, 2))]
+    links = [*some, *some[:50], *[(7, i) for i in range(500, 560)]]
+    nodes = sorted({x for a, b in links if a != b for x in (a, b)})
+    edges = spark.createDataFrame(links, "a long, b long")
+    want = connected(nodes, [(a, b) for a, b in links if a != b])
+    assert {r["node"]: r["root"] for r in simhash.components(edges, a_part=10).collect()} == want
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few", "components")
+    try:
+        found = simhash.components(edges)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in seen.getJobIdsForGroup("few") for s in seen.getJobInfo(j).stageIds}
+    ran = sum(1 for s in stages if (x := seen.getStageInfo(s)) and x.numCompletedTasks)
+    assert {r["node"]: r["root"] for r in found.collect()} == want
+    assert ran <= 30, ran
