@@ -97,6 +97,16 @@ def test_flat_map_of_a_converted_text():
     assert Offsets.flat(4, 9).over([(1, 3, ())]).expanded() == [0, 0, 9]
 
 
+def test_text_that_is_detected_and_not_converted_keeps_its_places():
+    """Spanish capitals hold a sign of the legacy font; as nothing is converted, nothing moves."""
+    text = "OSÓ DOÑA\nMIÓÓ !! CIÓN,, " + u("200B") + "DÓ!!"
+    new, offsets, rules = n.normalize(text)
+    assert rules == ["bijoy_to_unicode", "strip_invisibles"] and new == text.replace(u("200B"), "")
+    assert offsets.expanded() == [i for i, c in enumerate(text) if c != u("200B")] + [len(text)]
+    # A text that is converted comes from its first character.
+    assert n.normalize("evsjv" + u("B2") * 4)[1].expanded() == [0] * 9 + [9]
+
+
 def test_column_form_searches_alike(spark):
     rows = [(i, t) for i, t in enumerate(some_texts(2, 60))]
     docs = spark.createDataFrame(rows, "doc_id int, text string").select("doc_id", normalized(F.col("text")).alias("n"))
